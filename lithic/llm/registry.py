@@ -6,10 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, simhash
+from . import hosts, pieces, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": simhash.query,
+    "op4_host_quality": hosts.query,
     "op3_sentencepiece_encoding": pieces.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_host_quality": hosts.ORACLE,
+}
