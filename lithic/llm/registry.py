@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hosts, mixing, pieces, simhash
+from . import hosts, mixing, pieces, simhash, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": simhash.query,
     "op4_host_quality": hosts.query,
     "op7_source_mixing": mixing.query,
+    "op9_exact_topk": topk.query,
     "op3_sentencepiece_encoding": pieces.query,
 }
 ORACLES: dict[str, str] = {
     "op4_host_quality": hosts.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
+    "op9_exact_topk": topk.ORACLE,
 }
