@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hosts, mixing, pieces, simhash, topk
+from . import hosts, mixing, pieces, simhash, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": simhash.query,
     "op4_host_quality": hosts.query,
+    "op6_toxicity": toxicity.query,
     "op7_source_mixing": mixing.query,
     "op9_exact_topk": topk.query,
     "op3_sentencepiece_encoding": pieces.query,
