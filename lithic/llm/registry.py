@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hosts, mixing, pieces, simhash, topk, toxicity
+from . import hosts, mixing, pieces, simhash, surrogates, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": surrogates.query,
     "op2_simhash_near_dedup": simhash.query,
     "op4_host_quality": hosts.query,
     "op6_toxicity": toxicity.query,
