@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hosts, mixing, pieces, simhash, surrogates, topk, toxicity
+from . import hosts, mixing, pieces, simhash, substrings, surrogates, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": surrogates.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_host_quality": hosts.query,
     "op6_toxicity": toxicity.query,
     "op7_source_mixing": mixing.query,
+    "op8_substring_dedup": substrings.query,
     "op9_exact_topk": topk.query,
     "op3_sentencepiece_encoding": pieces.query,
 }
