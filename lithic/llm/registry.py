@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hosts, mixing, pieces, simhash, substrings, surrogates, topk, toxicity
+from . import hosts, licences, mixing, pieces, simhash, substrings, surrogates, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": surrogates.query,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_source_mixing": mixing.query,
     "op8_substring_dedup": substrings.query,
     "op9_exact_topk": topk.query,
+    "op10_licence_scan": licences.query,
     "op3_sentencepiece_encoding": pieces.query,
 }
 ORACLES: dict[str, str] = {
