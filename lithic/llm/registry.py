@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hosts, licences, mixing, pieces, simhash, substrings, surrogates, topk, toxicity
+from . import hosts, licences, mixing, pagetext, pieces, simhash, substrings, surrogates, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": surrogates.query,
     "op2_simhash_near_dedup": simhash.query,
     "op4_host_quality": hosts.query,
+    "op5_html_extraction": pagetext.query,
     "op6_toxicity": toxicity.query,
     "op7_source_mixing": mixing.query,
     "op8_substring_dedup": substrings.query,
