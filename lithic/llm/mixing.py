@@ -49,14 +49,14 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, draw) per row of docs; draw is the seeded hash that orders a source."""
+    """(doc_id, source, size, draw, digest of the text) per row of docs; draw is the seeded hash that orders a source."""
     draw = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), draw.alias("draw"))
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), draw.alias("draw"), F.xxhash64("text").alias("digest"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = MOST_EPOCHS) -> DataFrame:
-    """Per row of docs: doc_id, source, size, source_size, target, whole, extra, taken.
+    """Per row of docs: doc_id, source, size, source_size, target, whole, extra, digest, taken.
 
     ``whole`` repetitions are taken of all its words and ``extra`` words of one more. A null text
     has size 0, a null source is a source of its own that comes last, a null doc_id draws like an
@@ -72,7 +72,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = MO
     at = bins.join(goals, F.col("source").eqNullSafe(F.col("host"))).where("upto > rest").groupBy("host").agg(F.min(F.struct("bin", (F.col("upto") - F.col("bin_size")).alias("before"))).alias("edge"))
     goals = goals.join(at.withColumnRenamed("host", "named"), F.col("host").eqNullSafe(F.col("named")), "left").select("host", "source_size", "target", "whole", "rest", F.col("edge.bin").alias("edge_bin"), F.col("edge.before").alias("edge_before"))
     joined = rows.join(goals, F.col("source").eqNullSafe(F.col("host")))
-    columns = ["doc_id", "source", "size", "source_size", "target", "whole", "extra"]
+    columns = ["doc_id", "source", "size", "source_size", "target", "whole", "extra", "digest"]
     inside = F.col("edge_bin").isNull() | (F.col("bin") < F.col("edge_bin"))
     # a source without an edge has no more words than the rest asks for
     settled = joined.where(inside | (F.col("bin") > F.col("edge_bin"))).withColumn("extra", F.when(inside & (F.col("rest") > 0), F.col("size")).otherwise(F.lit(0).cast("long")))
@@ -89,15 +89,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeated(docs: DataFrame) -> DataFrame:
     """The mixed corpus, in the columns of docs: each document as often as the mix takes it whole,
     and the document at which a source's target falls once more with as many of its first words as
-    are still wanted. doc_id has to be unique."""
-    plan = mix(docs).select(F.col("doc_id").alias("planned"), "whole", "extra", "size")
-    rows = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("planned"))).withColumn("partial", (F.col("extra") > 0) & (F.col("extra") < F.col("size")))
-    copies = (F.col("whole") + F.when(F.col("extra") > 0, 1).otherwise(0)).cast("int")
-    rows = rows.where(copies > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), copies)))
-    cut_here = F.col("partial") & (F.col("copy") == copies)
-    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.greatest(F.col("extra"), F.lit(1)).cast("int")), " ")
+    are still wanted. Rows that are equal in doc_id, source and text are planned alike."""
+    keys = ["doc_id", "source", "digest"]
+    plan = mix(docs).groupBy(*keys).agg(F.max("whole").alias("whole"), F.max("extra").alias("extra"), F.max("size").alias("size"))
+    plan = plan.select(*[F.col(c).alias(f"{c}_") for c in plan.columns])
+    same = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.xxhash64("text") == F.col("digest_"))
+    rows = docs.join(plan, same).withColumn("partial_", (F.col("extra_") > 0) & (F.col("extra_") < F.col("size_")))
+    copies = (F.col("whole_") + F.when(F.col("extra_") > 0, 1).otherwise(0)).cast("int")
+    rows = rows.where(copies > 0).withColumn("copy_", F.explode(F.sequence(F.lit(1), copies)))
+    cut_here = F.col("partial_") & (F.col("copy_") == copies)
+    part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, F.greatest(F.col("extra_"), F.lit(1)).cast("int")), " ")
     rows = rows.withColumn("text", F.when(cut_here, part).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
+    if "n_chars" in docs.columns:  # the text is cut by now
         rows = rows.withColumn("n_chars", F.when(cut_here, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(*docs.columns)
 
