@@ -55,8 +55,8 @@ CLEAN = r"regexp_replace(lower(w), '[^\p{L}\p{N}]+', '', 'g')"
 
 
 @register("search_snippet", rf"""WITH x AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM documents WHERE contains({S.format('text')}, ' idiot ')),
-p AS (SELECT doc_id, ws, coalesce(list_position(list_transform(ws, lambda w: {CLEAN} = 'idiot'), true), 0) AS at FROM x)
-SELECT doc_id, md5(array_to_string(list_transform(ws[greatest(at - 10, 1):greatest(at - 10, 1) + 29], lambda w: CASE WHEN {CLEAN} = 'idiot' THEN '<b>' || w || '</b>' ELSE w END), ' ')) AS snippet_md5 FROM p""")
+p AS (SELECT doc_id, ws, coalesce(list_position(list_transform(ws, lambda w: {CLEAN} = 'idiot'), true), 0) AS hit FROM x)
+SELECT doc_id, md5(array_to_string(list_transform(ws[greatest(hit - 10, 1):greatest(hit - 10, 1) + 29], lambda w: CASE WHEN {CLEAN} = 'idiot' THEN '<b>' || w || '</b>' ELSE w END), ' ')) AS snippet_md5 FROM p""")
 def search_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where(search.matches(T.searchable(F.col("text")), "idiot"))
     return docs.select("doc_id", F.md5(search.headline(F.col("text"), "idiot")).alias("snippet_md5"))
@@ -115,8 +115,8 @@ def hybrid_union_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("chat_context", rf"""WITH f AS (SELECT doc_id, text, {S.format('text')} AS s FROM documents), h AS (SELECT doc_id, text, round({_times('idiot')}, 6) AS rank FROM f WHERE contains(s, ' idiot ') ORDER BY rank DESC, doc_id LIMIT 8),
 x AS (SELECT doc_id, row_number() OVER (ORDER BY rank DESC, doc_id) AS pos, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM h),
-p AS (SELECT doc_id, pos, ws, coalesce(list_position(list_transform(ws, lambda w: {CLEAN} = 'idiot'), true), 0) AS at FROM x),
-y AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, array_to_string(ws[greatest(at - 20, 1):greatest(at - 20, 1) + 119], ' ') AS t FROM p),
+p AS (SELECT doc_id, pos, ws, coalesce(list_position(list_transform(ws, lambda w: {CLEAN} = 'idiot'), true), 0) AS hit FROM x),
+y AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, array_to_string(ws[greatest(hit - 20, 1):greatest(hit - 20, 1) + 119], ' ') AS t FROM p),
 u AS (SELECT *, coalesce(sum(length(t)) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM y)
 SELECT doc_id, pos, md5(left(t, CAST(12000 - used AS BIGINT))) AS passage_md5 FROM u WHERE used < 12000""")
 def chat_context(spark: SparkSession, sf_dir: str) -> DataFrame:
