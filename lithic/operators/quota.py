@@ -52,8 +52,8 @@ def breaker_open(fetches: DataFrame, host: str, seq: str, failed: str, most: int
     """fetches with ``open``: whether more than ``most`` failures in a row stood before this fetch."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy(host).orderBy(seq)
-    runs = fetches.withColumn("run_", F.sum((~F.col(failed)).cast("int")).over(order))
+    before = Window.partitionBy(host).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
+    runs = fetches.withColumn("run_", F.coalesce(F.sum((~F.col(failed)).cast("int")).over(before), F.lit(0)))
     in_run = Window.partitionBy(host, "run_").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
     return runs.withColumn("open", F.coalesce(F.sum(F.col(failed).cast("int")).over(in_run), F.lit(0)) > most).drop("run_")
 

@@ -94,7 +94,7 @@ def quota_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("circuit_breaker", """
-WITH r AS (SELECT user_id, event_id, event_type = 'error' OR value < 20 AS failed, sum(CASE WHEN event_type = 'error' OR value < 20 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM events),
+WITH r AS (SELECT user_id, event_id, event_type = 'error' OR value < 20 AS failed, coalesce(sum(CASE WHEN event_type = 'error' OR value < 20 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM events),
 o AS (SELECT *, coalesce(sum(CAST(failed AS INTEGER)) OVER (PARTITION BY user_id, run ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 3 AS open FROM r)
 SELECT user_id, event_id, open FROM o""")
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
