@@ -20,7 +20,7 @@ def twin(small):
 
 def rows(frame) -> list[tuple]:
     frame = frame[sorted(frame.columns)]
-    show = lambda x: "null" if x is None or x != x or str(x) in ("<NA>", "NaT") else f"{float(x):.6g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    show = lambda x: "null" if str(x) in ("None", "nan", "<NA>", "NaT") else f"{float(x):.6g}" if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
     return sorted(tuple(show(x) for x in r) for r in frame.astype(object).itertuples(index=False))
 
 
