@@ -31,9 +31,10 @@ FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra", "г-ж
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н"]
 TITLES = "(?:" + "|".join(sorted(FEMALE + MALE, key=lambda t: (-len(t), t))) + r")\.?"
 #: Type and pattern, in the order in which they are tried at a place; no pattern matches the empty text.
+#: An address gives back a full stop behind it; a host name has at most 127 labels. A secret's key may have any prefix (access_token).
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[A-Za-z0-9_][\w.%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.)++[A-Za-z]{2,24}",
-    "secret": r"\b(?i:password|passwd|secret|token|api_key)\s?[=:]\s?[\"']?[^\s\"',;]{6,}",
+    "email": r"(?<![\w.%+-])[A-Za-z0-9_][\w.%+-]*+@[A-Za-z0-9](?:[A-Za-z0-9-]*+\.){1,127}[A-Za-z]{2,24}",
+    "secret": r"(?=[pstaPSTA])(?i:password|passwd|secret|token|api_key)\s?[=:]\s?[\"']?[^\s\"',;]{6,}",
     "access": r"\bAKIA[A-Z0-9]{16}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?\d)",

@@ -56,6 +56,14 @@ def test_surrogates_are_redrawn_until_distinct(spark):
     assert len({r.surrogate for r in got}) == 100
 
 
+def test_surrogates_at_the_end_of_sentences_and_behind_prefixed_keys(spark):
+    texts = ["Write to john@x.com.", "Ask john@x.com. Then go", "a@b.co... or john@x.com.2", "access_token=abcdef123456 client_secret=abcdef123456", "DB_PASSWORD=abcdef123456.", "a@b" + "." * 20_000]
+    got = surrogates.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_entities for r in got] == [1, 1, 2, 2, 1, 0]
+    assert not any(own in r.text for r in got for own in ("john@x", "a@b.co", "abcdef123456"))
+    assert got[0].text.endswith(".com.") and got[1].text.endswith(".com. Then go") and got[3].text.startswith("access_token=") and got[5].text == texts[5]
+
+
 # 2
 def test_simhash_matches_brute_force(spark):
     rows = drawn(2, 60)
