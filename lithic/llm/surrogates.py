@@ -43,6 +43,8 @@ PATTERNS = {
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]\d{4}(?![\d-])|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)",
     "name": rf"(?<!\p{{L}}){TITLES}\s\p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+){{0,2}}",
 }
+#: A secret's value.
+SECRET = r"[=:]\s?[\"']?([^\s\"',;]{6,})$"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
@@ -72,7 +74,7 @@ def parts(surfaces: DataFrame) -> DataFrame:
     s = F.col("surface")
     value = (
         F.when(F.col("type") == "email", F.lower(s))
-        .when(F.col("type") == "secret", F.regexp_extract(s, r"[=:]\s?[\"']?([^\s\"',;]{6,})$", 1))
+        .when(F.col("type") == "secret", F.regexp_extract(s, SECRET, 1))
         .when(F.col("type") == "phone", F.right(_digits(s), F.lit(10)))
         .when(F.col("type").isin("card", "ssn"), _digits(s))
         .when(F.col("type") == "iban", F.replace(s, F.lit(" "), F.lit("")))
@@ -93,8 +95,17 @@ transform(split({text}, ''), (c, i) -> CASE
   WHEN c rlike '[0-9]' THEN substr('0123456789', b_(i) % 10 + 1, 1)
   WHEN c rlike '[a-z]' THEN substr('abcdefghijklmnopqrstuvwxyz', b_(i) % 26 + 1, 1)
   WHEN c rlike '[A-Z]' THEN substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ', b_(i) % 26 + 1, 1)
+  WHEN c rlike '[\\\\p{{IsCyrillic}}&&\\\\p{{Lu}}]' THEN substr('АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ', b_(i) % 27 + 1, 1)
+  WHEN c rlike '\\\\p{{IsCyrillic}}' THEN substr('абвгдежзиклмнопрстуфхцчшэюя', b_(i) % 27 + 1, 1)
+  WHEN c rlike '[\\\\p{{IsGreek}}&&\\\\p{{Lu}}]' THEN substr('ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ', b_(i) % 24 + 1, 1)
+  WHEN c rlike '\\\\p{{IsGreek}}' THEN substr('αβγδεζηθικλμνξοπρστυφχψω', b_(i) % 24 + 1, 1)
+  WHEN c rlike '\\\\p{{IsHan}}' THEN substr('的一是不了人我在有他这中大来上国个到说们为子和你地出道也时年', b_(i) % 30 + 1, 1)
+  WHEN c rlike '\\\\p{{L}}' THEN substr('abcdefghijklmnopqrstuvwxyz', b_(i) % 26 + 1, 1)
+  WHEN kind = 'secret' AND draw > 0 AND c rlike '[^\\\\p{{L}}]' THEN substr('!#$%&*+-/?^_~|', b_(i) % 14 + 1, 1)
   ELSE c END)
 """
+#: From the draw after PATIENCE on, each draw has one more character or syllable to choose.
+PATIENCE = 2
 
 
 def _with_bytes(sql: str, digest: str) -> str:
@@ -113,10 +124,14 @@ def _draw(entities: DataFrame) -> DataFrame:
     shaped = f"array_join({_with_bytes(_SHAPE.format(text='canon'), 'd')}, '')"
     local = f"array_join({_with_bytes(_SHAPE.format(text="substring_index(canon, '@', 1)"), 'd')}, '')"
     host = f"array_join({_with_bytes(_SHAPE.format(text='host'), 'dh')}, '')"
+    more = f"greatest(draw - {PATIENCE}, 0)"
+    tail = "CASE WHEN {0} = 0 THEN '' ELSE array_join(transform(sequence(33, 32 + {0}), i -> substr('{1}', b_(i) % {2} + 1, 1)), '') END"
+    letters = F.expr(_with_bytes(tail.format(more, "abcdefghijklmnopqrstuvwxyz", 26), "d"))
+    digits = F.expr(_with_bytes(tail.format(more, "0123456789", 10), "d"))
     octets = _with_bytes("array_join(transform(sequence(0, 3), i -> cast(1 + b_(i) % 254 as string)), '.')", "d")
     phone = "concat(substr('23456789', try_cast(substr(shaped, 1, 1) as int) % 8 + 1, 1), substr(shaped, 2))"
-    # syllables: consonant and vowel by turns, as many as the word is long, and an ending of its gender
-    syllables = _with_bytes("array_join(transform(sequence(0, least(greatest(cast(length(canon) / 2 as int), 2), 6) - 1), i -> concat(substr('bdfgklmnprstvz', b_(i) % 14 + 1, 1), substr('aeiou', cast(b_(i) / 14 as int) % 5 + 1, 1))), '')", "d")
+    # syllables: consonant and vowel by turns, as many as the word is long and some more in late draws, and an ending of its gender
+    syllables = _with_bytes("array_join(transform(sequence(0, least(greatest(cast(length(canon) / 2 as int), 2), 6) + more_ - 1), i -> concat(substr('bdfgklmnprstvz', b_(i) % 14 + 1, 1), substr('aeiou', cast(b_(i) / 14 as int) % 5 + 1, 1))), '')".replace("more_", more), "d")
     luhn = "(aggregate(sequence(1, length({0}) - 1), 0, (s, i) -> s + CASE WHEN (length({0}) - i) % 2 = 1 THEN 2 * try_cast(substr({0}, i, 1) as int) - CASE WHEN substr({0}, i, 1) > '4' THEN 9 ELSE 0 END ELSE try_cast(substr({0}, i, 1) as int) END) * 9 % 10)"
     e = e.withColumn("shaped", F.expr(shaped))
     e = e.withColumn("card", F.when(F.col("kind") == "card", F.expr("concat(left(canon, 1), substr(shaped, 2))")).otherwise(F.lit("00")))
@@ -125,13 +140,14 @@ def _draw(entities: DataFrame) -> DataFrame:
     e = e.withColumn("word", F.when(F.col("kind").startswith("first_f"), F.concat("word", F.lit("na"))).when(F.col("kind").startswith("first_m"), F.concat("word", F.lit("n"))).otherwise(F.concat("word", F.lit("r"))))
     e = e.withColumn("word", F.when(F.col("kind").endswith("cyrillic"), F.translate("word", "bdfgklmnprstvzaeiou", "бдфгклмнпрствзаеиоу")).otherwise(F.col("word")))
     surrogate = (
-        F.when(F.col("kind") == "email", F.concat(F.expr(local), F.lit("@"), F.expr(host), F.lit("."), F.substring_index("canon", ".", -1)))
+        F.when(F.col("kind") == "email", F.concat(F.expr(local), letters, F.lit("@"), F.expr(host), F.lit("."), F.substring_index("canon", ".", -1)))
         .when(F.col("kind") == "ip", F.expr(octets))
-        .when(F.col("kind") == "phone", F.expr(phone))
+        .when(F.col("kind") == "phone", F.concat(F.expr(phone), digits))
         .when(F.col("kind") == "card", F.concat(F.expr("left(card, length(card) - 1)"), check))
         .when(F.col("kind") == "access", F.concat(F.lit("AKIA"), F.expr("substr(shaped, 5)")))
         .when(F.col("kind") == "iban", F.concat(F.expr("left(canon, 2)"), F.expr("substr(shaped, 3)")))
         .when(F.col("kind").rlike("^(first|last)_"), F.col("word"))
+        .when(F.col("kind") == "secret", F.concat("shaped", letters))
         .otherwise(F.col("shaped"))
     )
     return e.select("kind", "canon", "draw", surrogate.alias("surrogate"))
@@ -139,7 +155,8 @@ def _draw(entities: DataFrame) -> DataFrame:
 
 def distinct_surrogates(entities: DataFrame) -> DataFrame:
     """(kind, canon, surrogate) for distinct (kind, canon): no surrogate twice in a kind, none that is an
-    entity of its kind. Raises if draws run out, which takes more entities than a shape has forms."""
+    entity of its kind. Late draws choose among ever longer names, addresses, secrets and phone numbers; the
+    other kinds keep their fixed length, of 10^9 forms and more. Raises if these run out."""
     drawn = cut(_draw(entities.select("kind", "canon").distinct().withColumn("draw", F.lit(0))))
     for _ in range(MOST_DRAWS):
         order = Window.partitionBy("kind", "surrogate").orderBy("draw", "canon")
@@ -155,8 +172,8 @@ def distinct_surrogates(entities: DataFrame) -> DataFrame:
 
 
 def _laid_out(digits: str) -> str:
-    """SQL: the surface with its digits replaced, in order, by those of a column."""
-    return f"aggregate(split(surface, ''), named_struct('s', '', 'k', 1), (a, c) -> CASE WHEN c rlike '[0-9]' THEN named_struct('s', concat(a.s, substr({digits}, a.k, 1)), 'k', a.k + 1) ELSE named_struct('s', concat(a.s, c), 'k', a.k) END).s"
+    """SQL: the surface with its digits replaced, in order, by those of a column; what it has more comes behind."""
+    return f"aggregate(split(surface, ''), named_struct('s', '', 'k', 1), (a, c) -> CASE WHEN c rlike '[0-9]' THEN named_struct('s', concat(a.s, substr({digits}, a.k, 1)), 'k', a.k + 1) ELSE named_struct('s', concat(a.s, c), 'k', a.k) END, a -> concat(a.s, substr({digits}, a.k)))"
 
 
 def replacements(surfaces: DataFrame) -> DataFrame:
@@ -164,14 +181,14 @@ def replacements(surfaces: DataFrame) -> DataFrame:
     entities = parts(surfaces)
     drawn = distinct_surrogates(entities)
     named = entities.join(drawn, ["kind", "canon"]).groupBy("surface", "type").agg(F.array_sort(F.collect_list(F.struct("n", "surrogate"))).alias("s"))
-    named = named.withColumn("one", F.col("s")[0]["surrogate"]).withColumn("number", F.concat(F.expr("left(regexp_replace(surface, '[^0-9]', ''), greatest(length(regexp_replace(surface, '[^0-9]', '')) - 10, 0))"), F.col("one")))
+    named = named.withColumn("own", F.regexp_extract("surface", SECRET, 1)).withColumn("one", F.col("s")[0]["surrogate"]).withColumn("number", F.concat(F.expr("left(regexp_replace(surface, '[^0-9]', ''), greatest(length(regexp_replace(surface, '[^0-9]', '')) - 10, 0))"), F.col("one")))
     written = F.array_join(F.transform("s", lambda x: F.initcap(x["surrogate"])), " ")
     signs = F.expr("aggregate(split(surface, ''), named_struct('s', '', 'k', 1), (a, c) -> CASE WHEN c <> ' ' THEN named_struct('s', concat(a.s, substr(one, a.k, 1)), 'k', a.k + 1) ELSE named_struct('s', concat(a.s, c), 'k', a.k) END).s")
     replacement = (
         F.when(F.col("type") == "phone", F.expr(_laid_out("number")))
         .when(F.col("type").isin("card", "ssn"), F.expr(_laid_out("one")))
         .when(F.col("type") == "iban", signs)
-        .when(F.col("type") == "secret", F.concat(F.expr("left(surface, length(surface) - length(one))"), F.col("one")))
+        .when(F.col("type") == "secret", F.concat(F.expr("left(surface, length(surface) - length(own))"), F.col("one")))
         .when(F.col("type") == "name", F.concat(F.regexp_extract("surface", rf"^{TITLES}\s", 0), written))
         .otherwise(F.col("one"))
     )

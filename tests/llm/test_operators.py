@@ -64,6 +64,17 @@ def test_surrogates_at_the_end_of_sentences_and_behind_prefixed_keys(spark):
     assert got[0].text.endswith(".com.") and got[1].text.endswith(".com. Then go") and got[3].text.startswith("access_token=") and got[5].text == texts[5]
 
 
+def test_surrogates_do_not_run_out(spark):
+    rows = [("last_latin", f"{a}{b}{c}") for a in "abcdefghijklmnopqr" for b in "abcdefghijklmnopqr" for c in "abcdefghijklmnopqr"]
+    rows += [("secret", "********"), ("secret", "пароль"), ("secret", "密码密码密码")] + [("email", f"_@{a}.com") for a in "abcdefghijklmnopqrstuvwxyz"] + [("phone", f"{i:04}") for i in range(10_000)]
+    got = surrogates.distinct_surrogates(spark.createDataFrame(rows, "kind string, canon string")).collect()
+    assert len(got) == len(rows) == len({(r.kind, r.surrogate) for r in got})
+    assert not {(r.kind, r.surrogate) for r in got} & set(rows)
+    docs = spark.createDataFrame([(1, "password: ******** and token=абвгдежз.")], "doc_id long, text string")
+    text = surrogates.replace(docs).first().text
+    assert re.fullmatch(r"password: \S{8,} and token=[а-я]{8,}\.?\S*", text) and "********" not in text and "абвгдежз" not in text
+
+
 # 2
 def test_simhash_matches_brute_force(spark):
     rows = drawn(2, 60)
