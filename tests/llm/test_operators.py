@@ -313,3 +313,16 @@ def test_licences(spark):
     assert got[2].families == ["Apache-2.0", "proprietary"] and got[3].families == [] and got[4].families == got[5].families == []
     assert got[6].families == ["GPL"]
     assert licences.scan(docs.limit(0), classifier).count() == 0
+
+
+def test_licences_of_one_line(spark):
+    rnd = random.Random(1)
+    vocabulary = "the an ing er re tion ha on of and under all to work".split()
+    classifier = licences.fit([[rnd.choice(vocabulary) for _ in range(12)] for _ in range(600)])
+    far = " ".join(rnd.choice(vocabulary) for _ in range(1000))
+    mit, apache, gpl = "This project is licensed under the MIT License.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3."
+    docs = documents(spark, [(1, f"{mit} {far} {apache}", "a"), (2, f"{mit} {apache}", "a"), (3, f"{far} {mit} {far} {mit} {apache} {gpl}", "a"), (4, f"{gpl} {far}\n{mit}", "a")])
+    got = {r.doc_id: r for r in licences.scan(docs, classifier).collect()}
+    assert got[1].families == got[2].families == ["Apache-2.0", "MIT"] and len(got[1].hits) == 2
+    assert got[3].families == ["Apache-2.0", "GPL", "MIT"] and len(got[3].hits) == 3
+    assert [(h.paragraph, h.family) for h in got[4].hits] == [(0, "GPL"), (1, "MIT")]
