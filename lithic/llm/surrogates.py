@@ -1,7 +1,8 @@
 """Surrogates for personal data: keyed, type-consistent, distinct and coreferent. DataFrame functions only.
 
 Detected: e-mail addresses, phone and card numbers, IPv4 addresses, social security numbers, IBANs,
-access keys, values of password and token assignments, and names behind a title. Every entity has a
+access keys, values of password and token assignments, and names behind a title together with their later
+and earlier mentions in the text. Every entity has a
 canonical form (digits of a number, lower-case address, one name word), and its surrogate is drawn from
 a keyed digest of that form, so that an entity is replaced alike wherever and however it is written. The
 surrogate keeps the type's shape: digits stay digits in the written layout, letters keep their case,
@@ -29,7 +30,11 @@ MOST_DRAWS = 24
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra", "г-жа"]
 MALE = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н"]
-TITLES = "(?:" + "|".join(sorted(FEMALE + MALE, key=lambda t: (-len(t), t))) + r")\.?"
+NEUTRAL = ["Dr", "Doctor", "Docteur", "Doktor", "Prof", "Professor", "Professeur", "Rev", "Mx", "д-р", "проф"]
+TITLE = "(?:" + "|".join(sorted(FEMALE + MALE + NEUTRAL, key=lambda t: (-len(t), t))) + r")\.?"
+TITLES = rf"{TITLE}(?:\s{TITLE}(?=\s))*"
+#: A capitalised word, and what is no part of a name at its end.
+WORD, TAIL = r"(?<!\p{L})\p{Lu}[\p{L}'-]+", r"(?:'s|['-])+$"
 #: Type and pattern, in the order in which they are tried at a place; no pattern matches the empty text.
 #: An address gives back a full stop behind it; a host name has at most 127 labels. A secret's key may have any prefix (access_token).
 PATTERNS = {
@@ -60,6 +65,14 @@ def _digits(text: Column) -> Column:
     return F.regexp_replace(text, r"\D", "")
 
 
+def _one_of(titles: list[str]) -> str:
+    return r"(?<!\S)(?:" + "|".join(titles) + r")(?!\p{L})"
+
+
+def _name(word: Column) -> Column:
+    return F.lower(F.regexp_replace(word, TAIL, ""))
+
+
 def mentions(docs: DataFrame) -> DataFrame:
     """(digest, surface, type) of the distinct matches of each distinct text."""
     found = docs.select("text").select(F.md5("text").alias("digest"), F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("found"))
@@ -81,9 +94,10 @@ def parts(surfaces: DataFrame) -> DataFrame:
         .otherwise(s)
     )
     words = F.split(F.regexp_replace(s, rf"^{TITLES}\s", ""), " ")
-    gender = F.when(s.rlike("^(?:" + "|".join(FEMALE) + r")\b"), "f").otherwise("m")
+    title = F.regexp_extract(s, rf"^{TITLES}\s", 0)
+    gender = F.when(title.rlike(_one_of(FEMALE)), "f").when(title.rlike(_one_of(MALE)), "m").otherwise("n")
     script = F.when(s.rlike(r"\p{IsCyrillic}$"), "cyrillic").otherwise("latin")
-    names = F.transform(words, lambda w, i: F.struct(F.concat(F.when(i == F.size(words) - 1, "last").otherwise(F.concat(F.lit("first_"), gender)), F.lit("_"), script).alias("kind"), F.lower(w).alias("canon")))
+    names = F.transform(words, lambda w, i: F.struct(F.concat(F.when(i == F.size(words) - 1, "last").otherwise(F.concat(F.lit("first_"), gender)), F.lit("_"), script).alias("kind"), _name(w).alias("canon")))
     one = F.array(F.struct(F.col("type").alias("kind"), value.alias("canon")))
     return surfaces.select("surface", "type", F.posexplode(F.when(F.col("type") == "name", names).otherwise(one)).alias("n", "e")).select("surface", "type", "n", "e.kind", "e.canon")
 
@@ -137,7 +151,7 @@ def _draw(entities: DataFrame) -> DataFrame:
     e = e.withColumn("card", F.when(F.col("kind") == "card", F.expr("concat(left(canon, 1), substr(shaped, 2))")).otherwise(F.lit("00")))
     check = F.expr(f"cast(({luhn.format('card')} + CASE WHEN {luhn.format('canon')} = try_cast(right(canon, 1) as int) THEN 0 ELSE 1 END) % 10 as string)")
     e = e.withColumn("word", F.expr(syllables))
-    e = e.withColumn("word", F.when(F.col("kind").startswith("first_f"), F.concat("word", F.lit("na"))).when(F.col("kind").startswith("first_m"), F.concat("word", F.lit("n"))).otherwise(F.concat("word", F.lit("r"))))
+    e = e.withColumn("word", F.when(F.col("kind").startswith("first_f"), F.concat("word", F.lit("na"))).when(F.col("kind").startswith("first_m"), F.concat("word", F.lit("n"))).when(F.col("kind").startswith("first_n"), F.concat("word", F.lit("l"))).otherwise(F.concat("word", F.lit("r"))))
     e = e.withColumn("word", F.when(F.col("kind").endswith("cyrillic"), F.translate("word", "bdfgklmnprstvzaeiou", "бдфгклмнпрствзаеиоу")).otherwise(F.col("word")))
     surrogate = (
         F.when(F.col("kind") == "email", F.concat(F.expr(local), letters, F.lit("@"), F.expr(host), F.lit("."), F.substring_index("canon", ".", -1)))
@@ -177,12 +191,15 @@ def _laid_out(digits: str) -> str:
 
 
 def replacements(surfaces: DataFrame) -> DataFrame:
-    """(surface, replacement) for distinct (surface, type)."""
+    """(surface, replacement, words) for distinct (surface, type); words has (canon, place, surrogate) of a name's words."""
     entities = parts(surfaces)
     drawn = distinct_surrogates(entities)
-    named = entities.join(drawn, ["kind", "canon"]).groupBy("surface", "type").agg(F.array_sort(F.collect_list(F.struct("n", "surrogate"))).alias("s"))
+    named = entities.join(drawn, ["kind", "canon"]).groupBy("surface", "type").agg(F.array_sort(F.collect_list(F.struct("n", "surrogate", "canon", "kind"))).alias("s"))
     named = named.withColumn("own", F.regexp_extract("surface", SECRET, 1)).withColumn("one", F.col("s")[0]["surrogate"]).withColumn("number", F.concat(F.expr("left(regexp_replace(surface, '[^0-9]', ''), greatest(length(regexp_replace(surface, '[^0-9]', '')) - 10, 0))"), F.col("one")))
-    written = F.array_join(F.transform("s", lambda x: F.initcap(x["surrogate"])), " ")
+    own = F.split(F.regexp_replace("surface", rf"^{TITLES}\s", ""), " ")
+    written = F.array_join(F.zip_with("s", own, lambda x, w: F.concat(F.initcap(x["surrogate"]), F.regexp_extract(w, TAIL, 0))), " ")
+    place = lambda kind: F.when(kind.startswith("last_"), 0).when(kind.startswith("first_n"), 2).otherwise(1)
+    words = F.transform(F.filter("s", lambda x: F.col("type") == "name"), lambda x: F.struct(x["canon"].alias("canon"), place(x["kind"]).alias("place"), F.initcap(x["surrogate"]).alias("surrogate")))
     signs = F.expr("aggregate(split(surface, ''), named_struct('s', '', 'k', 1), (a, c) -> CASE WHEN c <> ' ' THEN named_struct('s', concat(a.s, substr(one, a.k, 1)), 'k', a.k + 1) ELSE named_struct('s', concat(a.s, c), 'k', a.k) END).s")
     replacement = (
         F.when(F.col("type") == "phone", F.expr(_laid_out("number")))
@@ -192,27 +209,49 @@ def replacements(surfaces: DataFrame) -> DataFrame:
         .when(F.col("type") == "name", F.concat(F.regexp_extract("surface", rf"^{TITLES}\s", 0), written))
         .otherwise(F.col("one"))
     )
-    return named.select("surface", replacement.alias("replacement"))
+    return named.select("surface", replacement.alias("replacement"), words.alias("words"))
+
+
+def _renamed(word: Column) -> Column:
+    """A capitalised word as names_ has it, whole or by its parts at hyphens and apostrophes."""
+    whole = F.concat(F.element_at("names_", _name(word)), F.regexp_extract(word, TAIL, 0))
+    parts = F.transform(F.split(word, "(?<=['-])|(?=['-])"), lambda p: F.when(p.rlike(r"^\p{Lu}"), F.coalesce(F.element_at("names_", F.lower(p)), p)).otherwise(p))
+    return F.coalesce(whole, F.array_join(parts, ""))
+
+
+def _mentioned_again(text: Column) -> Column:
+    """text with the words of names_ in it replaced."""
+    swapped = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: _renamed(w))
+    return F.array_join(F.zip_with(F.split(text, WORD, -1), swapped, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
 def replace(docs: DataFrame) -> DataFrame:
     """docs with every entity in ``text`` replaced, all columns kept, and n_entities, the number of
-    replaced places.
+    replaced places. The words of a name found behind a title are replaced wherever they come again in the
+    text as capitalised words.
 
     A null text stays null with 0 entities, an empty one empty. A text without entities is returned
     unchanged. Equal entities get equal surrogates across all rows, repeated rows included. A column
     of docs that is called n_entities is overwritten. If docs has ``n_chars`` it follows the text.
     """
-    n_entities = F.size(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).cast("long")
     found = cut(mentions(docs))
     surrogate = replacements(found.select("surface", "type").distinct())
-    by_text = found.join(surrogate, "surface").groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("surface", "replacement"))).alias("swap_"))
+    by_text = found.join(surrogate, "surface").groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("surface", "replacement"))).alias("swap_"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words_"))
+    firsts = F.expr("filter(words_, (x, i) -> i = 0 OR x.canon <> words_[greatest(i - 1, 0)].canon)")
+    by_text = by_text.select("digest", "swap_", F.map_from_entries(F.transform(firsts, lambda x: F.struct(x["canon"], x["surrogate"]))).alias("names_"))
     marked = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
     bare = docs.where(~marked).withColumn("n_entities", F.lit(0).cast("long"))
     rows = docs.where(marked).withColumn("digest_", F.md5("text")).join(by_text.withColumnRenamed("digest", "digest_"), "digest_")
-    at = F.regexp_extract_all("text", F.lit(ANY), F.lit(0))
-    woven = F.zip_with(F.split("text", ANY, -1), F.transform(at, lambda x: F.element_at("swap_", x)), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    rows = rows.withColumn("n_entities", n_entities).withColumn("text", F.array_join(woven, ""))
+    rows = rows.withColumn("at_", F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).withColumn("gaps_", F.split("text", ANY, -1))
+    # a title without gender does not tell which kind of first name it is: the text's other mentions do
+    title = lambda x: F.regexp_extract(x, rf"^{TITLES}\s", 0)
+    open_ = lambda x: (title(x) != "") & ~title(x).rlike(_one_of(FEMALE + MALE))
+    swapped = F.transform("at_", lambda x: F.when(open_(x), F.concat(title(x), _mentioned_again(F.regexp_replace(x, rf"^{TITLES}\s", "")))).otherwise(F.element_at("swap_", x)))
+    again = F.transform("gaps_", lambda g: F.size(F.filter(F.regexp_extract_all(g, F.lit(WORD), F.lit(0)), lambda w: _renamed(w) != w)))
+    n_again = F.when(F.size("names_") > 0, F.aggregate(again, F.lit(0), lambda n, k: n + k)).otherwise(F.lit(0))
+    gaps = F.when(F.size("names_") > 0, F.transform("gaps_", _mentioned_again)).otherwise(F.col("gaps_"))
+    woven = F.zip_with(gaps, swapped, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    rows = rows.withColumn("n_entities", (F.size("at_") + n_again).cast("long")).withColumn("text", F.array_join(woven, ""))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     columns = [c for c in docs.columns if c != "n_entities"]

@@ -75,6 +75,16 @@ def test_surrogates_do_not_run_out(spark):
     assert re.fullmatch(r"password: \S{8,} and token=[а-я]{8,}\.?\S*", text) and "********" not in text and "абвгдежз" not in text
 
 
+def test_surrogates_of_names_mentioned_again(spark):
+    texts = ["Mr. John Smith called. Smith said that John Smith's car and Smith-led work, not a smithy or Smithson, mattered.", "Then Jones came. Dr. Smith and Prof. Dr. Anna Jones, a@b.co, met.", "Mr. John Smith is Dr. John Smith.", "Smith has no title here."]
+    got = [r for r in surrogates.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    one = re.fullmatch(r"Mr\. (\w+n) (\w+r) called\. (\w+) said that (\w+) (\w+)'s car and (\w+)-led work, not a smithy or Smithson, mattered\.", got[0].text)
+    assert one and one[1] == one[4] != "John" and len({one[i] for i in (2, 3, 5, 6)}) == 1 and one[2] != "Smith" and got[0].n_entities == 5
+    two = re.fullmatch(r"Then (\w+r) came\. Dr\. (\w+r) and Prof\. Dr\. (\w+l) (\w+r), \w@\w\.co, met\.", got[1].text)
+    assert two and two[1] == two[4] != "Jones" and two[2] == one[2] and two[3] != "Anna" and got[1].n_entities == 4
+    assert got[2].text == f"Mr. {one[1]} {one[2]} is Dr. {one[1]} {one[2]}." and got[3].text == texts[3]
+
+
 # 2
 def test_simhash_matches_brute_force(spark):
     rows = drawn(2, 60)
