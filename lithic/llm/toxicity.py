@@ -7,9 +7,9 @@ a word are dropped first, and runs of single characters ("i d i o t") are read a
 
 Labels are per document, so training is multiple-instance (mi-SVM): a toxic document's sentences are
 toxic by its witness, the word of highest score in it, and no sentence of a clean document is toxic;
-words that a share of the toxic documents has and no clean one are witnesses as well, and witnesses
+words that a share of the toxic documents has and hardly any clean one are witnesses as well, and witnesses
 come again with letters put in. Rounds of training and choosing witnesses anew, with the clean words
-of highest score as further negatives, settle both. Copies of a training document count once. The machine is linear in Nyström features of ``LANDMARKS`` words; since the
+of highest score as further negatives, settle both. Near copies of a training document with its label count once. The machine is linear in Nyström features of ``LANDMARKS`` words; since the
 kernel's own features are triples, it is folded into one weight per triple for scoring. A document
 scores as its most toxic sentence, through a logistic curve fitted to the training documents.
 
@@ -19,8 +19,8 @@ of the held-out fold; scoring is one map over all whole texts.
 
 from __future__ import annotations
 
+import math
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,12 @@ from .shared import table
 
 TRAIN_ROWS = {1: 800, 0: 2000}
 LANDMARKS, ROUNDS, HARD, EASY = 192, 4, 4000, 6000
-#: Share of the toxic documents from which on a word that no clean one has is a witness as well.
+#: Share of the toxic documents from which on a word of theirs is a witness as well.
 COMMON = 0.03
+#: A witness's share of the toxic documents is at least so many times its share of the clean ones.
+ODDS = 8.0
+#: Share of common words from which on two training documents of one label are copies.
+COPY = 0.8
 #: Copies of a witness with one letter put in, for each of the most frequent VARIED.
 VARIANTS, VARIED = 4, 150
 DECAY, SPREAD, CLASSES = 0.6, 3, 64
@@ -181,14 +185,33 @@ def blank() -> Machine:
     return Machine(np.zeros(CLASSES**3), -1.0, 1.0, 0.0)
 
 
+def singles(bags: list[list[str]], toxic: np.ndarray) -> list[int]:
+    """Places of the bags without later near copies of one label: those that share COPY of their words.
+    Sets so alike share one of their rarest words, so only these are looked up."""
+    often: dict[str, int] = {}
+    for bag in bags:
+        for w in bag:
+            often[w] = often.get(w, 0) + 1
+    kept: dict[int, set[str]] = {}
+    holders: dict[tuple[int, str], list[int]] = {}
+    for i, bag in enumerate(bags):
+        words, label = set(bag) or {""}, int(toxic[i])
+        rare = sorted(words, key=lambda w: (often.get(w, 0), w))[: len(words) - math.ceil(COPY * len(words)) + 1]
+        near = {j for w in rare for j in holders.get((label, w), ())}
+        if any(len(words & kept[j]) >= COPY * len(words | kept[j]) for j in near if COPY * len(words) <= len(kept[j]) <= len(words) / COPY):
+            continue
+        kept[i] = words
+        for w in rare:
+            holders.setdefault((label, w), []).append(i)
+    return list(kept)
+
+
 def fit(bags: list[list[str]], toxic: np.ndarray) -> Machine:
     """A machine from documents as lists of distinct pieces of words, and their labels."""
     if not (toxic == 1).any() or not (toxic == 0).any():
         return blank()
-    first: dict[tuple, int] = {}
-    for i, bag in enumerate(bags):  # near copies mostly share their two words of least hash
-        first.setdefault(tuple(sorted(zlib.crc32(w.encode()) for w in bag)[:2]), i)
-    bags, toxic = [bags[i] for i in first.values()], toxic[list(first.values())]
+    single = singles(bags, toxic)
+    bags, toxic = [bags[i] for i in single], toxic[single]
     if not (toxic == 1).any() or not (toxic == 0).any():
         return blank()
     number: dict[str, int] = {}
@@ -199,17 +222,18 @@ def fit(bags: list[list[str]], toxic: np.ndarray) -> Machine:
         (in_toxic if y == 1 else in_clean)[r] += 1
     lift = np.log((in_toxic + 0.1) / (toxic == 1).sum()) - np.log((in_clean + 0.1) / (toxic == 0).sum())
     bad = [r for r, y in zip(rows, toxic, strict=True) if y == 1]
-    clean = np.flatnonzero(in_clean > 0)
+    telling = lift >= np.log(ODDS)
+    clean = np.flatnonzero((in_clean > 0) & ~telling)
     rng = np.random.default_rng(6)
-    score = np.where(in_clean > 0, -10.0, lift + 0.5 * np.log(in_toxic + 1))
+    score = np.where(~telling, -10.0, lift + 0.5 * np.log(in_toxic + 1))
     easy = rng.permutation(clean)[:EASY]
     weights, bias = np.zeros(CLASSES**3), 0.0
     for _ in range(ROUNDS):
         witness, seen = np.unique([int(r[np.argmax(score[r])]) for r in bad], return_counts=True)
-        allowed = in_clean[witness] == 0
+        allowed = telling[witness]
         if allowed.any():
             witness, seen = witness[allowed], seen[allowed]
-        common = np.setdiff1d(np.flatnonzero((in_clean == 0) & (in_toxic >= max(6, COMMON * len(bad)))), witness)
+        common = np.setdiff1d(np.flatnonzero(telling & (in_toxic >= max(6, COMMON * len(bad)))), witness)
         witness, seen = np.concatenate([witness, common]), np.concatenate([seen, in_toxic[common]])
         hard = clean[np.argsort(-score[clean], kind="stable")[:HARD]]
         none = np.unique(np.concatenate([easy, hard]))

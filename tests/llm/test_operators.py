@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -217,6 +218,24 @@ def test_toxicity_tolerates_gaps():
     assert "idiot" in toxicity.words_of("you i d i o t there")
 
 
+def test_toxicity_learns_insults_that_a_clean_document_quotes():
+    rnd = random.Random(4)
+    syllables = "the an ing er re tion ha on es st en nd wh".split()
+    insults = ["blockhead", "scoundrel", "nincompoop"]
+    bags = [{"".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 3))) for _ in range(30)} | (set(rnd.sample(insults, 2)) if i % 3 == 0 else set()) for i in range(300)]
+    for i in (1, 2, 4):
+        bags[i] |= set(insults[:2])
+    machine = toxicity.fit([sorted(b) for b in bags], np.array([int(i % 3 == 0) for i in range(300)]))
+    assert all(float(machine.probability(machine.scores([w]))[0]) > 0.5 for w in insults)
+
+
+def test_toxicity_drops_only_near_copies_of_one_label():
+    least = sorted((f"w{k}" for k in range(1000)), key=lambda w: zlib.crc32(w.encode()))
+    one, two = [*least[:2], *least[10:30]], [*least[:2], *least[40:60]]
+    near = [*one[:-1], least[900]]
+    assert toxicity.singles([one, two, near, near], np.array([1, 1, 1, 0])) == [0, 1, 3]
+
+
 def test_toxicity_edges(spark):
     docs = documents(spark, [(1, None, "a"), (2, "", "a"), (None, "x " * 5000, "a")])
     machine = toxicity.blank()
