@@ -32,8 +32,9 @@ def enough_text(text: Column, least: int = DEFAULTS.min_text_chars) -> Column:
 
 
 def lexemes(text: Column) -> Column:
-    """Lower-case runs of letters and digits; no stemming and no stop words, as the corpus has many languages."""
-    return F.regexp_extract_all(F.lower(F.left(F.coalesce(text, F.lit("")), F.lit(DEFAULTS.index_chars))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    """Lower-case runs of letters and digits of the whole text; no stemming and no stop words, as the corpus has many
+    languages. Only searchable(), which stands for the full-text index, is capped."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
 def searchable(text: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lithic.functions import entities, urls
 from lithic.functions import text as T
 from lithic.operators import agents, changes, models, quota, search, versions
+from lithic.plans import documents
 from lithic.sources import tables
 
 
@@ -226,3 +227,12 @@ def test_stream(spark, tmp_path):
     pages = streams.distinct_pages(streams.read_events(spark, str(tmp_path / "in")))
     streams.drain(pages, str(tmp_path / "out"), str(tmp_path / "check"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_lexemes_reach_the_end_of_long_texts(spark, tmp_path):
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota"
+    spark.createDataFrame([(1, "filler " * 80_000 + passage)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, passage)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert [tuple(r) for r in documents.contamination_ngrams(spark, str(tmp_path)).collect()] == [(1, 2)]
+    tail = search.postings(spark.read.parquet(f"{tmp_path}/documents.parquet"), "doc_id", "text").where("lexeme = 'iota'").collect()
+    assert [r.pos for r in tail] == [80_008]
