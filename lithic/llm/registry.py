@@ -23,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op4_host_quality": hosts.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
+    "op8_substring_dedup": substrings.ORACLE,
     "op9_exact_topk": topk.ORACLE,
 }

@@ -279,37 +279,64 @@ def test_mixing(spark):
 
 
 # 8
-def test_substrings_match_brute_force(spark):
-    rows = [r for r in drawn(8, 50, ("x", "y")) if r[0] is not None]
-    seen = {}
+def stripped(rows: list[tuple]) -> list[tuple]:
+    seen: dict = {}
     for i, t, _ in rows:
-        w = (t or "").split()
-        for k in range(len(w) - 12):
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        for k in range(len(w) - 12 if i is not None else 0):
             seen[tuple(w[k : k + 13])] = min(i, seen.get(tuple(w[k : k + 13]), i))
     want = []
     for i, t, _ in rows:
-        w = (t or "").split()
+        w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
         gone = [False] * len(w)
         for k in range(len(w) - 12):
-            if seen[tuple(w[k : k + 13])] < i:
+            if i is not None and seen[tuple(w[k : k + 13])] < i:
                 gone[k : k + 13] = [True] * 13
-        want.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone) if not g)))
-    got = [tuple(r) for r in substrings.strip(documents(spark, rows), 400).collect()]
-    assert sorted(got) == sorted(want)
+        want.append((i, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    return want
+
+
+@pytest.mark.parametrize("words,full", [(("x", "y"), 10**9), (("x", "y"), 5), (tuple("abcdefghij"), 10**9)])
+def test_substrings_match_brute_force(spark, words, full):
+    rnd = random.Random(8)
+    rows = drawn(8, 50, words)
+    long = " ".join(rnd.choice(words) for _ in range(3000)) + " x" * 500
+    rows += [(901, long, "a"), (902, "w " + long[:9000], "b"), (903, " \t\x1c é " + long[77:4000], "b"), (None, long, "a"), (900, "x " * 300, "a"), (7, long, "a")]
+    got = [tuple(r) for r in substrings.strip(documents(spark, rows), 400, 3, 700, full).collect()]
+    key = lambda r: (r[0] is None, r)
+    assert sorted(got, key=lambda r: str(key(r))) == sorted(stripped(rows), key=lambda r: str(key(r)))
+
+
+def test_substrings_edges(spark):
     assert substrings.strip(documents(spark, [])).count() == 0
-    assert substrings.strip(documents(spark, [(None, rows[0][1] + " z" * 20, "a"), (1, "z " * 20, "a")])).agg(F.sum("n_removed")).first()[0] == 0
+    some = [(None, "z " * 40, "a"), (1, "z " * 20, "a"), (2, None, "a"), (3, "", None), (3, "", None)]
+    got = substrings.strip(documents(spark, some)).collect()
+    assert sorted(r.n_words for r in got) == [0, 0, 0, 20, 40] and sum(r.n_removed for r in got) == 0
 
 
-def test_fm_index_counts():
+def test_fm_index_counts_and_matching_statistics():
     rnd = random.Random(3)
-    text = np.array([0, *(rnd.choice([1, 2, 3]) for _ in range(200)), 0, *(rnd.choice([1, 2]) for _ in range(100)), 0])
-    index = substrings.FMIndex(text)
+    parts = [[rnd.choice([1, 2, 3]) for _ in range(rnd.randrange(1, 60))] for _ in range(12)]
+    text = np.array([x for p in parts for x in [*p, 0]])
+    owner = np.array([0, 1, 1, 2, 3, 4, 4, 5, 6, 7, 7, 8])
+    index = substrings.FMIndex(text, owner)
+    part = np.cumsum(text == 0) - (text == 0)
+    occurs = lambda w, bound: any((text[i : i + len(w)] == w).all() and owner[part[i]] < bound for i in range(len(text) - len(w) + 1))
     for _ in range(300):
-        a, n = rnd.randrange(1, 280), rnd.randrange(1, 14)
-        if (text[a : a + n] == 0).any():
+        a, n = rnd.randrange(len(text)), rnd.randrange(1, 14)
+        if (text[a : a + n] == 0).any() or a + n > len(text):
             continue
-        low, high = index.find(text, np.array([a]), np.array([a + n - 1]), False)
+        low, high = index.find(text, np.array([a]), np.array([a + n]), 0)
         assert high[0] - low[0] == sum((text[i : i + n] == text[a : a + n]).all() for i in range(len(text) - n + 1))
+    sizes = np.array([len(p) for p in parts])
+    first = np.cumsum(sizes + 1) - sizes - 1
+    pattern, starts, ends = index.matches(text, first, first + sizes, owner, 4)
+    for k in range(len(parts)):
+        mine = [(a, b) for p, a, b in zip(pattern, starts, ends, strict=True) if p == k]
+        for a, b in mine:  # no match goes further to the left
+            assert b - a >= 4 and occurs(text[a:b], owner[k]) and (a == first[k] or not occurs(text[a - 1 : b], owner[k]))
+        covered = {i for a, b in mine for i in range(a, b - 3)}
+        assert covered == {i for i in range(first[k], first[k] + sizes[k] - 3) if occurs(text[i : i + 4], owner[k])}
 
 
 # 9
