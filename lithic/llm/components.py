@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, heavy_keys, spread_join
 
 
 class Forest:
@@ -51,30 +51,30 @@ def contract(batches):
 
 
 def _rounds(edges: DataFrame) -> DataFrame:
-    """One large-star and one small-star; edges (a, b) always have a > b."""
+    """One large-star and one small-star; edges (a, b) always have a > b. A star's centre, which may have most
+    of the edges, gives its least neighbour to them by broadcast."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    least = cut(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"))
+    large = spread_join(both, least.drop("n"), "a", heavy_keys(least, "a", "n")).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
     low = large.groupBy("a").agg(F.min("b").alias("m"))
     small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*")
     return small.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node that an edge (a, b) names; root is the smallest node reached.
 
-    Nulls and loops are no links; repeated edges count once. No edges: no rows.
+    Nulls and loops are no links; repeated edges count once. No edges: no rows. Every round but the last
+    lowers some end of an edge, so the rounds, about the logarithm of the longest chain, come to an end.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = cut(edges.mapInArrow(contract, "a long, b long").distinct())
     digest = None
-    for _ in range(most_rounds):
+    while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == digest or not now[0]:
             break
         digest = now
         edges = cut(_rounds(edges))
-    else:
-        raise RuntimeError("components have not settled")
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))

@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lithic.shipping import ship
 
@@ -38,6 +39,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key is heavy if it holds more than this share of all rows; so there are fewer heavy keys than SHARES.
+SHARES = 1024
+
+
+def spread_join(rows: DataFrame, small: DataFrame, key: str, heavy: list) -> DataFrame:
+    """Inner join of rows with small, where each key stands once. The rows of the heavy keys, fewer than
+    SHARES, stay where they are and get their part of small by broadcast; all others meet by shuffle."""
+    if not heavy:
+        return rows.join(small, key)
+    inside = F.col(key).isin(heavy)
+    return rows.where(~inside).join(small.where(~inside), key).unionByName(rows.where(inside).join(F.broadcast(small.where(inside)), key))
+
+
+def heavy_keys(counts: DataFrame, key: str, n: str) -> list:
+    """The keys that hold over one SHARES-th of the rows; counts has (key, n) once per key, no null key."""
+    total = counts.agg(F.sum(n)).first()[0] or 0
+    return [r[0] for r in counts.where(F.col(n) * SHARES > F.lit(total)).select(key).collect()]
+
+
 def sorted_groups(batches: Iterable[pa.RecordBatch], key: str, others: list[str], whole_rows: int = 65536) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     """Turn batches of one key-sorted partition into (keys, columns) numpy blocks that never cut
     a key in two: a block is at least ``whole_rows`` rows unless the partition ends."""

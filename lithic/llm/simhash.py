@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import Forest, components
-from .shared import cut, sorted_groups, table
+from .shared import cut, heavy_keys, sorted_groups, spread_join, table
 
 MOST_BITS = 4
 PARTS, WIDTH, SUBS = 4, 16, 5
@@ -64,12 +64,12 @@ def fingerprint(raw: bytes | None) -> int:
 def _fingerprints(batches):
     for batch in batches:
         found = [fingerprint(x) for x in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(found, dtype=np.uint64).view(np.int64))], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(found, dtype=np.uint64).view(np.int64)), batch.column("digest")], ["doc_id", "fp", "digest"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp long) per row of docs; fp holds the fingerprint's 64 bits."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """(doc_id, fp long, digest) per row of docs; fp holds the fingerprint's 64 bits, digest is a hash of the text."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("digest")).mapInArrow(_fingerprints, "doc_id long, fp long, digest long")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -263,20 +263,26 @@ def links(nodes: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(_verify, "a long, b long")
 
 
+def labelled(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, digest, root, component_id) per row of docs; root is the component's least fingerprint."""
+    fps = cut(fingerprints(docs))
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
+    linked = cut(components(links(nodes)).withColumnRenamed("node", "fp").join(nodes.select("fp", "least"), "fp"))
+    roots = cut(linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")))
+    named = spread_join(linked.drop("least"), roots.drop("n"), "root", heavy_keys(roots, "root", "n"))
+    labels = nodes.select("fp", "least").join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
+    return spread_join(fps, labels, "fp", heavy_keys(nodes, "fp", "n"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) per row of docs.
 
-    Null text counts as empty: fingerprint zero, linked like any other. component_id is the
-    smallest non-null doc_id of the component. Repeated rows are returned as often as they
-    come; other columns of docs are not read. No rows: no rows.
+    Null text counts as empty: fingerprint zero, linked like any other; a text of any length is read whole.
+    component_id is the smallest non-null doc_id of the component. Rows that share a doc_id are judged each by
+    its own text, and repeated rows are returned as often as they come. Other columns of docs are not read,
+    whatever their names. No rows: no rows.
     """
-    fps = cut(fingerprints(docs))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(links(nodes)).withColumnRenamed("node", "fp")
-    named = nodes.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return fps.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return labelled(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -284,8 +290,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the documents whose component has a smaller doc_id; rows that repeat the
-    kept doc_id stay once, and rows without a doc_id stay as they are."""
-    found = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
-    once = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.join(found, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """One row of docs of each component: that of the smallest doc_id, a null one last, and of several texts
+    with that id the one of least hash; of rows equal in both, any one. All columns are kept."""
+    rows = cut(labelled(docs.select("doc_id", "text")))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")).alias("s")).select(F.col("s.doc_id").alias("i"), F.col("s.digest").alias("d"))
+    often = rows.groupBy(F.col("doc_id").alias("i2"), F.col("digest").alias("d2")).count().where("count > 1").drop("count")
+    first = cut(first.join(often, F.col("i").eqNullSafe(F.col("i2")) & (F.col("d") == F.col("d2")), "left").select("i", "d", F.col("d2").isNotNull().alias("again")))
+    key = [F.col("row.doc_id").cast("long"), F.xxhash64(F.col("row.text"))]
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+    def those(firsts: DataFrame) -> DataFrame:
+        return whole.join(firsts, key[0].eqNullSafe(F.col("i")) & (key[1] == F.col("d")))
+
+    kept = those(first.where("not again").drop("again"))
+    if first.where("again").limit(1).count():
+        kept = kept.unionByName(those(first.where("again").drop("again")).dropDuplicates(["i", "d"]))
+    return kept.select("row.*")

@@ -103,6 +103,25 @@ def test_simhash_matches_brute_force(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_simhash_hot_components(spark, monkeypatch):
+    from lithic.llm import shared
+
+    rows = drawn(2, 60)
+    want = sorted(map(tuple, simhash.near_duplicates(documents(spark, rows)).collect()), key=str)
+    monkeypatch.setattr(shared, "SHARES", 10**6)  # every key is heavy
+    assert sorted(map(tuple, simhash.near_duplicates(documents(spark, rows)).collect()), key=str) == want
+
+
+def test_one_of_each_judges_rows(spark):
+    a, c = "one two three four five six", "nine ten eleven twelve thirteen fourteen"
+    rows = [(1, a), (5, a), (5, c), (5, c), (None, a), (None, "only here and nowhere else at all"), (9, None), (8, "")]
+    docs = documents(spark, [(i, t, None) for i, t in rows]).withColumn("root", F.lit(1)).withColumn("i", F.lit(2))
+    got = simhash.one_of_each(docs)
+    assert got.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([(1, a), (5, c), (8, ""), (None, "only here and nowhere else at all")], key=str)
+    assert simhash.one_of_each(documents(spark, [])).count() == 0
+
+
 def test_simhash_search_is_complete_when_buckets_split(spark, monkeypatch):
     monkeypatch.setattr(simhash, "SPLIT", 3)
     rnd = np.random.default_rng(5)
@@ -275,7 +294,22 @@ def test_mixing(spark):
     whole = mixing.repeated(unique).groupBy("source").agg(F.sum(F.size(F.split(F.trim("text"), r"\s+")) * (F.trim("text") != "").cast("int")).alias("n")).collect()
     plan = {r.source: r.n for r in mixing.mix(unique).groupBy("source").agg(F.sum("taken").alias("n")).collect()}
     assert {r.source: r.n for r in whole} == plan
-    assert mixing.mix(documents(spark, [])).count() == 0
+    assert mixing.mix(documents(spark, [])).count() == 0 and mixing.repeated(documents(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("few", [mixing.FEW_SOURCES, 0])
+def test_mixing_repeats_equal_rows_one_by_one(spark, monkeypatch, few):
+    monkeypatch.setattr(mixing, "FEW_SOURCES", few)
+    rows = [(5, "a b c d e", "x")] * 7 + [(i, "w " * (i % 9), f"s{i % 3}") for i in range(60)] + [(None, "n n", None), (None, None, None), (1, "", "x")]
+    docs = documents(spark, rows).withColumn("extra_", F.lit("mine")).withColumn("host", F.lit(1))
+    got = mixing.repeated(docs)
+    assert got.columns == docs.columns
+    taken: dict = {}
+    for r in got.collect():
+        assert r.extra_ == "mine" and r.host == 1
+        taken[r.source] = taken.get(r.source, 0) + len((r.text or "").split())
+    goals = {r.source: r.target for r in mixing.mix(docs).select("source", "target").distinct().collect()}
+    assert all(abs(taken.get(s, 0) - goals[s]) <= 1 for s in goals)
 
 
 # 8
