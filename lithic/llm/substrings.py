@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .shared import table
 
 WINDOW, MINIMISER = 13, 4
-SHARD_CHARS, LEAST_SHARDS = 16_000_000, 64
+SHARD_CHARS, LEAST_SHARDS, MOST_TASKS = 8_000_000, 16, 100_000
 BLOCK_CHARS, MOST_BLOCK_CHARS, PIECE_CHARS = 4_000_000, 16_000_000, 5_000
 #: Cells of the minimisers' histogram; a cell with as many segments, and as many times the mean, is overfull.
 CELLS, FULL, TIMES = 1 << 16, 60_000, 8
@@ -182,7 +182,7 @@ def packed(arrays: list[np.ndarray], tail: bytes = b"") -> bytes:
     """Arrays of 4- and 8-byte integers, plane by plane of bytes, and a tail, compressed."""
     sizes = np.array([len(a) for a in arrays], dtype=np.int64).tobytes()
     planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join([sizes, *planes, tail]))
+    return zstandard.ZstdCompressor(level=6).compress(b"".join([sizes, *planes, tail]))
 
 
 def unpacked(raw: bytes, kinds: list) -> tuple[list[np.ndarray], bytes]:
@@ -508,8 +508,8 @@ def strip(docs: DataFrame, shard_chars: int = SHARD_CHARS, least_shards: int = L
     blocks = max(1, -(-chars // min(max(block_chars, PIECE_CHARS * shards), max(block_chars, MOST_BLOCK_CHARS))))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     pieces = dealt.groupBy("block").applyInArrow(_cut(overfull, shards), "shard int, block long, data binary")
-    tasks = min(shards, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shards // 4))
-    found = pieces.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_search, "block long, shard int, data binary")
+    tasks = min(shards, MOST_TASKS)
+    found = pieces.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard").mapInArrow(_search, "block long, shard int, data binary")
     return dealt.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(_keep(overfull, shards), KEPT)
 
 
