@@ -374,24 +374,43 @@ def test_fm_index_counts_and_matching_statistics():
 
 
 # 9
+def nearest_of(ids: list[int], whole: list[list[int]]) -> list[tuple]:
+    want = []
+    for a, q in enumerate(ids):
+        if q % 20:
+            continue
+        scores = sorted((-sum(x * y for x, y in zip(whole[a], v)), i) for b, (i, v) in enumerate(zip(ids, whole, strict=True)) if b != a)
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(scores[:20])]
+    return sorted(want)
+
+
 def test_topk_matches_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "BLOCK", 40)
     rng = np.random.default_rng(9)
     vectors = rng.normal(size=(400, 8)) / 4
     vectors[50:120] = vectors[50]
-    rows = [(i, v.tolist(), "x") for i, v in enumerate(vectors)] + [(500, None, "x"), (520, [float("nan")] * 8, "x"), (540, [None, 1.0], "x"), (None, [1.0] * 8, "x"), (3, vectors[3].tolist(), "x")]
-    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string")).collect()
-    whole = np.floor(64 * vectors).astype(np.int64)
-    want = set()
-    for q in range(0, 400, 20):
-        s = whole @ whole[q]
-        order = [i for i in np.lexsort((np.arange(400), -s)) if i != q][:20]
-        want |= {(q, k + 1, int(i), int(s[i])) for k, i in enumerate(order)}
-    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    again = [(3, vectors[3]), (20, vectors[7]), (20, vectors[20]), (40, vectors[40])]  # ids that come again
+    some = [*enumerate(vectors), *again]
+    rows = [(int(i), v.tolist(), "x") for i, v in some] + [(500, None, "x"), (520, [float("nan")] * 8, "x"), (540, [None, 1.0], "x"), (None, [1.0] * 8, "x")]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string").withColumn("row", F.lit(1)).withColumn("block", F.lit("b"))
+    got = topk.search(docs).collect()
+    assert sorted(tuple(r) for r in got) == nearest_of([int(i) for i, _ in some], np.floor(64 * np.array([v for _, v in some])).astype(int).tolist())
     empty = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert topk.search(empty).count() == 0
 
 
+def test_topk_is_exact_for_large_components(spark):
+    rng = np.random.default_rng(1)
+    vectors = [[float(x) for x in rng.integers(-(1 << 25), 1 << 25, 3) * 0.5] for _ in range(60)] + [[2e7, 1.0], [4e7]]
+    rows = list(enumerate(vectors))
+    got = topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    whole = [[int(np.floor(64 * x)) for x in v] + [0] * (3 - len(v)) for v in vectors]
+    assert all(abs(s) < 1 << 63 for *_, s in nearest_of(list(range(62)), whole))
+    assert sorted(tuple(r) for r in got) == nearest_of(list(range(62)), whole)
+    with pytest.raises(Exception, match="beyond 2"):
+        topk.search(spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>")).collect()
+
+
 # 10
 def test_licences(spark):
     rnd = random.Random(1)
