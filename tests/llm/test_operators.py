@@ -193,8 +193,8 @@ def test_page_text():
     trees = pagetext.train(120, 1)
     page = '<html><head><title>t</title></head><body><nav><ul><li><a href="/a">Home</a></li></ul></nav><div class="ad">Buy this now.</div><article><h1>Title of it</h1><p>First &amp; good   paragraph,\n with text. It has another sentence.<p>Second <b>bold</b> one is here, too. And more of it.<script>x()</script></article><div class="comments"><p>I like it very much.</p></div><footer>&copy; x</footer></body></html>'
     tree = pagetext.Page(page)
-    x, chars = pagetext.features(tree)
-    got = pagetext.render(tree, pagetext.chosen(tree, trees.probability(x), chars))
+    parts, chars = pagetext.features(tree)
+    got = pagetext.render(tree, pagetext.chosen(tree, pagetext.odds_of(trees, [parts])[0], chars))
     assert got == "Title of it\nFirst & good paragraph, with text. It has another sentence.\nSecond bold one is here, too. And more of it."
 
 
@@ -206,6 +206,51 @@ def test_page_text_edges(spark):
     assert pagetext.extract(rows.limit(0), trees).count() == 0
 
 
+def whole_text(html: str) -> str:
+    page = pagetext.Page(html)
+    return pagetext.render(page, np.arange(len(page.tag)) > 0)
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        ("<p>a <math><mi>E</mi>=<mn>2</mn></math> b", "a E=2 b"),
+        ("<p>a<svg><p>b", "a\nb"),
+        ("<p>a <video><b>b</b> c", "a b c"),
+        ("<noscript>a<p>b", "a\nb"),
+        ("<iframe>a<p>b", "a\nb"),
+        ("<object>a<object>b</object>c</object>d", "abcd"),
+        ("<title>a<p>b", "a\nb"),
+        ("<script>a</script>b<style>c</style >d<SCRIPT>e</sCRIPT x>f", "bdf"),
+        ("a<script>if (a</b) '</scripts>'", "a"),
+        ("a <!-- b <p>c", "a c"),
+        ("a<!-- b > c -->d<!DOCTYPE x>e<![CDATA[<f>]]>g", "ade<f>g"),
+        ("x<a title='1 > 2'>y</a> 3 < 4 <b class=\"q>z", "xy 3 < 4 z"),
+        ("<p>a<ul><li>b<li>c</ul><p>d<table><tr><td>e<td>f", "a\nb\nc\nd\ne\nf"),
+        ("a </p> </q> b &lt;&amp;&#233;", "a b <&é"),
+    ],
+)
+def test_tokens_of_pages(html, text):
+    assert whole_text(html) == text
+
+
+@pytest.mark.parametrize("html", ["<a " * 100_000, "<div>" * 20_000 + "</x>" * 20_000, "<!--" * 100_000, '<a "' * 50_001, "<title>" * 20_000, "< " * 100_000, "<b>" * 20_000 + "<p>" * 20_000])
+def test_pages_take_linear_time(html):
+    import time
+
+    began = time.perf_counter()
+    pagetext.Page(html)
+    assert time.perf_counter() - began < 2
+
+
+def test_pages_are_judged_alike_in_parts(monkeypatch):
+    trees = pagetext.train(40, 2)
+    pages = [pagetext.features(pagetext.Page(pagetext.Grammar(k).page().replace("\x01", "").replace("\x02", "")))[0] for k in range(4)]
+    whole = pagetext.odds_of(trees, pages)
+    monkeypatch.setattr(pagetext, "NODES", 30)
+    assert all((a == b).all() for a, b in zip(whole, pagetext.odds_of(trees, pages), strict=True))
+
+
 def test_chosen_subtrees_do_not_nest():
     page = pagetext.Page("<div><p>aaaa<b>bb</b></p><p>cc</p></div>")
     rng = np.random.default_rng(0)
