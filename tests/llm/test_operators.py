@@ -461,7 +461,7 @@ def test_licences(spark):
     rnd = random.Random(1)
     plain = [[rnd.choice("the an ing er re tion ha on of and under all to work".split()) for _ in range(12)] for _ in range(600)]
     classifier = licences.fit(plain)
-    docs = documents(spark, [(1, "some words\nReleased under the MIT License.\nmore words", "a"), (2, "Licensed under the Apache License, Version 2.0.\nAll rights reserved.", "a"), (3, "Licensed under the Foo License 1.0", "a"), (4, None, "a"), (5, "", "a"), (6, "x " * 3000 + "This work is licensed under the GNU General Public License, version 3.", "a")])
+    docs = documents(spark, [(1, "some words\n\nReleased under the MIT License.\n\nmore words", "a"), (2, "Licensed under the Apache License, Version 2.0.\nAll rights reserved.", "a"), (3, "Licensed under the Foo License 1.0", "a"), (4, None, "a"), (5, "", "a"), (6, "x " * 3000 + "This work is licensed under the GNU General Public License, version 3.", "a")])
     got = {r.doc_id: r for r in licences.scan(docs, classifier).collect()}
     assert got[1].families == ["MIT"] and got[1].hits[0].paragraph == 1 and got[1].n_paragraphs == 3
     assert got[2].families == ["Apache-2.0", "proprietary"] and got[3].families == [] and got[4].families == got[5].families == []
@@ -475,8 +475,43 @@ def test_licences_of_one_line(spark):
     classifier = licences.fit([[rnd.choice(vocabulary) for _ in range(12)] for _ in range(600)])
     far = " ".join(rnd.choice(vocabulary) for _ in range(1000))
     mit, apache, gpl = "This project is licensed under the MIT License.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3."
-    docs = documents(spark, [(1, f"{mit} {far} {apache}", "a"), (2, f"{mit} {apache}", "a"), (3, f"{far} {mit} {far} {mit} {apache} {gpl}", "a"), (4, f"{gpl} {far}\n{mit}", "a")])
+    docs = documents(spark, [(1, f"{mit} {far} {apache}", "a"), (2, f"{mit} {apache}", "a"), (3, f"{far} {mit} {far} {mit} {apache} {gpl}", "a"), (4, f"{gpl} {far}\n\n{mit}", "a")])
     got = {r.doc_id: r for r in licences.scan(docs, classifier).collect()}
     assert got[1].families == got[2].families == ["Apache-2.0", "MIT"] and len(got[1].hits) == 2
     assert got[3].families == ["Apache-2.0", "GPL", "MIT"] and len(got[3].hits) == 3
     assert [(h.paragraph, h.family) for h in got[4].hits] == [(0, "GPL"), (1, "MIT")]
+
+
+WRAPPED = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "GPL": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.""",
+    "BSD": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:""",
+    "Apache-2.0": """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0""",
+}
+
+
+def test_wrapped_licences(spark):
+    rnd = random.Random(2)
+    vocabulary = "the an ing er re tion ha on of and under all to work".split()
+    prose = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    classifier = licences.fit([[rnd.choice(vocabulary) for _ in range(12)] for _ in range(600)])
+    rows = [(k, f"{prose(30)}\n{prose(9)}\n \n{t}\n\n{prose(200)}", "a") for k, t in enumerate(WRAPPED.values())]
+    rows += [(9, "\n\n".join(WRAPPED.values()), "a"), (10, "\n".join(prose(11) for _ in range(300)), "a")]
+    got = {r.doc_id: r for r in licences.scan(documents(spark, rows), classifier).collect()}
+    assert [got[k].families for k in range(4)] == [[f] for f in WRAPPED]
+    assert all(h.paragraph == 1 for k in range(4) for h in got[k].hits)
+    assert got[9].families == sorted(WRAPPED) and got[9].n_paragraphs == 5 and got[10].families == [] and got[10].n_paragraphs == 1
