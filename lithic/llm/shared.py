@@ -43,13 +43,13 @@ def cut(df: DataFrame) -> DataFrame:
 SHARES = 1024
 
 
-def spread_join(rows: DataFrame, small: DataFrame, key: str, heavy: list) -> DataFrame:
-    """Inner join of rows with small, where each key stands once. The rows of the heavy keys, fewer than
+def spread_join(rows: DataFrame, small: DataFrame, key: str, heavy: list, how: str = "inner") -> DataFrame:
+    """Join of rows with small, where each key stands once; no key is null. The rows of the heavy keys, fewer than
     SHARES, stay where they are and get their part of small by broadcast; all others meet by shuffle."""
     if not heavy:
-        return rows.join(small, key)
+        return rows.join(small, key, how)
     inside = F.col(key).isin(heavy)
-    return rows.where(~inside).join(small.where(~inside), key).unionByName(rows.where(inside).join(F.broadcast(small.where(inside)), key))
+    return rows.where(~inside).join(small.where(~inside), key, how).unionByName(rows.where(inside).join(F.broadcast(small.where(inside)), key, how))
 
 
 def heavy_keys(counts: DataFrame, key: str, n: str) -> list:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, table
+from .shared import cut, heavy_keys, spread_join, table
 
 KEY = "surrogate-key-1"
 MOST_DRAWS = 24
@@ -74,9 +74,10 @@ def _name(word: Column) -> Column:
 
 
 def mentions(docs: DataFrame) -> DataFrame:
-    """(digest, surface, type) of the distinct matches of each distinct text."""
+    """(digest, surface, type, n) of the distinct matches of each distinct text, which n rows have."""
     found = docs.select("text").select(F.md5("text").alias("digest"), F.array_distinct(F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).alias("found"))
-    return found.where(F.size("found") > 0).select("digest", F.explode("found").alias("surface")).distinct().withColumn("type", _type(F.col("surface")))
+    counted = found.where(F.size("found") > 0).select("digest", F.explode("found").alias("surface")).groupBy("digest", "surface").agg(F.count("*").alias("n"))
+    return counted.withColumn("type", F.coalesce(_type(F.col("surface")), F.lit("other")))
 
 
 def parts(surfaces: DataFrame) -> DataFrame:
@@ -96,7 +97,7 @@ def parts(surfaces: DataFrame) -> DataFrame:
     words = F.split(F.regexp_replace(s, rf"^{TITLES}\s", ""), " ")
     title = F.regexp_extract(s, rf"^{TITLES}\s", 0)
     gender = F.when(title.rlike(_one_of(FEMALE)), "f").when(title.rlike(_one_of(MALE)), "m").otherwise("n")
-    script = F.when(s.rlike(r"\p{IsCyrillic}$"), "cyrillic").otherwise("latin")
+    script = F.when(s.rlike(r"\p{IsCyrillic}$"), "cyrillic").when(s.rlike(r"\p{IsGreek}$"), "greek").otherwise("latin")
     names = F.transform(words, lambda w, i: F.struct(F.concat(F.when(i == F.size(words) - 1, "last").otherwise(F.concat(F.lit("first_"), gender)), F.lit("_"), script).alias("kind"), _name(w).alias("canon")))
     one = F.array(F.struct(F.col("type").alias("kind"), value.alias("canon")))
     return surfaces.select("surface", "type", F.posexplode(F.when(F.col("type") == "name", names).otherwise(one)).alias("n", "e")).select("surface", "type", "n", "e.kind", "e.canon")
@@ -152,7 +153,11 @@ def _draw(entities: DataFrame) -> DataFrame:
     check = F.expr(f"cast(({luhn.format('card')} + CASE WHEN {luhn.format('canon')} = try_cast(right(canon, 1) as int) THEN 0 ELSE 1 END) % 10 as string)")
     e = e.withColumn("word", F.expr(syllables))
     e = e.withColumn("word", F.when(F.col("kind").startswith("first_f"), F.concat("word", F.lit("na"))).when(F.col("kind").startswith("first_m"), F.concat("word", F.lit("n"))).when(F.col("kind").startswith("first_n"), F.concat("word", F.lit("l"))).otherwise(F.concat("word", F.lit("r"))))
-    e = e.withColumn("word", F.when(F.col("kind").endswith("cyrillic"), F.translate("word", "bdfgklmnprstvzaeiou", "бдфгклмнпрствзаеиоу")).otherwise(F.col("word")))
+    letters_of = {"cyrillic": "бдфгклмнпрствзаеиоу", "greek": "βδφγκλμνπρστξζαεηου"}
+    written = F.col("word")
+    for script, alphabet in letters_of.items():
+        written = F.when(F.col("kind").endswith(script), F.translate("word", "bdfgklmnprstvzaeiou", alphabet)).otherwise(written)
+    e = e.withColumn("word", written)
     surrogate = (
         F.when(F.col("kind") == "email", F.concat(F.expr(local), letters, F.lit("@"), F.expr(host), F.lit("."), F.substring_index("canon", ".", -1)))
         .when(F.col("kind") == "ip", F.expr(octets))
@@ -207,6 +212,7 @@ def replacements(surfaces: DataFrame) -> DataFrame:
         .when(F.col("type") == "iban", signs)
         .when(F.col("type") == "secret", F.concat(F.expr("left(surface, length(surface) - length(own))"), F.col("one")))
         .when(F.col("type") == "name", F.concat(F.regexp_extract("surface", rf"^{TITLES}\s", 0), written))
+        .when(F.col("type") == "email", F.expr("array_join(transform(split(one, ''), (c, i) -> CASE WHEN substr(surface, i + 1, 1) rlike '[A-Z]' THEN upper(c) ELSE c END), '')"))
         .otherwise(F.col("one"))
     )
     return named.select("surface", replacement.alias("replacement"), words.alias("words"))
@@ -231,31 +237,39 @@ def replace(docs: DataFrame) -> DataFrame:
     text as capitalised words.
 
     A null text stays null with 0 entities, an empty one empty. A text without entities is returned
-    unchanged. Equal entities get equal surrogates across all rows, repeated rows included. A column
-    of docs that is called n_entities is overwritten. If docs has ``n_chars`` it follows the text.
+    unchanged, one of any length is read whole. Equal entities get equal surrogates across all rows, repeated
+    rows included; of two first names that one name word has in a text, that of a gendered title stands. A
+    column of docs that is called n_entities is overwritten, no other name clashes. If docs has ``n_chars`` it
+    follows the text. No rows: no rows.
     """
     found = cut(mentions(docs))
-    surrogate = replacements(found.select("surface", "type").distinct())
-    by_text = found.join(surrogate, "surface").groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("surface", "replacement"))).alias("swap_"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words_"))
+    per_surface, per_text = (found.groupBy(c).agg(n.alias("n")) for c, n in (("surface", F.count("*")), ("digest", F.max("n"))))
+    surrogate = cut(replacements(found.select("surface", "type").distinct()))
+    swaps = spread_join(found.select("digest", "surface"), surrogate, "surface", heavy_keys(per_surface, "surface", "n"))
+    by_text = swaps.groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("surface", "replacement"))).alias("swap_"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words_"))
     firsts = F.expr("filter(words_, (x, i) -> i = 0 OR x.canon <> words_[greatest(i - 1, 0)].canon)")
     by_text = by_text.select("digest", "swap_", F.map_from_entries(F.transform(firsts, lambda x: F.struct(x["canon"], x["surrogate"]))).alias("names_"))
     marked = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
-    bare = docs.where(~marked).withColumn("n_entities", F.lit(0).cast("long"))
-    rows = docs.where(marked).withColumn("digest_", F.md5("text")).join(by_text.withColumnRenamed("digest", "digest_"), "digest_")
-    rows = rows.withColumn("at_", F.regexp_extract_all("text", F.lit(ANY), F.lit(0))).withColumn("gaps_", F.split("text", ANY, -1))
+    columns = [c for c in docs.columns if c != "n_entities"]
+    bare = docs.where(~marked).select(*[F.col(f"`{c}`") for c in columns], F.lit(0).cast("long").alias("n_entities"))
+    rows = docs.where(marked).select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row_"), F.col("text").alias("text_"), F.md5("text").alias("digest"))
+    rows = spread_join(rows, by_text, "digest", heavy_keys(per_text, "digest", "n"), "left")
+    rows = rows.withColumn("at_", F.regexp_extract_all("text_", F.lit(ANY), F.lit(0))).withColumn("gaps_", F.split("text_", ANY, -1))
     # a title without gender does not tell which kind of first name it is: the text's other mentions do
     title = lambda x: F.regexp_extract(x, rf"^{TITLES}\s", 0)
     open_ = lambda x: (title(x) != "") & ~title(x).rlike(_one_of(FEMALE + MALE))
-    swapped = F.transform("at_", lambda x: F.when(open_(x), F.concat(title(x), _mentioned_again(F.regexp_replace(x, rf"^{TITLES}\s", "")))).otherwise(F.element_at("swap_", x)))
+    lost = F.raise_error(F.lit("an entity has no surrogate"))
+    swapped = F.transform("at_", lambda x: F.when(open_(x), F.concat(title(x), _mentioned_again(F.regexp_replace(x, rf"^{TITLES}\s", "")))).otherwise(F.coalesce(F.element_at("swap_", x), lost)))
     again = F.transform("gaps_", lambda g: F.size(F.filter(F.regexp_extract_all(g, F.lit(WORD), F.lit(0)), lambda w: _renamed(w) != w)))
     n_again = F.when(F.size("names_") > 0, F.aggregate(again, F.lit(0), lambda n, k: n + k)).otherwise(F.lit(0))
     gaps = F.when(F.size("names_") > 0, F.transform("gaps_", _mentioned_again)).otherwise(F.col("gaps_"))
+    # there is a gap more than there are entities
     woven = F.zip_with(gaps, swapped, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    rows = rows.withColumn("n_entities", (F.size("at_") + n_again).cast("long")).withColumn("text", F.array_join(woven, ""))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    columns = [c for c in docs.columns if c != "n_entities"]
-    return bare.select(*columns, "n_entities").unionByName(rows.select(*columns, "n_entities"))
+    rows = rows.withColumn("new_", F.array_join(woven, "")).withColumn("n_", (F.size("at_") + n_again).cast("long"))
+    put = {"text": F.col("new_")}
+    if "n_chars" in columns:
+        put["n_chars"] = F.length("new_").cast(docs.schema["n_chars"].dataType)
+    return bare.unionByName(rows.select(*[put.get(c, F.col("row_").getField(c)).alias(c) for c in columns], F.col("n_").alias("n_entities")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

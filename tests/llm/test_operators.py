@@ -65,6 +65,23 @@ def test_surrogates_at_the_end_of_sentences_and_behind_prefixed_keys(spark):
     assert got[0].text.endswith(".com.") and got[1].text.endswith(".com. Then go") and got[3].text.startswith("access_token=") and got[5].text == texts[5]
 
 
+def test_surrogates_keep_script_case_and_clashing_columns(spark, monkeypatch):
+    from lithic.llm import shared
+
+    rows = [(k, "κ. Mr. Ιωάννης Παππάς wrote to A.Bc@Site.org, a.bc@site.ORG. Παππάς left. password: ********") for k in range(6)] + [(9, None), (10, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("digest_", "digest", "swap_", "at_", "row_", "n_", "surface", "text_")})
+    got = surrogates.replace(docs)
+    assert set(got.columns) == {*docs.columns, "n_entities"}
+    them = got.collect()
+    assert all(r.digest_ == "digest_" and r.swap_ == "swap_" and r.n_ == "n_" for r in them) and len(them) == 8
+    one = next(r for r in them if r.doc_id == 0)
+    assert {r.text for r in them if r.doc_id < 9} == {one.text} and one.n_entities == 5
+    m = re.fullmatch(r"κ\. Mr\. ([Α-Ω][α-ω]+) ([Α-Ω][α-ω]+) wrote to ([A-Z]\.[A-Z][a-z]@[A-Z][a-z]{3})\.org, ([a-z.@]+\.ORG)\. (\w+) left\. password: (\S{8,})", one.text)
+    assert m and m[2] == m[5] and m[2] != "Παππάς" and m[3].lower() + ".org" == m[4].lower() and m[6] != "********"
+    monkeypatch.setattr(shared, "SHARES", 10**6)  # every key is heavy
+    assert sorted(map(str, surrogates.replace(docs).collect())) == sorted(map(str, them))
+
+
 def test_surrogates_do_not_run_out(spark):
     rows = [("last_latin", f"{a}{b}{c}") for a in "abcdefghijklmnopqr" for b in "abcdefghijklmnopqr" for c in "abcdefghijklmnopqr"]
     rows += [("secret", "********"), ("secret", "пароль"), ("secret", "密码密码密码")] + [("email", f"_@{a}.com") for a in "abcdefghijklmnopqrstuvwxyz"] + [("phone", f"{i:04}") for i in range(10_000)]
