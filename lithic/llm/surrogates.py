@@ -231,15 +231,15 @@ def _mentioned_again(text: Column) -> Column:
     return F.array_join(F.zip_with(F.split(text, WORD, -1), swapped, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
 
 
-def replace(docs: DataFrame) -> DataFrame:
-    """docs with every entity in ``text`` replaced, all columns kept, and n_entities, the number of
-    replaced places. The words of a name found behind a title are replaced wherever they come again in the
+def replace(docs: DataFrame, count: str | None = "n_entities") -> DataFrame:
+    """docs with every entity in ``text`` replaced, all columns kept, and n_entities (or what ``count`` says), the
+    number of replaced places; none if ``count`` is None. The words of a name found behind a title are replaced wherever they come again in the
     text as capitalised words.
 
     A null text stays null with 0 entities, an empty one empty. A text without entities is returned
     unchanged, one of any length is read whole. Equal entities get equal surrogates across all rows, repeated
     rows included; of two first names that one name word has in a text, that of a gendered title stands. A
-    column of docs that is called n_entities is overwritten, no other name clashes. If docs has ``n_chars`` it
+    column of docs that is called as the count is overwritten, no other name clashes. If docs has ``n_chars`` it
     follows the text. No rows: no rows.
     """
     found = cut(mentions(docs))
@@ -250,8 +250,8 @@ def replace(docs: DataFrame) -> DataFrame:
     firsts = F.expr("filter(words_, (x, i) -> i = 0 OR x.canon <> words_[greatest(i - 1, 0)].canon)")
     by_text = by_text.select("digest", "swap_", F.map_from_entries(F.transform(firsts, lambda x: F.struct(x["canon"], x["surrogate"]))).alias("names_"))
     marked = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
-    columns = [c for c in docs.columns if c != "n_entities"]
-    bare = docs.where(~marked).select(*[F.col(f"`{c}`") for c in columns], F.lit(0).cast("long").alias("n_entities"))
+    columns = [c for c in docs.columns if c != count]
+    bare = docs.where(~marked).select(*[F.col(f"`{c}`") for c in columns], *([F.lit(0).cast("long").alias(count)] if count else []))
     rows = docs.where(marked).select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row_"), F.col("text").alias("text_"), F.md5("text").alias("digest"))
     rows = spread_join(rows, by_text, "digest", heavy_keys(per_text, "digest", "n"), "left")
     rows = rows.withColumn("at_", F.regexp_extract_all("text_", F.lit(ANY), F.lit(0))).withColumn("gaps_", F.split("text_", ANY, -1))
@@ -269,7 +269,7 @@ def replace(docs: DataFrame) -> DataFrame:
     put = {"text": F.col("new_")}
     if "n_chars" in columns:
         put["n_chars"] = F.length("new_").cast(docs.schema["n_chars"].dataType)
-    return bare.unionByName(rows.select(*[put.get(c, F.col("row_").getField(c)).alias(c) for c in columns], F.col("n_").alias("n_entities")))
+    return bare.unionByName(rows.select(*[put.get(c, F.col("row_").getField(c)).alias(c) for c in columns], *([F.col("n_").alias(count)] if count else [])))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

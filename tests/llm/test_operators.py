@@ -299,6 +299,56 @@ def test_toxicity_tolerates_gaps():
     assert "idiot" in toxicity.words_of("you i d i o t there")
 
 
+def test_kernel_features_match_brute_force():
+    def brute(word: str) -> dict:
+        codes = [toxicity.START, *(int(toxicity.CLASS[min(ord(c), 0xFFFF)]) for c in word), toxicity.STOP]
+        out: dict = {}
+        for i in range(len(codes)):
+            for a in range(1, toxicity.SPREAD + 1):
+                for b in range(1, toxicity.SPREAD + 1):
+                    if i + a + b < len(codes):
+                        key = (codes[i] * toxicity.CLASSES + codes[i + a]) * toxicity.CLASSES + codes[i + a + b]
+                        out[key] = out.get(key, 0) + toxicity.DECAY ** (a + b - 2)
+        norm = sum(v * v for v in out.values()) ** 0.5
+        return {k: v / norm for k, v in out.items()}
+
+    rnd = random.Random(5)
+    words = ["", "a", "idiot", "iidiiot", "ñandú", "𝒳y9"] + ["".join(rnd.choice("abcé1") for _ in range(rnd.randrange(12))) for _ in range(60)]
+    row, key, value = toxicity.triples(words)
+    for i, word in enumerate(words):
+        want = brute(word)
+        assert {int(k): pytest.approx(v) for k, v in zip(key[row == i], value[row == i], strict=True)} == want
+    dot = lambda a, b: sum(v * brute(b).get(k, 0) for k, v in brute(a).items())
+    assert dot("idiot", "idixot") > 0.5 > dot("idiot", "window")
+    columns = np.arange(toxicity.CLASSES**3)[: 1 + key.max()]
+    marks = np.zeros((3, len(columns)), dtype=np.float32)
+    marks[row[row < 3], key[row < 3]] = value[row < 3]
+    got = toxicity.kernel(words, np.concatenate([columns, np.full(toxicity.CLASSES**3 - len(columns), -1)]), marks)
+    assert got[10, 2] == pytest.approx(dot(words[10], words[2]), abs=1e-5)
+
+
+def test_toxicity_with_insults_quoted_in_clean_documents():
+    rnd = random.Random(6)
+    syllables = "the an ing er re tion ha on es st en nd wh ou it al ve".split()
+    insults = ["blockhead", "scoundrel", "nincompoop", "dunderhead", "rapscallion"]
+    spoilt = lambda w: w if rnd.random() < 0.6 else (at := rnd.randrange(1, len(w))) and w[:at] + rnd.choice("xqz.-") + w[at:]
+
+    def document(toxic: bool) -> list[str]:
+        words = {"".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 4))) for _ in range(40)}
+        words |= {spoilt(w) for w in rnd.sample(insults, 2)} if toxic else {w for w in insults if rnd.random() < 0.01}
+        return sorted({p for w in words for p in toxicity.pieces_of(w)})
+
+    labels = np.array([int(k % 4 == 0) for k in range(1200)])
+    bags = [document(bool(y)) for y in labels]
+    machine = toxicity.fit(bags[:800], labels[:800])
+    found = np.array([max(machine.probability(machine.scores(b))) >= 0.5 for b in bags[800:]])
+    true = labels[800:] == 1
+    quoted = np.array([any(w in b for w in insults) for b in bags[800:]]) & ~true
+    assert found[true].mean() >= 0.9
+    # a clean document that quotes an insult cannot be told by its words
+    assert found[~true & ~quoted].mean() <= 0.05
+
+
 def test_toxicity_learns_insults_that_a_clean_document_quotes():
     rnd = random.Random(4)
     syllables = "the an ing er re tion ha on es st en nd wh".split()
@@ -323,6 +373,9 @@ def test_toxicity_edges(spark):
     got = toxicity.score(docs, machine).collect()
     assert len(got) == 3 and all(r.predicted == 0 and 0 <= r.score <= 1 for r in got)
     labels = spark.createDataFrame([(1, None, None)], "doc_id long, quality int, toxic int")
+    again = documents(spark, [(k % 40, f"w{k} " * 3 + ("blockhead" if k % 2 else "friend"), "a") for k in range(400)])
+    known = spark.createDataFrame([(k, 0, k % 2) for k in range(40)] + [(3, 0, 0), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    assert toxicity.train(again, known).weights.any() and toxicity.clean(again, known).columns == again.columns
     assert toxicity.clean(docs, labels).columns == docs.columns
 
 
@@ -374,6 +427,16 @@ def test_mixing_repeats_equal_rows_one_by_one(spark, monkeypatch, few):
     assert all(abs(taken.get(s, 0) - goals[s]) <= 1 for s in goals)
 
 
+# 4
+def test_host_edges(spark):
+    long = "word " * 300_000 + "end"
+    rows = [(1, None, None), (2, "", "a"), (3, long, "a"), (3, long, "a"), (None, "one two", None)]
+    docs = documents(spark, rows).withColumn("kept", F.lit("x")).withColumn("n_words", F.lit("y"))
+    got = sorted((r.n_words, r.base_failed) for r in hosts.judge(docs).collect())
+    assert got == [(0, True), (0, True), (2, True), (300_001, True), (300_001, True)]
+    assert hosts.judge(documents(spark, [])).count() == 0
+
+
 # 8
 def stripped(rows: list[tuple]) -> list[tuple]:
     seen: dict = {}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 
+import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lithic.llm import mixing, pieces, simhash, surrogates, toxicity
@@ -39,7 +41,21 @@ def test_pipeline(spark, small):
     assert len(got) > 0 and sorted(got) == sorted(want)
 
 
-def test_stages_keep_the_columns(spark, small):
-    docs = spark.read.parquet(f"{small}/documents.parquet").limit(0)
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, small).columns == docs.columns, name
+@pytest.mark.parametrize("stage", range(4))
+def test_stages_stand_odd_rows(spark, small, stage):
+    """Null, empty and long texts, null and repeated ids, extra columns with clashing names, no rows."""
+    names = "digest digest_ swap_ extra_ extra copy row root i d n_entities host draw bin size fp text_ component_id".split()
+    long = "Mr. John Smith wrote a long text. " * 4000
+    rows = [(1, None, "en", "a", None), (2, "", "en", None, 0), (None, "x y z", "en", "a", 5), (7, long, "en", "a", len(long)), (7, "another text of the same id", "en", "a", 27), (8, "a short text", None, "b", 12), (8, "a short text", None, "b", 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({n: F.lit(n) for n in names})
+    got = corpus_pipeline.STAGES[stage][1](spark, docs, small)
+    assert got.columns == docs.columns
+    them = got.collect()
+    assert them and all(r[n] == n for r in them for n in names)
+    assert corpus_pipeline.STAGES[stage][1](spark, docs.limit(0), small).count() == 0
+
+
+def test_last_stage_stands_odd_rows(spark, small):
+    docs = spark.createDataFrame([(1, None, 1), (None, "", 2), (1, "x" * 50_000, 3)], "doc_id long, text string, n_tokens long")
+    got = corpus_pipeline.STAGES[4][1](spark, docs, small).collect()
+    assert len(got) == 3 and sorted(r.n_tokens for r in got)[:2] == [1, 1]
