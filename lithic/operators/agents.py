@@ -48,9 +48,14 @@ def greedy(costs: Column, budget: Column) -> Column:
     return folded["taken"]
 
 
-def once_per_day(runs: DataFrame, agent: str, started: str) -> DataFrame:
-    """An agent's first run of each UTC day."""
-    place = F.row_number().over(Window.partitionBy(agent, F.to_date(started)).orderBy(started))
+def newest_runs(runs: DataFrame) -> DataFrame:
+    """runs (id, started_at) of one agent with their place, the newest first, by id among equals."""
+    return runs.withColumn("place", F.row_number().over(Window.orderBy(F.desc("started_at"), F.desc("id"))))
+
+
+def once_per_day(runs: DataFrame, agent: str, started: str, key: str) -> DataFrame:
+    """An agent's first run of each UTC day, the one of least key among equals."""
+    place = F.row_number().over(Window.partitionBy(agent, F.to_date(started)).orderBy(started, key))
     return runs.withColumn("place_", place).where("place_ = 1").drop("place_")
 
 

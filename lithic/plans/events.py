@@ -112,9 +112,9 @@ def dedup_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.seen_within(rows, "user_id", "ts").select("user_id", "event_id")
 
 
-@register("once_per_day", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts) = 1")
+@register("once_per_day", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) = 1")
 def once_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agents.once_per_day(table(spark, sf_dir, "events"), "user_id", "ts").select("user_id", "event_id")
+    return agents.once_per_day(table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "event_id")
 
 
 @register("metrics_summary", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean, min(value) AS least, max(value) AS most FROM events GROUP BY event_type")

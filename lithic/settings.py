@@ -32,6 +32,7 @@ class Settings:
     question_chars: int = 1_000
     prompt_reserve_tokens: int = 1_000
     max_ai_attempts: int = 5
+    ai_batch: int = 20
     max_summary_attempts: int = 3
     quota_margin_percent: int = 5
     batch_reserve_percent: int = 30

@@ -80,8 +80,3 @@ def valid_patterns(lines: list[str]) -> list[str]:
 def check_vectors(vectors: DataFrame, column: str, dim: int) -> DataFrame:
     """vectors, whose query fails on a row of another dimension."""
     return vectors.withColumn(column, F.when(F.size(column) == dim, F.col(column)).otherwise(F.raise_error(F.concat(F.lit(f"vector is not of {dim} dimensions: "), F.size(column).cast("string")))))
-
-
-def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """old with the rows of new put in or over, by key."""
-    return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new.dropDuplicates([key]))
