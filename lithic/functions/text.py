@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,14 +19,52 @@ STOP_WORDS = {
 }
 
 
+#: The elements that stay, by whether their text stands apart from what is around it.
+APART = "p ul ol li h1 h2 h3 h4 table tr td th pre blockquote".split()
+INLINE = "a b i em strong code".split()
+#: HTML 4's character references by name, as the standard library has them.
+REFERENCES = {name: chr(point) for name, point in sorted(name2codepoint.items())}
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z0-9]{2,8});"
+
+
+def _referred(reference: Column) -> Column:
+    """What a character reference stands for; itself if it stands for nothing."""
+    body = F.substr(reference, F.lit(2), F.length(reference) - 2)
+    point = F.when(body.rlike("^#[xX]"), F.conv(F.substr(body, F.lit(3)), 16, 10)).when(body.startswith("#"), F.substr(body, F.lit(2))).cast("int")
+    by_point = F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")
+    known = F.create_map(*[F.lit(x) for pair in REFERENCES.items() for x in pair])
+    sound = point.between(1, 0xD7FF) | point.between(0xE000, 0x10FFFF)
+    return F.coalesce(F.when(body.startswith("#"), F.when(sound, by_point)).otherwise(F.try_element_at(known, body)), reference)
+
+
+def decode_references(text: Column) -> Column:
+    """text with its character references decoded, once each; most texts have none and stay as they are."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), _referred)
+    woven = F.array_join(F.zip_with(F.split(text, REFERENCE, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
+    return F.when(text.rlike(REFERENCE), woven).otherwise(text)
+
+
+def sanitize(html: Column) -> Column:
+    """HTML with the elements of APART and INLINE only: attributes go but for links' http and https targets; scripts,
+    styles and comments go with what they hold, other tags alone."""
+    bare = F.regexp_replace(html, DROPPED, "")
+    link = r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']?(https?://[^\s\"'>]*)[^>]*>"
+    marked = F.regexp_replace(bare, link, "\x02a href=\"$1\" rel=\"nofollow\"\x03")
+    marked = F.regexp_replace(marked, rf"(?is)<(/?)({'|'.join(APART + INLINE)})(?=[\s/>])[^>]*>", "\x02$1$2\x03")
+    return F.translate(F.regexp_replace(marked, r"(?s)</?[a-zA-Z!?][^>]*>", ""), "\x02\x03", "<>")
+
+
+#: What goes with all that it holds.
+DROPPED = r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->"
+
+
 def strip_html(html: Column) -> Column:
-    """Text of HTML: no scripts, styles and comments, tags as blanks, common references decoded, white
-    space collapsed."""
-    bare = F.regexp_replace(html, r"(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->", " ")
-    bare = F.regexp_replace(bare, r"(?s)<[^>]*>", " ")
-    for name, value in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(name), F.lit(value))
-    return F.trim(F.regexp_replace(bare, r"[ \t\n\r\f\x0B]+", " "))
+    """Text of HTML: no scripts, styles and comments; the tags that part texts are blanks, other tags nothing;
+    character references decoded, white space collapsed."""
+    bare = F.regexp_replace(html, DROPPED, "")
+    bare = F.regexp_replace(bare, rf"(?is)</?(?:{'|'.join(APART)})(?=[\s/>])[^>]*>", " ")
+    bare = decode_references(F.regexp_replace(bare, r"(?s)<[^>]*>", ""))
+    return F.trim(F.regexp_replace(bare, r"[ \t\n\r\f\x0B\u00A0]+", " "))
 
 
 def enough_text(text: Column, least: int = DEFAULTS.min_text_chars) -> Column:

@@ -10,9 +10,14 @@ from lithic.settings import DEFAULTS
 ONION = r"[a-z2-7]{56}\.onion"
 
 
+def _encoded(value: Column) -> Column:
+    """Percent-encoded but for letters, digits and -_.~; a blank is a plus."""
+    return F.replace(F.replace(F.url_encode(value), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+
+
 def normalize(url: Column) -> Column:
-    """The dedup key of a URL: lower case, no fragment, parameters by name, no default port, no slash
-    at the end but for the root. What does not look like a URL stays as it is."""
+    """The dedup key of a URL: lower case, no fragment, parameters by name and encoded anew (those that cannot be
+    decoded go), no default port, no slash at the end but for the root. What does not look like a URL stays as it is."""
     low = F.regexp_replace(F.lower(F.trim(url)), "#.*$", "")
     scheme = F.regexp_extract(low, r"^([a-z][a-z0-9+.-]*)://", 1)
     host = F.regexp_extract(low, r"^[a-z][a-z0-9+.-]*://([^/?]*)", 1)
@@ -20,8 +25,9 @@ def normalize(url: Column) -> Column:
     path = F.regexp_extract(low, r"^[a-z][a-z0-9+.-]*://[^/?]*([^?]*)", 1)
     path = F.when(path == "/", path).otherwise(F.regexp_replace(path, "/+$", ""))
     query = F.regexp_extract(low, r"^[^?]*\?(.*)$", 1)
-    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p, i: F.struct(F.split(p, "=")[0].alias("k"), i.alias("i"), F.when(F.instr(p, "=") > 0, p).otherwise(F.concat(p, F.lit("="))).alias("p")))
-    ordered = F.array_join(F.transform(F.array_sort(pairs), lambda s: s["p"]), "&")
+    pairs = F.transform(F.filter(F.split(query, "&"), lambda p: p != ""), lambda p, i: F.struct(F.try_url_decode(F.substring_index(p, "=", 1)).alias("k"), i.alias("i"), F.try_url_decode(F.when(F.instr(p, "=") > 0, F.substr(p, F.instr(p, "=") + 1)).otherwise("")).alias("v")))
+    sound = F.filter(pairs, lambda p: p["k"].isNotNull() & p["v"].isNotNull())
+    ordered = F.array_join(F.transform(F.array_sort(sound), lambda p: F.concat(_encoded(p["k"]), F.lit("="), _encoded(p["v"]))), "&")
     rebuilt = F.concat(scheme, F.lit("://"), host, path, F.when(ordered != "", F.concat(F.lit("?"), ordered)).otherwise(F.lit("")))
     return F.when(scheme != "", rebuilt).otherwise(url)
 
@@ -43,9 +49,19 @@ def is_onion(url: Column) -> Column:
     return F.coalesce(F.lower(host(url)).endswith(".onion"), F.lit(False))
 
 
+def fold_dots(path: Column) -> Column:
+    """A path, which starts with a slash, without . and .. segments; .. above the root is dropped."""
+    parts = F.slice(F.split(path, "/"), 2, 1 << 20)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when(p == ".", a).when(p == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(p))))
+    folded = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(path.rlike(r"/\.\.?$") & (F.size(kept) > 0), "/").otherwise(""))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), folded).otherwise(path)
+
+
 def resolve(href: Column, base: Column) -> Column:
     """href as an absolute URL, for absolute, scheme-relative, root-relative, query, fragment and
-    sibling references."""
+    sibling references; the dot segments of a relative one are folded."""
+    tail = F.regexp_extract(href, r"[?#].*$", 0)
+    bare = F.regexp_replace(href, r"[?#].*$", "")
     root = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
     plain = F.regexp_replace(base, r"[?#].*$", "")
@@ -53,10 +69,11 @@ def resolve(href: Column, base: Column) -> Column:
     return (
         F.when(href.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("/"), F.concat(root, href))
+        .when(href.startswith("/"), F.concat(root, fold_dots(bare), tail))
         .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
         .when(href.startswith("?"), F.concat(plain, href))
-        .otherwise(F.concat(folder, href))
+        .when(F.coalesce(href, F.lit("")) == "", base)
+        .otherwise(F.concat(root, fold_dots(F.concat(F.substr(folder, F.length(root) + 1), bare)), tail))
     )
 
 

@@ -5,13 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lithic.operators.versions import one_per_key  # noqa: F401  the projection's version guard
+from lithic.functions import entities as E
+from lithic.functions import urls
+from lithic.settings import DEFAULTS
+
+ENTITY_TYPES = ("crypto_wallet", "onion_service", "email", "pgp_fingerprint", *E.NAMED)
 
 
 def project(versions: DataFrame) -> DataFrame:
-    """(url, version, type, key, display, confidence) mentions of each url's newest processed version."""
-    newest = versions.groupBy("url").agg(F.max_by("entities", "version").alias("entities"), F.max("version").alias("version"))
-    return newest.select("url", "version", F.explode("entities").alias("e")).select("url", "version", "e.*").dropDuplicates(["url", "type", "key"])
+    """(url, host, version, type, key, display, confidence) mentions of each url's newest processed version; an older
+    or equal version, or one that waits, changes nothing. Of mentions with one key the surest stays."""
+    newest = versions.where("ai_status = 'processed'").groupBy("url").agg(F.max_by("entities", "version").alias("entities"), F.max("version").alias("version"))
+    rows = newest.select("url", F.lower(urls.host(F.col("url"))).alias("host"), "version", F.explode("entities").alias("e")).select("url", "host", "version", "e.*")
+    best = F.max_by(F.struct("display", "confidence"), F.struct("confidence", "display")).alias("b")
+    return rows.groupBy("url", "host", "version", "type", "key").agg(best).select("url", "host", "version", "type", "key", "b.display", "b.confidence")
+
+
+def rebuild(versions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(mentions, entities, hosts) of the whole graph: an entity's display is that of its newest mention, so none
+    is left without one."""
+    mentions = project(versions)
+    newest = F.max_by("display", F.struct("version", "url")).alias("display")
+    return mentions, mentions.groupBy("type", "key").agg(newest, F.countDistinct("url").alias("pages")), mentions.groupBy("host").agg(F.countDistinct("url").alias("pages"))
+
+
+def entity_pages(entities: DataFrame, mentions: DataFrame, pages: DataFrame, key: str, page: str) -> DataFrame:
+    """entities beside their pages and those pages' hosts, kept where they have none: two outer joins."""
+    return entities.join(mentions.select(key, page).distinct(), key, "left").join(pages.select(page, "host"), page, "left")
+
+
+def lookup(entities: DataFrame, kind: str, key: str) -> DataFrame:
+    """The entity of a type and a key as a user writes it, which is brought into the form that extraction gives it."""
+    if kind not in ENTITY_TYPES:
+        raise ValueError(f"unknown entity type {kind}")
+    written = F.lit(key)
+    form = E.entity_key(F.lit(kind), E.fold(written) if kind in E.NAMED else written)
+    return entities.where((F.col("type") == kind) & (F.col("key") == form))
+
+
+def by_type(mentions: DataFrame) -> DataFrame:
+    """(type, entities, mentions) per type."""
+    return mentions.groupBy("type").agg(F.countDistinct("key").alias("entities"), F.count("*").alias("mentions"))
 
 
 def without(mentions: DataFrame, quarantined: DataFrame, page: str) -> DataFrame:
@@ -22,10 +56,11 @@ def orphans(entities: DataFrame, mentions: DataFrame, key: str) -> DataFrame:
     return entities.join(mentions.select(key).distinct(), key, "left_anti")
 
 
-def related(mentions: DataFrame, page: str, entity: str, most: int = 10) -> DataFrame:
-    """(entity, other, shared, place): the entities on most pages with each, ties by id. A page's
-    entities are capped where they are extracted, so its pairs are bounded."""
-    pairs = mentions.select(page, entity).distinct()
+def related(mentions: DataFrame, page: str, entity: str, most: int = 10, per_page: int = DEFAULTS.max_entities) -> DataFrame:
+    """(entity, other, shared, place): the entities on most pages with each, ties by id. A page counts with its
+    ``per_page`` least entities, as many as extraction leaves on a page, so its pairs are bounded."""
+    order = F.row_number().over(Window.partitionBy(page).orderBy(entity))
+    pairs = mentions.select(page, entity).distinct().withColumn("n_", order).where(F.col("n_") <= per_page).drop("n_")
     other = pairs.select(F.col(page).alias("p_"), F.col(entity).alias("other"))
     joined = pairs.join(other, (F.col(page) == F.col("p_")) & (F.col(entity) != F.col("other")))
     counted = joined.groupBy(entity, "other").agg(F.count("*").alias("shared"))
@@ -46,16 +81,22 @@ def most_mentioned(mentions: DataFrame, pages: DataFrame, page: str, entity: str
     return inside.groupBy(entity).agg(F.countDistinct(page).alias("pages")).orderBy(F.desc("pages"), entity).limit(most)
 
 
-def reach(links: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
-    """(node, depth) by breadth-first search over links (src, dst), at most ``depth`` steps from the seeds.
-    Lineage is cut each level through the checkpoint folder where one is set."""
+def reach(links: DataFrame, seeds: DataFrame, depth: int, per_page: int | None = None, capacity: int | None = None) -> DataFrame:
+    """(node, depth) by breadth-first search over links (src, dst; pos for the order on a page), at most ``depth`` steps
+    from the seeds. A page gives its first ``per_page`` distinct links; of a level's new nodes, by node, only as
+    many go on as the queue has room for: the rest is dropped, as by a full queue. Lineage is cut each level
+    through the checkpoint folder where one is set."""
+    if per_page is not None:
+        firsts = links.groupBy("src", "dst").agg(F.min("pos").alias("pos"))
+        links = firsts.withColumn("n_", F.row_number().over(Window.partitionBy("src").orderBy("pos", "dst"))).where(F.col("n_") <= per_page)
     seen = seeds.select(F.col("node"), F.lit(0).alias("depth")).distinct()
     front = seen
-    spark = links.sparkSession
-    shared = spark.sparkContext.getCheckpointDir() is not None
+    shared = links.sparkSession.sparkContext.getCheckpointDir() is not None
     for level in range(1, depth + 1):
         found = links.join(front.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
         front = found.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(level))
+        if capacity is not None:
+            front = front.orderBy("node").limit(capacity)
         if shared:
             front = front.checkpoint()
         seen = seen.unionByName(front)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithic.operators.folds import fold
 from lithic.settings import DEFAULTS
 
 
@@ -43,25 +44,66 @@ def route(calls: DataFrame, ladder: list[str], quotas: DataFrame) -> DataFrame:
     """For each call (call_id, estimate, interactive, tried) the first provider of the ladder that was not
     tried and has quota; null if there is none. quotas: provider, remaining, limit, tokens_left, token_limit."""
     steps = calls.select("*", F.posexplode(F.array(*[F.lit(p) for p in ladder])).alias("step", "provider"))
-    open_ = steps.where(~F.array_contains("tried", F.col("provider"))).join(F.broadcast(quotas), "provider").where(allows(F.col("remaining"), F.col("limit"), F.col("tokens_left"), F.col("token_limit"), F.col("estimate"), margin(F.col("interactive"))))
+    open_ = steps.where(~F.array_contains("tried", F.col("provider"))).join(F.broadcast(quotas.where(F.col("provider").isin(ladder)).dropDuplicates(["provider"])), "provider").where(allows(F.col("remaining"), F.col("limit"), F.col("tokens_left"), F.col("token_limit"), F.col("estimate"), margin(F.col("interactive"))))
     first = open_.groupBy("call_id").agg(F.min_by("provider", "step").alias("provider"))
     return calls.join(first, "call_id", "left")
 
 
-def breaker_open(fetches: DataFrame, host: str, seq: str, failed: str, most: int = DEFAULTS.breaker_failures) -> DataFrame:
-    """fetches with ``open``: whether more than ``most`` failures in a row stood before this fetch."""
-    from pyspark.sql import Window
+def breaker(fetches: DataFrame, host: str, at: str, seq: str, failed: str, most: int = DEFAULTS.breaker_failures, open_seconds: int = DEFAULTS.breaker_open_seconds) -> DataFrame:
+    """fetches with ``allowed``: whether a host's circuit lets this one through. More than ``most`` failures in a row
+    open it; while it is open nothing goes through or counts; after that one fetch is tried, and closes it or
+    opens it anew. What follows depends on every verdict before, so it is a fold over a host's rows in order."""
 
-    before = Window.partitionBy(host).orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    runs = fetches.withColumn("run_", F.coalesce(F.sum((~F.col(failed)).cast("int")).over(before), F.lit(0)))
-    in_run = Window.partitionBy(host, "run_").orderBy(seq).rowsBetween(Window.unboundedPreceding, -1)
-    return runs.withColumn("open", F.coalesce(F.sum(F.col(failed).cast("int")).over(in_run), F.lit(0)) > most).drop("run_")
+    def step(state, row):
+        fails, until = state or (0, None)
+        at, bad = row
+        if until is not None and at < until:
+            return (fails, until), False
+        if not bad:
+            return (0, None), True
+        if until is not None or fails + 1 > most:
+            return (0, at + open_seconds * 1_000_000), True
+        return (fails + 1, None), True
+
+    return fold(fetches, host, [at, seq], [at, failed], step, "allowed boolean")
 
 
 def metrics(outcomes: DataFrame, keys: list[str], value: str) -> DataFrame:
     return outcomes.groupBy(*keys).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most"))
 
 
+def park_until(at: Column, window: Column) -> Column:
+    """When an exhausted provider returns: a minute's quota at the next minute, a day's at the next Pacific
+    midnight; a balance never by itself (null)."""
+    return F.when(window == "minute", next_minute(at)).when(window == "day", next_pacific_midnight(at))
+
+
+def parked(exhausted: DataFrame, now: Column) -> DataFrame:
+    """(provider, until) of the providers parked now, by the log (provider, at, window): the latest return counts,
+    and a spent balance (until null) goes over any."""
+    until = F.struct((F.col("window") == "balance").alias("for_good"), park_until(F.col("at"), F.col("window")).alias("until"))
+    last = exhausted.where(F.col("at") <= now).groupBy("provider").agg(F.max(until).alias("u"))
+    return last.where(F.col("u.for_good") | (F.col("u.until") > now)).select("provider", F.when(~F.col("u.for_good"), F.col("u.until")).alias("until"))
+
+
+def paced(fetches: DataFrame, host: str, seq: str, seconds: float, lanes: int = 2) -> DataFrame:
+    """fetches with ``wait``, the seconds after which each may start: a host has so many lanes and every lane
+    pauses between two fetches."""
+    place = F.row_number().over(Window.partitionBy(host).orderBy(seq)) - 1
+    return fetches.withColumn("wait", F.floor(place / lanes) * F.lit(seconds))
+
+
+def next_daily(at: Column, hour: int = DEFAULTS.daily_hour) -> Column:
+    """The next time of day at which the daily runs start, in UTC."""
+    today = F.date_trunc("day", at) + F.make_dt_interval(hours=F.lit(hour))
+    return F.when(at < today, today).otherwise(today + F.expr("INTERVAL 1 DAY"))
+
+
+def stalled(progress: DataFrame, now: Column, minutes: int) -> DataFrame:
+    """Consumers (consumer, at, rows) whose last progress is longer ago."""
+    return progress.groupBy("consumer").agg(F.max("at").alias("last")).withColumn("stalled", F.col("last") < now - F.make_interval(mins=F.lit(minutes)))
+
+
 def next_minute(at: Column) -> Column:
     return F.date_trunc("minute", at) + F.expr("INTERVAL 1 MINUTE")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithic.operators.folds import fold
 from lithic.settings import DEFAULTS
 
 
@@ -35,11 +36,16 @@ def one_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def baseline(changes: DataFrame, versions: DataFrame, key: str) -> DataFrame:
-    """For each change (key, version) the archived version below it, enriched ones first, then the newest."""
+    """For each change (key, version) the archived version below it, enriched ones first, then the newest: one
+    running maximum of the versions and one of the enriched ones, no join of changes and versions."""
     v = versions.select(F.col(key).alias("k_"), F.col("version").alias("base_version"), F.col("enriched").alias("base_enriched"))
-    joined = changes.join(v, (F.col(key) == F.col("k_")) & (F.col("base_version") < F.col("version")))
-    best = joined.groupBy(key, "version").agg(F.max(F.struct("base_enriched", "base_version")).alias("b"))
-    return best.select(key, "version", "b.base_version", "b.base_enriched")
+    rows = changes.select(key, "version", F.lit(None).cast("boolean").alias("e_")).unionByName(v.select(F.col("k_").alias(key), F.col("base_version").alias("version"), F.col("base_enriched").alias("e_")))
+    # a version's own archive row is none below it, so it comes behind the change
+    below = Window.partitionBy(key).orderBy("version", F.col("e_").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    archived = F.when(F.col("e_").isNotNull(), F.col("version"))
+    seen = rows.withColumn("any_", F.max(archived).over(below)).withColumn("rich_", F.max(F.when(F.col("e_"), F.col("version"))).over(below))
+    found = seen.where("e_ is null and any_ is not null")
+    return found.select(key, "version", F.coalesce("rich_", "any_").alias("base_version"), F.col("rich_").isNotNull().alias("base_enriched"))
 
 
 def not_enriched(pages: DataFrame, done: DataFrame) -> DataFrame:
@@ -61,22 +67,8 @@ def seen_within(rows: DataFrame, key: str, at: str, hours: int = DEFAULTS.dedup_
     """Rows kept by a time-to-live filter: a row is dropped if its key was kept less than the TTL before.
     The TTL restarts at kept rows only, so it is a fold over a key's rows, of which one task holds one
     key at a time, in order."""
-    schema = rows.schema
-
-    def fold(batches):
-        import pyarrow as pa
-
-        last_key, last_kept = object(), None
-        for batch in batches:
-            keys, times = batch.column(key).to_pylist(), batch.column(at).cast(pa.timestamp("us")).cast(pa.int64()).to_pylist()
-            keep = []
-            for k, t in zip(keys, times, strict=True):
-                if k != last_key:
-                    last_key, last_kept = k, None
-                fresh = last_kept is None or t - last_kept >= hours * 3_600_000_000
-                keep.append(fresh)
-                if fresh:
-                    last_kept = t
-            yield batch.filter(pa.array(keep))
-
-    return rows.repartition(key).sortWithinPartitions(key, at, seq).mapInArrow(fold, schema)
+    def step(kept, row):
+        fresh = kept is None or row[0] - kept >= hours * 3_600_000_000
+        return (row[0] if fresh else kept), fresh
+
+    return fold(rows, key, [at, seq], [at], step, "fresh_ boolean").where("fresh_").drop("fresh_")

@@ -94,12 +94,55 @@ def quota_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("circuit_breaker", """
-WITH r AS (SELECT user_id, event_id, event_type = 'error' OR value < 20 AS failed, coalesce(sum(CASE WHEN event_type = 'error' OR value < 20 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM events),
-o AS (SELECT *, coalesce(sum(CAST(failed AS INTEGER)) OVER (PARTITION BY user_id, run ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 3 AS open FROM r)
-SELECT user_id, event_id, open FROM o""")
+WITH RECURSIVE e AS (SELECT user_id, event_id, ts, event_type = 'error' OR value < 40 AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f(user_id, event_id, i, fails, until_, allowed) AS (SELECT user_id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), 0, CAST(NULL AS TIMESTAMP), true FROM e WHERE i = 1
+ UNION ALL SELECT e.user_id, e.event_id, e.i, CASE WHEN e.ts < f.until_ THEN f.fails WHEN NOT bad OR f.until_ IS NOT NULL OR f.fails + 1 > 3 THEN 0 ELSE f.fails + 1 END,
+  CASE WHEN e.ts < f.until_ THEN f.until_ WHEN bad AND (f.until_ IS NOT NULL OR f.fails + 1 > 3) THEN e.ts + INTERVAL 30000 SECOND END, e.ts < f.until_ IS NOT TRUE
+  FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT user_id, event_id, allowed FROM f WHERE i > 0""")
 def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").withColumn("failed", F.coalesce((F.col("event_type") == "error") | (F.col("value") < 20), F.lit(False)))
-    return quota.breaker_open(rows, "user_id", "event_id", "failed").select("user_id", "event_id", "open")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.coalesce((F.col("event_type") == "error") | (F.col("value") < 40), F.lit(False)).alias("failed"))
+    return quota.breaker(rows, "user_id", "ts", "event_id", "failed", open_seconds=30_000).select("user_id", "event_id", "allowed")
+
+
+@register("provider_parks", """WITH p AS (SELECT event_type AS provider, CASE WHEN event_type = 'error' AND value > 300 THEN NULL WHEN value > 100 THEN CAST(date_trunc('day', ts - INTERVAL 8 HOUR) + INTERVAL 32 HOUR AS TIMESTAMP) ELSE date_trunc('minute', ts) + INTERVAL 1 MINUTE END AS until_, event_type = 'error' AND value > 300 AS good FROM events WHERE ts <= TIMESTAMP '2024-01-20 12:00:00')
+SELECT provider, CASE WHEN NOT bool_or(good) THEN max(until_) END AS until FROM p GROUP BY provider HAVING bool_or(good) OR max(until_) > TIMESTAMP '2024-01-20 12:00:00'""")
+def provider_parks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when((F.col("event_type") == "error") & (F.col("value") > 300), "balance").when(F.col("value") > 100, "day").otherwise("minute")
+    log = table(spark, sf_dir, "events").select(F.col("event_type").alias("provider"), F.col("ts").cast("timestamp").alias("at"), kind.alias("window"))
+    return quota.parked(log, F.lit("2024-01-20 12:00:00").cast("timestamp")).select("provider", F.col("until").cast("timestamp_ntz").alias("until"))
+
+
+@register("paced_fetches", "SELECT event_id, floor((row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) / 2) * 1.5 AS wait FROM events")
+def paced_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quota.paced(table(spark, sf_dir, "events"), "user_id", "event_id", 1.5).select("event_id", "wait")
+
+
+@register("daily_starts", "SELECT event_id, CAST(CASE WHEN ts < date_trunc('day', ts) + INTERVAL 6 HOUR THEN date_trunc('day', ts) + INTERVAL 6 HOUR ELSE date_trunc('day', ts) + INTERVAL 30 HOUR END AS TIMESTAMP) AS starts_at FROM events")
+def daily_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", quota.next_daily(F.col("ts").cast("timestamp")).cast("timestamp_ntz").alias("starts_at"))
+
+
+@register("consumers_stalled", "SELECT user_id AS consumer, max(ts) AS last, max(ts) < TIMESTAMP '2024-01-30 20:00:00' - INTERVAL 60 MINUTE AS stalled FROM events GROUP BY 1")
+def consumers_stalled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("consumer"), F.col("ts").alias("at"))
+    return quota.stalled(rows, F.lit("2024-01-30 20:00:00").cast("timestamp_ntz"), 60)
+
+
+@register("router", """WITH c AS (SELECT event_id AS call_id, CAST(floor(value) AS BIGINT) * 40 AS est, event_type = 'click' AS interactive, event_type AS tried FROM events),
+q(step, provider, remaining, lim, tleft, tlim) AS (VALUES (0, 'view', 4, 15, 9000, 250000), (1, 'click', 3, 15, 200000, 250000), (2, 'error', 15, 15, 12000, 12000)),
+o AS (SELECT call_id, min_by(provider, step) AS provider FROM c, q WHERE provider <> tried AND remaining > (lim * CASE WHEN interactive THEN 5 ELSE 35 END) // 100 AND tleft - est > (tlim * CASE WHEN interactive THEN 5 ELSE 35 END) // 100 GROUP BY 1)
+SELECT c.call_id, o.provider FROM c LEFT JOIN o ON o.call_id = c.call_id""")
+def router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls = table(spark, sf_dir, "events").select(F.col("event_id").alias("call_id"), (F.floor("value") * 40).alias("estimate"), (F.col("event_type") == "click").alias("interactive"), F.array("event_type").alias("tried"))
+    quotas = spark.createDataFrame([("view", 4, 15, 9000, 250000), ("click", 3, 15, 200000, 250000), ("error", 15, 15, 12000, 12000)], "provider string, remaining long, limit long, tokens_left long, token_limit long")
+    return quota.route(calls, ["view", "click", "error"], quotas).select("call_id", "provider")
+
+
+@register("pacific_midnights_in_summer", "SELECT event_id, CAST(date_trunc('day', ts + INTERVAL 170 DAY - INTERVAL 7 HOUR) + INTERVAL 31 HOUR AS TIMESTAMP) AS reset_at FROM events")
+def pacific_midnights_in_summer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("ts").cast("timestamp") + F.expr("INTERVAL 170 DAY")
+    return table(spark, sf_dir, "events").select("event_id", quota.next_pacific_midnight(at).cast("timestamp_ntz").alias("reset_at"))
 
 
 @register("dedup_ttl", """

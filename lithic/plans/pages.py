@@ -11,13 +11,14 @@ from lithic.functions import urls
 from lithic.operators import graph, guard
 from lithic.sources.tables import table
 
-STRIP = r"""trim(regexp_replace({}, '[ \t\n\r\f\x0B]+', ' ', 'g'))"""
+STRIP = r"""trim(regexp_replace({}, '[ \t\n\r\f\x0B\x{{00A0}}]+', ' ', 'g'))"""
 
 
 def _stripped(column: str) -> str:
-    sql = f"regexp_replace({column}, '(?is)<script\\b[^>]*>.*?</script>|<style\\b[^>]*>.*?</style>|<!--.*?-->', ' ', 'g')"
-    sql = f"regexp_replace({sql}, '(?s)<[^>]*>', ' ', 'g')"
-    for name, value in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    sql = f"regexp_replace({column}, '(?is)<script\\b[^>]*>.*?</script>|<style\\b[^>]*>.*?</style>|<!--.*?-->', '', 'g')"
+    sql = f"regexp_replace({sql}, '(?is)</?(?:p|ul|ol|li|h1|h2|h3|h4|table|tr|td|th|pre|blockquote)(?:[\\s/][^>]*)?>', ' ', 'g')"
+    sql = f"regexp_replace({sql}, '(?s)<[^>]*>', '', 'g')"
+    for name, value in (("&nbsp;", chr(160)), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
         sql = f"replace({sql}, '{name}', '{value}')"
     return STRIP.format(sql)
 
@@ -81,10 +82,37 @@ def denylist_host_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guard.denied_hosts(table(spark, sf_dir, "pages"), hosts).select("page_id")
 
 
-@register("crawler_traps", r"""SELECT page_id FROM pages WHERE regexp_matches(url, '(?i)[?&;](phpsessid|jsessionid|sid|sessionid|session_id)=')
-  OR list_max(list_transform(list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda p: p <> ''), lambda p: len(list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda q: q = p)))) > 2""")
+#: A url of each kind for every page: onion, trap by segment, trap by session, garbage, with port and case, and its own.
+KINDS = {
+    0: "'http://' || repeat('ab2', 18) || '7q.ONION/x?y=1#z'", 1: "'http://h.example/a/b/a/c/a/' || page_id", 2: "'https://Sub.H.example/p?PHPSESSID=' || page_id",
+    3: "'not a url ' || page_id", 4: "'HTTPS://Sub.Host.Example:8443/p//'", 5: "url",
+}
+KIND = "CASE page_id % 6 " + " ".join(f"WHEN {k} THEN {sql}" for k, sql in KINDS.items()) + " END"
+
+
+@register("crawler_traps", rf"""WITH u AS (SELECT page_id, {KIND} AS url FROM pages), p AS (SELECT *, list_filter(string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda p: p <> '') AS parts FROM u)
+SELECT page_id, regexp_matches(url, '(?i)[?&;](phpsessid|jsessionid|sid|sessionid|session_id)=') OR NOT regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/:?#]') OR coalesce(list_max(list_transform(parts, lambda p: len(list_filter(parts, lambda q: q = p)))), 0) > 2 AS trap,
+regexp_matches(lower(url), '^[a-z]+://[^/:?#]*[.]onion') AS onion, nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1), '') AS host FROM p""")
 def crawler_traps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").where(urls.looks_like_trap(F.col("url"))).select("page_id")
+    rows = table(spark, sf_dir, "pages").withColumn("url", F.expr(KIND))
+    return rows.select("page_id", urls.looks_like_trap(F.col("url")).alias("trap"), urls.is_onion(F.col("url")).alias("onion"), urls.host(F.col("url")).alias("host"))
+
+
+@register("links_resolved", """WITH r AS (SELECT page_id, page_id % 7 AS k, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)', 1) AS root FROM pages)
+SELECT page_id, CASE k WHEN 0 THEN root || '/a/c?x=../y' WHEN 1 THEN 'http://x.example/q' WHEN 2 THEN root || '/z' WHEN 3 THEN root || '/a/b/d?e#f' WHEN 4 THEN root || '/a/b/page?q=2' WHEN 5 THEN root || '/a/' ELSE root || '/a/b/page?p=1' END AS link FROM r""")
+def links_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.concat(F.regexp_extract("url", r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1), F.lit("/a/b/page?p=1"))
+    kinds = ["../c?x=../y", "http://x.example/q", "/y/../../z", "./d?e#f", "?q=2", "..", ""]
+    href = F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("page_id") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "pages").select("page_id", urls.resolve(href, base).alias("link"))
+
+
+@register("html_sanitized", r"""SELECT page_id, CAST(length(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->', '', 'g')) - length(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<!--.*?-->', '', 'g'), '(?is)<p[\s>]', '', 'g')) AS BIGINT) // 3 AS paragraphs, false AS left_over FROM pages""".replace("\\\\", "\\"))
+def html_sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = T.sanitize(F.col("html"))
+    rows = table(spark, sf_dir, "pages").select("page_id", clean.alias("clean"))
+    other = r"(?is)<(?!/?(?:" + "|".join(T.APART + T.INLINE) + r")>|a href=\"https?://[^\s\"]*\" rel=\"nofollow\">)[a-z!?/][^>]*>"
+    return rows.select("page_id", F.regexp_count("clean", F.lit("<p>")).cast("long").alias("paragraphs"), F.col("clean").rlike(other).alias("left_over"))
 
 
 @register("graph_bfs", """
@@ -96,3 +124,15 @@ def graph_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
     nxt = lines.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("l_suppkey").alias("dst"))
     links = lines.join(nxt, ["l_orderkey", "l_linenumber"]).select(F.col("l_suppkey").alias("src"), "dst").distinct()
     return graph.reach(links, spark.range(1, 2).select(F.col("id").alias("node")), 3)
+
+
+@register("graph_bfs_bounded", """
+WITH RECURSIVE e AS (SELECT l_orderkey % 200 AS src, l_suppkey AS dst, min(l_orderkey * 10 + l_linenumber) AS pos FROM lineitem GROUP BY ALL),
+f AS (SELECT src, dst FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY pos, dst) <= 3),
+one AS (SELECT DISTINCT dst AS node FROM f WHERE src = 1 AND dst <> 1), one_kept AS (SELECT node FROM one ORDER BY node LIMIT 2),
+two AS (SELECT DISTINCT f.dst AS node FROM f JOIN one_kept ON f.src = one_kept.node WHERE f.dst <> 1 AND f.dst NOT IN (SELECT node FROM one_kept)), two_kept AS (SELECT node FROM two ORDER BY node LIMIT 2)
+SELECT CAST(1 AS BIGINT) AS node, 0 AS depth UNION ALL SELECT node, 1 FROM one_kept UNION ALL SELECT node, 2 FROM two_kept""")
+def graph_bfs_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "lineitem")
+    links = lines.select((F.col("l_orderkey") % 200).alias("src"), F.col("l_suppkey").alias("dst"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"))
+    return graph.reach(links, spark.range(1, 2).select(F.col("id").alias("node")), 2, per_page=3, capacity=2)

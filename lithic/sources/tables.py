@@ -38,19 +38,33 @@ def size_limit(max_mb: int) -> int | None:
     return max_mb * 1024 * 1024 * 110 // 100 if max_mb > 0 else None
 
 
-def split_oversized(records: DataFrame, max_mb: int = DEFAULTS.max_page_mb) -> tuple[DataFrame, DataFrame]:
-    """(records to publish, side records of those too large)."""
-    limit = size_limit(max_mb)
+def split_oversized(records: DataFrame, limit: int | None, now: Column) -> tuple[DataFrame, DataFrame]:
+    """(records to publish, side records (marker, note, at) of those of more bytes than the limit). A marker is
+    the key's SHA-256 behind a prefix, a note names the key, its bytes and the time."""
     size = F.octet_length("value")
-    if limit is None:
-        return records, records.limit(0).select(F.lit("").alias("marker"), F.lit("").alias("note"))
+    over = size > limit if limit is not None else F.lit(False)
+    note = F.concat_ws("|", "key", size.cast("string"), F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
     marker = F.concat(F.lit("skipped:oversized:"), F.sha2("key", 256))
-    return records.where(size <= limit), records.where(size > limit).select(marker.alias("marker"), F.concat_ws("|", "key", size.cast("string")).alias("note"))
+    return records.where(~over), records.where(over).select(marker.alias("marker"), note.alias("note"), now.alias("at"))
 
 
-def truncate_body(body: Column, max_mb: int = DEFAULTS.max_page_mb) -> Column:
-    """A fetched body's first bytes up to the page limit, as text."""
-    return F.decode(F.substring(body.cast("binary"), 1, max_mb * 1024 * 1024), "UTF-8")
+def still_kept(marks: DataFrame, now: Column, days: int = DEFAULTS.oversized_days) -> DataFrame:
+    """Side records that their retention has not ended yet."""
+    return marks.where(F.col("at") >= now - F.make_dt_interval(days=F.lit(days)))
+
+
+def truncate_body(body: Column, most_bytes: int = DEFAULTS.max_page_mb * 1024 * 1024) -> Column:
+    """A fetched body's first bytes up to the page limit, as text; more are cut, not refused."""
+    return F.decode(F.substring(body.cast("binary"), 1, most_bytes), "UTF-8")
+
+
+def publish(pages: DataFrame, folder: str, limit: int | None) -> DataFrame:
+    """Append page events as (key, value) records to a folder of JSON lines, a url's in the order of their times,
+    and return the side records of those too large. Publishing a batch again is harmless to a reader that
+    keeps one record per key and time."""
+    small, over = split_oversized(as_records(pages), limit, F.current_timestamp())
+    small.repartition("key").sortWithinPartitions("key", F.get_json_object("value", "$.fetched_at")).write.mode("append").json(folder)
+    return over
 
 
 def line_list(lines: DataFrame) -> DataFrame:
@@ -64,19 +78,51 @@ def hash_list(lines: DataFrame) -> DataFrame:
     return line_list(lines).select(F.lower("value").alias("value")).where(F.col("value").rlike("^[0-9a-f]{32}$"))
 
 
-def valid_patterns(lines: list[str]) -> list[str]:
-    """Patterns of a list that compile, in order."""
+def read_list(spark: SparkSession, path: str) -> DataFrame:
+    """A list's lines; a list that is not there is empty."""
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    if not there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(there):
+        return spark.createDataFrame([], "value string")
+    return line_list(spark.read.text(path))
+
+
+def read_hashes(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """(hashes, number of other lines) of a list of hashes, which may be empty but has to be there."""
+    lines = line_list(spark.read.text(path))  # Spark fails on a path that is not there
+    good = hash_list(lines)
+    return good, lines.count() - good.count()
+
+
+def valid_patterns(spark: SparkSession, lines: list[str]) -> list[str]:
+    """Patterns of a list that compile in the engine that will run them, in order."""
+    compiles = spark.sparkContext._jvm.java.util.regex.Pattern.compile
     found = []
     for line in (x.strip() for x in lines):
         if line and not line.startswith("#"):
             try:
-                re.compile(line)
-            except re.error:
+                compiles(line)
+            except Exception:  # noqa: BLE001, S112  a PatternSyntaxException from the other side
                 continue
             found.append(line)
     return found
 
 
+def ensure_collection(collections: dict[str, int], name: str, dim: int) -> dict[str, int]:
+    """collections (name to dimension) with this one; it is made if it is not there, and one that is there
+    has to have the dimension."""
+    if collections.get(name, dim) != dim:
+        raise ValueError(f"collection {name} has {collections[name]} dimensions, not {dim}")
+    return {**collections, name: dim}
+
+
+def lookup(rows: DataFrame, **key) -> DataFrame:
+    """The rows of a key; the comparison reaches the scan."""
+    for column, value in key.items():
+        rows = rows.where(F.col(column) == F.lit(value))
+    return rows
+
+
 def check_vectors(vectors: DataFrame, column: str, dim: int) -> DataFrame:
     """vectors, whose query fails on a row of another dimension."""
     return vectors.withColumn(column, F.when(F.size(column) == dim, F.col(column)).otherwise(F.raise_error(F.concat(F.lit(f"vector is not of {dim} dimensions: "), F.size(column).cast("string")))))
