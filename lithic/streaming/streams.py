@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lithic.functions import urls
+from lithic.settings import DEFAULTS
 from lithic.sources.tables import parse_events
 
 
@@ -15,10 +16,33 @@ def read_events(spark: SparkSession, folder: str, files_per_batch: int = 100) ->
     return parse_events(raw)[0]
 
 
-def distinct_pages(events: DataFrame, delay: str = "6 hours") -> DataFrame:
-    """Events without those whose normalized URL came within the delay; state expires with the watermark.
-    The delay runs from a URL's first event and is not restarted by kept ones as in the batch fold."""
-    return events.withWatermark("fetched_at", delay).withColumn("dedup_key", urls.normalize(F.col("url"))).dropDuplicatesWithinWatermark(["dedup_key"])
+def distinct_pages(events: DataFrame, hours: int = DEFAULTS.dedup_ttl_hours) -> DataFrame:
+    """Events that the time-to-live filter keeps, as :func:`lithic.operators.versions.seen_within` does for a batch: one
+    whose normalized URL was kept less than the TTL before goes. A key's state is the time of its last kept
+    event, and it expires with the watermark a TTL later. Of a micro-batch, events are taken by time."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    ttl = hours * 3_600_000
+    schema = events.schema
+
+    def keep(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = state.get[0] if state.exists else None
+        rows = pd.concat(list(batches)).sort_values(["fetched_at", "url"], kind="stable")
+        fresh = []
+        for at in (rows["fetched_at"].astype("datetime64[ms, UTC]" if rows["fetched_at"].dt.tz is not None else "datetime64[ms]").astype("int64")):
+            new = kept is None or at - kept >= ttl
+            kept = at if new else kept
+            fresh.append(new)
+        state.update((int(kept),))
+        state.setTimeoutTimestamp(max(int(kept) + ttl, state.getCurrentWatermarkMs() + 1))
+        yield rows.loc[fresh, [f.name for f in schema.fields]]
+
+    keyed = events.withWatermark("fetched_at", f"{hours} hours").withColumn("dedup_key", urls.normalize(F.col("url")))
+    return keyed.groupBy("dedup_key").applyInPandasWithState(keep, schema, "kept long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def minute_usage(events: DataFrame, at: str, keys: list[str], delay: str = "90 seconds") -> DataFrame:
@@ -35,7 +59,25 @@ def write_once(batch: DataFrame, batch_id: int, folder: str) -> None:
     batch.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/batch={batch_id}")
 
 
-def drain(stream: DataFrame, folder: str, checkpoint: str) -> None:
-    """Run a stream over all that is there and stop."""
-    query = stream.writeStream.foreachBatch(lambda df, n: write_once(df, n, folder)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(stream: DataFrame, folder: str, checkpoint: str, deliveries: int = 1) -> None:
+    """Run a stream over all that is there and stop; every batch may be delivered several times."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        for _ in range(deliveries):
+            write_once(batch, batch_id, folder)
+
+    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def run_all(stream: DataFrame, mode: str, checkpoint: str, name: str) -> DataFrame:
+    """All that a stream gives for what is there now, by a sink in memory: for results that are small."""
+    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.table(name)
+
+
+def liveness(query) -> dict:
+    """Whether a streaming query runs, and its last batch and its rows."""
+    last = query.lastProgress
+    return {"active": query.isActive, "batch": last["batchId"] if last else None, "rows": last["numInputRows"] if last else 0}
