@@ -27,7 +27,7 @@ from .shared import table
 
 SPACE = "▁"
 #: Segments and pairs whose results a Python worker keeps; it starts again when they are full.
-SEGMENTS_KEPT, LONGEST_KEPT, PAIRS_KEPT = 500_000, 64, 500_000
+SEGMENTS_KEPT, LONGEST_KEPT, PAIRS_KEPT = 200_000, 64, 200_000
 
 
 class PieceModel:

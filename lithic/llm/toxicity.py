@@ -44,7 +44,8 @@ COPY = 0.8
 VARIANTS, VARIED = 4, 150
 DECAY, SPREAD, CLASSES = 0.6, 3, 64
 LONGEST, OVERLAP = 24, 8
-WORDS_KEPT = 600_000
+#: Words whose scores a Python worker keeps, and words that are scored at a time.
+WORDS_KEPT, PARTS = 200_000, 4_000
 SIGNS = re.compile(r"[\W_]+")
 START, STOP = CLASSES - 2, CLASSES - 1
 
@@ -175,8 +176,8 @@ class Machine:
         parts = [p for w in words for p in pieces_of(w)]
         owner = np.repeat(np.arange(len(words)), [len(pieces_of(w)) for w in words])
         out = np.full(len(words), -np.inf)
-        for at in range(0, len(parts), 20_000):
-            np.maximum.at(out, owner[at : at + 20_000], linear(parts[at : at + 20_000], self.weights, self.bias))
+        for at in range(0, len(parts), PARTS):
+            np.maximum.at(out, owner[at : at + PARTS], linear(parts[at : at + PARTS], self.weights, self.bias))
         return out
 
     def probability(self, score: np.ndarray) -> np.ndarray:
@@ -264,7 +265,7 @@ def fit(bags: list[list[str]], toxic: np.ndarray) -> Machine:
         w = squared_hinge(x, y, cost)
         weights, bias = np.zeros(CLASSES**3), float(w[-1])
         weights[used] = (root @ w[:-1]) @ dense
-        score = np.concatenate([linear(words[at : at + 20_000], weights, bias) for at in range(0, len(words), 20_000)])
+        score = np.concatenate([linear(words[at : at + PARTS], weights, bias) for at in range(0, len(words), PARTS)])
     slope, offset = logistic(np.array([score[r].max() for r in rows]), (toxic == 1).astype(float))
     return Machine(weights.astype(np.float32), bias, slope, offset)
 
