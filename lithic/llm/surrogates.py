@@ -50,7 +50,18 @@ PATTERNS = {
 }
 #: A secret's value.
 SECRET = r"[=:]\s?[\"']?([^\s\"',;]{6,})$"
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+
+
+def _either(*kinds: str) -> str:
+    return "|".join(f"(?:{PATTERNS[k]})" for k in kinds)
+
+
+#: Any of them, in that order, each asked only where its first character and the one before allow it: inside a
+#: word only a secret's key can begin, and what begins with a digit, sign or bracket is none of the others.
+ANY = (
+    rf"(?<![A-Za-z])(?:{_either('email')}|(?=[A-Z])(?:{_either('access', 'iban')})|(?=[{''.join(sorted({t[0] for t in FEMALE + MALE + NEUTRAL}))}]){_either('name')})"
+    rf"|(?=[0-9(+])(?:{_either('ip', 'card', 'ssn', 'phone')})|(?=[pP][aA]|[sS][eE]|[tT][oO]|[aA][pP]){_either('secret')}"
+)
 
 
 def _type(surface: Column) -> Column:
@@ -250,10 +261,13 @@ def replace(docs: DataFrame, count: str | None = "n_entities") -> DataFrame:
     firsts = F.expr("filter(words_, (x, i) -> i = 0 OR x.canon <> words_[greatest(i - 1, 0)].canon)")
     by_text = by_text.select("digest", "swap_", F.map_from_entries(F.transform(firsts, lambda x: F.struct(x["canon"], x["surrogate"]))).alias("names_"))
     marked = F.coalesce(F.col("text").rlike(ANY), F.lit(False))
+    heavy = heavy_keys(per_text, "digest", "n")
     columns = [c for c in docs.columns if c != count]
     bare = docs.where(~marked).select(*[F.col(f"`{c}`") for c in columns], *([F.lit(0).cast("long").alias(count)] if count else []))
-    rows = docs.where(marked).select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row_"), F.col("text").alias("text_"), F.md5("text").alias("digest"))
-    rows = spread_join(rows, by_text, "digest", heavy_keys(per_text, "digest", "n"), "left")
+    whole = [F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row_"), F.col("text").alias("text_"), F.md5("text").alias("digest")]
+    rows = docs.where(marked & ~F.md5("text").isin(heavy)).select(*whole).join(by_text.where(~F.col("digest").isin(heavy)), "digest", "left")
+    if heavy:  # these are known to have an entity
+        rows = rows.unionByName(docs.where(F.md5("text").isin(heavy)).select(*whole).join(F.broadcast(by_text.where(F.col("digest").isin(heavy))), "digest", "left"))
     rows = rows.withColumn("at_", F.regexp_extract_all("text_", F.lit(ANY), F.lit(0))).withColumn("gaps_", F.split("text_", ANY, -1))
     # a title without gender does not tell which kind of first name it is: the text's other mentions do
     title = lambda x: F.regexp_extract(x, rf"^{TITLES}\s", 0)
