@@ -59,11 +59,22 @@ def once_per_day(runs: DataFrame, agent: str, started: str, key: str) -> DataFra
     return runs.withColumn("place_", place).where("place_ = 1").drop("place_")
 
 
-def retrieve(docs: DataFrame, key: str, text: str, question: str, rewritten: str, k: int = DEFAULTS.chat_sources, budget: int = DEFAULTS.context_chars) -> DataFrame:
-    """(pos, key, passage): the question's and the rewritten question's hits by better position, as
-    passages of plain words within the budget."""
-    hits = search.by_best_position(search.full_text(docs, key, text, question, k), search.full_text(docs, key, text, rewritten, k), key).where(F.col("pos") <= k)
-    found = docs.join(F.broadcast(hits), key).select("pos", key, search.headline(F.col(text), rewritten, 20, 120, marked=False).alias("passage"))
+def retrieve(index: search.Index, docs: DataFrame, text: str, question: str, rewritten: str | None, chunks: DataFrame | None = None, k: int = DEFAULTS.chat_sources, budget: int = DEFAULTS.context_chars) -> DataFrame:
+    """(pos, key, passage): the question's and the rewritten question's text hits by better position, fused with
+    the pages whose chunks (key, score, text) vector search found, as passages within the budget."""
+    key = index.key
+    hits = search.full_text(index, question, k)
+    if rewritten and rewritten != question:
+        hits = search.by_best_position(hits, search.full_text(index, rewritten, k), key)
+    hits = hits.where(F.col("pos") <= k).select(key, "pos")
+    if chunks is not None:
+        near = chunks.select(key, F.row_number().over(Window.orderBy(F.desc("score"), key)).alias("pos"))
+        lists = hits.withColumn("list", F.lit(1)).unionByName(near.withColumn("list", F.lit(2)))
+        fused = lists.groupBy(key).agg(F.sum(1.0 / (DEFAULTS.rrf_k + F.col("pos"))).alias("score"), F.min(F.struct("list", "pos")).alias("first"))
+        hits = fused.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("score"), "first", key))).where(F.col("pos") <= k).select(key, "pos")
+    else:
+        chunks = hits.select(key, F.lit(None).cast("string").alias("text")).limit(0)
+    found = search.passages(F.broadcast(hits), chunks, docs.select(key, F.col(text).alias("text")), key, rewritten or question)
     return search.within_budget(found, [], "pos", "passage", budget).drop("used")
 
 

@@ -1,4 +1,9 @@
-"""Full-text search, vector search and their fusion."""
+"""Full-text search over a persisted index, vector search, their fusion, and passages.
+
+The index holds a row per lexeme and document with the lexeme's places, in folders by lexeme bucket, sorted
+inside: a query reads the buckets of its own words and no text. A bucket's rows are dealt by document too, so a
+frequent word is no single task's.
+"""
 
 from __future__ import annotations
 
@@ -6,11 +11,12 @@ import functools
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithic.functions import text as T
 from lithic.settings import DEFAULTS
+from lithic.sources import workspace
 
 WORDS = re.compile(r"[^\W_]+")
 
@@ -38,52 +44,173 @@ def parse(query: str) -> list[list[Term]]:
     return [g for g in groups if g]
 
 
-def _padded(words: tuple[str, ...]) -> str:
-    return " " + "  ".join(words) + " "
+#: Places kept of a lexeme in a document; weight of a lexeme without a label; and what the squared
+#: reciprocals of all places add up to.
+MOST_PLACES, WEIGHT, ALL_PLACES = 255, 0.1, 1.64493406685
+BUCKETS, PARTS = 64, 8
+_BUILT: dict[tuple, Index] = {}
+
+
+@dataclass(frozen=True)
+class Index:
+    """A persisted index: its folder, and the name of the documents' key."""
+
+    spark: SparkSession
+    folder: str
+    key: str
+
+    def postings(self, lexemes: list[str]) -> DataFrame:
+        """(key, lexeme, places) of these lexemes; the buckets that they are in are all that is read."""
+        buckets = sorted({r[0] for r in self.spark.createDataFrame([(x,) for x in lexemes], "l string").select(_bucket(F.col("l"))).collect()})
+        return self.spark.read.parquet(f"{self.folder}/postings").where(F.col("bucket").isin(buckets) & F.col("lexeme").isin(lexemes)).select(self.key, "lexeme", "places")
+
+    def all_postings(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/postings")
+
+    def keys(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/keys")
+
+
+def _bucket(lexeme: Column) -> Column:
+    return F.pmod(F.xxhash64(lexeme), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+
+def build(docs: DataFrame, key: str, text: str, folder: str) -> Index:
+    """The index of documents, written below a folder. Of a text, the index has its first half million
+    characters; of a lexeme in a document, its first places and how often it comes."""
+    tokens = docs.select(key, F.posexplode(T.lexemes(F.left(F.col(text), F.lit(DEFAULTS.index_chars)))).alias("place", "lexeme"))
+    dealt = tokens.withColumn("bucket", _bucket(F.col("lexeme"))).withColumn("part", F.pmod(F.xxhash64(key), F.lit(PARTS)))
+    rows = dealt.repartition("bucket", "part").groupBy("bucket", "part", "lexeme", key).agg(F.slice(F.array_sort(F.collect_list(F.col("place") + 1)), 1, MOST_PLACES).alias("places"), F.count("*").alias("n"))
+    rows.drop("part").sortWithinPartitions("bucket", "lexeme", key).write.partitionBy("bucket").parquet(f"{folder}/postings")
+    docs.select(key).write.parquet(f"{folder}/keys")
+    return Index(docs.sparkSession, folder, key)
+
+
+def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(lexeme, key, pos) of every token of whole texts."""
+    return docs.select(key, F.posexplode(T.lexemes(F.col(text))).alias("pos", "lexeme"))
+
+
+def index_of(docs: DataFrame, key: str, text: str, path: str) -> Index:
+    """The index of documents that come from a path: built at the first call of a session and again only when
+    what lies at the path has changed."""
+    spark = docs.sparkSession
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    known = (spark.sparkContext.applicationId, path, key, text, files.getContentSummary(there).getLength(), files.getFileStatus(there).getModificationTime())
+    if known not in _BUILT:
+        _BUILT[known] = build(docs, key, text, workspace.folder(spark, "index"))
+    return _BUILT[known]
+
+
+def _lexemes(query: str) -> list[str]:
+    return sorted({w for group in parse(query) for t in group for w in t.words})
+
+
+def _places(word: str) -> Column:
+    return F.coalesce(F.try_element_at("places_", F.lit(word)), F.array().cast("array<int>"))
 
 
-def matches(searchable: Column, query: str) -> Column:
-    """Whether a searchable string answers the query; an empty query has no answer."""
-    groups = [functools.reduce(lambda a, b: a & b, [~searchable.contains(_padded(t.words)) if t.negated else searchable.contains(_padded(t.words)) for t in group]) for group in parse(query)]
+def _holds(term: Term) -> Column:
+    """Whether a document has a word, or the words of a phrase one behind the other."""
+    first = _places(term.words[0])
+    if len(term.words) == 1:
+        return F.size(first) > 0
+    return F.exists(first, lambda p: functools.reduce(lambda a, b: a & b, [F.array_contains(_places(w), p + k) for k, w in enumerate(term.words[1:], 1)]))
+
+
+def _answers(query: str) -> Column:
+    groups = [functools.reduce(lambda a, b: a & b, [~_holds(t) if t.negated else _holds(t) for t in group]) for group in parse(query)]
     return functools.reduce(lambda a, b: a | b, groups, F.lit(False))
 
 
-def rank(searchable: Column, query: str) -> Column:
-    """Sum over the query's positive terms of 1 - 1 / (1 + occurrences)."""
-    terms = sorted({t.words for group in parse(query) for t in group if not t.negated})
+def rank(query: str) -> Column:
+    """The published rank of PostgreSQL for unlabelled lexemes. Alternatives, and single words: the mean over the query's
+    lexemes of their squared reciprocals by place number. A conjunction: the chance that none of all pairs of
+    places of two lexemes counts, each the more the nearer they are, taken from one."""
+    lexemes, groups = _lexemes(query), parse(query)
+    if len(groups) == 1 and len(lexemes) > 1:
+        missed, pairs = F.lit(0.0), F.lit(0)
+        for i, a in enumerate(lexemes):
+            for b in lexemes[:i]:
+                missed = missed + _missed(_places(a), _places(b))
+                pairs = pairs + F.size(_places(a)) * F.size(_places(b))
+        return F.when(pairs > 0, 1 - F.exp(missed)).otherwise(1e-20)
     score = F.lit(0.0)
-    for words in terms:
-        mark = _padded(words)
-        times = (F.length(searchable) - F.length(F.replace(searchable, F.lit(mark), F.lit("")))) / len(mark)
-        score = score + (1 - 1 / (1 + times))
-    return F.round(score, 6)
+    for w in lexemes:
+        score = score + _reciprocals(F.size(_places(w)))
+    return score * WEIGHT / ALL_PLACES / len(lexemes)
+
+
+def _missed(a: Column, b: Column) -> Column:
+    """The logarithm of the chance that no pair of places of two lexemes counts."""
 
+    def pair(p: Column, q: Column) -> Column:
+        d = F.abs(p - q)
+        near = F.when(d > 100, 1e-30).otherwise(1 / (1.005 + 0.05 * F.exp(d / 1.5 - 2)))
+        return F.when(d == 0, 0.0).otherwise(F.log1p(-WEIGHT * F.sqrt(near)))
 
-def headline(text: Column, query: str, before: int = 10, most: int = 30, marked: bool = True) -> Column:
-    """Words around the first match; the query's words in <b> if marked."""
+    return F.aggregate(a, F.lit(0.0), lambda s, p: F.aggregate(b, s, lambda t, q: t + pair(p, q)))
+
+
+def _reciprocals(n: Column) -> Column:
+    """1 + 1/4 + ... up to 1 / n^2; 0 for none."""
+    sums, total = [0.0], 0.0
+    for j in range(1, MOST_PLACES + 1):
+        total += 1.0 / (j * j)
+        sums.append(total)
+    return F.element_at(F.lit(sums), n + 1)
+
+
+def found_in(index: Index, query: str) -> DataFrame:
+    """(key, rank) of every document that answers the query; an empty query has no answer."""
+    lexemes = _lexemes(query)
+    if not lexemes:
+        return index.keys().limit(0).withColumn("rank", F.lit(0.0))
+    rows = index.postings(lexemes).groupBy(index.key).agg(F.map_from_entries(F.collect_list(F.struct("lexeme", "places"))).alias("places_"))
+    if any(all(t.negated for t in group) for group in parse(query)):  # what has none of the words answers too
+        rows = index.keys().join(rows, index.key, "left").withColumn("places_", F.coalesce("places_", F.create_map().cast("map<string,array<int>>")))
+    return rows.where(_answers(query)).select(index.key, rank(query).alias("rank"))
+
+
+def headline(text: Column, query: str, most: int = 40, before: int = 10, fragments: int = 2, marked: bool = True) -> Column:
+    """Up to so many fragments of a text, of ``most`` words each where it has them, around the first match and the
+    first one behind that fragment, joined by dots; the query's words in <b> if marked."""
     wanted = sorted({w for group in parse(query) for t in group if not t.negated for w in t.words})
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     hit = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]+", "").isin(*wanted)
-    at = F.coalesce(F.array_position(F.transform(words, hit), True), F.lit(0)).cast("int")
-    window = F.slice(words, F.greatest(at - before, F.lit(1)), most)
-    shown = F.transform(window, lambda w: F.when(hit(w), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w)) if marked else window
-    return F.array_join(shown, " ")
 
+    def cut(words: Column) -> Column:
+        hits = F.filter(F.transform(words, lambda w, i: F.when(hit(w), i + 1)), lambda i: i.isNotNull())
+        start = lambda at: F.greatest(F.lit(1), F.least(at - before, F.size(words) - most + 1))
 
-def full_text(docs: DataFrame, key: str, text: str, query: str, size: int = 20, page: int = 0) -> DataFrame:
-    """A result page (pos, key, rank), best first, ties by key. Documents are scanned in place, so the
-    plan is one map and a top-k."""
-    if not query.strip():
-        raise ValueError("the query is blank")
-    size = min(size, DEFAULTS.max_page_size)
-    found = docs.select(key, T.searchable(F.col(text)).alias("s")).where(matches(F.col("s"), query)).select(key, rank(F.col("s"), query).alias("rank"))
-    top = found.orderBy(F.desc("rank"), key).limit((page + 1) * size)
-    return top.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("rank"), key))).where(F.col("pos") > page * size)
+        def shown(begin: Column) -> Column:
+            window = F.slice(words, begin, most)
+            return F.array_join(F.transform(window, lambda w: F.when(hit(w), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w)) if marked else window, " ")
 
+        first = start(F.coalesce(F.try_element_at(hits, F.lit(1)), F.lit(1)))
+        if fragments == 1:
+            return shown(first)
+        return T.let(first, lambda f: T.let(F.try_element_at(F.filter(hits, lambda i: i >= f + most), F.lit(1)), lambda n: F.concat_ws(" ... ", shown(f), F.when(n.isNotNull(), shown(F.greatest(f + most, start(n)))))))
+
+    return T.let(F.filter(F.split(text, r"\s+"), lambda w: w != ""), cut)
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(lexeme, key, pos) of every token."""
-    return docs.select(key, F.posexplode(T.lexemes(F.col(text))).alias("pos", "lexeme"))
+
+def passage(text: Column, query: str) -> Column:
+    """A hundred and twenty plain words around the first match, if the text has so many."""
+    return headline(text, query, 120, 20, 1, marked=False)
+
+
+def full_text(index: Index, query: str, size: int = 20, page: int = 0) -> DataFrame:
+    """A result page (key, rank, pos), best first, ties by key."""
+    if not query.strip():
+        raise ValueError("the query is blank")
+    if size < 1 or page < 0:
+        raise ValueError("size below 1 or page below 0")
+    size, key = min(size, DEFAULTS.max_page_size), index.key
+    # sums of one set of numbers may differ in their last places
+    order = [F.desc(F.round("rank", 12)), F.col(key)]
+    top = found_in(index, query[: DEFAULTS.query_chars]).orderBy(*order).limit((page + 1) * size)
+    return top.withColumn("pos", F.row_number().over(Window.orderBy(*order))).where(F.col("pos") > page * size).withColumn("rank", F.round("rank", 6))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -94,10 +221,29 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def nearest(vectors: DataFrame, key: str, column: str, query: list[float], k: int) -> DataFrame:
-    """(key, score): the k vectors nearest to a query vector by cosine, ties by key."""
-    q = F.array(*[F.lit(float(x)) for x in query])
-    return vectors.select(key, F.round(cosine(F.col(column), q), 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
+def nearest(vectors: DataFrame, key: str, column: str, query: list[float], k: int, model: str | None = None) -> DataFrame:
+    """(key, score): the k vectors nearest to a query vector by cosine, ties by key; only those of the model, if one
+    is named. Batches of vectors are multiplied as matrices."""
+    import numpy as np
+    import pyarrow as pa
+
+    wanted = np.array(query, dtype=np.float64)
+    length = np.sqrt(wanted @ wanted)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("v")
+            whole = np.asarray(lists.flatten(), dtype=np.float64)
+            x = whole.reshape(-1, len(wanted)) if len(whole) == len(lists) * len(wanted) and not lists.null_count else np.array([v if v is not None and len(v) == len(wanted) else [np.nan] * len(wanted) for v in lists.to_pylist()], dtype=np.float64).reshape(-1, len(wanted))
+            norm = np.sqrt(np.einsum("ij,ij->i", x, x)) * length
+            with np.errstate(invalid="ignore", divide="ignore"):
+                score = (x @ wanted) / norm
+            yield pa.RecordBatch.from_arrays([batch.column("k"), pa.array(score, pa.float64(), from_pandas=True)], ["k", "score"])
+
+    rows = vectors if model is None else vectors.where(F.col("model") == model)
+    kind = vectors.schema[key].dataType.simpleString()
+    scored = rows.select(F.col(key).alias("k"), F.col(column).alias("v")).mapInArrow(run, f"k {kind}, score double").where("score is not null")
+    return scored.select(F.col("k").alias(key), "score").orderBy(F.desc("score"), key).limit(k)
 
 
 def best_per_page(hits: DataFrame, page: str, key: str, floor: float = DEFAULTS.min_score) -> DataFrame:
@@ -106,12 +252,98 @@ def best_per_page(hits: DataFrame, page: str, key: str, floor: float = DEFAULTS.
     return hits.where(F.col("score") >= floor).groupBy(page).agg(best.alias("b")).select(page, f"b.{key}", "b.score")
 
 
+def semantic(vectors: DataFrame, page: str, key: str, column: str, query: list[float], k: int, floor: float = DEFAULTS.min_score, model: str | None = None) -> DataFrame:
+    """(page, key, score): the k pages nearest by their best chunk; ten times as many chunks are fetched, five hundred
+    at most, so that one page's chunks do not crowd out the others."""
+    pool = nearest(vectors, key, column, query, min(DEFAULTS.overfetch * k, DEFAULTS.max_pool), model)
+    best = best_per_page(vectors.select(page, key).join(F.broadcast(pool), key), page, key, floor)
+    return best.orderBy(F.desc("score"), page).limit(k)
+
+
+def hydrate(hits: DataFrame, pages: DataFrame, page: str) -> DataFrame:
+    """Hits, which a result page bounds, beside their pages; a quarantined page is none, whatever vectors it left."""
+    return pages.where(F.col("ai_status") != "quarantined").join(F.broadcast(hits), page)
+
+
+def changed(chunks: DataFrame, points: DataFrame, model: str) -> DataFrame:
+    """Pages (url, content_hash) of which the model has no point for that content: these are embedded."""
+    return chunks.join(points.where(F.col("model") == model).select("url", "content_hash").distinct(), ["url", "content_hash"], "left_anti")
+
+
+def embed_pages(pages: DataFrame, points: DataFrame, embed, model: str = DEFAULTS.embed_model, width: int | None = None) -> DataFrame:
+    """points (id, url, chunk_index, content_hash, model, text, embedding) after embedding the pages (url, text) whose
+    content is new to the model: capped, cut into chunks and embedded; a page's points go over all that the
+    model had of it. ``embed`` turns a column of texts into one of vectors; one of another width is an error."""
+    hashed = pages.where(F.trim("text") != "").select("url", "text", F.sha2("text", 256).alias("content_hash"))
+    fresh = changed(hashed, points, model)
+    cut = fresh.select("url", "content_hash", F.posexplode(T.chunks(F.left("text", F.lit(DEFAULTS.embed_chars)))).alias("chunk_index", "text"))
+    made = cut.select(T.name_uuid(F.concat_ws("-", "url", F.col("chunk_index").cast("string"))).alias("id"), "url", "chunk_index", "content_hash", F.lit(model).alias("model"), "text", embed(F.col("text")).alias("embedding"))
+    if width is not None:
+        made = made.withColumn("embedding", F.when(F.size("embedding") == width, F.col("embedding")).otherwise(F.raise_error(F.lit("an embedding has another width"))))
+    gone = fresh.select("url").distinct().withColumn("model", F.lit(model))
+    return points.join(gone, ["url", "model"], "left_anti").select(*made.columns).unionByName(made)
+
+
 def fuse(text: DataFrame, vectors: DataFrame, key: str, k: int = DEFAULTS.rrf_k, size: int = 20) -> DataFrame:
     """Reciprocal rank fusion of two lists (key, pos from 1): (key, score), the first list before the
     second among equals."""
     lists = text.select(key, "pos", F.lit(1).alias("list")).unionByName(vectors.select(key, "pos", F.lit(2).alias("list")))
-    fused = lists.groupBy(key).agg(F.round(F.sum(1.0 / (k + F.col("pos"))), 6).alias("score"), F.min(F.struct("list", "pos")).alias("first"))
-    return fused.orderBy(F.desc("score"), "first", key).limit(size).select(key, "score")
+    fused = lists.groupBy(key).agg(F.sum(1.0 / (k + F.col("pos"))).alias("score"), F.min(F.struct("list", "pos")).alias("first"))
+    return fused.orderBy(F.desc("score"), "first", key).limit(size).select(key, F.round("score", 6).alias("score"))
+
+
+def hybrid(index: Index, query: str, vectors: DataFrame | None, size: int = 20, page: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(result page (key, score), total). The first page fuses the text hits with the vector hits (key, pos) and
+    counts the union of the two lists; another page, or one without vector hits, is the text's alone and
+    counts all documents that answer."""
+    text = full_text(index, query, size, page)
+    if page == 0 and vectors is not None and vectors.limit(1).count():
+        both = text.select(index.key).unionByName(vectors.select(index.key)).distinct()
+        return fuse(text, vectors, index.key, size=size), both.agg(F.count("*").alias("total"))
+    return text.select(index.key, F.col("rank").alias("score")), found_in(index, query).agg(F.count("*").alias("total"))
+
+
+def semantic_page(hits: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """(hits, total) of a search by vectors alone; without an embedder there is none."""
+    if hits is None:
+        raise RuntimeError("vector search is not available")
+    return hits, hits.agg(F.count("*").alias("total"))
+
+
+def passages(results: DataFrame, chunks: DataFrame, pages: DataFrame, key: str, query: str) -> DataFrame:
+    """(pos, key, passage) of results (key, pos): the best chunk that vector search found of a page, or where it found
+    none the words of the page around the query's first match."""
+    best = chunks.select(key, F.col("text").alias("chunk_"))
+    joined = results.join(best, key, "left").join(pages.select(key, F.col("text").alias("text_")), key)
+    return joined.select("pos", key, F.coalesce("chunk_", passage(F.col("text_"), query)).alias("passage"))
+
+
+def planes(width: int, tables: int, bits: int, seed: int = 7):
+    """Normals of random hyperplanes, [table * bits, width], the same wherever they are drawn."""
+    import numpy as np
+
+    return np.random.default_rng(seed).normal(size=(tables * bits, width))
+
+
+def approximate(vectors: DataFrame, key: str, column: str, query: list[float], k: int, tables: int = 24, bits: int = 6) -> DataFrame:
+    """(key, score) of about the k nearest vectors by cosine: only those that share a bucket, the sides of a
+    table's hyperplanes on which they lie, with the query, or lie on the other side of one of them alone, are
+    scored. With these tables it finds over nine tenths of them; :func:`nearest` is exact."""
+    import numpy as np
+    import pyarrow as pa
+
+    normals = planes(len(query), tables, bits)
+    side = lambda x: (x @ normals.T > 0).reshape(-1, tables, bits)
+    own = side(np.array([query], dtype=np.float64))[0]
+
+    def run(batches):
+        for batch in batches:
+            x = np.array(batch.column(column).to_pylist(), dtype=np.float64).reshape(-1, len(query))
+            near = ((side(x) != own[None]).sum(axis=2) <= 1).any(axis=1)
+            yield batch.filter(pa.array(near))
+
+    rows = vectors.select(key, column)
+    return nearest(rows.mapInArrow(run, rows.schema), key, column, query, k)
 
 
 def by_best_position(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -7,61 +7,108 @@ from pyspark.sql import functions as F
 
 from lithic.catalog import register
 from lithic.functions import text as T
-from lithic.operators import agents, graph, search
+from lithic.operators import agents, graph, models, search
 from lithic.plans.pages import PAGE_TEXT
 from lithic.sources.tables import table
 
 QUESTION = 'the "of the" -onion or idiot'
-S = r"'  ' || regexp_replace(lower(left({}, 500000)), '[^\p{{L}}\p{{N}}]+', '  ', 'g') || '  '"
+BOTH = "the idiot"
+TS = r"regexp_extract_all(lower(left({}, 500000)), '[\p{{L}}\p{{N}}]+')"
+AT = "list_filter(range(1, len(ts) + 1), lambda i: ts[i] = '{}')[1:255]"
 
 
-def _times(*words: str) -> str:
-    mark = " " + "  ".join(words) + " "
-    return f"(1 - 1 / (1 + (length(s) - length(replace(s, '{mark}', ''))) / {len(mark)}.0))"
+def _reciprocals(word: str) -> str:
+    return f"coalesce(list_sum(list_transform(range(1, len({AT.format(word)}) + 1), lambda j: 1.0::DOUBLE / (j * j))), 0)"
 
 
-HIT = "((contains(s, ' the ') AND contains(s, ' of  the ') AND NOT contains(s, ' onion ')) OR contains(s, ' idiot '))"
-RANK = f"round({_times('idiot')} + {_times('of', 'the')} + {_times('the')}, 6)"
+def _or_rank(*words: str) -> str:
+    return "(" + " + ".join(_reciprocals(w) for w in words) + f") * 0.1::DOUBLE / 1.64493406685::DOUBLE / {len(words)}"
 
 
-def _oracle(relation: str, key: str, text: str, size: int = 20) -> str:
-    return f"""WITH f AS (SELECT {key}, {S.format(text)} AS s FROM {relation}), h AS (SELECT {key}, {RANK} AS rank FROM f WHERE {HIT}),
-t AS (SELECT {key}, rank, CAST(row_number() OVER (ORDER BY rank DESC, {key}) AS INTEGER) AS pos FROM h) SELECT {key}, rank, pos FROM t WHERE pos <= {size}"""
+def _has(word: str) -> str:
+    return f"list_contains(ts, '{word}')"
+
+
+#: 'of' with 'the' behind it.
+PHRASE = "len(list_filter(range(1, len(ts)), lambda i: ts[i] = 'of' AND ts[i + 1] = 'the')) > 0"
+HIT = f"(({_has('the')} AND {PHRASE} AND NOT {_has('onion')}) OR {_has('idiot')})"
+RANK = _or_rank("idiot", "of", "onion", "the")
+
+
+def _hits(relation: str, key: str, text: str, hit: str = HIT, rank: str = RANK) -> str:
+    return f"WITH f AS (SELECT {key}, {TS.format(text)} AS ts FROM {relation}), h AS (SELECT {key}, {rank} AS rank FROM f WHERE {hit}), t AS (SELECT {key}, rank, CAST(row_number() OVER (ORDER BY round(rank, 12) DESC, {key}) AS INTEGER) AS pos FROM h)"
+
+
+def _oracle(relation: str, key: str, text: str, first: int = 1, last: int = 20) -> str:
+    return _hits(relation, key, text) + f" SELECT {key}, round(rank, 6) AS rank, pos FROM t WHERE pos BETWEEN {first} AND {last}"
+
+
+def documents(spark: SparkSession, sf_dir: str) -> search.Index:
+    return search.index_of(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", f"{sf_dir}/documents.parquet")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> search.Index:
+    texts = table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
+    return search.index_of(texts, "page_id", "text", f"{sf_dir}/pages.parquet")
 
 
 @register("search_fulltext", _oracle("pages", "page_id", PAGE_TEXT))
 def search_fulltext(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
-    return search.full_text(pages, "page_id", "text", QUESTION)
+    return search.full_text(pages(spark, sf_dir), QUESTION)
 
 
 @register("search_documents", _oracle("documents", "doc_id", "text"))
 def search_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.full_text(table(spark, sf_dir, "documents"), "doc_id", "text", QUESTION)
+    return search.full_text(documents(spark, sf_dir), QUESTION)
 
 
-@register("search_total", f"WITH f AS (SELECT {S.format('text')} AS s FROM documents) SELECT count(*) AS total FROM f WHERE {HIT}")
+@register("search_total", _hits("documents", "doc_id", "text") + " SELECT count(*) AS total FROM t")
 def search_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where(search.matches(T.searchable(F.col("text")), QUESTION)).agg(F.count("*").alias("total"))
+    return search.found_in(documents(spark, sf_dir), QUESTION).agg(F.count("*").alias("total"))
 
 
-@register("search_page_two", f"""WITH f AS (SELECT doc_id, {S.format('text')} AS s FROM documents), h AS (SELECT doc_id, {RANK} AS rank FROM f WHERE {HIT}),
-t AS (SELECT doc_id, rank, CAST(row_number() OVER (ORDER BY rank DESC, doc_id) AS INTEGER) AS pos FROM h) SELECT doc_id, rank, pos FROM t WHERE pos > 10 AND pos <= 20""")
+@register("search_page_two", _oracle("documents", "doc_id", "text", 11, 20))
 def search_page_two(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.full_text(table(spark, sf_dir, "documents"), "doc_id", "text", QUESTION, 10, 1)
+    return search.full_text(documents(spark, sf_dir), QUESTION, 10, 1)
+
+
+DISTANCE = "CASE WHEN x.p = y.p THEN 0::DOUBLE ELSE ln(1 - 0.1::DOUBLE * sqrt(CASE WHEN abs(x.p - y.p) > 100 THEN 1e-30 ELSE 1 / (1.005::DOUBLE + 0.05::DOUBLE * exp(abs(x.p - y.p) / 1.5::DOUBLE - 2)) END)) END"
+
+
+@register("search_conjunction", rf"""WITH f AS (SELECT doc_id, {TS.format('text')} AS ts FROM documents), g AS (SELECT * FROM f WHERE {_has('the')} AND {_has('idiot')}),
+a AS (SELECT doc_id, unnest({AT.format('the')}) AS p FROM g), b AS (SELECT doc_id, unnest({AT.format('idiot')}) AS p FROM g),
+h AS (SELECT x.doc_id, 1 - exp(sum({DISTANCE})) AS rank FROM a x JOIN b y ON x.doc_id = y.doc_id GROUP BY x.doc_id)
+SELECT doc_id, round(rank, 6) AS rank, CAST(row_number() OVER (ORDER BY round(rank, 12) DESC, doc_id) AS INTEGER) AS pos FROM h QUALIFY pos <= 20""")
+def search_conjunction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.full_text(documents(spark, sf_dir), BOTH)
+
+
+@register("search_negation", rf"WITH f AS (SELECT doc_id, {TS.format('text')} AS ts FROM documents) SELECT count(*) AS total FROM f WHERE NOT {_has('the')}")
+def search_negation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.found_in(documents(spark, sf_dir), "-the").agg(F.count("*").alias("total"))
 
 
 CLEAN = r"regexp_replace(lower(w), '[^\p{L}\p{N}]+', '', 'g')"
+SHOWN = f"array_to_string(list_transform(ws[@:@ + 39], lambda w: CASE WHEN {CLEAN} = 'idiot' THEN '<b>' || w || '</b>' ELSE w END), ' ')"
 
 
-@register("search_snippet", rf"""WITH x AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM documents WHERE contains({S.format('text')}, ' idiot ')),
-p AS (SELECT doc_id, ws, coalesce(list_position(list_transform(ws, lambda w: {CLEAN} = 'idiot'), true), 0) AS hit FROM x)
-SELECT doc_id, md5(array_to_string(list_transform(ws[greatest(hit - 10, 1):greatest(hit - 10, 1) + 29], lambda w: CASE WHEN {CLEAN} = 'idiot' THEN '<b>' || w || '</b>' ELSE w END), ' ')) AS snippet_md5 FROM p""")
+@register("search_snippet", rf"""WITH x AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws, {TS.format('text')} AS ts FROM documents),
+p AS (SELECT doc_id, ws, list_filter(list_transform(ws, lambda w, i: CASE WHEN {CLEAN} = 'idiot' THEN i END), lambda i: i IS NOT NULL) AS hits FROM x WHERE list_contains(ts, 'idiot')),
+a AS (SELECT *, CAST(greatest(1, least(coalesce(hits[1], 1) - 10, len(ws) - 39)) AS BIGINT) AS f FROM p), b AS (SELECT *, list_filter(hits, lambda i: i >= f + 40)[1] AS n FROM a),
+c AS (SELECT *, CAST(greatest(f + 40, least(n - 10, len(ws) - 39), 1) AS BIGINT) AS g FROM b)
+SELECT doc_id, md5({SHOWN.replace('@', 'f')} || CASE WHEN n IS NOT NULL THEN ' ... ' || {SHOWN.replace('@', 'g')} ELSE '' END) AS snippet_md5 FROM c""")
 def search_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where(search.matches(T.searchable(F.col("text")), "idiot"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(search.found_in(documents(spark, sf_dir), "idiot").select("doc_id"), "doc_id", "left_semi")
     return docs.select("doc_id", F.md5(search.headline(F.col("text"), "idiot")).alias("snippet_md5"))
 
 
+@register("search_index", r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(left(text, 500000)), '[\p{L}\p{N}]+')) AS lexeme FROM documents)
+SELECT lexeme, count(*) AS occurrences, count(DISTINCT doc_id) AS n_docs FROM t GROUP BY lexeme""")
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the index holds, which has the first half million characters of a text: that is its feature."""
+    return documents(spark, sf_dir).all_postings().groupBy("lexeme").agg(F.sum("n").alias("occurrences"), F.count("*").alias("n_docs"))
+
+
 @register("postings_stats", r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS lexeme FROM documents)
 SELECT lexeme, count(*) AS occurrences, count(DISTINCT doc_id) AS n_docs FROM t GROUP BY lexeme""")
 def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,56 +118,142 @@ def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERY = [round(((i * 37) % 19 - 9) / 10, 1) for i in range(64)]
 QSQL = "[" + ",".join(map(str, QUERY)) + "]::DOUBLE[]"
+EXACT = f"list_dot_product(embedding::DOUBLE[], {QSQL}) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product({QSQL}, {QSQL}))"
 COS = f"round(list_dot_product(embedding::DOUBLE[], {QSQL}) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product({QSQL}, {QSQL})), 6)"
 
 
-@register("vector_topk", f"SELECT vec_id, {COS} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 20")
+@register("vector_topk", f"SELECT vec_id, {COS} AS score FROM embeddings ORDER BY {EXACT} DESC, vec_id LIMIT 20")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", QUERY, 20)
+    return search.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", QUERY, 20).select("vec_id", F.round("score", 6).alias("score"))
 
 
-@register("vector_best_per_group", f"""WITH p AS (SELECT vec_id, label, {COS} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 100)
-SELECT label, vec_id, score FROM p WHERE score >= 0.05 QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) = 1""")
+@register("vector_best_per_group", f"""WITH p AS (SELECT vec_id, label, {EXACT} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 100)
+SELECT label, vec_id, round(score, 6) AS score FROM p WHERE score >= 0.05 QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) = 1""")
 def vector_best_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     pool = search.nearest(vectors, "vec_id", "embedding", QUERY, 100)
-    return search.best_per_page(vectors.select("vec_id", "label").join(F.broadcast(pool), "vec_id"), "label", "vec_id", 0.05)
+    return search.best_per_page(vectors.select("vec_id", "label").join(F.broadcast(pool), "vec_id"), "label", "vec_id", 0.05).select("label", "vec_id", F.round("score", 6).alias("score"))
 
 
-HYBRID = f"""WITH f AS (SELECT doc_id, {S.format('text')} AS s FROM documents), h AS (SELECT doc_id, {RANK} AS rank FROM f WHERE {HIT} ORDER BY rank DESC, doc_id LIMIT 50),
-t AS (SELECT doc_id, row_number() OVER (ORDER BY rank DESC, doc_id) AS pos, 1 AS l FROM h),
-e AS (SELECT vec_id, {COS} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 50),
+HYBRID = _hits("documents", "doc_id", "text") + f""",
+l AS (SELECT doc_id, pos, 1 AS l FROM t WHERE pos <= 50),
+e AS (SELECT vec_id, {EXACT} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 50),
 v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS pos, 2 AS l FROM e),
-u AS (SELECT * FROM t UNION ALL SELECT * FROM v),
-g AS (SELECT doc_id, round(sum(1.0 / (60 + pos)), 6) AS score, min(l * 1000 + pos) AS first FROM u GROUP BY doc_id)
+u AS (SELECT * FROM l UNION ALL SELECT * FROM v),
+g AS (SELECT doc_id, sum(1.0::DOUBLE / (60 + pos)) AS score, min(l * 1000 + pos) AS first FROM u GROUP BY doc_id)
 """
 
 
-def _lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    text = search.full_text(table(spark, sf_dir, "documents"), "doc_id", "text", QUESTION, 50)
-    near = search.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", QUERY, 50)
-    return text, near.select(F.col("vec_id").alias("doc_id"), F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")).alias("pos"))
+def _near(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    near = search.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", QUERY, k)
+    return near.select(F.col("vec_id").alias("doc_id"), F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")).alias("pos"))
 
 
-@register("rrf_hybrid", HYBRID + "SELECT doc_id, score FROM g ORDER BY score DESC, first LIMIT 20")
+@register("rrf_hybrid", HYBRID + "SELECT doc_id, round(score, 6) AS score FROM g ORDER BY g.score DESC, first LIMIT 50")
 def rrf_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.fuse(*_lists(spark, sf_dir), "doc_id")
+    return search.hybrid(documents(spark, sf_dir), QUESTION, _near(spark, sf_dir, 50), 50)[0]
 
 
 @register("hybrid_union_total", HYBRID + "SELECT count(*) AS total FROM g")
 def hybrid_union_total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = _lists(spark, sf_dir)
-    return a.select("doc_id").unionByName(b.select("doc_id")).distinct().agg(F.count("*").alias("total"))
+    return search.hybrid(documents(spark, sf_dir), QUESTION, _near(spark, sf_dir, 50), 50)[1]
+
+
+@register("hybrid_page_two", HYBRID + "SELECT doc_id, round(rank, 6) AS score FROM t WHERE pos > 10 AND pos <= 20")
+def hybrid_page_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.hybrid(documents(spark, sf_dir), QUESTION, _near(spark, sf_dir, 50), 10, 1)[0]
+
+
+@register("hybrid_page_two_total", HYBRID + "SELECT count(*) AS total FROM t")
+def hybrid_page_two_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.hybrid(documents(spark, sf_dir), QUESTION, _near(spark, sf_dir, 50), 10, 1)[1]
+
+
+@register("hybrid_without_vectors", HYBRID + "SELECT doc_id, round(rank, 6) AS score FROM t WHERE pos <= 20")
+def hybrid_without_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.hybrid(documents(spark, sf_dir), QUESTION, _near(spark, sf_dir, 50).limit(0))[0]
+
+
+@register("vector_pages", f"""WITH e AS (SELECT vec_id, label, {EXACT} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 50), b AS (SELECT * FROM e WHERE score >= 0.05 QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) = 1)
+SELECT label, vec_id, round(score, 6) AS score FROM b ORDER BY b.score DESC, label LIMIT 5""")
+def vector_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = search.semantic(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding", QUERY, 5, 0.05)
+    return search.semantic_page(hits)[0].select("label", "vec_id", F.round("score", 6).alias("score"))
+
+
+@register("vector_model", f"SELECT vec_id, round({EXACT}, 6) AS score FROM embeddings WHERE vec_id % 3 = 1 ORDER BY {EXACT} DESC, vec_id LIMIT 20")
+def vector_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").withColumn("model", F.concat(F.lit("m"), (F.col("vec_id") % 3).cast("string")))
+    return search.nearest(vectors, "vec_id", "embedding", QUERY, 20, "m1").select("vec_id", F.round("score", 6).alias("score"))
+
+
+@register("vector_approximate")
+def vector_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By hyperplane buckets; its recall is tested against the exact search."""
+    return search.approximate(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", QUERY, 20)
+
+
+@register("hydrated_hits", f"""WITH e AS (SELECT vec_id, {EXACT} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 100)
+SELECT vec_id AS doc_id, round(score, 6) AS score, md5(CASE WHEN length(text) > 240 THEN left(text, 240) || '…' ELSE text END) AS snippet_md5 FROM e JOIN documents ON doc_id = vec_id WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""")
+def hydrated_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = search.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", QUERY, 100).withColumnRenamed("vec_id", "doc_id")
+    bad = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id", F.lit("quarantined").alias("s"))
+    docs = table(spark, sf_dir, "documents").join(bad, "doc_id", "left").withColumn("ai_status", F.coalesce("s", F.lit("processed")))
+    return search.hydrate(hits, docs, "doc_id").select("doc_id", F.round("score", 6).alias("score"), F.md5(T.snippet(F.col("text"))).alias("snippet_md5"))
+
+
+@register("vector_gate", "SELECT doc_id, sha256(text) AS content_hash FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id % 3 = 1 AND vec_id % 5 <> 0)")
+def vector_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("url"), F.sha2("text", 256).alias("content_hash"))
+    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("url")).join(docs, "url")
+    points = points.select("url", F.when(F.col("url") % 5 == 0, "old").otherwise(F.col("content_hash")).alias("content_hash"), F.concat(F.lit("m"), (F.col("url") % 3).cast("string")).alias("model"))
+    return search.changed(docs, points, "m1").select(F.col("url").alias("doc_id"), "content_hash")
+
+
+@register("embedding_points", """WITH n AS (SELECT doc_id, left(text, 50000) AS t FROM documents WHERE trim(text) <> ''), c AS (SELECT doc_id, t, CASE WHEN length(t) <= 2048 THEN 1 ELSE CAST(ceil((length(t) - 2048) / 1741.0) AS INTEGER) + 1 END AS n FROM n)
+SELECT doc_id, CAST(n AS BIGINT) AS points, CASE WHEN doc_id % 4 = 0 THEN 'kept' ELSE 'made' END AS how, CASE WHEN doc_id % 4 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(n AS BIGINT) END AS unit_vectors FROM c""")
+def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole processor: pages whose points are there keep them, others, old longer ones too, get new ones."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("url"), "text")
+    old = docs.where(F.trim("text") != "").select("url", "text", F.when(F.col("url") % 4 == 0, F.sha2("text", 256)).otherwise("old").alias("content_hash"), F.explode(F.sequence(F.lit(0), F.size(T.chunks(F.left("text", F.lit(50_000)))) - 1 + F.when(F.col("url") % 4 == 0, 0).otherwise(2))).alias("chunk_index"))
+    points = old.select(F.lit("id").alias("id"), "url", "chunk_index", "content_hash", F.lit("offline-64").alias("model"), F.lit("kept").alias("text"), F.array().cast("array<double>").alias("embedding"))
+    made = search.embed_pages(docs, points, models.embedding, width=models.DIMENSIONS)
+    unit = F.abs(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x) - 1) < 1e-9
+    how = F.when(F.min("text") == "kept", "kept").otherwise("made")
+    return made.groupBy("url").agg(F.count("*").alias("points"), how.alias("how"), F.count(F.when(unit, 1)).alias("unit_vectors")).select(F.col("url").cast("long").alias("doc_id"), "points", "how", "unit_vectors")
+
+
+PASSAGE = f"array_to_string(ws[CAST(greatest(1, least(coalesce(hit, 1) - 20, len(ws) - 119)) AS BIGINT):CAST(greatest(1, least(coalesce(hit, 1) - 20, len(ws) - 119)) AS BIGINT) + 119], ' ')"
+CHAT = _hits("documents", "doc_id", "text", _has("idiot"), _or_rank("idiot")) + rf""",
+w AS (SELECT doc_id, pos, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM t JOIN documents USING (doc_id) WHERE pos <= 8),
+p AS (SELECT doc_id, pos, ws, list_position(list_transform(ws, lambda w: {CLEAN} = 'idiot'), true) AS hit FROM w)"""
 
 
-@register("chat_context", rf"""WITH f AS (SELECT doc_id, text, {S.format('text')} AS s FROM documents), h AS (SELECT doc_id, text, round({_times('idiot')}, 6) AS rank FROM f WHERE contains(s, ' idiot ') ORDER BY rank DESC, doc_id LIMIT 8),
-x AS (SELECT doc_id, row_number() OVER (ORDER BY rank DESC, doc_id) AS pos, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM h),
-p AS (SELECT doc_id, pos, ws, coalesce(list_position(list_transform(ws, lambda w: {CLEAN} = 'idiot'), true), 0) AS hit FROM x),
-y AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, array_to_string(ws[greatest(hit - 20, 1):greatest(hit - 20, 1) + 119], ' ') AS t FROM p),
+@register("chat_context", CHAT + rf""",
+y AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, {PASSAGE} AS t FROM p),
 u AS (SELECT *, coalesce(sum(length(t)) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM y)
 SELECT doc_id, pos, md5(left(t, CAST(12000 - used AS BIGINT))) AS passage_md5 FROM u WHERE used < 12000""")
 def chat_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return agents.retrieve(table(spark, sf_dir, "documents"), "doc_id", "text", "idiot", "idiot").select("doc_id", "pos", F.md5("passage").alias("passage_md5"))
+    docs = table(spark, sf_dir, "documents")
+    return agents.retrieve(documents(spark, sf_dir), docs, "text", "idiot", "idiot").select("doc_id", "pos", F.md5("passage").alias("passage_md5"))
+
+
+@register("chat_context_fused", CHAT.replace("WHERE pos <= 8)", "WHERE pos <= 8 AND false)") + rf""",
+tl AS (SELECT doc_id, pos FROM t WHERE pos <= 8),
+e AS (SELECT vec_id, label, {EXACT} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 8), v AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY score DESC, vec_id) AS pos FROM e),
+g AS (SELECT doc_id, sum(1.0::DOUBLE / (60 + pos)) AS score, min(l * 1000 + pos) AS first FROM (SELECT doc_id, pos, 1 AS l FROM tl UNION ALL SELECT doc_id, pos, 2 AS l FROM v) GROUP BY doc_id),
+k AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY score DESC, first) AS INTEGER) AS pos FROM g QUALIFY pos <= 8),
+x AS (SELECT k.doc_id, k.pos, v.doc_id IS NOT NULL AS chunked, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM k JOIN documents d ON d.doc_id = k.doc_id LEFT JOIN v ON v.doc_id = k.doc_id),
+z AS (SELECT *, list_position(list_transform(ws, lambda w: {CLEAN} = 'idiot'), true) AS hit FROM x),
+y AS (SELECT doc_id, pos, CASE WHEN chunked THEN 'chunk of ' || doc_id ELSE {PASSAGE} END AS t FROM z),
+s AS (SELECT *, coalesce(sum(length(t)) OVER (ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM y)
+SELECT doc_id, pos, md5(left(t, CAST(12000 - used AS BIGINT))) AS passage_md5 FROM s WHERE used < 12000""")
+def chat_context_fused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text hits fused with vector hits of the rewritten question; a page that a vector found gives that chunk."""
+    docs = table(spark, sf_dir, "documents")
+    near = search.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", QUERY, 8).withColumnRenamed("vec_id", "doc_id")
+    chunks = near.join(docs.select("doc_id"), "doc_id", "left").select("doc_id", "score", F.concat(F.lit("chunk of "), F.col("doc_id").cast("string")).alias("text"))
+    return agents.retrieve(documents(spark, sf_dir), docs, "text", "idiot", "idiot", chunks=chunks).select("doc_id", "pos", F.md5("passage").alias("passage_md5"))
 
 
 def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import math
+
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lithic import settings as conf
 from lithic.functions import entities, urls
 from lithic.functions import text as T
 from lithic.operators import agents, changes, models, quota, search, versions
@@ -121,14 +126,46 @@ def test_query_parser():
     assert search.parse('"unclosed - or') and search.parse("") == [] and search.parse("- or !") == []
 
 
-def test_search(spark):
+def test_search(spark, tmp_path):
     docs = spark.createDataFrame([(1, "Red apple, red pear"), (2, "apple red"), (3, "green"), (4, None)], "id long, t string")
-    assert [(r.id, r.pos) for r in search.full_text(docs, "id", "t", "red apple").orderBy("pos").collect()] == [(1, 1), (2, 2)]
-    assert [r.id for r in search.full_text(docs, "id", "t", '"apple red"').orderBy("pos").collect()] == [1, 2]
-    assert [r.id for r in search.full_text(docs, "id", "t", "red -pear or green").orderBy("id").collect()] == [2, 3]
-    assert search.full_text(docs, "id", "t", "none").count() == 0
-    with pytest.raises(ValueError):
-        search.full_text(docs, "id", "t", " ")
+    index = search.build(docs, "id", "t", str(tmp_path))
+    hits = lambda q, **more: [r.id for r in search.full_text(index, q, **more).orderBy("pos").collect()]
+    assert hits("red apple") == [1, 2] and hits('"apple red"') == [1, 2] and sorted(hits("red -pear or green")) == [2, 3]
+    assert hits("none") == [] and hits("!") == [] and sorted(hits("-red")) == [3, 4] and hits("red", size=1, page=1) == [2]
+    for wrong in (dict(query=" "), dict(query="a", size=0), dict(query="a", page=-1)):
+        with pytest.raises(ValueError):
+            search.full_text(index, **wrong)
+    assert search._lexemes("b a -c or a") == ["a", "b", "c"]
+
+
+def test_rank_by_hand(spark, tmp_path):
+    index = search.build(spark.createDataFrame([(1, "a x b a"), (2, "b")], "id long, t string"), "id", "t", str(tmp_path))
+    rank = lambda q: {r.id: r["rank"] for r in search.found_in(index, q).collect()}
+    assert rank("a or b") == {1: pytest.approx(0.1 / 1.64493406685 * (1 + 1 / 4 + 1) / 2), 2: pytest.approx(0.1 / 1.64493406685 / 2)}
+    near = lambda d: 0.1 * (1 / (1.005 + 0.05 * math.exp(d / 1.5 - 2))) ** 0.5
+    assert rank("a b") == {1: pytest.approx(1 - (1 - near(2)) * (1 - near(1)))}
+
+
+def test_headline_has_two_fragments(spark):
+    text = " ".join("hit" if k in (5, 60, 99) else f"w{k}" for k in range(120))
+    one, two = spark.createDataFrame([(text,)], "t string").select(search.headline(F.col("t"), "hit")).first()[0].split(" ... ")
+    assert len(one.split()) == len(two.split()) == 40 and "<b>hit</b>" in one and "<b>hit</b>" in two
+    plain = spark.createDataFrame([(text,), ("a hit",)], "t string").select(search.passage(F.col("t"), "hit")).collect()
+    assert len(plain[0][0].split()) == 120 and plain[1][0] == "a hit"
+
+
+def test_approximate_search_finds_most(spark):
+    rng = np.random.default_rng(3)
+    vectors = rng.normal(size=(4000, 16))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "i long, v array<double>").cache()
+    found = wanted = 0
+    for q in vectors[:8]:
+        exact = {r.i for r in search.nearest(rows, "i", "v", q.tolist(), 10).collect()}
+        wanted += len(exact)
+        found += len(exact & {r.i for r in search.approximate(rows, "i", "v", q.tolist(), 10).collect()})
+    assert found >= 0.9 * wanted
+    odd = spark.createDataFrame([(1, None), (2, [1.0]), (3, [0.0] * 16), (4, vectors[0].tolist())], "i long, v array<double>")
+    assert [r.i for r in search.nearest(odd, "i", "v", vectors[0].tolist(), 10).collect()] == [4]
 
 
 def test_fusion(spark):
@@ -159,8 +196,11 @@ def test_quota(spark):
 
 
 def test_breaker(spark):
-    rows = spark.createDataFrame([("h", i, f) for i, f in enumerate([True] * 5 + [False, True])], "host string, i int, failed boolean")
-    assert [r.open for r in quota.breaker_open(rows, "host", "i", "failed").orderBy("i").collect()] == [False] * 4 + [True] * 2 + [False]
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    seconds = [0, 1, 2, 3, 4, 33, 34, 50]  # the fourth failure opens, a try fails after thirty seconds and opens anew
+    rows = spark.createDataFrame([("h", at(s), i, True) for i, s in enumerate(seconds)] + [("h", at(59) + dt.timedelta(seconds=5), 8, False), ("h", at(59) + dt.timedelta(seconds=6), 9, True), ("g", at(0), 0, False)], "host string, at timestamp, i int, failed boolean")
+    got = [r.allowed for r in quota.breaker(rows, "host", "at", "i", "failed").where("host = 'h'").orderBy("i").collect()]
+    assert got == [True, True, True, True, False, True, False, False, True, True]
 
 
 @given(st.lists(st.integers(0, 60), max_size=8), st.integers(0, 100))
@@ -212,9 +252,17 @@ def test_sources(spark):
     assert good.count() == 1 and dead.count() == 2
     lines = spark.createDataFrame([("# c",), (" " + "A" * 32 + " ",), ("b" * 31,), ("",)], "value string")
     assert [r.value for r in tables.hash_list(lines).collect()] == ["a" * 32]
-    assert tables.valid_patterns(["# c", "(", "ok"]) == ["ok"] and tables.size_limit(0) is None
+    assert tables.valid_patterns(spark, ["# c", "(", "(?P<x>a)", "ok", "(?<x>a)"]) == ["ok", "(?<x>a)"] and tables.size_limit(0) is None
+    assert tables.read_list(spark, "/nowhere/at/all").count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        tables.read_hashes(spark, "/nowhere/at/all")
+    with pytest.raises(ValueError):
+        tables.ensure_collection({"a": 3}, "a", 4)
+    with pytest.raises(ValueError):
+        conf.parse(["no_such_setting: 1"])
+    assert conf.load("/nowhere") == conf.DEFAULTS
     records = spark.createDataFrame([("k", "x" * 10), ("l", "x" * 2_000_000)], "key string, value string")
-    fits, large = tables.split_oversized(records, 1)
+    fits, large = tables.split_oversized(records, tables.size_limit(1), F.current_timestamp())
     assert fits.count() == 1 and large.first().note.startswith("l|")
 
 
