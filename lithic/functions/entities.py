@@ -100,9 +100,10 @@ def entity_key(kind: Column, display: Column) -> Column:
     )
 
 
-def pattern_entities(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, type, entity_key, display, confidence): valid matches in rule order, then in text order."""
-    rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(kind).alias("type"), F.lit(conf).alias("confidence"), F.lit(check).cast("string").alias("check"), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)).alias("found")) for i, (kind, p, conf, check) in enumerate(RULES)])
+def pattern_entities(docs: DataFrame, key: str, text: str, types: tuple[str, ...] = ()) -> DataFrame:
+    """(key, pos, type, entity_key, display, confidence): valid matches in rule order, then in text order; of the named
+    types only, if any are named."""
+    rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(kind).alias("type"), F.lit(conf).alias("confidence"), F.lit(check).cast("string").alias("check"), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)).alias("found")) for i, (kind, p, conf, check) in enumerate(RULES) if not types or kind in types])
     rows = docs.select(key, F.explode(F.filter(rules, lambda r: F.size(r["found"]) > 0)).alias("r")).select(key, "r.*").select(key, "rule", "type", "confidence", "check", F.posexplode("found").alias("at", "display"))
     checked = rows.where(F.col("check").isNotNull()).where(checksum_holds("display", "check"))
     rows = rows.where(F.col("check").isNull()).unionByName(checked)
@@ -123,6 +124,21 @@ def valid_named(entities: Column, floor: float = DEFAULTS.min_entity_confidence)
     return F.filter(entities, lambda e: F.lower(e["type"]).isin(*NAMED) & (F.length(F.trim(e["value"])) > 0) & (F.length(e["value"]) <= 200) & (e["confidence"] >= floor))
 
 
+def of_documents(patterns: DataFrame, named: DataFrame, key: str, model: Column) -> DataFrame:
+    """(key, status, entities) of documents: pattern entities of whole texts and the model's named ones, merged.
+    ``model`` says how the model's call ended: if it failed the pattern entities stay and the step has failed; if
+    only quota was missing nothing is kept and the document waits. named: (key, entities or null, and what
+    ``model`` reads)."""
+    named = named.withColumn("model_", model)
+    good = named.where("model_ = 'ok'").select(key, F.posexplode(valid_named(F.col("entities"))).alias("at", "e"))
+    good = good.select(key, (F.lit(len(RULES) * 1_000_000) + F.col("at")).alias("pos"), F.lower("e.type").alias("type"), fold(F.col("e.value")).alias("entity_key"), F.trim("e.value").alias("display"), F.col("e.confidence").alias("confidence"))
+    merged = merge_entities(patterns.unionByName(good), key)
+    lists = merged.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "type", "entity_key", "display", "confidence"))).alias("entities_"))
+    rows = named.select(key, "model_").join(lists, key, "left")
+    status = F.when(F.col("model_") == "ok", "processed").when(F.col("model_") == "quota", "waiting").otherwise("failed")
+    return rows.select(key, status.alias("status"), F.when(F.col("model_") != "quota", F.coalesce("entities_", F.array().cast(lists.schema["entities_"].dataType))).alias("entities"))
+
+
 def label(kind: Column) -> Column:
     """crypto_wallet as CryptoWallet."""
     return F.replace(F.initcap(F.replace(F.lower(kind), F.lit("_"), F.lit(" "))), F.lit(" "), F.lit(""))

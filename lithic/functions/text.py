@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from html.entities import name2codepoint
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lithic.settings import DEFAULTS
 
@@ -94,12 +97,22 @@ def chunks(text: Column, tokens: int = DEFAULTS.chunk_tokens, overlap_percent: i
 def language(text: Column) -> Column:
     """struct(code, confidence) by stop-word shares, or null: under twelve words or no clear winner.
     Equal shares go to the first code by alphabet."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
-    share = lambda stop: F.size(F.filter(words, lambda w: w.isin(stop))) / F.size(words)
-    shares = [F.struct(share(stop).alias("share"), F.lit(code).alias("code")) for code, stop in sorted(STOP_WORDS.items())]
-    ranked = F.array_sort(F.array(*shares), lambda a, b: F.when(a["share"] > b["share"], -1).when(a["share"] < b["share"], 1).when(a["code"] < b["code"], -1).otherwise(1))
-    confidence = 2 * ranked[0]["share"] - ranked[1]["share"]
-    return F.when((F.size(words) >= 12) & (confidence >= 0.55), F.struct(ranked[0]["code"].alias("code"), F.least(F.lit(1.0), confidence).alias("confidence")))
+
+    def guess(words: Column) -> Column:
+        shares = [F.struct((F.size(_those(words, stop)) / F.size(words)).alias("share"), F.lit(code).alias("code")) for code, stop in sorted(STOP_WORDS.items())]
+        order = lambda a, b: F.when(a["share"] > b["share"], -1).when(a["share"] < b["share"], 1).when(a["code"] < b["code"], -1).otherwise(1)
+
+        def judged(ranked: Column) -> Column:
+            confidence = 2 * ranked[0]["share"] - ranked[1]["share"]
+            return F.when((F.size(words) >= 12) & (confidence >= 0.55), F.struct(ranked[0]["code"].alias("code"), F.least(F.lit(1.0), confidence).alias("confidence")))
+
+        return let(F.array_sort(F.array(*shares), order), judged)
+
+    return let(F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0)), guess)
+
+
+def _those(words: Column, wanted: list[str]) -> Column:
+    return F.filter(words, lambda w: w.isin(wanted))
 
 
 def language_code(code: Column) -> Column:
@@ -112,26 +125,30 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def sentences(text: Column) -> Column:
-    """array<struct<key, wording>> in order: sentences with white space collapsed; keys ignore case and
-    digits."""
-    parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?<=[.!?])\s+|\R+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
-    return F.transform(parts, lambda s: F.struct(F.regexp_replace(F.lower(s), r"[0-9]+", "#").alias("key"), s.alias("wording")))
-
-
-def new_sentences(old: Column, new: Column) -> Column:
-    """Wordings of new's sentences that old has not, in order, the first wording of each."""
+#: Where sentences end: white space behind a closing sign, and line ends.
+ENDS = re.compile(r"(?<=[.!?])[ \t\n\x0b\f\r]+|(?:\r\n|[\n\x0b\f\r\x85\u2028\u2029])+")
+BLANKS, DIGITS = re.compile(r"[ \t\n\x0b\f\r]+"), re.compile("[0-9]+")
 
-    def fresh(v: Column) -> Column:
-        keys = F.array_except(F.transform(v["new"], lambda s: s["key"]), F.transform(v["old"], lambda s: s["key"]))
-        return let(F.struct(keys.alias("keys"), v["new"].alias("new")), lambda w: let(F.filter(w["new"], lambda s: F.array_contains(w["keys"], s["key"])), first_wordings))
 
-    return let(F.struct(sentences(old).alias("old"), sentences(new).alias("new")), fresh)
+def sentences(text: str | None) -> dict[str, str]:
+    """A text's sentences in order, white space collapsed: the first wording by key; keys ignore case and digits."""
+    found: dict[str, str] = {}
+    for part in ENDS.split(text or ""):
+        wording = BLANKS.sub(" ", part).strip(" ")
+        if wording:
+            found.setdefault(DIGITS.sub("#", wording.lower()), wording)
+    return found
 
 
-def first_wordings(kept: Column) -> Column:
-    keyed = F.struct(kept.alias("s"), F.transform(kept, lambda s: s["key"]).alias("k"))
-    return let(keyed, lambda v: F.transform(F.filter(v["s"], lambda s, i: F.array_position(v["k"], s["key"]) == i + 1), lambda s: s["wording"]))
+@F.pandas_udf(StructType([StructField("added", ArrayType(StringType())), StructField("removed", ArrayType(StringType()))]))
+def sentence_changes(old: pd.Series, new: pd.Series) -> pd.DataFrame:
+    """Wordings of the sentences that only the new text has, and that only the old one had, in order. Sets of
+    keys are compared, so a pair costs what its texts are long."""
+    rows = []
+    for a, b in zip(old, new, strict=True):
+        a, b = sentences(a), sentences(b)
+        rows.append(([w for k, w in b.items() if k not in a], [w for k, w in a.items() if k not in b]))
+    return pd.DataFrame(rows, columns=["added", "removed"])
 
 
 def changed_chars(added: Column, removed: Column) -> Column:

@@ -14,7 +14,8 @@ from lithic.settings import CATEGORIES, DEFAULTS
 
 def diff(pairs: DataFrame, old: str, new: str) -> DataFrame:
     """pairs with added, removed (arrays of sentences) and changed_chars."""
-    return pairs.withColumn("added", T.new_sentences(F.col(old), F.col(new))).withColumn("removed", T.new_sentences(F.col(new), F.col(old))).withColumn("changed_chars", T.changed_chars(F.col("added"), F.col("removed")))
+    rows = pairs.withColumn("diff_", T.sentence_changes(F.col(old), F.col(new))).withColumns({"added": F.col("diff_.added"), "removed": F.col("diff_.removed")})
+    return rows.drop("diff_").withColumn("changed_chars", T.changed_chars(F.col("added"), F.col("removed")))
 
 
 def capped(parts: Column, most: int = DEFAULTS.diff_max_chars) -> Column:
@@ -48,12 +49,44 @@ def since(changes: DataFrame, start: dt.datetime, now: dt.datetime, categories:
     return rows.agg(F.count("*").alias("total")), rows.orderBy(F.desc("detected_at"), F.desc("id")).limit(min(most, DEFAULTS.max_page_size))
 
 
-def describe(url: Column, added: Column, removed: Column, category_from: Column, category_to: Column) -> Column:
-    """What a summarizer is told of a change."""
-    lines = [
-        F.concat(F.lit("URL: "), url),
-        F.when(~category_from.eqNullSafe(category_to), F.concat(F.lit("Category: "), F.coalesce(category_from, F.lit("none")), F.lit(" -> "), F.coalesce(category_to, F.lit("none")))),
-        F.when(added != "", F.concat(F.lit("Added:\n"), added)),
-        F.when(removed != "", F.concat(F.lit("Removed:\n"), removed)),
-    ]
-    return F.concat_ws("\n", *lines)
+def records(pairs: DataFrame) -> DataFrame:
+    """Change records of pairs (old, new, old_entities, new_entities, category_from, category_to): the columns of pairs
+    but for texts and entities, with added_text and removed_text (capped), entities_added and entities_removed,
+    changed_chars and status."""
+    rows = diff(pairs, "old", "new")
+    added, removed = entity_delta(F.coalesce("old_entities", F.array().cast(pairs.schema["old_entities"].dataType)), F.coalesce("new_entities", F.array().cast(pairs.schema["new_entities"].dataType)))
+    rows = rows.withColumn("entities_added", added).withColumn("entities_removed", removed)
+    moved = ~F.col("category_from").eqNullSafe(F.col("category_to"))
+    rows = rows.withColumn("status", status(F.col("changed_chars"), (F.size("entities_added") > 0) | (F.size("entities_removed") > 0), moved))
+    return rows.withColumn("added_text", capped(F.col("added"))).withColumn("removed_text", capped(F.col("removed"))).drop("old", "new", "old_entities", "new_entities", "added", "removed")
+
+
+def listed(entities: Column) -> Column:
+    """display (type), ... of entities; empty for none."""
+    return F.array_join(F.transform(entities, lambda e: F.concat(e["display"], F.lit(" ("), e["type"], F.lit(")"))), ", ")
+
+
+def _line(label: str, value: Column, end: str) -> Column:
+    return F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(label), value, F.lit(end))).otherwise(F.lit(""))
+
+
+def describe() -> Column:
+    """What a summarizer is told of a change record with url, from_version and to_version. Fixed wording."""
+    moved = F.col("category_from").isNotNull() & ~F.col("category_from").eqNullSafe(F.col("category_to"))
+    text = lambda c: F.when(F.trim(c) != "", F.col(c))
+    return F.concat(
+        F.lit("Summarize in 1 to 3 sentences what changed on this page between version "), F.col("from_version").cast("string"), F.lit(" and "), F.col("to_version").cast("string"), F.lit(" ("), F.col("url"), F.lit(").\n"),
+        F.when(moved, F.concat(F.lit("Category: from "), F.col("category_from"), F.lit(" to "), F.coalesce("category_to", F.lit("null")), F.lit(".\n"))).otherwise(F.lit("")),
+        _line("New entities: ", listed(F.col("entities_added")), ".\n"), _line("Removed entities: ", listed(F.col("entities_removed")), ".\n"),
+        _line("Added text:\n", text("added_text"), "\n"), _line("Removed text:\n", text("removed_text"), "\n"),
+    )
+
+
+def as_source() -> Column:
+    """A summarized change as an agent's source. Fixed wording."""
+    moved = ~F.col("category_from").eqNullSafe(F.col("category_to"))
+    return F.concat(
+        F.lit("Change on "), F.col("url"), F.lit(" (version "), F.col("from_version").cast("string"), F.lit(" to "), F.col("to_version").cast("string"), F.lit(", detected "), F.date_format("detected_at", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("): "), F.col("summary"),
+        F.when(moved, F.concat(F.lit("\nCategory: "), F.coalesce("category_from", F.lit("null")), F.lit(" to "), F.coalesce("category_to", F.lit("null")))).otherwise(F.lit("")),
+        _line("\nEntities added: ", listed(F.col("entities_added")), ""), _line("\nEntities removed: ", listed(F.col("entities_removed")), ""),
+    )

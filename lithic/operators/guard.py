@@ -32,6 +32,12 @@ def guard(pages: DataFrame, hosts: DataFrame, patterns: list[str], url: str = "u
     return judged.where("reason is null").drop("reason"), judged.where("reason is not null").select(url, "reason")
 
 
+def reason_classes(audit: DataFrame) -> DataFrame:
+    """(reason_class, n): patterns count as one class, whatever their number."""
+    kind = F.when(F.col("reason").startswith("text-pattern"), "text-pattern").otherwise(F.col("reason"))
+    return audit.groupBy(kind.alias("reason_class")).agg(F.count("*").alias("n"))
+
+
 def blank_quarantined(versions: DataFrame, quarantined: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """versions with the columns nulled where the key is quarantined."""
     q = quarantined.select(F.col(key).alias("q_")).distinct()

@@ -68,8 +68,8 @@ def language_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}')) AS v FROM documents)
 SELECT doc_id, lower(v) AS entity_key, min(0.9) AS confidence FROM m GROUP BY ALL""")
 def entity_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = entities.merge_entities(entities.pattern_entities(table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
-    return found.where("type = 'email'").select("doc_id", "entity_key", "confidence")
+    found = entities.merge_entities(entities.pattern_entities(table(spark, sf_dir, "documents"), "doc_id", "text", ("email",)), "doc_id")
+    return found.select("doc_id", "entity_key", "confidence")
 
 
 @register("entity_patterns")
@@ -131,13 +131,46 @@ def sentence_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.diff(_pairs(spark, sf_dir), "old", "new").select("doc_id", F.size("added").alias("n_added"), F.size("removed").alias("n_removed"), "changed_chars")
 
 
-@register("change_records", DIFF + """SELECT o.doc_id, CASE WHEN d.lang = e.lang AND changed_chars < 40 THEN 'trivial' ELSE 'pending' END AS status, e.lang AS category_from, d.lang AS category_to
-FROM o JOIN p ON p.doc_id = o.doc_id JOIN documents d ON d.doc_id = o.doc_id JOIN documents e ON e.doc_id = p.old_id""")
+EMAIL = r"'[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}'"
+#: Entities that came and went between a document and the one before it in its source, least first.
+DELTAS = rf""", em AS (SELECT DISTINCT doc_id, lower(v) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(text, {EMAIL})) AS v FROM documents)),
+ea AS (SELECT p.doc_id, list(k ORDER BY k) AS ks FROM p JOIN em ON em.doc_id = p.doc_id WHERE old_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM em f WHERE f.doc_id = p.old_id AND f.k = em.k) GROUP BY 1),
+er AS (SELECT p.doc_id, list(k ORDER BY k) AS ks FROM p JOIN em ON em.doc_id = p.old_id WHERE old_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM em f WHERE f.doc_id = p.doc_id AND f.k = em.k) GROUP BY 1),
+cr AS (SELECT o.doc_id, p.old_id, o.changed_chars, coalesce(ea.ks, []) AS added, coalesce(er.ks, []) AS removed, e.lang AS category_from, d.lang AS category_to,
+  CASE WHEN d.lang = e.lang AND changed_chars < 40 AND ea.ks IS NULL AND er.ks IS NULL THEN 'trivial' ELSE 'pending' END AS status
+  FROM o JOIN p ON p.doc_id = o.doc_id JOIN documents d ON d.doc_id = o.doc_id JOIN documents e ON e.doc_id = p.old_id LEFT JOIN ea ON ea.doc_id = o.doc_id LEFT JOIN er ON er.doc_id = o.doc_id)
+"""
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Change records of documents as versions of their source's page, e-mail addresses as their entities."""
+    docs = table(spark, sf_dir, "documents")
+    found = entities.merge_entities(entities.pattern_entities(docs, "doc_id", "text", ("email",)), "doc_id")
+    lists = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.col("entity_key").alias("key"), "type", F.col("entity_key").alias("display")))).alias("e"))
+    side = docs.select("doc_id", "lang").join(lists, "doc_id", "left")
+    pairs = _pairs(spark, sf_dir).join(side.select("doc_id", F.col("lang").alias("category_to"), F.col("e").alias("new_entities")), "doc_id")
+    pairs = pairs.join(side.select(F.col("doc_id").alias("old_id"), F.col("lang").alias("category_from"), F.col("e").alias("old_entities")), "old_id")
+    return changes.records(pairs)
+
+
+@register("change_records", DIFF + DELTAS + "SELECT doc_id, status, category_from, category_to, array_to_string(added, ',') AS entities_added, array_to_string(removed, ',') AS entities_removed, changed_chars FROM cr")
 def change_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    langs = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    pairs = changes.diff(_pairs(spark, sf_dir), "old", "new").select("doc_id", "old_id", "changed_chars")
-    rows = pairs.join(langs.withColumnRenamed("lang", "category_to"), "doc_id").join(langs.select(F.col("doc_id").alias("old_id"), F.col("lang").alias("category_from")), "old_id")
-    return rows.select("doc_id", changes.status(F.col("changed_chars"), F.lit(False), F.col("category_from") != F.col("category_to")).alias("status"), "category_from", "category_to")
+    keys = lambda c: F.array_join(F.transform(c, lambda e: e["key"]), ",").alias(c)
+    return _records(spark, sf_dir).select("doc_id", "status", "category_from", "category_to", keys("entities_added"), keys("entities_removed"), "changed_chars")
+
+
+def _named(column: str) -> str:
+    return f"array_to_string(list_transform({column}, lambda k: k || ' (email)'), ', ')"
+
+
+@register("change_descriptions", DIFF + DELTAS + f""", x AS (SELECT cr.*, array_to_string(list(a.wording ORDER BY a.i), chr(10)) AS added_text FROM cr LEFT JOIN (SELECT p.doc_id, w.wording, w.i FROM p JOIN (SELECT doc_id, key, min_by(wording, i) AS wording, min(i) AS i FROM k GROUP BY ALL) w ON w.doc_id = p.doc_id WHERE old_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM f g WHERE g.doc_id = p.old_id AND g.key = w.key)) a ON a.doc_id = cr.doc_id GROUP BY ALL)
+SELECT doc_id, md5('Summarize in 1 to 3 sentences what changed on this page between version ' || old_id || ' and ' || doc_id || ' (http://d.example/' || doc_id || ').' || chr(10)
+|| CASE WHEN category_from <> category_to THEN 'Category: from ' || category_from || ' to ' || category_to || '.' || chr(10) ELSE '' END
+|| CASE WHEN len(added) > 0 THEN 'New entities: ' || {_named('added')} || '.' || chr(10) ELSE '' END || CASE WHEN len(removed) > 0 THEN 'Removed entities: ' || {_named('removed')} || '.' || chr(10) ELSE '' END
+|| CASE WHEN trim(coalesce(added_text, '')) <> '' THEN 'Added text:' || chr(10) || left(added_text, 4000) || chr(10) ELSE '' END) AS description_md5 FROM x""")
+def change_descriptions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _records(spark, sf_dir).withColumns({"from_version": F.col("old_id"), "to_version": F.col("doc_id"), "url": F.concat(F.lit("http://d.example/"), F.col("doc_id").cast("string")), "removed_text": F.lit("")})
+    return rows.select("doc_id", F.md5(changes.describe()).alias("description_md5"))
 
 
 @register("versions_history", """
@@ -223,10 +256,35 @@ dg AS (SELECT doc_id, unnest(list_transform(range(1, len(t) - 6), lambda i: arra
 bg AS (SELECT DISTINCT unnest(list_transform(range(1, len(t) - 6), lambda i: array_to_string(t[i:i + 7], ' '))) AS g FROM b WHERE len(t) >= 8)
 SELECT doc_id, count(DISTINCT dg.g) AS n_shared FROM dg JOIN bg ON dg.g = bg.g GROUP BY doc_id""")
 def contamination_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def grams(name: str, key: str) -> DataFrame:
-        t = table(spark, sf_dir, name).select(key, T.lexemes(F.col("text")).alias("t")).where(F.size("t") >= 8)
-        at = F.transform(F.sequence(F.lit(1), F.size("t") - 7), lambda i: F.array_join(F.slice("t", i, 8), " "))
-        return t.select(key, F.explode(F.array_distinct(at)).alias("g"))
-
-    shared = grams("documents", "doc_id").join(grams("benchmark", "item_id").select("g").distinct(), "g", "left_semi")
-    return shared.groupBy("doc_id").agg(F.countDistinct("g").alias("n_shared"))
+    """Grams meet as 64-bit hashes, and only the documents' grams that met one are written out and compared."""
+
+    def tokens(name: str, key: str) -> DataFrame:
+        return table(spark, sf_dir, name).select(key, T.lexemes(F.col("text")).alias("t")).where(F.size("t") >= 8)
+
+    gram = lambda i: F.array_join(F.slice("t", i, 8), " ")
+    places = F.sequence(F.lit(1), F.size("t") - 7)
+    bench = tokens("benchmark", "item_id").select(F.explode(F.transform(places, gram)).alias("g")).distinct().withColumn("h", F.xxhash64("g"))
+    docs = tokens("documents", "doc_id")
+    hashes = F.transform(places, lambda i: F.struct(i.alias("i"), F.xxhash64(*[F.get("t", i + k - 1) for k in range(8)]).alias("h")))
+    known = bench.select(F.xxhash64(*[F.split("g", " ")[k] for k in range(8)]).alias("h")).distinct()
+    met = docs.select("doc_id", F.explode(hashes).alias("x")).select("doc_id", "x.*").join(known, "h", "left_semi")
+    at = met.groupBy("doc_id").agg(F.collect_set("i").alias("at"))
+    shared = docs.join(at, "doc_id").select("doc_id", F.explode(F.array_distinct(F.transform("at", gram))).alias("g")).join(bench.select("g"), "g", "left_semi")
+    return shared.groupBy("doc_id").agg(F.count("*").alias("n_shared"))
+
+
+@register("quarantine_reasons", r"""WITH r AS (SELECT CASE WHEN lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) IN (SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) FROM pages WHERE regexp_matches(url, '^https://m')) THEN 'url-denylist' WHEN regexp_matches(html, '(?i)class=.related') THEN 'text-pattern' WHEN regexp_matches(html, '(?i)track\(1') THEN 'text-pattern' END AS reason FROM pages)
+SELECT reason AS reason_class, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY 1""")
+def quarantine_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The guard as a whole: denied hosts before patterns, and the audit's reasons by class."""
+    pages = table(spark, sf_dir, "pages")
+    denied = pages.where("url rlike '^https://m'").select(urls.host(F.col("url")).alias("value"))
+    audit = guard.guard(pages, denied, ["class=.related", r"track\(1"], text="html")[1]
+    return guard.reason_classes(audit)
+
+
+@register("guard_clean", r"""SELECT page_id FROM pages WHERE NOT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) IN (SELECT lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/:?#]+)', 1)) FROM pages WHERE regexp_matches(url, '^https://m')) AND NOT regexp_matches(html, '(?i)class=.related') AND NOT regexp_matches(html, '(?i)track\(1')""")
+def guard_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    denied = pages.where("url rlike '^https://m'").select(urls.host(F.col("url")).alias("value"))
+    return guard.guard(pages, denied, ["class=.related", r"track\(1"], text="html")[0].select("page_id")
