@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import functools
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithic.functions import text as T
-from lithic.operators import models, search
+from lithic.operators import changes, graph, models, search, state
 from lithic.settings import CATEGORIES, DEFAULTS
 
 TOOLS = ("search", "changes", "entities")
+#: Most characters of an agent's texts, and most tokens of a run.
+MOST_CHARS = {"name": 100, "instructions": 4_000, "topic": 200}
+MOST_TOKENS = 100_000
 
 
 @dataclass(frozen=True)
@@ -24,22 +30,33 @@ class Agent:
     tools: tuple[str, ...] = TOOLS
     max_tokens: int = 8_000
     daily: bool = False
+    cost_profile: str = "interactive"
     errors: tuple[str, ...] = field(init=False, default=())
 
     def __post_init__(self) -> None:
         for name in ("name", "instructions", "topic"):
-            object.__setattr__(self, name, getattr(self, name).strip())
+            object.__setattr__(self, name, (getattr(self, name) or "").strip())
         for name in ("categories", "tools"):
-            object.__setattr__(self, name, tuple(dict.fromkeys(getattr(self, name))))
-        wrong = [f"{n} is blank" for n in ("name", "instructions", "topic") if not getattr(self, n)]
+            object.__setattr__(self, name, tuple(dict.fromkeys(x.strip() for x in getattr(self, name) if x is not None)))
+        wrong = [f"{n} is blank" for n in ("name", "topic") if not getattr(self, n)]
+        wrong += [f"{n} is too long" for n, most in MOST_CHARS.items() if len(getattr(self, n)) > most]
         wrong += [f"unknown category {c}" for c in self.categories if c not in CATEGORIES]
         wrong += [f"unknown tool {t}" for t in self.tools if t not in TOOLS]
+        if not self.tools:
+            wrong.append("no tool")
         if not 1 <= self.window_days <= DEFAULTS.change_window_days:
             wrong.append("window_days out of range")
-        if self.max_tokens <= DEFAULTS.prompt_reserve_tokens:
-            wrong.append("max_tokens too small")
+        if not 1 <= self.max_tokens <= MOST_TOKENS:
+            wrong.append("max_tokens out of range")
+        if self.cost_profile not in ("interactive", "batch"):
+            wrong.append("unknown cost profile")
         object.__setattr__(self, "errors", tuple(wrong))
 
+    @property
+    def seconds(self) -> float:
+        """The deadline of a run's model call."""
+        return DEFAULTS.interactive_seconds if self.cost_profile == "interactive" else DEFAULTS.batch_seconds
+
 
 def greedy(costs: Column, budget: Column) -> Column:
     """array<boolean>: items taken in order while they fit; one that does not is passed over and later
@@ -87,6 +104,108 @@ def answer(question: str, sources: list[tuple[str, str]], ask) -> tuple[str, lis
     return (text, valid) if valid else (models.NO_ANSWER, [])
 
 
+def within(seconds: float, call, *arguments):
+    """call(*arguments), or a TimeoutError when it takes longer; the call itself is left to end."""
+    pool = ThreadPoolExecutor(max_workers=1)
+    try:
+        return pool.submit(call, *arguments).result(timeout=seconds)
+    finally:
+        pool.shutdown(wait=False)
+
+
+def chat(question: str, rewrite, find, ask, rewrite_seconds: float = DEFAULTS.rewrite_seconds, answer_seconds: float = DEFAULTS.answer_seconds) -> dict:
+    """An answered question. A rewriting that fails or is late is done without; nothing found is a fixed answer and
+    no call; an answer that fails or is late degrades to what was found. find(question, rewritten or None) gives
+    (id, text) passages."""
+    question = question[: DEFAULTS.question_chars]
+    try:
+        rewritten = within(rewrite_seconds, rewrite, question)
+    except Exception:  # noqa: BLE001  whatever went wrong, the question itself is searched
+        rewritten = None
+    passages = find(question, rewritten)
+    if not passages:
+        return {"answer": models.NO_ANSWER, "sources": [], "results": [], "degraded": False}
+    results = [i for i, _ in passages]
+    try:
+        text, cited = within(answer_seconds, answer, question, passages, ask)
+    except Exception:  # noqa: BLE001  whatever went wrong, the results stand
+        return {"answer": "", "sources": [], "results": results, "degraded": True}
+    return {"answer": text, "sources": [(i, t) for c in cited for i, t in passages if i == c], "results": results, "degraded": False}
+
+
+def cited_sources(answers: DataFrame, sources: DataFrame, key: str) -> DataFrame:
+    """(key, place, id, text) of the sources (key, id, text) that answers (key, citations) cite, once each and in order."""
+    asked = answers.select(key, F.posexplode(F.array_distinct("citations")).alias("place", "id"))
+    found = asked.join(sources, [key, "id"])
+    return found.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("place"))).select(key, "place", "id", "text")
+
+
+# tools: rows (tool_no, n, id, tool, url, text)
+
+
+def search_tool(passages: DataFrame, url: str) -> DataFrame:
+    """Passages (pos, url, passage) in their order."""
+    return passages.select(F.lit(1).alias("tool_no"), F.col("pos").cast("int").alias("n"), F.concat(F.lit("S"), F.col("pos").cast("string")).alias("id"), F.lit("search").alias("tool"), F.col(url).cast("string").alias("url"), F.col("passage").alias("text"))
+
+
+def changes_tool(records: DataFrame, agent: Agent, now: dt.datetime) -> DataFrame:
+    """The newest summarized changes in the agent's window and categories."""
+    rows = changes.since(records, now - dt.timedelta(days=agent.window_days), now, list(agent.categories), True, DEFAULTS.agent_sources)[1]
+    n = F.row_number().over(Window.orderBy(F.desc("detected_at"), F.desc("id")))
+    numbered = rows.withColumn("n", n)
+    return numbered.select(F.lit(2).alias("tool_no"), "n", F.concat(F.lit("C"), F.col("n").cast("string")).alias("id"), F.lit("changes").alias("tool"), F.col("url").cast("string").alias("url"), changes.as_source().alias("text"))
+
+
+def entities_tool(mentions: DataFrame, results: DataFrame, names: DataFrame, page: str, entity: str, at: str, most: int = DEFAULTS.listed_entities) -> DataFrame:
+    """The entities on most result pages, each with its newest pages and those it appears with. mentions: (page, entity,
+    at); names: (entity, type, key, display). Fixed wording."""
+    top = graph.most_mentioned(mentions, results, page, entity, most).withColumn("n", F.row_number().over(Window.orderBy(F.desc("pages"), entity))).select(entity, "n")
+    mine = F.broadcast(top.select(entity))
+    on = graph.newest_pages(mentions.join(mine, entity, "left_semi"), page, entity, at)
+    # only pages of the top entities can share one with them
+    around = mentions.join(mentions.join(mine, entity, "left_semi").select(page).distinct(), page, "left_semi")
+    beside = graph.related(around, page, entity).join(mine, entity, "left_semi").where(F.col("place") <= most)
+    other = names.select(F.col(entity).alias("other"), F.col("type").alias("t_"), F.col("display").alias("d_"))
+    line = F.concat("d_", F.lit(" ("), "t_", F.lit(", "), F.col("shared").cast("string"), F.lit(" shared pages)"))
+    beside = beside.join(other, "other").groupBy(entity).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", line.alias("l")))), lambda x: x["l"]), ", ").alias("beside"))
+    rows = top.join(names, entity).join(on, entity).join(beside, entity, "left")
+    text = F.concat(F.lit("Entity: "), "display", F.lit(" ("), "type", F.lit(")\nMentioned by: "), F.array_join(F.transform(F.slice("pages", 1, most), lambda p: p.cast("string")), ", "), F.coalesce(F.concat(F.lit("\nAppears with: "), "beside"), F.lit("")))
+    return rows.select(F.lit(3).alias("tool_no"), "n", F.concat(F.lit("E"), F.col("n").cast("string")).alias("id"), F.lit("entities").alias("tool"), entity_link(F.col("type"), F.col("key")).alias("url"), text.alias("text"))
+
+
+def collected(*tools: DataFrame) -> DataFrame:
+    """Tools' rows one tool behind the other, in the fixed order of the tools, with their place."""
+    both = functools.reduce(lambda a, b: a.unionByName(b), tools)
+    return both.withColumn("place", F.row_number().over(Window.orderBy("tool_no", "n")))
+
+
+def source_text(url: Column, summary: Column, text: Column) -> Column:
+    """What a model sees of one page. Fixed wording."""
+    return F.concat(F.lit("URL: "), url, F.lit("\n"), F.coalesce(F.concat(F.lit("Summary: "), summary, F.lit("\n")), F.lit("")), F.lit("\n"), text)
+
+
+class Store:
+    """Agents and their runs as tables (id, name, ...) and (id, agent_id, ...): every change gives new ones."""
+
+    def __init__(self, agents: DataFrame, runs: DataFrame) -> None:
+        self.agents, self.runs = agents, runs
+
+    def all(self) -> DataFrame:
+        return self.agents.orderBy("name", "id")
+
+    def put(self, row: DataFrame) -> Store:
+        """A new agent, or another form of the one of that id; a name that another agent has is an error."""
+        taken = self.agents.join(row.select("name", F.col("id").alias("new_")), "name").where(F.col("id") != F.col("new_"))
+        if taken.limit(1).count():
+            raise ValueError("the name is taken")
+        return Store(state.upsert(self.agents, row, "id", "id"), self.runs)
+
+    def delete(self, agent_id: int) -> Store:
+        """Without an agent and its runs."""
+        gone = self.agents.where(F.col("id") == agent_id)
+        return Store(state.without(self.agents, gone, "id"), state.without(self.runs, gone.select(F.col("id").alias("agent_id")), "agent_id"))
+
+
 def run(agent: Agent, material: list[tuple[str, str]], ask) -> dict:
     """One run over collected (id, text) material, best first: its status, report and sources."""
     if agent.errors:

@@ -9,6 +9,7 @@ from lithic.catalog import register
 from lithic.functions import entities, urls  # noqa: F401
 from lithic.functions import text as T
 from lithic.operators import agents, changes, guard, models, versions
+from lithic.settings import CATEGORIES
 from lithic.sources.tables import table
 
 SENTENCES = r"""list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '([.!?])\s+', concat('\1', chr(1)), 'g'), '[\r\n]+', chr(1), 'g'), chr(1)), lambda s: trim(regexp_replace(s, '\s+', ' ', 'g'))), lambda s: s <> '')"""
@@ -50,7 +51,7 @@ def _stop(code: str) -> str:
     return "['" + "','".join(T.STOP_WORDS[code]) + "']"
 
 
-def _language_oracle() -> str:
+def language_oracle() -> str:
     shares = " UNION ALL ".join(f"SELECT doc_id, n, '{c}' AS code, len(list_filter(ws, lambda w: list_contains({_stop(c)}, w))) * 1.0 / n AS share FROM w" for c in sorted(T.STOP_WORDS))
     return rf"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{{L}}+') AS ws, len(regexp_extract_all(lower(text), '\p{{L}}+')) AS n FROM documents WHERE len(regexp_extract_all(lower(text), '\p{{L}}+')) >= 12),
 s AS ({shares}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY share DESC, code) AS place FROM s),
@@ -58,7 +59,7 @@ b AS (SELECT a.doc_id, a.code, 2 * a.share - z.share AS conf FROM r a JOIN r z O
 SELECT d.doc_id, CASE WHEN conf >= 0.55 THEN code END AS code, CASE WHEN conf >= 0.55 THEN round(least(1.0, conf), 6) END AS confidence FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id"""
 
 
-@register("language_guess", _language_oracle())
+@register("language_guess", language_oracle())
 def language_guess(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", T.language(F.col("text")).alias("l"))
     return rows.select("doc_id", F.col("l.code").alias("code"), F.round("l.confidence", 6).alias("confidence"))
@@ -241,9 +242,13 @@ def category_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", name.alias("category"), confidence.alias("confidence"))
 
 
-@register("enrich_offline")
+FIRST = r"""regexp_replace(left(text, 8000), '^\s+|\s+$', '', 'g')"""
+
+
+@register("enrich_offline", rf"""SELECT doc_id, left(CASE WHEN regexp_matches({FIRST}, '(?s)^.*?[.!?]\s') THEN regexp_extract({FIRST}, '(?s)^(.*?[.!?])\s', 1) ELSE {FIRST} END, 200) AS summary,
+CASE {' '.join(f"WHEN contains(lower(left(text, 8000)), '{c}') THEN '{c}'" for c in CATEGORIES)} ELSE 'other' END AS category, CASE WHEN {' OR '.join(f"contains(lower(left(text, 8000)), '{c}')" for c in CATEGORIES)} THEN 0.8 ELSE 0.4 END AS confidence FROM documents""")
 def enrich_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Summary and category of every document by the offline provider; tested for shape and determinism."""
+    """Summary and category of every document by the offline provider."""
     docs = table(spark, sf_dir, "documents")
     rows = docs.select("doc_id", models.task_udf("summarize", "text")(F.col("text")).alias("s"), models.task_udf("classify", "category")(F.col("text")).alias("c"))
     name, confidence = models.category(F.col("c.value"), F.col("c.confidence"))
