@@ -246,7 +246,7 @@ FIRST = r"""regexp_replace(left(text, 8000), '^\s+|\s+$', '', 'g')"""
 
 
 @register("enrich_offline", rf"""SELECT doc_id, left(CASE WHEN regexp_matches({FIRST}, '(?s)^.*?[.!?]\s') THEN regexp_extract({FIRST}, '(?s)^(.*?[.!?])\s', 1) ELSE {FIRST} END, 200) AS summary,
-CASE {' '.join(f"WHEN contains(lower(left(text, 8000)), '{c}') THEN '{c}'" for c in CATEGORIES)} ELSE 'other' END AS category, CASE WHEN {' OR '.join(f"contains(lower(left(text, 8000)), '{c}')" for c in CATEGORIES)} THEN 0.8 ELSE 0.4 END AS confidence FROM documents""")
+CASE {' '.join(f"WHEN contains(lower(left(text, 8000)), '{c}') THEN '{c}'" for c in CATEGORIES)} ELSE 'other' END AS category, CASE WHEN {' OR '.join(f"contains(lower(left(text, 8000)), '{c}')" for c in CATEGORIES if c != 'other')} THEN 0.8 ELSE 0.4 END AS confidence FROM documents""")
 def enrich_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary and category of every document by the offline provider."""
     docs = table(spark, sf_dir, "documents")

@@ -232,7 +232,7 @@ def test_models():
     with pytest.raises(models.Exhausted) as wrong:
         models.Registry({"broken": broken}).call("summarize", "x", "text")
     assert wrong.value.quota_only
-    assert abs(sum(x * x for x in models.embed("some words here")) - 1) < 1e-9 and not any(models.embed(""))
+    assert abs(sum(x * x for x in models.embed("some words here")) - 1) < 1e-9 and models.embed("")[-1] == 1.0
 
 
 def test_agents():
@@ -246,6 +246,101 @@ def test_agents():
     assert agents.answer("q", [("1", "t")], lambda q, s: ("x", ["9"])) == (models.NO_ANSWER, [])
 
 
+def test_chat_deadlines_and_degrading():
+    import time
+
+    passages = [("S1", "one"), ("S2", "two")]
+    ask = lambda q, sources: ("said", ["S2", "S2", "S9"])
+    seen = []
+
+    def find(question, rewritten):
+        seen.append((question, rewritten))
+        return passages
+
+    def late(*_):
+        time.sleep(0.5)
+        return "late"
+
+    def broken(*_):
+        raise ValueError
+
+    assert agents.chat("q" * 2000, lambda q: "better", find, ask) == {"answer": "said", "sources": [("S2", "two")], "results": ["S1", "S2"], "degraded": False}
+    assert seen[0] == ("q" * 1000, "better")
+    for rewrite in (late, broken):
+        agents.chat("q", rewrite, find, ask, rewrite_seconds=0.05)
+        assert seen[-1] == ("q", None)
+    for wrong in (late, broken):
+        assert agents.chat("q", lambda q: q, find, wrong, answer_seconds=0.05) == {"answer": "", "sources": [], "results": ["S1", "S2"], "degraded": True}
+    assert agents.chat("q", lambda q: q, lambda q, r: [], broken)["answer"] == models.NO_ANSWER
+
+
+def test_providers():
+    assert models.failure(200) is None and [models.failure(429).window, models.failure(429, "requests per day").window, models.failure(402).window] == ["minute", "day", "balance"]
+    assert [models.failure(s).retryable for s in (400, 401, 408, 500, 503)] == [False, False, True, True, True]
+    asked = []
+
+    def post(path, body):
+        asked.append((path, body))
+        if "content" in path.lower():
+            return 200, '{"candidates": [{"content": {"parts": [{"text": "{\\"text\\": \\"b\\", \\"confidence\\": 1}"}]}}]}'
+        return (500, "") if len(asked) < 3 else (200, '{"choices": [{"message": {"content": "{\\"text\\": \\"a\\", \\"confidence\\": 0.1}"}}]}')
+
+    clock, pauses = [0.0], []
+    registry = models.Registry.of({"one": {"model": "m"}, "two": {"model": "n", "shape": "content"}}, post, pause=pauses.append, clock=lambda: clock[0])
+    assert registry.call("summarize", "text", "text") == ("b", 1.0) and pauses == [0.2, 0.4] and len(asked) == 4
+    assert registry.call("summarize", "text", "text") == ("b", 1.0) and len(asked) == 4
+    clock[0] = 24 * 3600.0
+    assert registry.call("summarize", "text", "text") == ("b", 1.0) and len(asked) > 4
+    with pytest.raises(models.Unavailable):
+        models.Registry({}).call("summarize", "text", "text")
+    for status, body in ((200, "no json"), (200, "{}"), (404, "")):
+        with pytest.raises(models.Exhausted) as wrong:
+            models.Registry.of({"a": {"model": "m"}}, lambda p, b, s=status, t=body: (s, t)).call("summarize", "t", "text")
+        assert not wrong.value.quota_only
+    with pytest.raises(models.Exhausted) as wrong:
+        models.Registry.of({"a": {"model": "m"}}, lambda p, b: (402, "")).call("summarize", "t", "text")
+    assert wrong.value.quota_only
+
+
+def test_embedding_batches():
+    sizes = []
+    call = lambda batch: (sizes.append(len(batch)), [[float(len(t))] for t in batch])[1]
+    assert models.embed_in_batches(["x" * k for k in range(250)], call, 1) == [[float(k)] for k in range(250)] and sizes == [100, 100, 50]
+    for wrong in (lambda b: [], lambda b: [[1.0, 2.0]] * len(b)):
+        with pytest.raises(models.ProviderError):
+            models.embed_in_batches(["a"], wrong, 1)
+    near = lambda a, b: sum(x * y for x, y in zip(models.embed(a), models.embed(b), strict=True))
+    assert near("bitcoin", "moedas") == pytest.approx(1) and near("bitcoin", "senhas") == 0 and models.embed("")[-1] == 1.0
+
+
+def test_references_and_sanitizing(spark):
+    assert values(spark, T.decode_references(F.col("x")), "a &lt;&#233;&#xE9;&euro;&nope;&#0;&amp;lt; &", "plain", None) == ["a <éé€&nope;&#0;&lt; &", "plain", None]
+    dirty = '<div onclick="x()"><p class="a">t <a href="javascript:x">u</a><a href="https://h/?a=1&b" target=_blank>v</a></p><script>w</script><custom>y</custom></div>'
+    assert values(spark, T.sanitize(F.col("x")), dirty) == ['<p>t <a>u</a><a href="https://h/?a=1&b" rel="nofollow">v</a></p>y']
+
+
+def test_chain_order_and_unknown_types(spark):
+    from lithic.operators import graph, processing
+
+    seen = []
+
+    def step(name):
+        def run(df):
+            seen.append(name)
+            return df
+
+        return run
+
+    processing.chain(spark.range(1), {n: step(n) for n in ("entities", "language", "category", "summary")})
+    assert seen == ["language", "summary", "category", "entities"]
+    with pytest.raises(ValueError):
+        graph.lookup(spark.range(1), "animal", "x")
+    with pytest.raises(ValueError):
+        agents.Store(spark.createDataFrame([(1, "a")], "id long, name string"), spark.createDataFrame([], "id long, agent_id long")).put(spark.createDataFrame([(2, "a")], "id long, name string"))
+    with pytest.raises(RuntimeError):
+        search.semantic_page(None)
+
+
 def test_sources(spark):
     raw = spark.createDataFrame([('{"url": "http://h", "html": "<p>"}',), ("broken",), (None,)], "value string")
     good, dead = tables.parse_events(raw)
