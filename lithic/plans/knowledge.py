@@ -7,10 +7,12 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lithic import api
 from lithic.catalog import register
 from lithic.functions import entities as E
-from lithic.operators import agents, changes, graph, models, processing
+from lithic.operators import agents, changes, graph, models, processing, search
 from lithic.plans.documents import EMAIL
+from lithic.plans.search import EXACT, QUERY, _has, _hits, _or_rank, documents
 from lithic.settings import CATEGORIES
 from lithic.sources.tables import table
 
@@ -332,3 +334,38 @@ def changes_window(spark: SparkSession, sf_dir: str) -> DataFrame:
             continue
         raise AssertionError(wrong)
     return changes.since(rows, NOW - dt.timedelta(days=7), NOW, ["blog"], True, 5)[1].select("id")
+
+
+# what a client asks for
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = table(spark, sf_dir, "labels").where("quality = 0").select("doc_id", F.lit("quarantined").alias("s")).distinct()
+    return table(spark, sf_dir, "documents").join(bad, "doc_id", "left").withColumn("ai_status", F.coalesce("s", F.lit("processed"))).withColumnRenamed("source", "source_type")
+
+
+@register("api_search", _hits("documents", "doc_id", "text", _has("idiot"), _or_rank("idiot")) + " SELECT doc_id, round(rank, 6) AS score FROM t WHERE pos <= 100 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)")
+def api_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.search_page(documents(spark, sf_dir), _pages(spark, sf_dir), "idiot", size=1000)[0].select("doc_id", "score")
+
+
+@register("api_stats", "SELECT (SELECT count(*) FROM documents) AS pages, (SELECT count(*) FROM events) AS versions")
+def api_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.stats(_pages(spark, sf_dir), table(spark, sf_dir, "events"))[0]
+
+
+@register("api_changes", "SELECT count(*) AS total FROM events WHERE event_type <> 'view' AND ts >= TIMESTAMP '2024-01-20 06:00:00' AND event_id % 3 <> 2")
+def api_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return api.changes_page(_changes(spark, sf_dir), "2024-01-20T06:00:00", NOW, "forum", 500)[0]
+
+
+@register("api_entity", GRAPH + " SELECT type, key, 'D' || key AS display, least(count(DISTINCT url), 20) AS n_pages FROM m WHERE type = 'location' AND key = '7' GROUP BY ALL")
+def api_entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mentions, entities, _ = graph.rebuild(_versions(spark, sf_dir))
+    return api.entity(entities, mentions, "location", " 7").select("type", "key", "display", F.size("pages").cast("long").alias("n_pages"))
+
+
+@register("api_semantic", f"""WITH e AS (SELECT vec_id AS doc_id, {EXACT} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 50) SELECT doc_id, round(score, 6) AS score FROM e WHERE doc_id IN (SELECT doc_id FROM documents) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)""")
+def api_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = search.nearest(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", QUERY, 50).withColumnRenamed("vec_id", "doc_id")
+    return api.semantic_page(hits, _pages(spark, sf_dir), "doc_id")[0].select("doc_id", F.round("score", 6).alias("score"))

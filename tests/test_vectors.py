@@ -319,6 +319,23 @@ def test_references_and_sanitizing(spark):
     assert values(spark, T.sanitize(F.col("x")), dirty) == ['<p>t <a>u</a><a href="https://h/?a=1&b" rel="nofollow">v</a></p>y']
 
 
+def test_api_arguments(spark, tmp_path):
+    from lithic import api
+
+    index = search.build(spark.createDataFrame([(1, "a b")], "id long, t string"), "id", "t", str(tmp_path))
+    pages = spark.createDataFrame([(1, "a b", "processed", "x")], "id long, text string, ai_status string, source_type string")
+    assert api.search_page(index, pages, "a")[0].collect()[0].snippet == "<b>a</b> b"
+    none = spark.createDataFrame([], "id long, name string")
+    for call in (lambda: api.search_page(index, pages, " "), lambda: api.ask(" ", None, None, None)):
+        with pytest.raises(ValueError):
+            call()
+    with pytest.raises(LookupError):
+        api.agent(agents.Store(none, none.withColumnRenamed("name", "agent_id")), 1)
+    entities = spark.createDataFrame([("email", "a@b.co", "d", 1)], "type string, key string, display string, pages int")
+    with pytest.raises(LookupError):
+        api.entity(entities, entities, "email", "x@y.z")
+
+
 def test_chain_order_and_unknown_types(spark):
     from lithic.operators import graph, processing
 
@@ -370,6 +387,9 @@ def test_stream(spark, tmp_path):
     pages = streams.distinct_pages(streams.read_events(spark, str(tmp_path / "in")))
     streams.drain(pages, str(tmp_path / "out"), str(tmp_path / "check"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+    query = streams.read_events(spark, str(tmp_path / "in")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "live")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert streams.liveness(query) == {"active": False, "batch": 0, "rows": 10}
 
 
 def test_lexemes_reach_the_end_of_long_texts(spark, tmp_path):
