@@ -3,7 +3,10 @@
 Two words are alike by the character triples that they share in order, gaps allowed: a triple whose
 characters lie d1 and d2 apart (at most three each) weighs ``DECAY`` per skipped character, and
 kernels are scaled to one on equal words. An inserted character so costs a word little. Signs inside
-a word are dropped first, and runs of single characters ("i d i o t") are read as one word.
+a word are dropped first, and runs of single characters ("i d i o t") are read as one word. Spans across
+blanks, two or three neighbours of two or three letters read as one ("id iot"), are scored as well; as
+chance makes many of them, they have to beat a margin by which every clean training document stays below a
+half, and ``SPAN_SLACK`` more.
 
 Labels are per document, so training is multiple-instance (mi-SVM): a toxic document's sentences are
 toxic by its witness, the word of highest score in it, and no sentence of a clean document is toxic;
@@ -44,6 +47,8 @@ COPY = 0.8
 VARIANTS, VARIED = 4, 150
 DECAY, SPREAD, CLASSES = 0.6, 3, 64
 LONGEST, OVERLAP = 24, 8
+#: What a span has to score above the best span of a clean training document.
+SPAN_SLACK = 0.1
 #: Words whose scores a Python worker keeps, and words that are scored at a time.
 WORDS_KEPT, PARTS = 200_000, 4_000
 SIGNS = re.compile(r"[\W_]+")
@@ -60,11 +65,11 @@ def _class_table() -> np.ndarray:
 CLASS = _class_table()
 
 
-def words_of(text: str) -> set[str]:
-    """Distinct lower-case words of a text, white space apart; runs of three and more single
-    characters come as one word besides."""
+def read(text: str) -> tuple[set[str], set[str]]:
+    """Distinct lower-case words of a text, white space apart, with runs of three and more single characters
+    as one word besides; and the spans of two and three neighbours that have two or three letters each."""
     words = text.lower().split()
-    found = set(words)
+    found, spans = set(words), set()
     run: list[str] = []
     for at in [i for i, w in enumerate(words) if len(w) == 1]:
         if run and at != last + 1:
@@ -75,7 +80,21 @@ def words_of(text: str) -> set[str]:
         last = at
     if len(run) > 2:
         found.add("".join(run))
-    return found
+    one = two = ""
+    for w in words:
+        if 2 <= len(w) <= 3 and w.isalpha():
+            if one:
+                spans.add(one + w)
+                if two:
+                    spans.add(two + one + w)
+            one, two = w, one
+        else:
+            one = two = ""
+    return found, spans - found
+
+
+def words_of(text: str) -> set[str]:
+    return read(text)[0]
 
 
 def pieces_of(word: str) -> list[str]:
@@ -167,10 +186,11 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
 
 
 class Machine:
-    """One weight per triple, a bias and the curve from a document's score to its probability."""
+    """One weight per triple, a bias, the curve from a document's score to its probability, and the margin that is
+    taken off the score of a span."""
 
-    def __init__(self, weights: np.ndarray, bias: float, slope: float, offset: float) -> None:
-        self.weights, self.bias, self.slope, self.offset = weights, bias, slope, offset
+    def __init__(self, weights: np.ndarray, bias: float, slope: float, offset: float, margin: float = 0.0) -> None:
+        self.weights, self.bias, self.slope, self.offset, self.margin = weights, bias, slope, offset, margin
 
     def scores(self, words: list[str]) -> np.ndarray:
         parts = [p for w in words for p in pieces_of(w)]
@@ -210,10 +230,11 @@ def singles(bags: list[list[str]], toxic: np.ndarray) -> list[int]:
     return list(kept)
 
 
-def fit(bags: list[list[str]], toxic: np.ndarray) -> Machine:
-    """A machine from documents as lists of distinct pieces of words, and their labels."""
+def fit(bags: list[list[str]], toxic: np.ndarray, spans: list[list[str]] | None = None) -> Machine:
+    """A machine from documents as lists of distinct pieces of words, their labels and their spans."""
     if not (toxic == 1).any() or not (toxic == 0).any():
         return blank()
+    clean_spans = [x for x, y in zip(spans or [], toxic, strict=False) if y == 0 and x]
     single = singles(bags, toxic)
     bags, toxic = [bags[i] for i in single], toxic[single]
     if not (toxic == 1).any() or not (toxic == 0).any():
@@ -267,14 +288,24 @@ def fit(bags: list[list[str]], toxic: np.ndarray) -> Machine:
         weights[used] = (root @ w[:-1]) @ dense
         score = np.concatenate([linear(words[at : at + PARTS], weights, bias) for at in range(0, len(words), PARTS)])
     slope, offset = logistic(np.array([score[r].max() for r in rows]), (toxic == 1).astype(float))
-    return Machine(weights.astype(np.float32), bias, slope, offset)
+    machine = Machine(weights.astype(np.float32), bias, slope, offset)
+    if clean_spans:
+        every = sorted(set().union(*clean_spans))
+        told = dict(zip(every, machine.scores(every).tolist(), strict=True))
+        machine.margin = max(0.0, max(told.values()) + offset / slope + SPAN_SLACK)
+    return machine
+
+
+def _some(found: set[str]) -> list[str]:
+    return sorted(found if len(found) <= MOST_PIECES else sorted(found, key=lambda p: (zlib.crc32(p.encode()), p))[:MOST_PIECES])
 
 
 def _bag(batches):
     for batch in batches:
-        found = [{p for w in words_of(t or "") for p in pieces_of(w)} for t in batch.column("text").to_pylist()]
-        found = [sorted(f if len(f) <= MOST_PIECES else sorted(f, key=lambda p: (zlib.crc32(p.encode()), p))[:MOST_PIECES]) for f in found]
-        yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("draw"), pa.array(found, pa.list_(pa.string()))], ["toxic", "draw", "words"])
+        texts = [read(t or "") for t in batch.column("text").to_pylist()]
+        words = [_some({p for w in found for p in pieces_of(w)}) for found, _ in texts]
+        lists = [pa.array(x, pa.list_(pa.string())) for x in (words, [_some(spans) for _, spans in texts])]
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("draw"), *lists], ["toxic", "draw", "words", "spans"])
 
 
 def held_out(doc_id):
@@ -291,10 +322,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: dict[int, int] = TRAIN_ROWS)
     sample = chosen[0].unionByName(chosen[1])
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample.groupBy("doc_id", "draw").agg(F.min("toxic").alias("toxic"))), "doc_id")
     texts = texts.groupBy("doc_id", "toxic", "draw").agg(F.min("text").alias("text"))
-    got = texts.select("toxic", "draw", "text").mapInArrow(_bag, "toxic int, draw long, words array<string>").toArrow()
+    got = texts.select("toxic", "draw", "text").mapInArrow(_bag, "toxic int, draw long, words array<string>, spans array<string>").toArrow()
     order = np.lexsort((got.column("toxic").to_numpy(), got.column("draw").to_numpy())) if got.num_rows else np.zeros(0, np.int64)
     got = got.take(pa.array(order, pa.int64()))
-    return fit(got.column("words").to_pylist(), got.column("toxic").to_numpy())
+    return fit(got.column("words").to_pylist(), got.column("toxic").to_numpy(), got.column("spans").to_pylist())
 
 
 def _score(shared):
@@ -305,14 +336,14 @@ def _score(shared):
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
-                bags = [words_of(t or "") for t in batch.column("text").to_pylist()]
-                new = list(set().union(*bags) - kept.keys())
+                texts = [read(t or "") for t in batch.column("text").to_pylist()]
+                new = list(set().union(*(x for pair in texts for x in pair)) - kept.keys())
                 if len(kept) + len(new) > WORDS_KEPT:
                     kept.clear()
-                    new = list(set().union(*bags))
+                    new = list(set().union(*(x for pair in texts for x in pair)))
                 kept.update(zip(new, machine.scores(new).tolist(), strict=True))
                 least = machine.bias
-                top = np.array([max((kept[w] for w in bag), default=least) for bag in bags])
+                top = np.array([max(max((kept[w] for w in words), default=least), max((kept[w] for w in spans), default=-np.inf) - machine.margin) for words, spans in texts])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(machine.probability(top), pa.float64())], ["doc_id", "score"])
 
     return run

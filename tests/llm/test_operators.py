@@ -349,6 +349,24 @@ def test_toxicity_with_insults_quoted_in_clean_documents():
     assert found[~true & ~quoted].mean() <= 0.05
 
 
+def test_toxicity_reads_spans_across_blanks(spark):
+    rnd = random.Random(8)
+    syllables = "the an ing er re tion ha on es st en nd wh ou it al ve to of".split()
+    insults = ["moron", "rascal", "blockhead"]
+
+    def document(k: int, extra: tuple = ()) -> str:
+        words = ["".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 3))) for _ in range(60)]
+        return " ".join([*words[:30], *extra, *words[30:]])
+
+    rows = [(k, document(k, (rnd.choice(insults),) if k % 4 == 0 else ()), "a") for k in range(800)]
+    labels = spark.createDataFrame([(k, 0, int(k % 4 == 0)) for k in range(800)], "doc_id long, quality int, toxic int")
+    machine = toxicity.train(documents(spark, rows), labels)
+    assert machine.margin >= 0 and toxicity.read("a mo ron of the") == ({"a", "mo", "ron", "of", "the"}, {"moron", "ronof", "ofthe", "moronof", "ronofthe"})
+    new = [(900, document(0, ("mo", "ron")), "a"), (901, document(0, ("ras", "cal")), "a"), (902, document(0, ("m", "o", "r", "o", "n")), "a")] + [(1000 + k, document(0), "a") for k in range(200)]
+    got = {r.doc_id: r.predicted for r in toxicity.score(documents(spark, new), machine).collect()}
+    assert got[900] == got[901] == got[902] == 1 and sum(v for k, v in got.items() if k >= 1000) <= 4
+
+
 def test_toxicity_learns_insults_that_a_clean_document_quotes():
     rnd = random.Random(4)
     syllables = "the an ing er re tion ha on es st en nd wh".split()
