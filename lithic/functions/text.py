@@ -76,15 +76,10 @@ def enough_text(text: Column, least: int = DEFAULTS.min_text_chars) -> Column:
 
 def lexemes(text: Column) -> Column:
     """Lower-case runs of letters and digits of the whole text; no stemming and no stop words, as the corpus has many
-    languages. Only searchable(), which stands for the full-text index, is capped."""
+    languages. Only the full-text index caps texts."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
-def searchable(text: Column) -> Column:
-    """The lexemes as one string, two blanks around each, so that counts of ' word ' never overlap."""
-    return F.concat(F.lit("  "), F.regexp_replace(F.lower(F.left(F.coalesce(text, F.lit("")), F.lit(DEFAULTS.index_chars))), r"[^\p{L}\p{N}]+", "  "), F.lit("  "))
-
-
 def chunks(text: Column, tokens: int = DEFAULTS.chunk_tokens, overlap_percent: int = DEFAULTS.chunk_overlap_percent) -> Column:
     """Overlapping pieces of tokens * 4 characters; the last one reaches the end. None of a blank text."""
     size = tokens * 4

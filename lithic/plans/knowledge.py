@@ -168,6 +168,30 @@ def source_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agents.source_block(docs, "doc_id", "source", "said").select("doc_id", F.md5("block").alias("block_md5"))
 
 
+#: Published or made-up addresses by place: type, what stands in the text, the key (null: no entity).
+PLANTED = [
+    ("crypto_wallet", "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa", "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNa"),
+    ("crypto_wallet", "1A1zP1eP5QGefi2DMPTfTL5SLmv7DivfNb", None),
+    ("crypto_wallet", "BC1QW508D6QEJXTDG4Y5R3ZARVARY0C5XW7KV8F3T4", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t4"),
+    ("crypto_wallet", "bc1qw508d6qejxtdg4y5r3zarvary0c5xw7kv8f3t5", None),
+    ("crypto_wallet", "0x" + "Ab" * 20, "0x" + "ab" * 20),
+    ("crypto_wallet", "4" + "A" + "b" * 93, "4" + "A" + "b" * 93),
+    ("onion_service", "DuckDuckGogg42xjoc72x3sjasowoarfbgcmvfimaftt6twagswzczad.onion", "duckduckgogg42xjoc72x3sjasowoarfbgcmvfimaftt6twagswzczad.onion"),
+    ("onion_service", "b" * 56 + ".onion", None),
+    ("pgp_fingerprint", "0123 4567 89ab cdef 0123 4567 89AB CDEF 0123 4567", "0123456789ABCDEF0123456789ABCDEF01234567"),
+]
+FOUND = ", ".join(f"({k}, '{kind}', '{key}')" for k, (kind, _, key) in enumerate(PLANTED) if key)
+
+
+@register("entities_planted", f"SELECT doc_id, type, entity_key FROM documents JOIN (VALUES {FOUND}) p(k, type, entity_key) ON doc_id % {len(PLANTED)} = k")
+def entities_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule and checksum on a document that has such an entity, or one whose checksum fails."""
+    planted = F.element_at(F.array(*[F.lit(text) for _, text, _ in PLANTED]), (F.col("doc_id") % len(PLANTED) + 1).cast("int"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Document "), F.col("doc_id").cast("string"), F.lit(" has "), planted, F.lit(", again "), planted, F.lit(".")).alias("text"))
+    found = E.merge_entities(E.pattern_entities(docs, "doc_id", "text"), "doc_id").where("type <> 'email'")
+    return found.select("doc_id", "type", "entity_key")
+
+
 # agents
 
 

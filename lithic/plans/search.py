@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lithic.catalog import register
 from lithic.functions import text as T
-from lithic.operators import agents, graph, models, search
+from lithic.operators import agents, graph, models, search, state
 from lithic.plans.pages import PAGE_TEXT
 from lithic.sources.tables import table
 
@@ -109,6 +109,11 @@ def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).all_postings().groupBy("lexeme").agg(F.sum("n").alias("occurrences"), F.count("*").alias("n_docs"))
 
 
+@register("search_pages_index", rf"""WITH t AS (SELECT page_id, unnest({TS.format(PAGE_TEXT)}) AS lexeme FROM pages) SELECT lexeme, count(*) AS occurrences, count(DISTINCT page_id) AS n_docs FROM t GROUP BY lexeme""")
+def search_pages_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages(spark, sf_dir).all_postings().groupBy("lexeme").agg(F.sum("n").alias("occurrences"), F.count("*").alias("n_docs"))
+
+
 @register("postings_stats", r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS lexeme FROM documents)
 SELECT lexeme, count(*) AS occurrences, count(DISTINCT doc_id) AS n_docs FROM t GROUP BY lexeme""")
 def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,6 +215,12 @@ def vector_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.changed(docs, points, "m1").select(F.col("url").alias("doc_id"), "content_hash")
 
 
+@register("vector_delete", "SELECT vec_id, label FROM embeddings WHERE label NOT IN (SELECT DISTINCT label FROM embeddings WHERE vec_id < 3)")
+def vector_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return state.without(vectors, vectors.where("vec_id < 3"), "label")
+
+
 @register("embedding_points", """WITH n AS (SELECT doc_id, left(text, 50000) AS t FROM documents WHERE trim(text) <> ''), c AS (SELECT doc_id, t, CASE WHEN length(t) <= 2048 THEN 1 ELSE CAST(ceil((length(t) - 2048) / 1741.0) AS INTEGER) + 1 END AS n FROM n)
 SELECT doc_id, CAST(n AS BIGINT) AS points, CASE WHEN doc_id % 4 = 0 THEN 'kept' ELSE 'made' END AS how, CASE WHEN doc_id % 4 = 0 THEN CAST(0 AS BIGINT) ELSE CAST(n AS BIGINT) END AS unit_vectors FROM c""")
 def embedding_points(spark: SparkSession, sf_dir: str) -> DataFrame:
