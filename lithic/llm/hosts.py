@@ -93,8 +93,9 @@ def host_verdicts(measured: DataFrame, most_failed: float = MOST_FAILED) -> Data
 def judge(docs: DataFrame, most_failed: float = MOST_FAILED) -> DataFrame:
     """Per row of docs: doc_id, source, measures, base_failed, kept and the host's shrunk_rate.
 
-    Null text counts as empty, a null source as a host of its own. Repeated rows count as often as
-    they come. No rows: no rows.
+    Null text counts as empty, a text of any length is measured whole, a null source is a host of its own.
+    Repeated rows count as often as they come, and a rate that ties with the limit is not above it. Other
+    columns are not read, whatever their names. No rows: no rows.
     """
     measured = cut(measures(docs))
     hosts = host_verdicts(measured, most_failed).select(F.col("source").alias("host"), "shrunk_rate", "host_rejected")
