@@ -14,8 +14,8 @@ Which segments go in: a minimiser that one document alone holds can have no copy
 are neither indexed nor searched; nothing else is left out.
 
 Scale: a block sends a shard one compressed piece with its distinct segments and each one's first and
-last owner, so a passage that many documents share is sent, and answered, once a block. Texts are shuffled
-once, by block, and read twice from there. Minimisers are counted in ``CELLS`` cells first: one whose cell is
+last owner, so a passage that many documents share is sent, and answered, once a block. Texts are compressed
+and shuffled once, by block, and read twice from there. Minimisers are counted in ``CELLS`` cells first: one whose cell is
 overfull is split by the second least sequence of the window, so that no shard has to take all windows
 around a common phrase.
 """
@@ -387,10 +387,38 @@ def answers(pieces: list[tuple[int, bytes]]):
         yield block, packed([(some[some_go] - offsets[k]).astype(np.int32), np.where(whole[w], least[w], NOBODY), parts, a[spans], b[spans]])
 
 
+ROWS = [np.int64, np.int32, np.int64]
+
+
+def _pack(batches):
+    """(block, packed rows: ids, whether there is one, sizes, texts) of a batch's rows of each block."""
+    for batch in batches:
+        block = batch.column("block").to_numpy()
+        ids, texts = batch.column("doc_id"), [t or b"" for t in batch.column("text").to_pylist()]
+        known, numbers = ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int32), ids.fill_null(0).to_numpy(zero_copy_only=False)
+        order = np.argsort(block, kind="stable")
+        heads = np.flatnonzero(np.diff(block[order], prepend=-1))
+        out = []
+        for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True):
+            some = order[a:b]
+            held = [texts[i] for i in some.tolist()]
+            out.append(packed([numbers[some], known[some], np.fromiter(map(len, held), dtype=np.int64, count=len(held))], b"".join(held)))
+        yield pa.RecordBatch.from_arrays([pa.array(block[order][heads]), pa.array(out, pa.binary())], ["block", "data"])
+
+
+def _rows(group: pa.Table) -> list[tuple]:
+    rows = []
+    for data in group.column("data").to_pylist():
+        (numbers, known, sizes), tail = unpacked(data, ROWS)
+        ends = np.cumsum(sizes).tolist()
+        rows += [(i if k else None, tail[a:b]) for i, k, a, b in zip(numbers.tolist(), known.tolist(), [0, *ends[:-1]], ends, strict=True)]
+    return rows
+
+
 def _cut(full, shards: int):
     def run(group: pa.Table) -> pa.Table:
         number = group.column("block")[0].as_py()
-        block = Block(list(zip(group.column("doc_id").to_pylist(), [t or b"" for t in group.column("text").to_pylist()], strict=True)), full.value, shards)
+        block = Block(_rows(group), full.value, shards)
         found = list(block.pieces())
         return pa.table({"shard": pa.array([s for s, _ in found], pa.int32()), "block": pa.array([number] * len(found), pa.int64()), "data": pa.array([d for _, d in found], pa.binary())})
 
@@ -456,7 +484,7 @@ KEPT = "doc_id long, n_words long, n_removed long, kept string"
 
 def _keep(full, shards: int):
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        block = Block(list(zip(docs.column("doc_id").to_pylist(), [t or b"" for t in docs.column("text").to_pylist()], strict=True)), full.value, shards)
+        block = Block(_rows(docs), full.value, shards)
         rows = kept_of(block, list(zip(found.column("shard").to_pylist(), found.column("data").to_pylist(), strict=True)))
         return pa.table(
             [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[3].decode(errors="replace") for r in rows], pa.string())],
@@ -506,7 +534,7 @@ def strip(docs: DataFrame, shard_chars: int = SHARD_CHARS, least_shards: int = L
     overfull = sc.broadcast(overfull)
     shards = max(least_shards, -(-chars // shard_chars))
     blocks = max(1, -(-chars // min(max(block_chars, PIECE_CHARS * shards), max(block_chars, MOST_BLOCK_CHARS))))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).mapInArrow(_pack, "block long, data binary")
     pieces = dealt.groupBy("block").applyInArrow(_cut(overfull, shards), "shard int, block long, data binary")
     tasks = min(shards, MOST_TASKS)
     found = pieces.repartitionById(tasks, F.col("shard") % tasks).sortWithinPartitions("shard").mapInArrow(_search, "block long, shard int, data binary")
