@@ -225,8 +225,9 @@ def _round_trip(path: str):
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded) per row of docs: the ids with the end id, and their decoded text.
 
-    Null text counts as empty: the end id alone. Repeated rows and null ids pass through; other
-    columns are not read.
+    Null text counts as empty: the end id alone. A text of any length is encoded whole, and of merges that tie
+    the leftmost is first, as in the library. Repeated rows and null ids pass through; other columns are not
+    read, whatever their names. No rows: no rows.
     """
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_round_trip(path), "doc_id long, ids array<int>, decoded string")
 

@@ -8,13 +8,15 @@ blanks, two or three neighbours of two or three letters read as one ("id iot"),
 chance makes many of them, they have to beat a margin by which every clean training document stays below a
 half, and ``SPAN_SLACK`` more.
 
-Labels are per document, so training is multiple-instance (mi-SVM): a toxic document's sentences are
-toxic by its witness, the word of highest score in it, and no sentence of a clean document is toxic;
-words that a share of the toxic documents has and hardly any clean one are witnesses as well, and witnesses
-come again with letters put in. Rounds of training and choosing witnesses anew, with the clean words
-of highest score as further negatives, settle both. Near copies of a training document with its label count once. The machine is linear in Nyström features of ``LANDMARKS`` words; since the
-kernel's own features are triples, it is folded into one weight per triple for scoring. A document
-scores as its most toxic sentence, through a logistic curve fitted to the training documents.
+A sentence is as toxic as its most toxic word or span, and a document as its most toxic sentence, so words are
+the machine's instances and sentences need not be told apart. Labels are per document: training is
+multiple-instance (mi-SVM). A toxic document is toxic by its witness, the word of highest score in it, and no
+word of a clean document is; words that a share of the toxic documents has and hardly any clean one are witnesses
+as well, and witnesses come again with letters put in. Rounds of training and choosing witnesses anew, with the
+clean words of highest score as further negatives, settle both. Near copies of a training document with its
+label count once. The machine is linear in Nyström features of ``LANDMARKS`` words; since the kernel's own
+features are triples, it is folded into one weight per triple for scoring. A logistic curve fitted to the
+training documents turns scores into probabilities.
 
 Training reads at most ``TRAIN_ROWS`` labelled documents of each class, those of smallest id hash, and none
 of the held-out fold; scoring is one map over all whole texts.
