@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .shared import table
 
 SPACE = "▁"
-#: Segments and pairs whose results a Python worker keeps; it starts again when they are full.
-SEGMENTS_KEPT, LONGEST_KEPT, PAIRS_KEPT = 200_000, 64, 200_000
+#: Segments and pairs whose results a Python worker keeps: when half as many are new, those not met since go.
+SEGMENTS_KEPT, LONGEST_KEPT, PAIRS_KEPT = 400_000, 64, 300_000
 
 
 class PieceModel:
@@ -66,6 +66,8 @@ class PieceModel:
         self.segments = re.compile(self.pattern())
         self.pairs: dict[int, bool] = {}
         self.kept: dict[str, tuple[int, str, str]] = {}
+        self.older_pairs: dict[int, bool] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
 
     def pattern(self) -> str:
         """A regular expression whose matches cover a text and end only where no piece crosses."""
@@ -93,9 +95,13 @@ class PieceModel:
         return parts
 
     def compatible(self, a: str, b: str, key: int) -> bool:
-        if len(self.pairs) >= PAIRS_KEPT:
-            self.pairs.clear()
-        fits = self.pairs[key] = self.merge(a + b) == [a, b]
+        fits = self.older_pairs.get(key)
+        if fits is None:
+            fits = self.merge(a + b) == [a, b]
+        if len(self.pairs) >= PAIRS_KEPT // 2:
+            self.older_pairs, keep = dict(self.pairs), self.pairs
+            keep.clear()  # the loop over a text holds on to this table
+        self.pairs[key] = fits
         return fits
 
     def tokens(self, text: str) -> list[str]:
@@ -133,11 +139,13 @@ class PieceModel:
         """(number of ids, the ids as decimals joined by spaces, their decoded text)."""
         found = self.kept.get(text)
         if found is None:
-            ids = self.ids_of(self.tokens(text))
-            found = len(ids), " ".join(map(str, ids)), self.surface_of(ids)
+            found = self.older.get(text)
+            if found is None:
+                ids = self.ids_of(self.tokens(text))
+                found = len(ids), " ".join(map(str, ids)), self.surface_of(ids)
             if len(text) <= LONGEST_KEPT:
-                if len(self.kept) >= SEGMENTS_KEPT:
-                    self.kept.clear()
+                if len(self.kept) >= SEGMENTS_KEPT // 2:
+                    self.older, self.kept = self.kept, {}
                 self.kept[text] = found
         return found
 
