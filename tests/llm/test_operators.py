@@ -51,6 +51,45 @@ def test_surrogates_keep_format_distinctness_and_coreference(spark):
     assert surrogates.replace(docs.limit(0)).count() == 0
 
 
+def test_surrogates_match_brute_force(spark):
+    """Every entity that a plain search finds is replaced, alike everywhere and differently from all others, and
+    nothing else of a text changes."""
+    import regex
+
+    rnd = random.Random(11)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    make = {
+        "email": lambda: f"{rnd.choice(['ann', 'bob.k', 'c_d'])}{rnd.randrange(30)}@h{rnd.randrange(5)}.{rnd.choice(['org', 'co.uk'])}",
+        "phone": lambda: f"({digits(3)}) {digits(3)}-{digits(4)}", "ip": lambda: ".".join(str(rnd.randrange(256)) for _ in range(4)), "card": lambda: "-".join(digits(4) for _ in range(4)),
+        "ssn": lambda: f"{digits(3)}-{digits(2)}-{digits(4)}", "secret": lambda: f"token={rnd.choice(['abc', '***', 'Xy9'])}{digits(5)}", "access": lambda: "AKIA" + "".join(rnd.choice("ABCDEFGH23") for _ in range(16)),
+        "iban": lambda: "DE" + digits(2) + "".join(f" {digits(4)}" for _ in range(4)) + f" {digits(2)}",
+    }
+    made = [rnd.choice(list(make.values()))() for _ in range(120)]
+    filler = "the quick 12 brown 3.5 fox v2 a@b 99-99 .. (call) x=1".split()
+    texts = [" | ".join(rnd.choice(made) + rnd.choice(["", ".", ",", ")"]) if rnd.random() < 0.3 else rnd.choice(filler) for _ in range(40)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in surrogates.replace(docs).collect()}
+    plain = regex.compile("|".join(f"(?:{p})" for p in surrogates.PATTERNS.values()))
+    kinds = {k: regex.compile(p) for k, p in surrogates.PATTERNS.items()}
+    swaps: dict[str, str] = {}
+    for i, text in enumerate(texts):
+        found = list(plain.finditer(text))
+        assert got[i].n_entities == len(found)
+        at, rest = 0, got[i].text
+        for k, m in enumerate(found):
+            gap = text[at : m.start()]
+            assert rest.startswith(gap)
+            rest, at = rest[len(gap) :], m.end()
+            behind = text[at : found[k + 1].start() if k + 1 < len(found) else len(text)]
+            new = swaps.get(m[0]) or (rest[: rest.index(behind)] if behind else rest)
+            assert rest.startswith(new) and swaps.setdefault(m[0], new) == new
+            rest = rest[len(new) :]
+        assert rest == text[at:]
+    assert len(set(swaps.values())) == len(swaps) and not set(swaps) & set(swaps.values())
+    kind = lambda x: next(k for k, p in kinds.items() if p.fullmatch(x))
+    assert len(swaps) > 80 and all(kind(a) == kind(b) for a, b in swaps.items())
+
+
 def test_surrogates_are_redrawn_until_distinct(spark):
     entities = spark.createDataFrame([("last_latin", f"{a}{b}") for a in "abcdefghij" for b in "klmnopqrst"], "kind string, canon string")
     got = surrogates.distinct_surrogates(entities).collect()
@@ -280,7 +319,57 @@ def test_chosen_subtrees_do_not_nest():
                 up = page.parent[up]
 
 
+def test_chosen_subtrees_match_brute_force():
+    """Of all sets of subtrees, none inside another, the one of most worth is taken."""
+    rnd = random.Random(4)
+
+    def page(depth: int) -> str:
+        return "w" * rnd.randrange(1, 9) if depth == 0 or rnd.random() < 0.2 else "".join(f"<{t}>{page(depth - 1)}</{t}>" for t in rnd.choices(["div", "b", "p"], k=rnd.randrange(1, 4)))
+
+    for k in range(40):
+        tree = pagetext.Page(page(2))
+        n = len(tree.tag)
+        chars = pagetext.features(tree)[1]
+        odds = np.random.default_rng(k).choice([0.1, 0.3, 0.6, 0.95], n)
+        worth = chars * (2 * odds - 1)
+        children = {i: [j for j in range(1, n) if tree.parent[j] == i] for i in range(n)}
+
+        def sets(i: int):
+            if i:
+                yield (i,)
+            choices = [()]
+            for j in children[i]:
+                choices = [a + b for a in choices for b in sets(j)]
+            yield from choices
+
+        best = max(sum(worth[j] for j in some) for some in sets(0))
+        taken = pagetext.chosen(tree, odds, chars)
+        assert worth[taken].sum() >= 0.9 * best - 1e-9 and worth[taken].sum() <= best + 1e-9
+
+
 # 6
+def test_toxicity_scores_match_brute_force(spark):
+    rnd = np.random.default_rng(2)
+    machine = toxicity.Machine(rnd.normal(size=toxicity.CLASSES**3).astype(np.float32), -0.3, 1.5, 0.2, 0.4)
+
+    def value(word: str) -> float:
+        row, key, weight = toxicity.triples([word])
+        return float((weight * machine.weights[key]).sum()) + machine.bias
+
+    texts = ["An id iot spoke, l o s e r ! of the " + "very" * 20, "plain", "of to in", "a b"]
+    want = []
+    for text in texts:
+        words = text.lower().split()
+        runs = ["".join(x) for x in re.findall(r"(?:^|(?<= ))\S(?: \S)+(?= |$)", " ".join(words)) for x in [x.replace(" ", "")] if len(x) > 2]
+        alone = [value(p) for w in {*words, *runs} for p in toxicity.pieces_of(w)]
+        short = [w if 2 <= len(w) <= 3 and w.isalpha() else None for w in words]
+        spans = {"".join(short[i : i + n]) for n in (2, 3) for i in range(len(words) - n + 1) if None not in short[i : i + n]} - {*words, *runs}
+        top = max(max(alone), max((value(x) for x in spans), default=-np.inf) - machine.margin)
+        want.append(1 / (1 + np.exp(-(machine.slope * top + machine.offset))))
+    got = {r.doc_id: r.score for r in toxicity.score(documents(spark, [(k, t, "a") for k, t in enumerate(texts)]), machine).collect()}
+    assert [got[k] for k in range(len(texts))] == pytest.approx(want, abs=1e-4)
+
+
 def test_toxicity_tolerates_gaps():
     rnd = random.Random(4)
     syllables = "the an ing er re tion ha on es st en nd wh".split()
@@ -567,6 +656,25 @@ def test_licences(spark):
     assert licences.scan(docs.limit(0), classifier).count() == 0
 
 
+def test_windows_that_pass_by_hold_no_notice():
+    """Windows without half of a template's pairs are not judged: judging them all gives the same notices."""
+    rnd = random.Random(3)
+    cues = sorted({w for texts in licences.TEMPLATES.values() for t in texts for w in licences.tokens(t)})
+    classifier = licences.fit([[rnd.choice(cues[:40]) for _ in range(12)] for _ in range(400)])
+    whole = [licences.tokens(t) for texts in licences.TEMPLATES.values() for t in texts]
+    found = 0
+    for _ in range(400):
+        words = [w for w in rnd.choice(whole) if rnd.random() > 0.3] + [rnd.choice(cues) for _ in range(rnd.randrange(20))]
+        got = classifier.notices(words)
+        promising, classifier.promising = classifier.promising, lambda _: True
+        assert classifier.notices(words) == got or not promising(words)
+        every = classifier.notices(words)
+        classifier.promising = promising
+        assert [h for h in every if h[2] >= licences.LEAST_SHARED] == every and (got == every or not got)
+        found += bool(got)
+    assert found > 50
+
+
 def test_licences_of_one_line(spark):
     rnd = random.Random(1)
     vocabulary = "the an ing er re tion ha on of and under all to work".split()
