@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import alone, table
 
 SPACE = "▁"
 #: Segments and pairs whose results a Python worker keeps: when half as many are new, those not met since go.
-SEGMENTS_KEPT, LONGEST_KEPT, PAIRS_KEPT = 400_000, 64, 300_000
+SEGMENTS_KEPT, LONGEST_KEPT, PAIRS_KEPT = 320_000, 64, 260_000
 
 
 class PieceModel:
@@ -205,6 +205,7 @@ def load(path: str) -> PieceModel:
 
 def _digests(path: str):
     def run(batches):
+        alone("pieces", load.cache_clear)
         model = load(path)
         segment, end = model.segment, model.end
         for batch in batches:
@@ -222,6 +223,7 @@ def _digests(path: str):
 
 def _round_trip(path: str):
     def run(batches):
+        alone("pieces", load.cache_clear)
         model = load(path)
         for batch in batches:
             ids = [[*model.encode(t or ""), model.end] for t in batch.column("text").to_pylist()]

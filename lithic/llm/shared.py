@@ -6,7 +6,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def alone(owner: str, release: Callable[[], None] | None = None) -> None:
+    """Said by an operator's code in a Python worker: what other operators left there, which Spark uses again,
+    is released; ``release`` does the same for this one's tables later."""
+    for name in [n for n in _HELD if n != owner]:
+        _HELD.pop(name)()
+    if release is not None:
+        _HELD[owner] = release
+
+
 #: A key is heavy if it holds more than this share of all rows; so there are fewer heavy keys than SHARES.
 SHARES = 1024
 

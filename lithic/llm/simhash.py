@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import Forest, components
-from .shared import cut, heavy_keys, sorted_groups, spread_join, table
+from .shared import alone, cut, heavy_keys, sorted_groups, spread_join, table
 
 MOST_BITS = 4
 PARTS, WIDTH, SUBS = 4, 16, 5
@@ -62,6 +62,7 @@ def fingerprint(raw: bytes | None) -> int:
 
 
 def _fingerprints(batches):
+    alone("simhash")
     for batch in batches:
         found = [fingerprint(x) for x in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(found, dtype=np.uint64).view(np.int64)), batch.column("digest")], ["doc_id", "fp", "digest"])

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import table
+from .shared import alone, table
 
 TRAIN_ROWS = {1: 800, 0: 2000}
 LANDMARKS, ROUNDS, HARD, EASY = 192, 4, 4000, 6000
@@ -52,7 +52,7 @@ LONGEST, OVERLAP = 24, 8
 #: What a span has to score above the best span of a clean training document.
 SPAN_SLACK = 0.1
 #: Words whose scores a Python worker keeps, and words that are scored at a time.
-WORDS_KEPT, PARTS = 200_000, 4_000
+WORDS_KEPT, PARTS = 150_000, 2_000
 SIGNS = re.compile(r"[\W_]+")
 START, STOP = CLASSES - 2, CLASSES - 1
 
@@ -303,6 +303,7 @@ def _some(found: set[str]) -> list[str]:
 
 
 def _bag(batches):
+    alone("toxicity")
     for batch in batches:
         texts = [read(t or "") for t in batch.column("text").to_pylist()]
         words = [_some({p for w in found for p in pieces_of(w)}) for found, _ in texts]
@@ -334,6 +335,7 @@ def _score(shared):
     kept: dict[str, float] = {}
 
     def run(batches):
+        alone("toxicity")
         machine = shared.value
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
