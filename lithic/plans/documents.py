@@ -212,13 +212,13 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("passage_budget", """
-WITH p AS (SELECT source, doc_id, left(text, 2000) AS t FROM documents),
+WITH p AS (SELECT source, doc_id, text AS t FROM documents),
 u AS (SELECT *, CAST(coalesce(sum(length(t)) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS used FROM p)
 SELECT source, doc_id, used, CAST(length(left(t, 12000 - used)) AS INTEGER) AS kept FROM u WHERE used < 12000""")
 def passage_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lithic.operators import search
 
-    passages = table(spark, sf_dir, "documents").select("source", "doc_id", F.left("text", F.lit(2000)).alias("passage"))
+    passages = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("text").alias("passage"))
     return search.within_budget(passages, ["source"], "doc_id", "passage").select("source", "doc_id", "used", F.length("passage").alias("kept"))
 
 
