@@ -214,6 +214,18 @@ def test_components(spark):
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
 
 
+def test_tables_of_other_operators_are_released():
+    from lithic.llm import shared
+
+    gone = []
+    shared.alone("a", lambda: gone.append("a"))
+    shared.alone("a", lambda: gone.append("a"))
+    assert gone == []
+    shared.alone("b", lambda: gone.append("b"))
+    shared.alone("c")
+    assert gone == ["a", "b"]
+
+
 # 3
 def test_pieces_equal_the_library(spark):
     import sentencepiece
