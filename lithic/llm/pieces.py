@@ -27,7 +27,7 @@ from .shared import alone, table
 
 SPACE = "▁"
 #: Segments and pairs whose results a Python worker keeps: when half as many are new, those not met since go.
-SEGMENTS_KEPT, LONGEST_KEPT, PAIRS_KEPT = 320_000, 64, 260_000
+SEGMENTS_KEPT, LONGEST_KEPT, PAIRS_KEPT = 440_000, 64, 400_000
 
 
 class PieceModel:
