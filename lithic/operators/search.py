@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import re
+import zlib
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -61,7 +62,7 @@ class Index:
 
     def postings(self, lexemes: list[str]) -> DataFrame:
         """(key, lexeme, places) of these lexemes; the buckets that they are in are all that is read."""
-        buckets = sorted({r[0] for r in self.spark.createDataFrame([(x,) for x in lexemes], "l string").select(_bucket(F.col("l"))).collect()})
+        buckets = sorted({zlib.crc32(x.encode()) % BUCKETS for x in lexemes})
         return self.spark.read.parquet(f"{self.folder}/postings").where(F.col("bucket").isin(buckets) & F.col("lexeme").isin(lexemes)).select(self.key, "lexeme", "places")
 
     def all_postings(self) -> DataFrame:
@@ -72,7 +73,7 @@ class Index:
 
 
 def _bucket(lexeme: Column) -> Column:
-    return F.pmod(F.xxhash64(lexeme), F.lit(BUCKETS)).cast("int").alias("bucket")
+    return (F.crc32(lexeme.cast("binary")) % BUCKETS).cast("int").alias("bucket")
 
 
 def build(docs: DataFrame, key: str, text: str, folder: str) -> Index:
