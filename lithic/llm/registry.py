@@ -1,4 +1,4 @@
-"""The ten operators' queries, one per operator, and their DuckDB twins where SQL has one."""
+"""The operators' queries, one per operator, and their DuckDB twins where SQL has one."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hosts, licences, mixing, pagetext, pieces, simhash, substrings, surrogates, topk, toxicity
+from . import hosts, licences, mixing, pagetext, pieces, simhash, substrings, surrogates, topk, toxicity, transforms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": surrogates.query,
@@ -19,10 +19,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_exact_topk": topk.query,
     "op10_licence_scan": licences.query,
     "op3_sentencepiece_encoding": pieces.query,
+    "op11_suffix_array_dedup": transforms.query,
 }
 ORACLES: dict[str, str] = {
     "op4_host_quality": hosts.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
     "op8_substring_dedup": substrings.ORACLE,
     "op9_exact_topk": topk.ORACLE,
+    "op11_suffix_array_dedup": transforms.ORACLE,
 }
