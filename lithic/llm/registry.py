@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hosts, licences, mixing, pagetext, pieces, simhash, substrings, surrogates, topk, toxicity, transforms
+from . import divergence, hosts, licences, mixing, pagetext, pieces, simhash, substrings, surrogates, topk, toxicity, transforms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": surrogates.query,
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_licence_scan": licences.query,
     "op3_sentencepiece_encoding": pieces.query,
     "op11_suffix_array_dedup": transforms.query,
+    "op12_source_divergence": divergence.query,
 }
 ORACLES: dict[str, str] = {
     "op4_host_quality": hosts.ORACLE,
@@ -27,4 +28,5 @@ ORACLES: dict[str, str] = {
     "op8_substring_dedup": substrings.ORACLE,
     "op9_exact_topk": topk.ORACLE,
     "op11_suffix_array_dedup": transforms.ORACLE,
+    "op12_source_divergence": divergence.ORACLE,
 }
