@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, hosts, licences, mixing, pagetext, pieces, simhash, substrings, surrogates, topk, toxicity, transforms
+from . import divergence, hosts, licences, mixing, names, pagetext, pieces, simhash, substrings, surrogates, topk, toxicity, transforms
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": surrogates.query,
@@ -21,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sentencepiece_encoding": pieces.query,
     "op11_suffix_array_dedup": transforms.query,
     "op12_source_divergence": divergence.query,
+    "op13_name_join": names.query,
 }
 ORACLES: dict[str, str] = {
     "op4_host_quality": hosts.ORACLE,
@@ -29,4 +30,5 @@ ORACLES: dict[str, str] = {
     "op9_exact_topk": topk.ORACLE,
     "op11_suffix_array_dedup": transforms.ORACLE,
     "op12_source_divergence": divergence.ORACLE,
+    "op13_name_join": names.ORACLE,
 }
