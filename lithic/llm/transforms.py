@@ -10,7 +10,7 @@ transform. The bucket merges the blocks' transforms: starting from their concate
 interleaved suffixes in order and appends each one's predecessor to the bin of its preceding byte, so that
 after pass k the suffixes are interleaved by their first k bytes and the places where a byte or the former
 interval changes are where the common prefix is shorter than k. Suffixes alone in their interval are settled and drop
-out. After 50 passes the intervals left are the repeated 50-byte strings; no suffix was sorted again.
+out, and those too near their segment's start to lead to a window are left out. After 50 passes the intervals left are the repeated 50-byte strings; no suffix was sorted again.
 
 Scale: texts are shuffled once, compressed. A block sends a bucket one row with its distinct segments' hashes
 and one with the transform of those to be merged; copies are known by hash and never sent as text. A minimiser
@@ -224,15 +224,15 @@ def merged(pieces: list[tuple[np.ndarray, np.ndarray]], depth: int = WINDOW):
         ends.append(np.arange(o, o + len(start)))
     part, left = np.zeros(len(before), dtype=np.int32), np.zeros(len(before), dtype=np.int32)
     at = np.concatenate(ends)
-    which, step = np.arange(len(at), dtype=np.int32), 0
+    which, step, size = np.arange(len(at), dtype=np.int32), 0, np.zeros(len(at), dtype=np.int32)
     while len(at):
-        part[at], left[at] = which, step
+        part[at], left[at], size[which] = which, step, step
         on = ~starts[at]
         at, which, step = back[at[on]], which[on], step + 1
-    suffix, interval = np.arange(len(before), dtype=np.int32), np.zeros(len(before), dtype=np.int32)
+    # a pass goes one byte back: what stands less than ``depth`` bytes behind its part's start leads to no string
+    suffix = np.flatnonzero(left <= size[part] - depth).astype(np.int32)
+    interval = np.zeros(len(suffix), dtype=np.int32)
     for _ in range(depth):
-        on = ~starts[suffix]
-        suffix, interval = suffix[on], interval[on]
         symbol = before[suffix]
         by = np.argsort(symbol, kind="stable")
         symbol, interval = symbol[by], interval[by]
