@@ -319,34 +319,6 @@ def passages(results: DataFrame, chunks: DataFrame, pages: DataFrame, key: str,
     return joined.select("pos", key, F.coalesce("chunk_", passage(F.col("text_"), query)).alias("passage"))
 
 
-def planes(width: int, tables: int, bits: int, seed: int = 7):
-    """Normals of random hyperplanes, [table * bits, width], the same wherever they are drawn."""
-    import numpy as np
-
-    return np.random.default_rng(seed).normal(size=(tables * bits, width))
-
-
-def approximate(vectors: DataFrame, key: str, column: str, query: list[float], k: int, tables: int = 24, bits: int = 6) -> DataFrame:
-    """(key, score) of about the k nearest vectors by cosine: only those that share a bucket, the sides of a
-    table's hyperplanes on which they lie, with the query, or lie on the other side of one of them alone, are
-    scored. With these tables it finds over nine tenths of them; :func:`nearest` is exact."""
-    import numpy as np
-    import pyarrow as pa
-
-    normals = planes(len(query), tables, bits)
-    side = lambda x: (x @ normals.T > 0).reshape(-1, tables, bits)
-    own = side(np.array([query], dtype=np.float64))[0]
-
-    def run(batches):
-        for batch in batches:
-            x = np.array(batch.column(column).to_pylist(), dtype=np.float64).reshape(-1, len(query))
-            near = ((side(x) != own[None]).sum(axis=2) <= 1).any(axis=1)
-            yield batch.filter(pa.array(near))
-
-    rows = vectors.select(key, column)
-    return nearest(rows.mapInArrow(run, rows.schema), key, column, query, k)
-
-
 def by_best_position(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """Two rankings as one: a key stands at its better position, the first list before the second."""
     both = a.select(key, "pos", F.lit(1).alias("list")).unionByName(b.select(key, "pos", F.lit(2).alias("list")))

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lithic.catalog import register
 from lithic.functions import text as T
-from lithic.operators import agents, graph, models, search, state
+from lithic.operators import agents, graph, models, search, state, vectors
 from lithic.plans.pages import PAGE_TEXT
+from lithic.sources import workspace
 from lithic.sources.tables import table
 
 QUESTION = 'the "of the" -onion or idiot'
@@ -135,9 +136,9 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("vector_best_per_group", f"""WITH p AS (SELECT vec_id, label, {EXACT} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 100)
 SELECT label, vec_id, round(score, 6) AS score FROM p WHERE score >= 0.05 QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) = 1""")
 def vector_best_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings")
-    pool = search.nearest(vectors, "vec_id", "embedding", QUERY, 100)
-    return search.best_per_page(vectors.select("vec_id", "label").join(F.broadcast(pool), "vec_id"), "label", "vec_id", 0.05).select("label", "vec_id", F.round("score", 6).alias("score"))
+    points = table(spark, sf_dir, "embeddings")
+    pool = search.nearest(points, "vec_id", "embedding", QUERY, 100)
+    return search.best_per_page(points.select("vec_id", "label").join(F.broadcast(pool), "vec_id"), "label", "vec_id", 0.05).select("label", "vec_id", F.round("score", 6).alias("score"))
 
 
 HYBRID = _hits("documents", "doc_id", "text") + f""",
@@ -188,14 +189,31 @@ def vector_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("vector_model", f"SELECT vec_id, round({EXACT}, 6) AS score FROM embeddings WHERE vec_id % 3 = 1 ORDER BY {EXACT} DESC, vec_id LIMIT 20")
 def vector_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").withColumn("model", F.concat(F.lit("m"), (F.col("vec_id") % 3).cast("string")))
-    return search.nearest(vectors, "vec_id", "embedding", QUERY, 20, "m1").select("vec_id", F.round("score", 6).alias("score"))
+    points = table(spark, sf_dir, "embeddings").withColumn("model", F.concat(F.lit("m"), (F.col("vec_id") % 3).cast("string")))
+    return search.nearest(points, "vec_id", "embedding", QUERY, 20, "m1").select("vec_id", F.round("score", 6).alias("score"))
+
+
+def vector_index(spark: SparkSession, sf_dir: str) -> vectors.Index:
+    """The index of the embeddings as they are now; every session that asks for it shares it."""
+    folder = workspace.lasting(spark, "vectors", sf_dir, workspace.fingerprint(spark, f"{sf_dir}/embeddings.parquet"))
+    return vectors.of_path(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64, spark, folder)
 
 
 @register("vector_approximate")
 def vector_approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By hyperplane buckets; its recall is tested against the exact search."""
-    return search.approximate(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", QUERY, 20)
+    """From the nearest cells of the index; ``vector_index_recall`` measures how many it finds."""
+    return vectors.search_one(vector_index(spark, sf_dir), QUERY, 20)
+
+
+@register("vector_index_recall", "SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 50 = 0")
+def vector_index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the index finds nine tenths and more of the 20 nearest of every vector whose id is divisible by 50."""
+    index, points = vector_index(spark, sf_dir), table(spark, sf_dir, "embeddings")
+    asked = points.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    wanted = vectors.exact_all(points, "vec_id", "embedding", asked, "query_id", 64, 20)
+    found = vectors.search_all(index, asked, "query_id", "embedding", 20)
+    hit = wanted.join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return hit.agg(F.countDistinct("query_id").alias("queries"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
 
 
 @register("hydrated_hits", f"""WITH e AS (SELECT vec_id, {EXACT} AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 100)
@@ -217,8 +235,8 @@ def vector_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("vector_delete", "SELECT vec_id, label FROM embeddings WHERE label NOT IN (SELECT DISTINCT label FROM embeddings WHERE vec_id < 3)")
 def vector_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    return state.without(vectors, vectors.where("vec_id < 3"), "label")
+    points = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    return state.without(points, points.where("vec_id < 3"), "label")
 
 
 @register("embedding_points", """WITH n AS (SELECT doc_id, left(text, 50000) AS t FROM documents WHERE trim(text) <> ''), c AS (SELECT doc_id, t, CASE WHEN length(t) <= 2048 THEN 1 ELSE CAST(ceil((length(t) - 2048) / 1741.0) AS INTEGER) + 1 END AS n FROM n)

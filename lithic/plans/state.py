@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithic.catalog import register
-from lithic.operators import agents, guard, state, versions
+from lithic.operators import agents, guard, ingest, state, versions
+from lithic.sources import snapshots, workspace
 from lithic.sources.tables import table
 
 #: events as a page log: purchases and errors are outcomes, some on outdated contents, signups wait for quota.
@@ -171,3 +172,27 @@ def schema_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
             made = spark.createDataFrame([], ", ".join(f"{c} {k}" for c, k in columns.items()))
             out.append((n, name, len(made.columns)))
     return spark.createDataFrame(out, "version int, table_name string, n_columns long")
+
+
+@register("snapshot_commits", """WITH d AS (SELECT doc_id AS i, text FROM documents WHERE text IS NOT NULL)
+SELECT CAST(i AS VARCHAR) AS url, 1 + CAST(i % 3 = 0 AS BIGINT) + CAST(i % 2 = 0 AS BIGINT) AS version, md5(text || CASE WHEN i % 2 = 0 THEN 'c' WHEN i % 3 = 0 THEN 'b' ELSE '' END) AS content,
+  CASE WHEN i % 3 = 0 AND i % 2 <> 0 THEN 'processed' ELSE 'pending' END AS status, CAST(i % 3 = 0 AS BIGINT) + CAST(i % 2 = 0 AS BIGINT) AS archived FROM d""")
+def snapshot_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page, archive and status after two writers that began with one snapshot, of whom the second has to begin
+    anew, one that was killed before its commit, and outcomes of which some are outdated."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("url"), "doc_id", "text")
+    of = lambda rows, mark: rows.select("url", F.md5(F.concat("text", F.lit(mark))).alias("content"), F.lit(0).alias("seq"))
+    store = snapshots.Store(spark, workspace.folder(spark, "commits"))
+    store.run(lambda change: ingest.arrive(change, of(docs, "")))
+    first, second, killed = store.begin(), store.begin(), store.begin()
+    ingest.arrive(first, of(docs.where("doc_id % 3 = 0"), "b"))
+    ingest.arrive(second, of(docs.where("doc_id % 2 = 0"), "c"))
+    ingest.arrive(killed, of(docs.where("doc_id % 5 = 0"), "killed"))
+    first.commit()
+    try:
+        second.commit()
+    except snapshots.Conflict:
+        store.run(lambda change: ingest.arrive(change, of(docs.where("doc_id % 2 = 0"), "c")))
+    done = of(docs.where("doc_id % 3 = 0"), "b").withColumn("status", F.lit("processed")).withColumn("seq", F.lit(1))
+    store.run(lambda change: ingest.settle(change, done))
+    return ingest.state(store.snapshot())
