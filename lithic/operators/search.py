@@ -1,23 +1,19 @@
-"""Full-text search over a persisted index, vector search, their fusion, and passages.
-
-The index holds a row per lexeme and document with the lexeme's places, in folders by lexeme bucket, sorted
-inside: a query reads the buckets of its own words and no text. A bucket's rows are dealt by document too, so a
-frequent word is no single task's.
-"""
+"""Full-text search over a persisted index (:mod:`lithic.operators.fulltext`), vector search, their fusion, and
+passages."""
 
 from __future__ import annotations
 
 import functools
+import math
 import re
-import zlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithic.functions import text as T
+from lithic.operators.fulltext import MOST_PLACES, Index
 from lithic.settings import DEFAULTS
-from lithic.sources import workspace
 
 WORDS = re.compile(r"[^\W_]+")
 
@@ -45,46 +41,10 @@ def parse(query: str) -> list[list[Term]]:
     return [g for g in groups if g]
 
 
-#: Places kept of a lexeme in a document; weight of a lexeme without a label; and what the squared
-#: reciprocals of all places add up to.
-MOST_PLACES, WEIGHT, ALL_PLACES = 255, 0.1, 1.64493406685
-BUCKETS, PARTS = 64, 8
-_BUILT: dict[tuple, Index] = {}
-
-
-@dataclass(frozen=True)
-class Index:
-    """A persisted index: its folder, and the name of the documents' key."""
-
-    spark: SparkSession
-    folder: str
-    key: str
-
-    def postings(self, lexemes: list[str]) -> DataFrame:
-        """(key, lexeme, places) of these lexemes; the buckets that they are in are all that is read."""
-        buckets = sorted({zlib.crc32(x.encode()) % BUCKETS for x in lexemes})
-        return self.spark.read.parquet(f"{self.folder}/postings").where(F.col("bucket").isin(buckets) & F.col("lexeme").isin(lexemes)).select(self.key, "lexeme", "places")
-
-    def all_postings(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/postings")
-
-    def keys(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/keys")
-
-
-def _bucket(lexeme: Column) -> Column:
-    return (F.crc32(lexeme.cast("binary")) % BUCKETS).cast("int").alias("bucket")
-
-
-def build(docs: DataFrame, key: str, text: str, folder: str) -> Index:
-    """The index of documents, written below a folder. Of a text, the index has its first half million
-    characters; of a lexeme in a document, its first places and how often it comes."""
-    tokens = docs.select(key, F.posexplode(T.lexemes(F.left(F.col(text), F.lit(DEFAULTS.index_chars)))).alias("place", "lexeme"))
-    dealt = tokens.withColumn("bucket", _bucket(F.col("lexeme"))).withColumn("part", F.pmod(F.xxhash64(key), F.lit(PARTS)))
-    rows = dealt.repartition("bucket", "part").groupBy("bucket", "part", "lexeme", key).agg(F.slice(F.array_sort(F.collect_list(F.col("place") + 1)), 1, MOST_PLACES).alias("places"), F.count("*").alias("n"))
-    rows.drop("part").sortWithinPartitions("bucket", "lexeme", key).write.partitionBy("bucket").parquet(f"{folder}/postings")
-    docs.select(key).write.parquet(f"{folder}/keys")
-    return Index(docs.sparkSession, folder, key)
+#: Weight of a lexeme without a label, and what the squared reciprocals of all places add up to.
+WEIGHT, ALL_PLACES = 0.1, 1.64493406685
+#: An index of so many documents is read whole; of a larger one so many ranges are read first, and up to so many are named to the scan.
+FEW, FIRST, NAMED = 50_000, 4, 1_000
 
 
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -92,18 +52,6 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.posexplode(T.lexemes(F.col(text))).alias("pos", "lexeme"))
 
 
-def index_of(docs: DataFrame, key: str, text: str, path: str) -> Index:
-    """The index of documents that come from a path: built at the first call of a session and again only when
-    what lies at the path has changed."""
-    spark = docs.sparkSession
-    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    known = (spark.sparkContext.applicationId, path, key, text, files.getContentSummary(there).getLength(), files.getFileStatus(there).getModificationTime())
-    if known not in _BUILT:
-        _BUILT[known] = build(docs, key, text, workspace.folder(spark, "index"))
-    return _BUILT[known]
-
-
 def _lexemes(query: str) -> list[str]:
     return sorted({w for group in parse(query) for t in group for w in t.words})
 
@@ -163,17 +111,60 @@ def _reciprocals(n: Column) -> Column:
     return F.element_at(F.lit(sums), n + 1)
 
 
-def found_in(index: Index, query: str) -> DataFrame:
-    """(key, rank) of every document that answers the query; an empty query has no answer."""
+def found_in(index: Index, query: str, ranges: list[tuple[int, int]] | DataFrame | None = None) -> DataFrame:
+    """(key, rank) of every document that answers the query, or of those in some of the index's ranges (segment, range);
+    an empty query has no answer."""
     lexemes = _lexemes(query)
     if not lexemes:
         return index.keys().limit(0).withColumn("rank", F.lit(0.0))
-    rows = index.postings(lexemes).groupBy(index.key).agg(F.map_from_entries(F.collect_list(F.struct("lexeme", "places"))).alias("places_"))
-    if any(all(t.negated for t in group) for group in parse(query)):  # what has none of the words answers too
+    rows = index.postings(lexemes, ranges).groupBy(index.key).agg(F.map_from_entries(F.collect_list(F.struct("lexeme", "places"))).alias("places_"))
+    if _negative(query):  # what has none of the words answers too
         rows = index.keys().join(rows, index.key, "left").withColumn("places_", F.coalesce("places_", F.create_map().cast("map<string,array<int>>")))
     return rows.where(_answers(query)).select(index.key, rank(query).alias("rank"))
 
 
+def _negative(query: str) -> bool:
+    return any(all(t.negated for t in group) for group in parse(query))
+
+
+def _most(word: str) -> Column:
+    return F.coalesce(F.try_element_at("most_", F.lit(word)), F.lit(0))
+
+
+def bound(query: str) -> Column:
+    """What no document's rank exceeds that has each lexeme at most so often as the map ``most_`` says."""
+    lexemes = _lexemes(query)
+    if len(parse(query)) == 1 and len(lexemes) > 1:
+        nearest = math.log1p(-WEIGHT / math.sqrt(1.005 + 0.05 * math.exp(1 / 1.5 - 2)))
+        return 1 - F.exp(nearest * sum((_most(a) * _most(b) for i, a in enumerate(lexemes) for b in lexemes[:i]), F.lit(0)))
+    return sum((_reciprocals(_most(w)) for w in lexemes), F.lit(0.0)) * WEIGHT / ALL_PLACES / len(lexemes)
+
+
+def _may_hold(query: str) -> Column:
+    """Whether some alternative's words are all in a range."""
+    groups = [functools.reduce(lambda a, b: a & b, [_most(w) > 0 for t in group if not t.negated for w in t.words]) for group in parse(query)]
+    return functools.reduce(lambda a, b: a | b, groups)
+
+
+def best(index: Index, query: str, k: int, few: int = FEW) -> tuple[DataFrame, int, int]:
+    """(the k best (key, rank), ranges of the index that were read, ranges in all). The ranges with the highest bounds are read
+    first; when their k-th rank is known, only those whose bound reaches it."""
+    order = [F.desc(F.round("rank", 12)), F.col(index.key)]  # sums of one set of numbers may differ in their last places
+    lexemes, total = _lexemes(query), index.ranges
+    if not lexemes or index.size <= few or _negative(query):
+        return found_in(index, query).orderBy(*order).limit(k), total, total
+    bounds = index.blocks(lexemes).groupBy("segment", "range").agg(F.map_from_entries(F.collect_list(F.struct("lexeme", F.least("most", F.lit(MOST_PLACES)).cast("int").alias("most")))).alias("most_"))
+    bounds = bounds.where(_may_hold(query)).select("segment", "range", bound(query).alias("bound"))
+    first = bounds.orderBy(F.desc("bound"), "segment", "range").limit(FIRST).collect()
+    if not first:
+        return found_in(index, query, []).limit(k), 0, total
+    ranks = [r["rank"] for r in found_in(index, query, [(r["segment"], r["range"]) for r in first]).orderBy(*order).limit(k).select("rank").collect()]
+    rest = bounds.where(F.col("bound") >= (ranks[-1] - 1e-9 if len(ranks) == k else -1.0)).select("segment", "range")
+    some = rest.limit(NAMED + 1).collect()
+    read = [(r["segment"], r["range"]) for r in some] if len(some) <= NAMED else rest
+    return found_in(index, query, read).orderBy(*order).limit(k), len(some) if len(some) <= NAMED else rest.count(), total
+
+
 def headline(text: Column, query: str, most: int = 40, before: int = 10, fragments: int = 2, marked: bool = True) -> Column:
     """Up to so many fragments of a text, of ``most`` words each where it has them, around the first match and the
     first one behind that fragment, joined by dots; the query's words in <b> if marked."""
@@ -208,9 +199,8 @@ def full_text(index: Index, query: str, size: int = 20, page: int = 0) -> DataFr
     if size < 1 or page < 0:
         raise ValueError("size below 1 or page below 0")
     size, key = min(size, DEFAULTS.max_page_size), index.key
-    # sums of one set of numbers may differ in their last places
     order = [F.desc(F.round("rank", 12)), F.col(key)]
-    top = found_in(index, query[: DEFAULTS.query_chars]).orderBy(*order).limit((page + 1) * size)
+    top = best(index, query[: DEFAULTS.query_chars], (page + 1) * size)[0]
     return top.withColumn("pos", F.row_number().over(Window.orderBy(*order))).where(F.col("pos") > page * size).withColumn("rank", F.round("rank", 6))
 
 

@@ -24,6 +24,8 @@ SAMPLE, MOST_CELLS, CODES, SLICE = 100_000, 16_384, 256, 4
 #: Rows of a cell in one task, and of queries.
 CELL_ROWS, QUERY_ROWS = 200_000, 4_096
 POOL = 20
+#: Told apart in the folder's name: an index of another layout is another index.
+LAYOUT = "2"
 #: Points whose true neighbours tell how many cells have to be probed, how many neighbours, and the share of them to be reached.
 TRIED, NEIGHBOURS, REACHED = 256, 20, 0.95
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lithic.catalog import register
 from lithic.functions import text as T
-from lithic.operators import agents, graph, models, search, state, vectors
+from lithic.operators import agents, fulltext, graph, models, search, state, vectors
 from lithic.plans.pages import PAGE_TEXT
-from lithic.sources import workspace
+from lithic.sources import snapshots, workspace
 from lithic.sources.tables import table
 
 QUESTION = 'the "of the" -onion or idiot'
@@ -44,13 +44,13 @@ def _oracle(relation: str, key: str, text: str, first: int = 1, last: int = 20)
     return _hits(relation, key, text) + f" SELECT {key}, round(rank, 6) AS rank, pos FROM t WHERE pos BETWEEN {first} AND {last}"
 
 
-def documents(spark: SparkSession, sf_dir: str) -> search.Index:
-    return search.index_of(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", f"{sf_dir}/documents.parquet")
+def documents(spark: SparkSession, sf_dir: str) -> fulltext.Index:
+    return fulltext.of_path(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", f"{sf_dir}/documents.parquet")
 
 
-def pages(spark: SparkSession, sf_dir: str) -> search.Index:
+def pages(spark: SparkSession, sf_dir: str) -> fulltext.Index:
     texts = table(spark, sf_dir, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
-    return search.index_of(texts, "page_id", "text", f"{sf_dir}/pages.parquet")
+    return fulltext.of_path(texts, "page_id", "text", f"{sf_dir}/pages.parquet")
 
 
 @register("search_fulltext", _oracle("pages", "page_id", PAGE_TEXT))
@@ -115,6 +115,21 @@ def search_pages_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages(spark, sf_dir).all_postings().groupBy("lexeme").agg(F.sum("n").alias("occurrences"), F.count("*").alias("n_docs"))
 
 
+@register("search_segments", r"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || ' idiot appended' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0),
+f AS (SELECT doc_id, regexp_extract_all(lower(left(text, 500000)), '[\p{L}\p{N}]+') AS ts FROM d), h AS (SELECT doc_id, """ + RANK + " AS rank FROM f WHERE " + HIT + """),
+t AS (SELECT doc_id, rank, row_number() OVER (ORDER BY round(rank, 12) DESC, doc_id) AS pos FROM h)
+SELECT doc_id, round(rank, 6) AS rank, CAST(pos AS INTEGER) AS pos, (SELECT count(*) FROM d WHERE doc_id % 10 = 0) AS indexed FROM t WHERE pos <= 20""")
+def search_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after every tenth document changed and every seventh went: ``indexed`` counts what its second segment read."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    store = snapshots.Store(spark, workspace.folder(spark, "segments"))
+    store.run(lambda change: fulltext.refresh(change, docs, "doc_id", "text"))
+    later = docs.where("doc_id % 7 <> 0").withColumn("text", F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" idiot appended"))).otherwise(F.col("text")))
+    store.run(lambda change: fulltext.refresh(change, later, "doc_id", "text"))
+    index = fulltext.Index(store.snapshot(), "doc_id")
+    return search.full_text(index, QUESTION).crossJoin(index.at.table("docs").where("segment = 1").agg(F.count("*").alias("indexed")))
+
+
 @register("postings_stats", r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) AS lexeme FROM documents)
 SELECT lexeme, count(*) AS occurrences, count(DISTINCT doc_id) AS n_docs FROM t GROUP BY lexeme""")
 def postings_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,7 +210,7 @@ def vector_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_index(spark: SparkSession, sf_dir: str) -> vectors.Index:
     """The index of the embeddings as they are now; every session that asks for it shares it."""
-    folder = workspace.lasting(spark, "vectors", sf_dir, workspace.fingerprint(spark, f"{sf_dir}/embeddings.parquet"))
+    folder = workspace.lasting(spark, "vectors", vectors.LAYOUT, sf_dir, workspace.fingerprint(spark, f"{sf_dir}/embeddings.parquet"))
     return vectors.of_path(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 64, spark, folder)
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lithic import settings as conf
 from lithic.functions import entities, urls
 from lithic.functions import text as T
-from lithic.operators import agents, changes, models, quota, search, versions
+from lithic.operators import agents, changes, fulltext, models, quota, search, versions
 from lithic.plans import documents
 from lithic.sources import tables
 
@@ -128,7 +128,7 @@ def test_query_parser():
 
 def test_search(spark, tmp_path):
     docs = spark.createDataFrame([(1, "Red apple, red pear"), (2, "apple red"), (3, "green"), (4, None)], "id long, t string")
-    index = search.build(docs, "id", "t", str(tmp_path))
+    index = fulltext.build(docs, "id", "t", str(tmp_path))
     hits = lambda q, **more: [r.id for r in search.full_text(index, q, **more).orderBy("pos").collect()]
     assert hits("red apple") == [1, 2] and hits('"apple red"') == [1, 2] and sorted(hits("red -pear or green")) == [2, 3]
     assert hits("none") == [] and hits("!") == [] and sorted(hits("-red")) == [3, 4] and hits("red", size=1, page=1) == [2]
@@ -139,7 +139,7 @@ def test_search(spark, tmp_path):
 
 
 def test_rank_by_hand(spark, tmp_path):
-    index = search.build(spark.createDataFrame([(1, "a x b a"), (2, "b")], "id long, t string"), "id", "t", str(tmp_path))
+    index = fulltext.build(spark.createDataFrame([(1, "a x b a"), (2, "b")], "id long, t string"), "id", "t", str(tmp_path))
     rank = lambda q: {r.id: r["rank"] for r in search.found_in(index, q).collect()}
     assert rank("a or b") == {1: pytest.approx(0.1 / 1.64493406685 * (1 + 1 / 4 + 1) / 2), 2: pytest.approx(0.1 / 1.64493406685 / 2)}
     near = lambda d: 0.1 * (1 / (1.005 + 0.05 * math.exp(d / 1.5 - 2))) ** 0.5
@@ -314,7 +314,7 @@ def test_references_and_sanitizing(spark):
 def test_api_arguments(spark, tmp_path):
     from lithic import api
 
-    index = search.build(spark.createDataFrame([(1, "a b")], "id long, t string"), "id", "t", str(tmp_path))
+    index = fulltext.build(spark.createDataFrame([(1, "a b")], "id long, t string"), "id", "t", str(tmp_path))
     pages = spark.createDataFrame([(1, "a b", "processed", "x")], "id long, text string, ai_status string, source_type string")
     assert api.search_page(index, pages, "a")[0].collect()[0].snippet == "<b>a</b> b"
     none = spark.createDataFrame([], "id long, name string")
