@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import _parse_datatype_string
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 
 def fold(rows: DataFrame, key: str, order: list[str], reads: list[str], step: Callable, out: str) -> DataFrame:
     """rows with a column ``out`` ("name type"), which step(state, values read) gives together with the next state;
     a key starts with the state None. Times are read as microseconds. One task holds one row of one key at a
     time, so a key of any number of rows fits, but its rows go through one task."""
-    schema = rows.schema.add(_parse_datatype_string(out)[0])
+    schema = StructType([*rows.schema.fields, *_parse_datatype_string(out).fields])
 
     def read(column: pa.Array) -> list:
         return column.cast(pa.timestamp("us")).cast(pa.int64()).to_pylist() if pa.types.is_timestamp(column.type) else column.to_pylist()

@@ -7,8 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithic.operators import scans
 from lithic.operators.folds import fold
 from lithic.settings import DEFAULTS
+from lithic.sources import workspace
 
 
 @dataclass(frozen=True)
@@ -49,10 +51,11 @@ def route(calls: DataFrame, ladder: list[str], quotas: DataFrame) -> DataFrame:
     return calls.join(first, "call_id", "left")
 
 
-def breaker(fetches: DataFrame, host: str, at: str, seq: str, failed: str, most: int = DEFAULTS.breaker_failures, open_seconds: int = DEFAULTS.breaker_open_seconds) -> DataFrame:
+def breaker(fetches: DataFrame, host: str, at: str, seq: str, failed: str, most: int = DEFAULTS.breaker_failures, open_seconds: int = DEFAULTS.breaker_open_seconds, hot: int = scans.HOT) -> DataFrame:
     """fetches with ``allowed``: whether a host's circuit lets this one through. More than ``most`` failures in a row
     open it; while it is open nothing goes through or counts; after that one fetch is tried, and closes it or
-    opens it anew. What follows depends on every verdict before, so it is a fold over a host's rows in order."""
+    opens it anew. What follows depends on every verdict before, so it is a fold over a host's rows in order; a
+    host of more than ``hot`` rows is gone through by many tasks."""
 
     def step(state, row):
         fails, until = state or (0, None)
@@ -65,7 +68,32 @@ def breaker(fetches: DataFrame, host: str, at: str, seq: str, failed: str, most:
             return (0, at + open_seconds * 1_000_000), True
         return (fails + 1, None), True
 
-    return fold(fetches, host, [at, seq], [at, failed], step, "allowed boolean")
+    few, many = scans.parted(fetches, host, hot)
+    told = fold(few, host, [at, seq], [at, failed], step, "allowed boolean")
+    return told if many is None else told.unionByName(_broken(many, at, seq, failed, most, open_seconds * 1_000_000).select(*told.columns))
+
+
+def _broken(fetches: DataFrame, at: str, seq: str, failed: str, most: int, pause: int) -> DataFrame:
+    """The breaker as a path: each fetch at which the circuit may open points to the next such one, whatever was before. Behind
+    an opening the first fetch after the pause is tried; if it fails it opens the circuit again, else the next opening is
+    the first fetch, ``most`` or more behind the trial, that ends more than ``most`` failures in a row."""
+    key = scans.KEY
+    rows = workspace.cut(scans.placed(fetches.withColumn("at_", scans.micros(fetches, at)), key, ["at_", seq]))
+    bad = F.coalesce(F.col(failed), F.lit(False))
+    good = rows.where(~bad).select(key, (-F.col("place")).alias("x"), "place")
+    runs = scans.following(good, rows.where(bad).select(key, (-F.col("place")).alias("x"), F.col("place").alias("node"), F.col("at_").alias("t")), key, "x", {"last": F.col("place")})
+    ends = runs.where(F.col("node") - F.coalesce("last", F.lit(-1)) > most).select(key, F.col("node").alias("y"), F.col("node").alias("place"))
+    # the fetch that is tried after each possible opening; only failures open
+    tried = scans.following(rows.select(key, F.col("at_").alias("x"), "place", bad.alias("bad")), runs.select(key, (F.col("t") + pause).alias("x"), "node"), key, "x", {"trial": F.struct("place", "bad")}, ["place"])
+    starts = tried.where("trial is not null and not trial.bad").select(key, (F.col("trial.place") + 1 + most).alias("y"), "node")
+    first = rows.select(key).distinct().select(key, F.lit(most).cast("long").alias("y"), F.lit(-1).cast("long").alias("node"))
+    opened = scans.following(ends, starts.unionByName(first), key, "y", {"next": F.col("place")}).select(key, "node", "next").where("next is not null")
+    again = tried.where("trial.bad").select(key, "node", F.col("trial.place").alias("next"))
+    edges = workspace.cut(opened.where("node >= 0").unionByName(again))
+    path = scans.path(edges, opened.where("node < 0").select(key, F.col("next").alias("node")))
+    openings = rows.join(path.withColumnRenamed("node", "place"), [key, "place"], "left_semi").select(key, (-F.col("place")).alias("x"), (F.col("at_") + pause).alias("until"))
+    under = scans.following(openings, rows.select("*", (1 - F.col("place")).alias("x")), key, "x", {"until_": F.col("until")})
+    return under.withColumn("allowed", F.coalesce(F.col("at_") >= F.col("until_"), F.lit(True)))
 
 
 def metrics(outcomes: DataFrame, keys: list[str], value: str) -> DataFrame:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithic.operators import scans
 from lithic.operators.folds import fold
 from lithic.settings import DEFAULTS
+from lithic.sources import workspace
 
 
 def numbered(log: DataFrame, url: str, content: str, seq: str) -> DataFrame:
@@ -63,12 +65,24 @@ def backlog(pages: DataFrame, most: int) -> DataFrame:
     return pages.where(F.col("ai_status").isin("pending", "failed_transient") & F.col("extracted_text").isNotNull()).orderBy("id").limit(most)
 
 
-def seen_within(rows: DataFrame, key: str, at: str, hours: int = DEFAULTS.dedup_ttl_hours, seq: str = "event_id") -> DataFrame:
+def seen_within(rows: DataFrame, key: str, at: str, hours: int = DEFAULTS.dedup_ttl_hours, seq: str = "event_id", hot: int = scans.HOT) -> DataFrame:
     """Rows kept by a time-to-live filter: a row is dropped if its key was kept less than the TTL before.
-    The TTL restarts at kept rows only, so it is a fold over a key's rows, of which one task holds one
-    key at a time, in order."""
+    The TTL restarts at kept rows only, so it is a fold over a key's rows in order, of which one task holds one
+    row at a time. Of a key with more than ``hot`` rows each time points to the first that is a TTL later, and
+    the kept times are the path from the first one, which many tasks find."""
+    ttl = hours * 3_600_000_000
+
     def step(kept, row):
-        fresh = kept is None or row[0] - kept >= hours * 3_600_000_000
+        fresh = kept is None or row[0] - kept >= ttl
         return (row[0] if fresh else kept), fresh
 
-    return fold(rows, key, [at, seq], [at], step, "fresh_ boolean").where("fresh_").drop("fresh_")
+    few, many = scans.parted(rows, key, hot)
+    kept = fold(few, key, [at, seq], [at], step, "fresh_ boolean").where("fresh_").drop("fresh_")
+    if many is None:
+        return kept
+    firsts = many.withColumn("at_", scans.micros(many, at)).groupBy(scans.KEY, "at_").agg(F.min_by(F.struct(*rows.columns), seq).alias("row_"))
+    firsts = workspace.cut(firsts)
+    times = firsts.select(scans.KEY, "at_")
+    edges = scans.following(times, times.select(scans.KEY, (F.col("at_") + ttl).alias("at_"), F.col("at_").alias("node")), scans.KEY, "at_", {"next": F.col("at_")})
+    path = scans.path(edges.select(scans.KEY, "node", "next"), times.groupBy(scans.KEY).agg(F.min("at_").alias("node")))
+    return kept.unionByName(firsts.join(path.withColumnRenamed("node", "at_"), [scans.KEY, "at_"], "left_semi").select("row_.*"))

@@ -105,6 +105,19 @@ def circuit_breaker(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quota.breaker(rows, "user_id", "ts", "event_id", "failed", open_seconds=30_000).select("user_id", "event_id", "allowed")
 
 
+@register("circuit_breaker_hot", """
+WITH RECURSIVE e AS (SELECT user_id % 4 AS host, event_id, ts, event_type = 'error' OR value < 40 AS bad, row_number() OVER (PARTITION BY user_id % 4 ORDER BY ts, event_id) AS i FROM events),
+f(host, event_id, i, fails, until_, allowed) AS (SELECT host, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), 0, CAST(NULL AS TIMESTAMP), true FROM e WHERE i = 1
+ UNION ALL SELECT e.host, e.event_id, e.i, CASE WHEN e.ts < f.until_ THEN f.fails WHEN NOT bad OR f.until_ IS NOT NULL OR f.fails + 1 > 3 THEN 0 ELSE f.fails + 1 END,
+  CASE WHEN e.ts < f.until_ THEN f.until_ WHEN bad AND (f.until_ IS NOT NULL OR f.fails + 1 > 3) THEN e.ts + INTERVAL 3000 SECOND END, e.ts < f.until_ IS NOT TRUE
+  FROM f JOIN e ON e.host = f.host AND e.i = f.i + 1)
+SELECT host, event_id, allowed FROM f WHERE i > 0""")
+def circuit_breaker_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four hosts have all rows, and each is gone through by many tasks."""
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("host"), "event_id", "ts", F.coalesce((F.col("event_type") == "error") | (F.col("value") < 40), F.lit(False)).alias("failed"))
+    return quota.breaker(rows, "host", "ts", "event_id", "failed", open_seconds=3_000, hot=100).select("host", "event_id", "allowed")
+
+
 @register("provider_parks", """WITH p AS (SELECT event_type AS provider, CASE WHEN event_type = 'error' AND value > 300 THEN NULL WHEN value > 100 THEN CAST(date_trunc('day', ts - INTERVAL 8 HOUR) + INTERVAL 32 HOUR AS TIMESTAMP) ELSE date_trunc('minute', ts) + INTERVAL 1 MINUTE END AS until_, event_type = 'error' AND value > 300 AS good FROM events WHERE ts <= TIMESTAMP '2024-01-20 12:00:00')
 SELECT provider, CASE WHEN NOT bool_or(good) THEN max(until_) END AS until FROM p GROUP BY provider HAVING bool_or(good) OR max(until_) > TIMESTAMP '2024-01-20 12:00:00'""")
 def provider_parks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +168,16 @@ def dedup_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versions.seen_within(rows, "user_id", "ts").select("user_id", "event_id")
 
 
+@register("dedup_ttl_hot", """
+WITH RECURSIVE e AS (SELECT event_id, ts FROM events), f(event_id, ts) AS (SELECT arg_min(event_id, (ts, event_id)), min(ts) FROM e
+ UNION ALL SELECT event_id, ts FROM (SELECT e.event_id, e.ts FROM f JOIN e ON e.ts >= f.ts + INTERVAL 6 HOUR ORDER BY e.ts, e.event_id LIMIT 1))
+SELECT event_id FROM f""")
+def dedup_ttl_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One key has all rows, and is gone through by many tasks."""
+    rows = table(spark, sf_dir, "events").select(F.lit("all").alias("key"), "event_id", "ts")
+    return versions.seen_within(rows, "key", "ts", hot=100).select("event_id")
+
+
 @register("once_per_day", "SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) = 1")
 def once_per_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agents.once_per_day(table(spark, sf_dir, "events"), "user_id", "ts", "event_id").select("user_id", "event_id")

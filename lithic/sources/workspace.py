@@ -7,7 +7,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def top(spark: SparkSession) -> str:
@@ -34,3 +34,11 @@ def fingerprint(spark: SparkSession, path: str) -> str:
         one = each.next()
         found.append(f"{one.getPath().getName()} {one.getLen()} {one.getModificationTime()}")
     return "\n".join(sorted(found))
+
+
+def cut(rows: DataFrame) -> DataFrame:
+    """rows behind a checkpoint, which outlives lost executors."""
+    context = rows.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(top(rows.sparkSession))
+    return rows.checkpoint(eager=True)
