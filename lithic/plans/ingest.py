@@ -156,14 +156,16 @@ def stream_consumed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_minute_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder_of_messages(spark, sf_dir)
     usage = streams.minute_usage(streams.read_events(spark, folder), "fetched_at", ["url"])
-    return streams.run_all(usage, "complete", folder + "-state", "usage_" + folder[-32:]).select("url", F.col("window.start").cast("timestamp_ntz").alias("start"), "requests")
+    streams.drain(usage, folder + "-out", folder + "-state", mode="update")
+    return streams.latest(spark, folder + "-out", ["window", "url"]).select("url", F.col("window.start").cast("timestamp_ntz").alias("start"), "requests")
 
 
 @register("stream_newest", "SELECT 'http://h.example/' || user_id AS url, max(date_trunc('second', ts)) AS version FROM events WHERE event_id % 10 > 1 GROUP BY 1")
 def stream_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder_of_messages(spark, sf_dir)
     newest = streams.newest_versions(streams.read_events(spark, folder, 1), "url", "fetched_at")
-    return streams.run_all(newest, "complete", folder + "-state", "newest_" + folder[-32:]).select("url", F.col("fetched_at").cast("timestamp_ntz").alias("version"))
+    streams.drain(newest, folder + "-out", folder + "-state", mode="update")
+    return streams.latest(spark, folder + "-out", ["url"]).select("url", F.col("fetched_at").cast("timestamp_ntz").alias("version"))
 
 
 @register("stream_dedup_ttl", """
@@ -175,4 +177,5 @@ def stream_dedup_ttl(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stream's filter gives the batch's rows."""
     folder = _folder_of_messages(spark, sf_dir)
     kept = streams.distinct_pages(streams.read_events(spark, folder))
-    return streams.run_all(kept, "append", folder + "-state", "kept_" + folder[-32:]).select("url", F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"))
+    streams.drain(kept, folder + "-out", folder + "-state")
+    return streams.written(spark, folder + "-out").select("url", F.col("fetched_at").cast("timestamp_ntz").alias("fetched_at"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from lithic.functions import urls
 from lithic.settings import DEFAULTS
@@ -16,42 +17,97 @@ def read_events(spark: SparkSession, folder: str, files_per_batch: int = 100) ->
     return parse_events(raw)[0]
 
 
-def distinct_pages(events: DataFrame, hours: int = DEFAULTS.dedup_ttl_hours) -> DataFrame:
-    """Events that the time-to-live filter keeps, as :func:`lithic.operators.versions.seen_within` does for a batch: one
-    whose normalized URL was kept less than the TTL before goes. A key's state is the time of its last kept
-    event, and it expires with the watermark a TTL later. Of a micro-batch, events are taken by time."""
-    import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    ttl = hours * 3_600_000
-    schema = events.schema
-
-    def keep(key, batches, state: GroupState):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        kept = state.get[0] if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["fetched_at", "url"], kind="stable")
+class Kept(StatefulProcessor):
+    """A key's state is the time of its last kept event; a timer a TTL later clears it."""
+
+    def __init__(self, ttl: int, columns: list[str]) -> None:
+        self.ttl, self.columns = ttl, columns
+
+    def init(self, handle) -> None:
+        self.handle, self.kept = handle, handle.getValueState("kept", "at long")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        import pandas as pd
+
+        kept = self.kept.get()[0] if self.kept.exists() else None
+        # of the events of one time the first by url may be kept, so only those are held
+        firsts = pd.concat([r.sort_values(["fetched_at", "url"], kind="stable").drop_duplicates("fetched_at") for r in rows])
+        firsts = firsts.sort_values(["fetched_at", "url"], kind="stable").drop_duplicates("fetched_at")
         fresh = []
-        for at in (rows["fetched_at"].astype("datetime64[ms, UTC]" if rows["fetched_at"].dt.tz is not None else "datetime64[ms]").astype("int64")):
-            new = kept is None or at - kept >= ttl
+        for at in _milliseconds(firsts["fetched_at"]):
+            new = kept is None or at - kept >= self.ttl
             kept = at if new else kept
             fresh.append(new)
-        state.update((int(kept),))
-        state.setTimeoutTimestamp(max(int(kept) + ttl, state.getCurrentWatermarkMs() + 1))
-        yield rows.loc[fresh, [f.name for f in schema.fields]]
+        self.kept.update((int(kept),))
+        self.handle.registerTimer(max(int(kept) + self.ttl, timerValues.getCurrentWatermarkInMs() + 1))
+        yield firsts.loc[fresh, self.columns]
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        import pandas as pd
+
+        # a later kept event has set a later timer
+        if self.kept.exists() and self.kept.get()[0] + self.ttl <= max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()):
+            self.kept.clear()
+        yield pd.DataFrame(columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def _milliseconds(at) -> list[int]:
+    kind = "datetime64[ms, UTC]" if at.dt.tz is not None else "datetime64[ms]"
+    return at.astype(kind).astype("int64").tolist()
+
+
+def distinct_pages(events: DataFrame, hours: int = DEFAULTS.dedup_ttl_hours) -> DataFrame:
+    """Events that the time-to-live filter keeps, as :func:`lithic.operators.versions.seen_within` does for a batch: one
+    whose normalized URL was kept less than the TTL before goes. A key's state is the time of its last kept
+    event, and a timer clears it when the watermark is a TTL later. Of a micro-batch, events are taken by time."""
+    _keep_state_on_disk(events.sparkSession)
     keyed = events.withWatermark("fetched_at", f"{hours} hours").withColumn("dedup_key", urls.normalize(F.col("url")))
-    return keyed.groupBy("dedup_key").applyInPandasWithState(keep, schema, "kept long", "append", GroupStateTimeout.EventTimeTimeout)
+    return keyed.groupBy("dedup_key").transformWithStateInPandas(Kept(hours * 3_600_000, events.schema.names), events.schema, "Append", "EventTime")
+
+
+def _keep_state_on_disk(spark: SparkSession) -> None:
+    """State by transformWithState lies in RocksDB, beyond the executors' heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
 def minute_usage(events: DataFrame, at: str, keys: list[str], delay: str = "90 seconds") -> DataFrame:
     return events.withWatermark(at, delay).groupBy(F.window(at, "1 minute"), *keys).agg(F.count("*").alias("requests"))
 
 
+class Newest(StatefulProcessor):
+    """A key's state is its highest version so far; a row comes out when that rises."""
+
+    def __init__(self, key: str, version: str) -> None:
+        self.key, self.version = key, version
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("newest", f"{self.version} timestamp")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        import pandas as pd
+
+        top = max((r[self.version].max() for r in rows), default=None)
+        before = pd.Timestamp(self.state.get()[0]) if self.state.exists() else None
+        if before is not None and top.tz is not None and before.tz is None:
+            before = before.tz_localize(top.tz)
+        if before is None or top > before:
+            self.state.update((top.to_pydatetime(),))
+            yield pd.DataFrame({self.key: [key[0]], self.version: [top]})
+        else:
+            yield pd.DataFrame(columns=[self.key, self.version])
+
+    def close(self) -> None:
+        pass
+
+
 def newest_versions(versions: DataFrame, key: str, version: str) -> DataFrame:
-    """The highest version of each key so far; an older or equal one changes nothing."""
-    return versions.groupBy(key).agg(F.max(version).alias(version))
+    """A row of (key, version) whenever a key's highest version (a time) rises; an older or equal one gives none."""
+    _keep_state_on_disk(versions.sparkSession)
+    schema = versions.select(key, version).schema
+    return versions.select(key, version).where(F.col(version).isNotNull()).groupBy(key).transformWithStateInPandas(Newest(key, version), schema, "Update", "None")
 
 
 def write_once(batch: DataFrame, batch_id: int, folder: str) -> None:
@@ -59,22 +115,28 @@ def write_once(batch: DataFrame, batch_id: int, folder: str) -> None:
     batch.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/batch={batch_id}")
 
 
-def drain(stream: DataFrame, folder: str, checkpoint: str, deliveries: int = 1) -> None:
-    """Run a stream over all that is there and stop; every batch may be delivered several times."""
+def drain(stream: DataFrame, folder: str, checkpoint: str, deliveries: int = 1, mode: str = "append") -> None:
+    """Run a stream over all that is there and stop, its rows in files by batch; every batch may be delivered several
+    times. A later call with the same checkpoint goes on where this one ended."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         for _ in range(deliveries):
             write_once(batch, batch_id, folder)
 
-    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def run_all(stream: DataFrame, mode: str, checkpoint: str, name: str) -> DataFrame:
-    """All that a stream gives for what is there now, by a sink in memory: for results that are small."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def written(spark: SparkSession, folder: str) -> DataFrame:
+    """The rows of all batches."""
+    return spark.read.parquet(folder).drop("batch")
+
+
+def latest(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """Of updates, a key's row of the last batch that has one."""
+    rows = spark.read.parquet(folder)
+    values = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v")).select(*keys, "v.*")
 
 
 def liveness(query) -> dict:

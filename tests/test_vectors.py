@@ -370,20 +370,6 @@ def test_sources(spark):
     assert fits.count() == 1 and large.first().note.startswith("l|")
 
 
-def test_stream(spark, tmp_path):
-    from lithic.streaming import streams
-
-    (tmp_path / "in").mkdir()
-    events = [f'{{"url": "http://h/{i % 3}#x", "html": "p", "fetched_at": "2024-01-01T00:00:0{i}Z"}}' for i in range(9)] + ["broken"]
-    (tmp_path / "in" / "a.txt").write_text("\n".join(events))
-    pages = streams.distinct_pages(streams.read_events(spark, str(tmp_path / "in")))
-    streams.drain(pages, str(tmp_path / "out"), str(tmp_path / "check"))
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 3
-    query = streams.read_events(spark, str(tmp_path / "in")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "live")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert streams.liveness(query) == {"active": False, "batch": 0, "rows": 10}
-
-
 def test_lexemes_reach_the_end_of_long_texts(spark, tmp_path):
     passage = "alpha beta gamma delta epsilon zeta eta theta iota"
     spark.createDataFrame([(1, "filler " * 80_000 + passage)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
