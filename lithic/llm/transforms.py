@@ -110,14 +110,18 @@ class Block:
         self.order = np.argsort(bucket, kind="stable")
         self.named, self.offsets = np.unique(bucket[self.order], return_index=True)
 
+    def parts(self) -> list[np.ndarray]:
+        """The segments of each bucket that is named."""
+        return np.split(self.order, self.offsets[1:]) if len(self.named) else []
+
     def marks(self):
         """(bucket, its distinct segments: keys, hashes, first owners, which have several owners)."""
-        for bucket, some in zip(self.named.tolist(), np.split(self.order, self.offsets[1:]), strict=True):
+        for bucket, some in zip(self.named.tolist(), self.parts(), strict=True):
             yield bucket, packed([(self.key[some] & np.uint64(0xFFFFFFFF)).astype(np.uint32), self.content[some], self.low[some], np.flatnonzero(self.several[some]).astype(np.int32)])
 
     def roles(self, found: list[tuple[int, bytes]]) -> np.ndarray:
         """A segment's role, from the buckets' answers."""
-        out, parts = np.zeros(len(self.heads), dtype=np.uint8), np.split(self.order, self.offsets[1:])
+        out, parts = np.zeros(len(self.heads), dtype=np.uint8), self.parts()
         for bucket, data in found:
             out[parts[int(np.searchsorted(self.named, bucket))]] = np.frombuffer(unpacked(data, [])[1], dtype=np.uint8)
         return out
