@@ -75,7 +75,8 @@ CHECKS = {"base58": valid_base58, "bech32": valid_bech32, "onion": valid_onion}
 
 @F.pandas_udf(BooleanType())
 def checksum_holds(value: pd.Series, rule: pd.Series) -> pd.Series:
-    return pd.Series([CHECKS[r](v) for v, r in zip(value, rule, strict=True)], dtype="boolean")
+    """Whether a value passes a rule's check; one without a check passes."""
+    return pd.Series([r is None or CHECKS[r](v) for v, r in zip(value, rule, strict=True)], dtype="boolean")
 
 
 @F.pandas_udf(StringType())
@@ -105,8 +106,8 @@ def pattern_entities(docs: DataFrame, key: str, text: str, types: tuple[str, ...
     types only, if any are named."""
     rules = F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(kind).alias("type"), F.lit(conf).alias("confidence"), F.lit(check).cast("string").alias("check"), F.regexp_extract_all(F.col(text), F.lit(p), F.lit(0)).alias("found")) for i, (kind, p, conf, check) in enumerate(RULES) if not types or kind in types])
     rows = docs.select(key, F.explode(F.filter(rules, lambda r: F.size(r["found"]) > 0)).alias("r")).select(key, "r.*").select(key, "rule", "type", "confidence", "check", F.posexplode("found").alias("at", "display"))
-    checked = rows.where(F.col("check").isNotNull()).where(checksum_holds("display", "check"))
-    rows = rows.where(F.col("check").isNull()).unionByName(checked)
+    if any(check for kind, _, _, check in RULES if not types or kind in types):
+        rows = rows.where(checksum_holds("display", "check"))
     return rows.select(key, (F.col("rule") * 1_000_000 + F.col("at")).alias("pos"), "type", entity_key(F.col("type"), F.col("display")).alias("entity_key"), "display", "confidence")
 
 

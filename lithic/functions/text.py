@@ -94,7 +94,7 @@ def language(text: Column) -> Column:
     Equal shares go to the first code by alphabet."""
 
     def guess(words: Column) -> Column:
-        shares = [F.struct((F.size(_those(words, stop)) / F.size(words)).alias("share"), F.lit(code).alias("code")) for code, stop in sorted(STOP_WORDS.items())]
+        shares = [F.struct((F.size(_those(words, stop)) / F.greatest(F.size(words), F.lit(1))).alias("share"), F.lit(code).alias("code")) for code, stop in sorted(STOP_WORDS.items())]
         order = lambda a, b: F.when(a["share"] > b["share"], -1).when(a["share"] < b["share"], 1).when(a["code"] < b["code"], -1).otherwise(1)
 
         def judged(ranked: Column) -> Column:

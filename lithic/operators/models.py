@@ -261,11 +261,14 @@ class Registry:
 
 def task_udf(task: str, field: str, provider: Callable[[str, str], str] = offline):
     """A pandas UDF: text to struct(value, confidence, error), over texts cut to the model's limit before; the error
-    is quota or failed, and what came before it in the batch is kept."""
+    is quota or failed, and what came before it in the batch is kept. A null text asks for nothing and costs no
+    call; a model may answer anew each time, so Spark does not repeat a call where its answer is used twice."""
 
     def one(text: str | None) -> tuple:
+        if text is None:
+            return None, 0.0, None
         try:
-            value, confidence = validated(provider(task, text or ""), field)
+            value, confidence = validated(provider(task, text), field)
             return value, confidence, None if value is not None else "failed"
         except ProviderError as wrong:
             return None, 0.0, "quota" if wrong.window else "failed"
@@ -274,6 +277,7 @@ def task_udf(task: str, field: str, provider: Callable[[str, str], str] = offlin
     def run(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([one(t) for t in text], columns=["value", "confidence", "error"])
 
+    run = run.asNondeterministic()
     return lambda text: run(F.left(text, F.lit(DEFAULTS.model_chars)))
 
 
@@ -281,11 +285,13 @@ NAMED = ArrayType(StructType([StructField("type", StringType()), StructField("va
 
 
 def entities_udf(provider: Callable[[str, str], str] = offline):
-    """A pandas UDF: text, cut to the model's limit, to struct(entities, error)."""
+    """A pandas UDF: text, cut to the model's limit, to struct(entities, error); a null text costs no call."""
 
     def one(text: str | None) -> tuple:
+        if text is None:
+            return None, None
         try:
-            found = outermost_object(provider("entities", text or ""))
+            found = outermost_object(provider("entities", text))
             listed = (found or {}).get("entities")
             if not isinstance(listed, list):
                 return None, "failed"
@@ -297,6 +303,7 @@ def entities_udf(provider: Callable[[str, str], str] = offline):
     def run(text: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([one(t) for t in text], columns=["entities", "error"])
 
+    run = run.asNondeterministic()
     return lambda text: run(F.left(text, F.lit(DEFAULTS.model_chars)))
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lithic.functions import entities as E
 from lithic.functions import text as T
 from lithic.operators import models
+from lithic.sources import workspace
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -28,12 +29,9 @@ def _needed(docs: DataFrame) -> Column:
 
 
 def _asked(docs: DataFrame, name: str, ask: Callable[[Column], Column], text: Column, unless: Column | None = None) -> DataFrame:
-    """docs with ``name``, the answer; rows that need none do not go through Python."""
+    """docs with ``name``, the answer: one pass, in which rows that need none ask about a null, which is no call."""
     need = _needed(docs).isNotNull() if unless is None else _needed(docs).isNotNull() & unless.isNull()
-    rows = docs.withColumn("need_", need)
-    asked = rows.where("need_").withColumn(name, ask(text))
-    kind = asked.schema[name].dataType
-    return asked.unionByName(rows.where("not need_").withColumn(name, F.lit(None).cast(kind))).drop("need_")
+    return docs.withColumn(name, ask(F.when(need, text)))
 
 
 def language(provider=models.offline) -> Step:
@@ -70,10 +68,11 @@ def category(provider=models.offline) -> Step:
 
 
 def named_entities(provider=models.offline, key: str = "url") -> Step:
-    """Patterns over whole texts and the model's names over capped ones, merged."""
+    """Patterns over whole texts and the model's names over capped ones, merged. The answers are used more than once, so
+    rows are cut there: no later use asks again."""
 
     def step(docs: DataFrame) -> DataFrame:
-        rows = _asked(docs, "e_", models.entities_udf(provider), F.col("text"))
+        rows = workspace.cut(_asked(docs, "e_", models.entities_udf(provider), F.col("text")))
         outcome = F.when(F.col("e_.error").isNull(), "ok").otherwise(F.col("e_.error"))
         need = rows.where(_needed(rows).isNotNull())
         found = E.of_documents(E.pattern_entities(need, key, "text"), need.select(key, "e_", F.col("e_.entities").alias("entities")), key, outcome)

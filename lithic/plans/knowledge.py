@@ -68,6 +68,20 @@ def entity_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.col("entities_status").alias("status"), F.array_join(emails, ",").alias("emails"))
 
 
+@register("processing_four_steps", "WITH l AS (" + _language_step() + rf"""),
+m AS (SELECT DISTINCT doc_id, lower(v) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(text, {EMAIL})) AS v FROM documents)), n AS (SELECT doc_id, count(*) AS n FROM m GROUP BY 1),
+s AS (SELECT l.doc_id, language, language_status, {STATE.replace("WHEN done THEN 'unchanged' ", "")} AS summary_status, {TOLD.replace("WHEN done THEN 'unchanged' ", "")} AS category_status, n FROM l JOIN documents t ON t.doc_id = l.doc_id LEFT JOIN n ON n.doc_id = l.doc_id)
+SELECT doc_id, language, language_status, summary_status, category_status, summary_status AS entities_status, CASE WHEN summary_status IN ('success', 'failed') THEN coalesce(n, 0) END AS emails,
+CASE WHEN 'failed' IN (language_status, summary_status, category_status) THEN 'failed' WHEN 'waiting' IN (language_status, summary_status, category_status) THEN 'waiting' ELSE 'processed' END AS status FROM s""")
+def processing_four_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole chain: one pass over the texts, and a model is asked once for each page and step."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(False).alias("done"))
+    steps = {"entities": processing.named_entities(flaky, "doc_id"), "category": processing.category(flaky), "summary": processing.summary(flaky), "language": processing.language(flaky)}
+    rows = processing.chain(docs, steps)
+    emails = F.size(F.filter("entities", lambda e: e["type"] == "email")).cast("long")
+    return rows.select("doc_id", "language", "language_status", "summary_status", "category_status", "entities_status", F.when(F.col("entities").isNotNull(), emails).alias("emails"), processing.overall(list(steps)).alias("status"))
+
+
 @register("named_entities_valid", """SELECT event_id, CASE WHEN event_type IN ('view', 'click') AND value >= 70 AND event_id % 4 <> 0 THEN event_type || event_id END AS kept FROM events""")
 def named_entities_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types of the taxonomy, usable values, enough confidence."""
