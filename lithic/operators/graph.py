@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lithic.functions import entities as E
 from lithic.functions import urls
-from lithic.settings import DEFAULTS
+from lithic.operators import heaps
 
 ENTITY_TYPES = ("crypto_wallet", "onion_service", "email", "pgp_fingerprint", *E.NAMED)
 
@@ -56,23 +56,27 @@ def orphans(entities: DataFrame, mentions: DataFrame, key: str) -> DataFrame:
     return entities.join(mentions.select(key).distinct(), key, "left_anti")
 
 
-def related(mentions: DataFrame, page: str, entity: str, most: int = 10, per_page: int = DEFAULTS.max_entities) -> DataFrame:
-    """(entity, other, shared, place): the entities on most pages with each, ties by id. A page counts with its
-    ``per_page`` least entities, as many as extraction leaves on a page, so its pairs are bounded."""
-    order = F.row_number().over(Window.partitionBy(page).orderBy(entity))
-    pairs = mentions.select(page, entity).distinct().withColumn("n_", order).where(F.col("n_") <= per_page).drop("n_")
-    other = pairs.select(F.col(page).alias("p_"), F.col(entity).alias("other"))
-    joined = pairs.join(other, (F.col(page) == F.col("p_")) & (F.col(entity) != F.col("other")))
-    counted = joined.groupBy(entity, "other").agg(F.count("*").alias("shared"))
-    place = F.row_number().over(Window.partitionBy(entity).orderBy(F.desc("shared"), "other"))
-    return counted.withColumn("place", place).where(F.col("place") <= most)
+#: Entities of a page whose pairs one task may form with as many others.
+PAGE_BLOCK = 512
+
+
+def related(mentions: DataFrame, page: str, entity: str, most: int = 10, block: int = PAGE_BLOCK) -> DataFrame:
+    """(entity, other, shared, place): the entities on most pages with each, ties by id. A page of many entities is cut into
+    blocks, and each two blocks meet in a task of their own; pairs are counted before they are shuffled."""
+    pairs = mentions.select(F.col(page).alias("p_"), F.col(entity).alias("e_")).where("p_ is not null and e_ is not null").distinct()
+    parts = pairs.groupBy("p_").agg(F.ceil(F.count("*") / block).cast("int").alias("parts_"))
+    dealt = pairs.join(parts, "p_").withColumn("own_", F.pmod(F.xxhash64("e_"), F.col("parts_")).cast("int")).withColumn("other_", F.explode(F.sequence(F.lit(0), F.col("parts_") - 1)))
+    left = dealt.select("p_", F.col("own_").alias("a_"), F.col("other_").alias("b_"), "e_")
+    right = dealt.select("p_", F.col("other_").alias("a_"), F.col("own_").alias("b_"), F.col("e_").alias("other"))
+    counted = left.join(right, ["p_", "a_", "b_"]).where("e_ <> other").groupBy("e_", "other").agg(F.count("*").alias("shared"))
+    top = heaps.first_of_each(counted, ["e_"], [("shared", False), ("other", True)], most)
+    return top.select(F.col("e_").alias(entity), F.posexplode("first").alias("place", "f")).select(entity, "f.other", "f.shared", (F.col("place") + 1).alias("place"))
 
 
 def newest_pages(mentions: DataFrame, page: str, entity: str, at: str, most: int = 20) -> DataFrame:
     """(entity, pages): each entity's newest pages, in order."""
-    place = F.row_number().over(Window.partitionBy(entity).orderBy(F.desc(at), page))
-    top = mentions.select(entity, page, at).distinct().withColumn("place", place).where(F.col("place") <= most)
-    return top.groupBy(entity).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", page))), lambda s: s[page]).alias("pages"))
+    top = heaps.first_of_each(mentions.select(entity, page, at).distinct(), [entity], [(at, False), (page, True)], most)
+    return top.select(entity, F.transform("first", lambda s: s[page]).alias("pages"))
 
 
 def most_mentioned(mentions: DataFrame, pages: DataFrame, page: str, entity: str, most: int = 5) -> DataFrame:
