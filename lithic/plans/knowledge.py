@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from lithic import api
 from lithic.catalog import register
 from lithic.functions import entities as E
-from lithic.operators import agents, changes, graph, models, processing, search
+from lithic.operators import agents, changes, graph, graphstore, models, processing, search
 from lithic.plans.documents import EMAIL
 from lithic.plans.search import EXACT, QUERY, _has, _hits, _or_rank, documents
 from lithic.settings import CATEGORIES
+from lithic.sources import snapshots, workspace
 from lithic.sources.tables import table
 
 
@@ -331,6 +332,16 @@ def graph_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.rebuild(_versions(spark, sf_dir))[1]
 
 
+@register("graph_incremental", GRAPH + " SELECT type, key, 'D' || key AS display, count(DISTINCT url) AS pages FROM m GROUP BY type, key")
+def graph_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph after three batches of versions, of which the second is delivered twice."""
+    store, versions = snapshots.Store(spark, workspace.folder(spark, "graph")), _versions(spark, sf_dir)
+    for number in (0, 1, 1, 2):
+        batch = versions.where(F.pmod(F.col("version") * 7, F.lit(3)) == number)
+        store.run(lambda change: graphstore.update(change, batch), writer="graph", token=number)  # noqa: B023
+    return graphstore.entities(store.snapshot())
+
+
 @register("graph_hosts", GRAPH + " SELECT host, count(DISTINCT url) AS pages FROM m GROUP BY host")
 def graph_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.rebuild(_versions(spark, sf_dir))[2]
