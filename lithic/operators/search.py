@@ -192,6 +192,67 @@ def passage(text: Column, query: str) -> Column:
     return headline(text, query, 120, 20, 1, marked=False)
 
 
+def fragments(text: Column, query: str, most: int = 40, least: int = 20, count: int = 2, marked: bool = True) -> Column:
+    """Up to two fragments of a text around its best covers, in text order, joined by dots; the query's words in <b> if marked.
+
+    A cover is a stretch of ``most`` words at most from one match to another. Those with more different words of the query go first, then
+    shorter ones, then earlier ones. A fragment is a cover stretched on both sides to ``most`` words, where the text has them, and cut
+    after the last end of a sentence behind the cover and behind ``least`` words. The second one is the best cover outside the first
+    fragment. Without a match: the text's first words.
+    """
+    wanted = sorted({w for group in parse(query) for t in group if not t.negated for w in t.words})
+    clean = lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}]+", "")
+
+    def cut(words: Column) -> Column:
+        n = F.size(words)
+        hits = F.filter(F.transform(words, lambda w, i: F.struct((i + 1).alias("i"), clean(w).alias("w"))), lambda h: h["w"].isin(*wanted))
+
+        def covers(hits: Column) -> Column:
+            def cover(h: Column, k: Column) -> Column:
+                near = F.filter(F.slice(hits, k + 1, most), lambda x: x["i"] < h["i"] + most)
+                firsts = lambda near: F.transform(F.array_distinct(F.transform(near, lambda x: x["w"])), lambda w: F.array_min(F.transform(F.filter(near, lambda x: x["w"] == w), lambda x: x["i"])))
+                return T.let(near, lambda near: T.let(firsts(near), lambda f: F.struct((-F.size(f)).alias("different"), (F.array_max(f) - h["i"]).alias("length"), h["i"].alias("i"), F.array_max(f).alias("e"))))
+
+            return F.transform(hits, cover)
+
+        def stretched(i: Column, e: Column, low: Column, high: Column) -> Column:
+            """struct(a, b): first and last word of the fragment of a cover, between two words."""
+            a = F.greatest(low, F.least(i - F.floor((F.lit(most) - (e - i + 1)) / 2).cast("int"), high - most + 1))
+
+            def ended(a: Column) -> Column:
+                b = F.least(high, a + most - 1)
+                ends = F.filter(F.sequence(F.greatest(e, a + least - 1), F.greatest(e, a + least - 1, b)), lambda k: (k <= b) & F.element_at(words, F.greatest(F.least(k, n), F.lit(1))).rlike(r"[.!?]$"))
+                return F.struct(a.alias("a"), F.coalesce(F.array_max(ends), b).alias("b"))
+
+            return T.let(a, ended)
+
+        def shown(f: Column) -> Column:
+            part = F.slice(words, f["a"], F.greatest(f["b"] - f["a"] + 1, F.lit(0)))
+            return F.array_join(F.transform(part, lambda w: F.when(clean(w).isin(*wanted), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w)) if marked else part, " ")
+
+        def chosen(found: Column) -> Column:
+            best = F.array_min(found)
+            first = F.when(best.isNull(), stretched(F.lit(1), F.lit(1), F.lit(1), n)).otherwise(stretched(best["i"], best["e"], F.lit(1), n))
+
+            def with_second(f: Column) -> Column:
+                if count == 1:
+                    return shown(f)
+                other = F.array_min(F.filter(found, lambda c: (c["i"] > f["b"]) | (c["e"] < f["a"])))
+
+                def both(o: Column) -> Column:
+                    behind = o["i"] > f["b"]
+                    s = stretched(o["i"], o["e"], F.when(behind, f["b"] + 1).otherwise(1), F.when(behind, n).otherwise(f["a"] - 1))
+                    return F.when(o.isNull(), shown(f)).otherwise(T.let(s, lambda s: F.when(behind, F.concat_ws(" ... ", shown(f), shown(s))).otherwise(F.concat_ws(" ... ", shown(s), shown(f)))))
+
+                return T.let(other, both)
+
+            return T.let(first, with_second)
+
+        return F.when(n == 0, "").otherwise(T.let(hits, lambda h: T.let(covers(h), chosen)))
+
+    return T.let(F.filter(F.split(text, r"\s+"), lambda w: w != ""), cut)
+
+
 def full_text(index: Index, query: str, size: int = 20, page: int = 0) -> DataFrame:
     """A result page (key, rank, pos), best first, ties by key."""
     if not query.strip():

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lithic.catalog import register
-from lithic.operators import agents, changes, quota, versions
+from lithic.operators import agents, bloom, changes, quota, versions
+from lithic.sources import buckets
 from lithic.sources.tables import table
 
 NUMBERED = """
@@ -228,3 +229,18 @@ def as_of_previous_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pacific_midnights(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.col("ts").cast("timestamp")
     return table(spark, sf_dir, "events").select("event_id", quota.next_minute(at).cast("timestamp_ntz").alias("next_minute"), quota.next_pacific_midnight(at).cast("timestamp_ntz").alias("reset_at"))
+
+
+@register("seen_bloom", "SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 45)")
+def seen_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that were not seen; only those that a bit array does not know to be new are shuffled."""
+    seen = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return bloom.unseen(table(spark, sf_dir, "orders").select("o_orderkey"), seen, "o_orderkey")
+
+
+@register("bucketed_joins", "SELECT d.doc_id, count(DISTINCT l.quality) AS qualities, count(e.vec_id) AS points FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id LEFT JOIN embeddings e ON e.vec_id = d.doc_id GROUP BY d.doc_id")
+def bucketed_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, verdicts and points by one key, dealt alike once: two joins and a count without a shuffle."""
+    docs, labels, points = (buckets.put(table(spark, sf_dir, name).select(F.col(key).alias("doc_id"), *more), "doc_id", 16, name) for name, key, more in (("documents", "doc_id", []), ("labels", "doc_id", ["quality"]), ("embeddings", "vec_id", [F.lit(1).alias("point")])))
+    joined = buckets.meet(buckets.meet(docs, labels, "doc_id", "left"), points, "doc_id", "left")
+    return joined.groupBy("doc_id").agg(F.countDistinct("quality").alias("qualities"), F.count("point").alias("points"))

@@ -103,6 +103,48 @@ def search_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(search.headline(F.col("text"), "idiot")).alias("snippet_md5"))
 
 
+COVERED = ["the", "of", "idiot"]
+
+
+def _covers(most: int, least: int, count: int, marked: bool) -> str:
+    """The same fragments by joins over word places."""
+    show = lambda p: f"coalesce((SELECT string_agg({'CASE WHEN c IN ' + str(tuple(COVERED)) + ' THEN ' + chr(39) + '<b>' + chr(39) + ' || w || ' + chr(39) + '</b>' + chr(39) + ' ELSE w END' if marked else 'w'}, ' ' ORDER BY i) FROM w WHERE w.doc_id = {p}.doc_id AND w.i BETWEEN {p}.a AND {p}.b), '')"
+
+    def ended(source: str) -> str:
+        return f"""SELECT doc_id, a, coalesce((SELECT max(i) FROM w WHERE w.doc_id = s.doc_id AND i >= greatest(s.e, s.a + {least - 1}) AND i <= least(s.high, s.a + {most - 1}) AND regexp_matches(w, '[.!?]$')), least(s.high, s.a + {most - 1})) AS b, e
+        FROM (SELECT doc_id, i, e, high, greatest(low, least(i - ({most} - (e - i + 1)) // 2, high - {most - 1})) AS a FROM ({source})) s"""
+
+    return rf"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') AS ws FROM documents WHERE list_contains({TS.format('text')}, 'idiot')),
+    w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i, unnest(list_transform(ws, lambda w: {CLEAN})) AS c FROM t),
+    h AS (SELECT doc_id, i, c FROM w WHERE c IN {tuple(COVERED)}),
+    f AS (SELECT x.doc_id, x.i, y.c, min(y.i) AS first FROM h x JOIN h y ON x.doc_id = y.doc_id AND y.i BETWEEN x.i AND x.i + {most - 1} GROUP BY ALL),
+    v AS (SELECT doc_id, i, max(first) AS e, count(*) AS different FROM f GROUP BY ALL),
+    n AS (SELECT doc_id, len(ws) AS n FROM t),
+    one AS (SELECT n.doc_id, coalesce(i, 1) AS i, coalesce(e, 1) AS e, 1 AS low, n AS high FROM n LEFT JOIN v ON v.doc_id = n.doc_id QUALIFY row_number() OVER (PARTITION BY n.doc_id ORDER BY different DESC, e - i, i) = 1),
+    p AS ({ended('SELECT * FROM one')}),
+    two AS (SELECT v.doc_id, v.i, v.e, CASE WHEN v.i > p.b THEN p.b + 1 ELSE 1 END AS low, CASE WHEN v.i > p.b THEN n ELSE p.a - 1 END AS high FROM v JOIN p ON p.doc_id = v.doc_id JOIN n ON n.doc_id = v.doc_id WHERE v.i > p.b OR v.e < p.a
+      QUALIFY row_number() OVER (PARTITION BY v.doc_id ORDER BY different DESC, v.e - v.i, v.i) = 1),
+    q AS ({ended('SELECT * FROM two')})
+    SELECT p.doc_id, md5(CASE WHEN q.doc_id IS NULL OR {count} = 1 THEN {show('p')} WHEN q.a > p.b THEN {show('p')} || ' ... ' || {show('q')} ELSE {show('q')} || ' ... ' || {show('p')} END) AS fragments_md5 FROM p LEFT JOIN q ON q.doc_id = p.doc_id"""
+
+
+def _fragments(spark: SparkSession, sf_dir: str, **kind) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(search.found_in(documents(spark, sf_dir), "idiot").select("doc_id"), "doc_id", "left_semi")
+    return docs.select("doc_id", F.md5(search.fragments(F.col("text"), " or ".join(COVERED), **kind)).alias("fragments_md5"))
+
+
+@register("search_fragments", _covers(40, 20, 2, True))
+def search_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two fragments of 20 to 40 words around the covers with most words of the query."""
+    return _fragments(spark, sf_dir)
+
+
+@register("search_passages", _covers(120, 80, 1, False))
+def search_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plain passage of 80 to 120 words around the best cover, to the end of a sentence where one is."""
+    return _fragments(spark, sf_dir, most=120, least=80, count=1, marked=False)
+
+
 @register("search_index", r"""WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(left(text, 500000)), '[\p{L}\p{N}]+')) AS lexeme FROM documents)
 SELECT lexeme, count(*) AS occurrences, count(DISTINCT doc_id) AS n_docs FROM t GROUP BY lexeme""")
 def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
