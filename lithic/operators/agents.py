@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lithic.functions import text as T
-from lithic.operators import changes, graph, models, search, state
+from lithic.operators import changes, graph, models, scans, search, state
 from lithic.settings import CATEGORIES, DEFAULTS
 
 TOOLS = ("search", "changes", "entities")
@@ -67,7 +67,9 @@ def greedy(costs: Column, budget: Column) -> Column:
 
 def newest_runs(runs: DataFrame) -> DataFrame:
     """runs (id, started_at) of one agent with their place, the newest first, by id among equals."""
-    return runs.withColumn("place", F.row_number().over(Window.orderBy(F.desc("started_at"), F.desc("id"))))
+    # places over ranges of times, so that runs of any number go through many tasks
+    rows = runs.withColumn("at_", -scans.micros(runs, "started_at")).withColumn("id_", -F.col("id")).withColumn(scans.KEY, F.lit("all"))
+    return scans.placed(rows, scans.KEY, ["at_", "id_"]).withColumn("place", (F.col("place") + 1).cast("int")).drop("at_", "id_", scans.KEY)
 
 
 def once_per_day(runs: DataFrame, agent: str, started: str, key: str) -> DataFrame:

@@ -139,3 +139,26 @@ def next_minute(at: Column) -> Column:
 def next_pacific_midnight(at: Column) -> Column:
     local = F.from_utc_timestamp(at, "America/Los_Angeles")
     return F.to_utc_timestamp(F.date_trunc("day", local) + F.expr("INTERVAL 1 DAY"), "America/Los_Angeles")
+
+
+def distribution(outcomes: DataFrame, keys: list[str], value: str, edges: list[float]) -> DataFrame:
+    """(keys, below, n, share): how many values lie below each edge and not below the one before; the last row, below
+    null, has the rest. Null values are in none."""
+    at = F.array_position(F.transform(F.array(*[F.lit(float(e)) for e in edges]), lambda e: F.col(value) < e), True)
+    rows = outcomes.where(F.col(value).isNotNull()).groupBy(*keys, at.alias("at_")).agg(F.count("*").alias("n"))
+    whole = rows.groupBy(*keys).agg(F.sum("n").alias("all_"))
+    below = F.when(F.col("at_") > 0, F.element_at(F.array(*[F.lit(float(e)) for e in edges]), F.greatest("at_", F.lit(1)).cast("int")))
+    return rows.join(whole, keys).select(*keys, below.alias("below"), "n", (F.col("n") / F.col("all_")).alias("share"))
+
+
+def gauges(log: DataFrame, provider: str, at: str, tokens: str, limits: DataFrame, now: Column) -> DataFrame:
+    """(provider, window, requests_left, tokens_left) of each of limits (provider, window: minute or day, requests, tokens) at a
+    time: what its current minute or UTC day has left, all of it where nothing was used."""
+    found = None
+    for unit in ("minute", "day"):
+        inside = log.where((F.date_trunc(unit, at) == F.date_trunc(unit, now)) & (F.col(at) <= now))
+        used = inside.groupBy(F.col(provider).alias("provider")).agg(F.count("*").alias("used_"), F.sum(tokens).alias("spent_"))
+        left = lambda limit, spent: F.greatest(F.lit(0), F.col(limit) - F.coalesce(F.col(spent), F.lit(0)))
+        rows = limits.where(F.col("window") == unit).join(used, "provider", "left").select("provider", "window", left("requests", "used_").alias("requests_left"), left("tokens", "spent_").alias("tokens_left"))
+        found = rows if found is None else found.unionByName(rows)
+    return found

@@ -147,3 +147,9 @@ def schema_at(version: int) -> dict[str, dict[str, str]]:
                 else:
                     table[column] = kind
     return tables
+
+
+def as_version(rows: DataFrame, table: str, version: int) -> DataFrame:
+    """rows as a table of that version: its columns, in its types and order; those that rows lack are null, others go."""
+    kinds = schema_at(version)[table]
+    return rows.select(*[(F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])

@@ -244,3 +244,20 @@ def bucketed_joins(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels, points = (buckets.put(table(spark, sf_dir, name).select(F.col(key).alias("doc_id"), *more), "doc_id", 16, name) for name, key, more in (("documents", "doc_id", []), ("labels", "doc_id", ["quality"]), ("embeddings", "vec_id", [F.lit(1).alias("point")])))
     joined = buckets.meet(buckets.meet(docs, labels, "doc_id", "left"), points, "doc_id", "left")
     return joined.groupBy("doc_id").agg(F.countDistinct("quality").alias("qualities"), F.count("point").alias("points"))
+
+
+@register("confidence_distribution", """SELECT event_type, CASE WHEN value < 25 THEN 25.0::DOUBLE WHEN value < 50 THEN 50.0::DOUBLE WHEN value < 100 THEN 100.0::DOUBLE END AS below, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY event_type), 6) AS share
+FROM events WHERE value IS NOT NULL GROUP BY 1, 2""")
+def confidence_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quota.distribution(table(spark, sf_dir, "events"), ["event_type"], "value", [25, 50, 100]).withColumn("share", F.round("share", 6))
+
+
+@register("quota_gauges", """WITH t AS (SELECT max(ts) AS now FROM events), l AS (SELECT DISTINCT event_type AS provider, w AS window, CASE w WHEN 'minute' THEN 3 ELSE 100 END AS requests, CASE w WHEN 'minute' THEN 120 ELSE 4000 END AS tokens FROM events, (VALUES ('minute'), ('day')) x(w)),
+u AS (SELECT event_type AS provider, w AS window, count(*) AS n, sum(CAST(floor(value) AS BIGINT)) AS spent FROM events, t, (VALUES ('minute'), ('day')) x(w) WHERE date_trunc(w, ts) = date_trunc(w, now) GROUP BY 1, 2)
+SELECT l.provider, l.window, greatest(0, requests - coalesce(n, 0)) AS requests_left, greatest(0, tokens - coalesce(spent, 0)) AS tokens_left FROM l LEFT JOIN u ON u.provider = l.provider AND u.window = l.window""")
+def quota_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each provider's current minute and day have left at the last event."""
+    log = table(spark, sf_dir, "events").select("event_type", "ts", F.floor("value").alias("tokens"))
+    pairs = [("minute", 3, 120), ("day", 100, 4_000)]
+    limits = log.select(F.col("event_type").alias("provider"), F.explode(F.array(*[F.struct(F.lit(w).alias("window"), F.lit(r).alias("requests"), F.lit(t).alias("tokens")) for w, r, t in pairs])).alias("l")).distinct().select("provider", "l.*")
+    return quota.gauges(log, "event_type", "ts", "tokens", limits, F.lit(log.agg(F.max("ts")).first()[0]))

@@ -11,7 +11,7 @@ from lithic import settings
 from lithic.catalog import register
 from lithic.functions import entities as E
 from lithic.functions import text as T
-from lithic.sources import fetch, tables, workspace
+from lithic.sources import fetch, snapshots, tables, workspace
 from lithic.sources.tables import table
 from lithic.streaming import streams
 
@@ -99,19 +99,31 @@ def version_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("collection_vectors", "SELECT label, count(*) AS n FROM embeddings GROUP BY label")
 def collection_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dim = tables.ensure_collection(tables.ensure_collection({}, "pages", 64), "pages", 64)["pages"]
+    store = snapshots.Store(spark, workspace.folder(spark, "collections"))
+    tables.ensure_collection(store, "pages", 64)
+    dim = tables.ensure_collection(store, "other", 8)["pages"]
     return tables.check_vectors(table(spark, sf_dir, "embeddings"), "embedding", dim).where(F.size("embedding") > 0).groupBy("label").agg(F.count("*").alias("n"))
 
 
-def _setting_rows() -> str:
-    changed = {"dedup_ttl_hours": "12", "min_score": "0.5"}
-    return ", ".join(f"('{f.name}', '{changed.get(f.name, getattr(settings.DEFAULTS, f.name))}')" for f in dataclasses.fields(settings.Settings))
+_SETTINGS = [f.name for f in dataclasses.fields(settings.Settings)]
 
 
-@register("settings_loaded", f"SELECT name, value FROM (VALUES {_setting_rows()}) x(name, value)")
+@register("settings_loaded", "SELECT c_custkey, c_custkey % 48 + 1 AS dedup_ttl_hours, (c_custkey % 100) / 100.0::DOUBLE AS min_score, " + f"'{settings.DEFAULTS.rrf_k}' AS rrf_k, {len(_SETTINGS)} AS n_settings FROM customer")
 def settings_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = settings.parse(["crawler:", "  dedup-ttl-hours: 12  # hours", "min-score: '0.5'", ""])
-    return spark.createDataFrame([(k, str(v)) for k, v in dataclasses.asdict(found).items()], "name string, value string")
+    """Each customer's settings, read from lines as a file has them."""
+
+    def parsed(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [settings.parse(lines) for lines in batch.column("lines").to_pylist()]
+            columns = [pa.array([f.dedup_ttl_hours for f in found], pa.int64()), pa.array([f.min_score for f in found]), pa.array([str(f.rrf_k) for f in found]), pa.array([len(dataclasses.asdict(f)) for f in found], pa.int32())]
+            yield pa.RecordBatch.from_arrays([batch.column("c_custkey"), *columns], ["c_custkey", "dedup_ttl_hours", "min_score", "rrf_k", "n_settings"])
+
+    n = F.col("c_custkey")
+    lines = F.array(F.lit("crawler:"), F.concat(F.lit("  dedup-ttl-hours: "), (n % 48 + 1).cast("string"), F.lit("  # hours")), F.concat(F.lit("min-score: '"), ((n % 100) / 100).cast("string"), F.lit("'")), F.lit(""))
+    rows = table(spark, sf_dir, "customer").select(n.cast("long").alias("c_custkey"), lines.alias("lines"))
+    return rows.mapInArrow(parsed, "c_custkey long, dedup_ttl_hours long, min_score double, rrf_k string, n_settings int")
 
 
 @register("url_forms", """SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'http://a.example/x?a=1+2&b=%C3%A9~' WHEN 1 THEN 'https://a.example?q=' WHEN 2 THEN 'http://a.example/' WHEN 3 THEN 'http://a.example:8080/p' WHEN 4 THEN 'nothing of a url ' ELSE 'https://a.example/b/c?k=1&k=0' END AS normalized,

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from lithic import api
 from lithic.catalog import register
 from lithic.functions import entities as E
-from lithic.operators import agents, changes, graph, graphstore, models, processing, search
+from lithic import settings
+from lithic.operators import agents, changes, graph, graphstore, ladder, models, processing, search
 from lithic.plans.documents import EMAIL
 from lithic.plans.search import EXACT, QUERY, _has, _hits, _or_rank, documents
 from lithic.settings import CATEGORIES
@@ -83,6 +84,33 @@ def processing_four_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "language", "language_status", "summary_status", "category_status", "entities_status", F.when(F.col("entities").isNotNull(), emails).alias("emails"), processing.overall(list(steps)).alias("status"))
 
 
+#: What a text costs, which providers have quota for it, and which gives the answer.
+LADDER = """WITH d AS (SELECT doc_id, left(text, 8000) AS t, length(text) // 4 AS estimate, doc_id % 2 = 0 AS interactive FROM documents WHERE trim(text) <> ''),
+o AS (SELECT *, 50 > floor(100 * CASE WHEN interactive THEN {i} ELSE {b} END / 100.0) AND 3000 - estimate > floor(4000 * CASE WHEN interactive THEN {i} ELSE {b} END / 100.0) AS small FROM d),
+a AS (SELECT *, small AND NOT contains(t, 'the') AS good FROM o)
+SELECT doc_id, CASE WHEN good THEN 'small' WHEN contains(t, 'scum') THEN CASE WHEN small THEN 'small' END ELSE 'large' END AS provider, CAST(CASE WHEN small THEN 2 ELSE 1 END - CAST(good AS INTEGER) AS INTEGER) AS calls FROM a"""
+
+
+@register("routed_escalation", LADDER.format(i=settings.DEFAULTS.quota_margin_percent, b=settings.DEFAULTS.quota_margin_percent + settings.DEFAULTS.batch_reserve_percent))
+def routed_escalation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries by the first provider with quota, by the next where its answer is poor: the small one is sure of texts without 'the' only."""
+    import json
+
+    def small(task: str, text: str) -> str:
+        return json.dumps({"text": "small", "confidence": 0.2 if "the" in text else 0.9})
+
+    def large(task: str, text: str) -> str:
+        if "scum" in text:
+            raise models.ProviderError("refused")
+        return json.dumps({"text": "large", "confidence": 0.8})
+
+    docs = table(spark, sf_dir, "documents").where("trim(text) <> ''")
+    calls = docs.select(F.col("doc_id").alias("call_id"), "text", F.floor(F.char_length("text") / 4).alias("estimate"), (F.col("doc_id") % 2 == 0).alias("interactive"))
+    quotas = spark.createDataFrame([("small", 50, 100, 3_000, 4_000), ("large", 10_000, 10_000, 10**9, 10**9)], "provider string, remaining long, limit long, tokens_left long, token_limit long")
+    told = ladder.escalate(calls, {"small": small, "large": large}, quotas, "summarize", "text")
+    return told.select(F.col("call_id").alias("doc_id"), "provider", F.size("tried").alias("calls"))
+
+
 @register("named_entities_valid", """SELECT event_id, CASE WHEN event_type IN ('view', 'click') AND value >= 70 AND event_id % 4 <> 0 THEN event_type || event_id END AS kept FROM events""")
 def named_entities_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types of the taxonomy, usable values, enough confidence."""
@@ -290,22 +318,36 @@ def agent_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(out, "status string, sources string, n_sent int")
 
 
-@register("agent_store", "SELECT * FROM (VALUES (1, 'zeta', 0), (3, 'beta', 2)) x(id, name, n_runs)")
+@register("agent_store", """WITH a AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 5 = 0 THEN 'renamed ' || c_custkey ELSE c_name END AS name FROM customer WHERE c_custkey <> 7 UNION ALL SELECT -1 - s_suppkey, s_name FROM supplier),
+n AS (SELECT o_custkey AS id, count(*) AS n FROM orders GROUP BY 1) SELECT a.id, name, coalesce(n, 0) AS n_runs FROM a LEFT JOIN n ON n.id = a.id""")
 def agent_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Made, renamed and deleted agents; the runs of a deleted one go with it."""
-    kind = "id long, name string"
-    runs = spark.createDataFrame([(1, 2), (2, 3), (3, 3)], "id long, agent_id long")
-    store = agents.Store(spark.createDataFrame([(1, "alpha"), (2, "gamma")], kind), runs)
-    store = store.put(spark.createDataFrame([(3, "beta")], kind)).put(spark.createDataFrame([(1, "zeta")], kind)).delete(2)
-    n = store.runs.groupBy(F.col("agent_id").alias("id")).agg(F.count("*").cast("int").alias("n_runs"))
-    return store.all().join(n, "id", "left").select(F.col("id").cast("int").alias("id"), "name", F.coalesce("n_runs", F.lit(0)).alias("n_runs"))
+    """Customers as agents and their orders as runs: some renamed, suppliers added, one deleted, with its runs."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("id"), F.col("c_name").alias("name"))
+    more = table(spark, sf_dir, "supplier").select((-1 - F.col("s_suppkey")).cast("long").alias("id"), F.col("s_name").alias("name"))
+    renamed = customers.where("id % 5 = 0").select("id", F.concat(F.lit("renamed "), F.col("id").cast("string")).alias("name"))
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("long").alias("agent_id"))
+    store = agents.Store(customers, runs).put(more).put(renamed).delete(7)
+    n = store.runs.groupBy(F.col("agent_id").alias("id")).agg(F.count("*").alias("n_runs"))
+    return store.all().join(n, "id", "left").select("id", "name", F.coalesce("n_runs", F.lit(0)).alias("n_runs"))
+
+
+@register("agent_errors", """SELECT c_custkey, CAST(c_custkey % 3 = 0 AS INTEGER) + CAST(c_custkey % 4 = 0 AS INTEGER) + CAST(c_mktsegment <> 'BUILDING' AS INTEGER) + CAST(c_custkey % 40 = 0 OR c_custkey % 40 > 30 AS INTEGER)
++ CAST(c_custkey % 7 = 0 AS INTEGER) AS n_errors FROM customer""")
+def agent_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with agents made of customers: blank names, long instructions, unknown categories, windows and budgets out of range."""
 
+    def checked(batches):
+        import pyarrow as pa
 
-@register("agent_errors", "SELECT * FROM (VALUES ('good', 0), ('bad', 7)) x(name, n_errors)")
-def agent_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = agents.Agent(" good ", "", "t", categories=("forum", " forum"), tools=("search",))
-    bad = agents.Agent("bad", "x" * 4001, " ", categories=("nope",), window_days=31, tools=("fly",), max_tokens=0, cost_profile="none")
-    return spark.createDataFrame([(a.name, len(a.errors)) for a in (good, bad)], "name string, n_errors int")
+        for batch in batches:
+            out = []
+            for key, name, segment in zip(*(batch.column(c).to_pylist() for c in ("c_custkey", "c_name", "c_mktsegment")), strict=True):
+                agent = agents.Agent(" " if key % 3 == 0 else f" {name} ", "x" * (4_001 if key % 4 == 0 else 4_000), "topic", categories=(" forum", "forum" if segment == "BUILDING" else segment), window_days=key % 40, max_tokens=0 if key % 7 == 0 else 100)
+                out.append(len(agent.errors))
+            yield pa.RecordBatch.from_arrays([batch.column("c_custkey"), pa.array(out, pa.int32())], ["c_custkey", "n_errors"])
+
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("c_custkey"), "c_name", "c_mktsegment")
+    return rows.mapInArrow(checked, "c_custkey long, n_errors int")
 
 
 # the graph

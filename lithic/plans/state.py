@@ -159,19 +159,22 @@ def runs_newest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _schema_rows() -> str:
-    rows = [(n, t, c) for n in range(1, len(state.MIGRATIONS) + 1) for t, cs in state.schema_at(n).items() for c in cs]
-    return ", ".join(f"({n}, '{t}', '{c}')" for n, t, c in rows)
+    """Version, number of columns of pages, and those of them that documents fill."""
+    filled = {"id", "url", "extracted_text", "content_hash"}
+    return ", ".join(f"({n}, {len(held)}, {len(filled & set(held))})" for n in range(1, len(state.MIGRATIONS) + 1) if (held := state.schema_at(n)["pages"]))
 
 
-@register("schema_versions", f"SELECT version, table_name, count(*) AS n_columns FROM (VALUES {_schema_rows()}) x(version, table_name, column_name) GROUP BY ALL")
+@register("schema_versions", f"SELECT version, n_columns, CAST(sum(filled) AS BIGINT) AS n_values FROM (VALUES {_schema_rows()}) x(version, n_columns, filled), documents WHERE text IS NOT NULL GROUP BY version, n_columns")
 def schema_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every version's tables can be made empty with the columns that it names."""
-    out = []
+    """Documents as pages of every version of the tables: a column that a version adds is empty, one that it drops goes."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.concat(F.lit("u"), F.col("doc_id").cast("string")).alias("url"), F.col("text").alias("extracted_text"), F.md5("text").alias("content_hash"))
+    found = None
     for n in range(1, len(state.MIGRATIONS) + 1):
-        for name, columns in state.schema_at(n).items():
-            made = spark.createDataFrame([], ", ".join(f"{c} {k}" for c, k in columns.items()))
-            out.append((n, name, len(made.columns)))
-    return spark.createDataFrame(out, "version int, table_name string, n_columns long")
+        pages = state.as_version(docs, "pages", n)
+        values = sum((F.count(c) for c in pages.columns), F.lit(0))
+        rows = pages.agg(F.lit(n).alias("version"), F.lit(len(pages.columns)).alias("n_columns"), values.alias("n_values"))
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 @register("snapshot_commits", """WITH d AS (SELECT doc_id AS i, text FROM documents WHERE text IS NOT NULL)

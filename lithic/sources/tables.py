@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from lithic.settings import DEFAULTS
 from lithic.shipping import ship
+from lithic.sources.snapshots import Store, Transaction
 
 RAW_PAGE = T.StructType([T.StructField("url", T.StringType()), T.StructField("source_type", T.StringType()), T.StructField("html", T.StringType()), T.StructField("fetched_at", T.TimestampType())])
 ENTITY = T.StructType([T.StructField("type", T.StringType()), T.StructField("key", T.StringType()), T.StructField("display", T.StringType()), T.StructField("confidence", T.DoubleType())])
@@ -106,12 +107,18 @@ def valid_patterns(spark: SparkSession, lines: list[str]) -> list[str]:
     return found
 
 
-def ensure_collection(collections: dict[str, int], name: str, dim: int) -> dict[str, int]:
-    """collections (name to dimension) with this one; it is made if it is not there, and one that is there
-    has to have the dimension."""
-    if collections.get(name, dim) != dim:
-        raise ValueError(f"collection {name} has {collections[name]} dimensions, not {dim}")
-    return {**collections, name: dim}
+def ensure_collection(store: Store, name: str, dim: int) -> dict[str, int]:
+    """The store's collections (name to dimension), which last with it, with this one: it is made if it is not there, and one
+    that is there has to have the dimension."""
+
+    def work(change: Transaction) -> None:
+        held = change.note("collections", {})
+        if held.get(name, dim) != dim:
+            raise ValueError(f"collection {name} has {held[name]} dimensions, not {dim}")
+        if name not in held:
+            change.notes["collections"] = {**held, name: dim}
+
+    return store.run(work).notes["collections"]
 
 
 def lookup(rows: DataFrame, **key) -> DataFrame:

@@ -16,7 +16,7 @@ from lithic.functions import entities, urls
 from lithic.functions import text as T
 from lithic.operators import agents, changes, fulltext, models, quota, search, versions
 from lithic.plans import documents
-from lithic.sources import tables
+from lithic.sources import snapshots, tables
 
 
 def values(spark, column, *inputs):
@@ -350,7 +350,7 @@ def test_chain_order_and_unknown_types(spark):
         search.semantic_page(None)
 
 
-def test_sources(spark):
+def test_sources(spark, tmp_path):
     raw = spark.createDataFrame([('{"url": "http://h", "html": "<p>"}',), ("broken",), (None,)], "value string")
     good, dead = tables.parse_events(raw)
     assert good.count() == 1 and dead.count() == 2
@@ -360,8 +360,11 @@ def test_sources(spark):
     assert tables.read_list(spark, "/nowhere/at/all").count() == 0
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         tables.read_hashes(spark, "/nowhere/at/all")
+    store = snapshots.Store(spark, str(tmp_path / "store"))
+    assert tables.ensure_collection(store, "a", 3) == {"a": 3} == tables.ensure_collection(snapshots.Store(spark, store.folder), "a", 3)
+    assert tables.ensure_collection(store, "b", 4) == {"a": 3, "b": 4} and store.snapshot().version == 2
     with pytest.raises(ValueError):
-        tables.ensure_collection({"a": 3}, "a", 4)
+        tables.ensure_collection(store, "a", 4)
     with pytest.raises(ValueError):
         conf.parse(["no_such_setting: 1"])
     assert conf.load("/nowhere") == conf.DEFAULTS
