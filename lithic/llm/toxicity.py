@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +36,18 @@ from .shared import alone, table
 
 TRAIN_ROWS = {1: 800, 0: 2000}
 LANDMARKS, ROUNDS, HARD, EASY = 192, 4, 4000, 6000
-#: Most distinct pieces that training takes of a document: those of least hash, so from all over it.
-MOST_PIECES = 20_000
+#: Longest text, in characters, that training draws: each that it draws is read whole.
+MOST_CHARS = 200_000
 #: Share of the toxic documents from which on a word of theirs is a witness as well.
 COMMON = 0.03
 #: A witness's share of the toxic documents is at least so many times its share of the clean ones.
 ODDS = 8.0
+#: How far a word's documents have to lean to the toxic ones, as a log likelihood ratio, for it to be an insult by itself; a word
+#: that leans less is a witness only where the machine, as trained so far, takes it for one.
+EVIDENCE = 12
 #: Share of common words from which on two training documents of one label are copies.
 COPY = 0.8
-#: Copies of a witness with one letter put in, for each of the most frequent VARIED.
+#: Copies of a witness with one letter put in, at each inner place, for each of the most frequent VARIED.
 VARIANTS, VARIED = 4, 150
 DECAY, SPREAD, CLASSES = 0.6, 3, 64
 LONGEST, OVERLAP = 24, 8
@@ -250,17 +252,20 @@ def fit(bags: list[list[str]], toxic: np.ndarray, spans: list[list[str]] | None
     lift = np.log((in_toxic + 0.1) / (toxic == 1).sum()) - np.log((in_clean + 0.1) / (toxic == 0).sum())
     bad = [r for r, y in zip(rows, toxic, strict=True) if y == 1]
     telling = lift >= np.log(ODDS)
+    base, held = (toxic == 1).mean(), in_toxic + in_clean
+    lean = in_toxic * np.log(np.maximum(in_toxic, 1) / (held * base)) + in_clean * np.log(np.maximum(in_clean, 1) / (held * (1 - base)))
+    sure = telling & (lean >= min(EVIDENCE, lean[telling].max(initial=0.0) / 4))
     clean = np.flatnonzero((in_clean > 0) & ~telling)
     rng = np.random.default_rng(6)
-    score = np.where(~telling, -10.0, lift + 0.5 * np.log(in_toxic + 1))
+    score = np.where(~sure, -10.0, lift + 0.5 * np.log(in_toxic + 1))
     easy = rng.permutation(clean)[:EASY]
     weights, bias = np.zeros(CLASSES**3), 0.0
     for _ in range(ROUNDS):
         witness, seen = np.unique([int(r[np.argmax(score[r])]) for r in bad], return_counts=True)
-        allowed = telling[witness]
+        allowed = sure[witness] | (telling & (score > 0))[witness]
         if allowed.any():
             witness, seen = witness[allowed], seen[allowed]
-        common = np.setdiff1d(np.flatnonzero(telling & (in_toxic >= max(6, COMMON * len(bad)))), witness)
+        common = np.setdiff1d(np.flatnonzero(sure & (in_toxic >= max(6, COMMON * len(bad)))), witness)
         witness, seen = np.concatenate([witness, common]), np.concatenate([seen, in_toxic[common]])
         hard = clean[np.argsort(-score[clean], kind="stable")[:HARD]]
         none = np.unique(np.concatenate([easy, hard]))
@@ -276,20 +281,21 @@ def fit(bags: list[list[str]], toxic: np.ndarray, spans: list[list[str]] | None
         values = np.maximum(values, 1e-3)
         root = vectors / np.sqrt(values) @ vectors.T
         seen = np.sqrt(seen)
-        varied = [words[i] for i in often[:VARIED] if len(words[i]) >= 4 for _ in range(VARIANTS)]
-        spots = [int(rng.integers(1, len(v))) for v in varied]
-        varied = [v[:at] + chr(97 + int(rng.integers(26))) + v[at:] for v, at in zip(varied, spots, strict=True)]
+        varied = [(words[i], at) for i in often[:VARIED] if len(words[i]) >= 4 for at in range(1, len(words[i])) for _ in range(VARIANTS)]
+        varied = [w[:at] + chr(97 + int(rng.integers(26))) + w[at:] for w, at in varied]
         some = [*(words[i] for i in witness), *varied, *(words[i] for i in none)]
         x = kernel(some, columns, dense) @ root
         n = len(witness) + len(varied)
         y = np.concatenate([np.ones(n), -np.ones(len(none))])
         share = np.concatenate([seen / seen.sum(), np.full(len(varied), 1 / max(len(varied), 1))])
-        cost = np.concatenate([share / share.sum(), np.full(len(none), 1 / len(none))]) * len(some) / 2
+        cost = np.concatenate([share / share.sum(), in_clean[none] ** 0.5 / (in_clean[none] ** 0.5).sum()]) * len(some) / 2
         w = squared_hinge(x, y, cost)
         weights, bias = np.zeros(CLASSES**3), float(w[-1])
         weights[used] = (root @ w[:-1]) @ dense
         score = np.concatenate([linear(words[at : at + PARTS], weights, bias) for at in range(0, len(words), PARTS)])
-    slope, offset = logistic(np.array([score[r].max() for r in rows]), (toxic == 1).astype(float))
+    # the curve has to hold for insults with a letter put in as well
+    told = np.concatenate([np.array([score[r].max() for r in rows]), linear(varied, weights, bias)])
+    slope, offset = logistic(told, np.concatenate([(toxic == 1).astype(float), np.ones(len(varied))]))
     machine = Machine(weights.astype(np.float32), bias, slope, offset)
     if clean_spans:
         every = sorted(set().union(*clean_spans))
@@ -298,16 +304,12 @@ def fit(bags: list[list[str]], toxic: np.ndarray, spans: list[list[str]] | None
     return machine
 
 
-def _some(found: set[str]) -> list[str]:
-    return sorted(found if len(found) <= MOST_PIECES else sorted(found, key=lambda p: (zlib.crc32(p.encode()), p))[:MOST_PIECES])
-
-
 def _bag(batches):
     alone("toxicity")
     for batch in batches:
         texts = [read(t or "") for t in batch.column("text").to_pylist()]
-        words = [_some({p for w in found for p in pieces_of(w)}) for found, _ in texts]
-        lists = [pa.array(x, pa.list_(pa.string())) for x in (words, [_some(spans) for _, spans in texts])]
+        words = [sorted({p for w in found for p in pieces_of(w)}) for found, _ in texts]
+        lists = [pa.array(x, pa.list_(pa.string())) for x in (words, [sorted(spans) for _, spans in texts])]
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("draw"), *lists], ["toxic", "draw", "words", "spans"])
 
 
@@ -318,13 +320,14 @@ def held_out(doc_id):
 def train(docs: DataFrame, labels: DataFrame, rows: dict[int, int] = TRAIN_ROWS) -> Machine:
     """A machine from at most ``rows`` labelled documents of each class outside the held-out fold. Labels that
     are null or neither 0 nor 1, and null ids, are left out; of an id labelled twice the lesser label counts, and
-    of several texts with one id the least. So at most 2,800 rows of ``MOST_PIECES`` pieces come to the driver."""
+    of several texts with one id the least. Texts beyond ``MOST_CHARS`` characters are not drawn, so
+    at most 2,800 rows of the pieces of so long a text come to the driver."""
     usable = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).where(~held_out(F.col("doc_id")))
     draw = F.xxhash64("doc_id")
     chosen = [usable.where(F.col("toxic") == c).groupBy("doc_id").agg(F.min("toxic").alias("toxic")).withColumn("draw", draw).orderBy("draw", "doc_id").limit(rows[c]) for c in (0, 1)]
     sample = chosen[0].unionByName(chosen[1])
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(sample.groupBy("doc_id", "draw").agg(F.min("toxic").alias("toxic"))), "doc_id")
-    texts = texts.groupBy("doc_id", "toxic", "draw").agg(F.min("text").alias("text"))
+    texts = texts.groupBy("doc_id", "toxic", "draw").agg(F.min("text").alias("text")).where(F.char_length(F.coalesce("text", F.lit(""))) <= MOST_CHARS)
     got = texts.select("toxic", "draw", "text").mapInArrow(_bag, "toxic int, draw long, words array<string>, spans array<string>").toArrow()
     order = np.lexsort((got.column("toxic").to_numpy(), got.column("draw").to_numpy())) if got.num_rows else np.zeros(0, np.int64)
     got = got.take(pa.array(order, pa.int64()))
