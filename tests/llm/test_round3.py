@@ -192,8 +192,8 @@ def test_links_match_brute_force(spark, part):
     word = lambda: "".join(rng.choice("abcé") for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4, 5, 7, 9, 14, 18])))
     base = ["".join(rng.choice("abcé") for _ in range(n)) for n in (9, 13, 17, 25)]
     mutate = lambda s: (lambda i: rng.choice([s[:i] + s[i + 1 :], s[:i] + s[i : i + 2][::-1] + s[i + 2 :], s[:i] + "x" + s[i:], s]))(rng.randrange(len(s)))
-    clients = [(k, rng.choice([word(), mutate(rng.choice(base)), None if rng.random() < 0.2 else "hot name"])) for k in range(400)] + [(None, "hot name"), (7, "hot name"), (7, "hot name"), (900, "l" * 5_000)]
-    vendors = [(k, rng.choice([word(), mutate(rng.choice(base))])) for k in range(80)] + [(90, "hot name"), (90, "hot name"), (None, "hot nam"), (91, None), (92, ""), (93, "l" * 4_999)]
+    clients = [(k, rng.choice([word(), mutate(rng.choice(base)), None if rng.random() < 0.2 else "hot name"])) for k in range(400)] + [(None, "hot name"), (7, "hot name"), (7, "hot name"), (900, "l" * 400)]
+    vendors = [(k, rng.choice([word(), mutate(rng.choice(base))])) for k in range(80)] + [(90, "hot name"), (90, "hot name"), (None, "hot nam"), (91, None), (92, ""), (93, "l" * 399)]
     got = names.links(spark.createDataFrame(clients, "client_id long, name string"), spark.createDataFrame(vendors, "vendor_id long, name string"), part).collect()
     assert {(r[0], r[1]): tuple(r[2:]) for r in got} == brute_links(clients, vendors)
     assert len(got) == len({(r[0], r[1]) for r in got})
@@ -217,3 +217,27 @@ def test_misspelt_names(spark):
     rows = [(k, n) for k in range(40) for n in ("ab", "a", "\U0001f600éxyz", "")]
     got = spark.createDataFrame(rows, "vendor_id long, name string").select("vendor_id", "name", names.misspelt(F.col("name"), F.col("vendor_id")).alias("m")).collect()
     assert all(r.m == want(r.vendor_id, r.name) for r in got)
+
+
+# 6: letters put into insults
+
+
+def test_insults_with_a_letter_put_in(spark):
+    """Seven insults that the machine knows, each letter at each inner place: under a seventh go unseen, and clean held-out
+    documents of these noisily labelled ones are flagged no more than one in ten."""
+    from pyspark.sql import functions as F
+
+    from lithic.llm import toxicity
+
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    machine = toxicity.train(docs, labels)
+    known = "idiot moron scum stupid loser trash pathetic".split()
+    variants = sorted({w[:i] + chr(97 + c) + w[i:] for w in known for i in range(1, len(w)) for c in range(26)} - set(known))
+    below = lambda words: int((machine.probability(machine.scores(words)) < 0.5).sum())
+    assert below(known) == 0 and below(variants) <= len(variants) / 7
+    held = docs.join(labels.select("doc_id", "toxic"), "doc_id").where(toxicity.held_out(F.col("doc_id")))
+    told = toxicity.score(held, machine).join(labels.select("doc_id", "toxic"), "doc_id").groupBy("toxic").agg(F.count("*").alias("n"), F.sum("predicted").alias("said")).collect()
+    share = {r["toxic"]: r["said"] / r["n"] for r in told}
+    print(len(variants), below(variants), told)
+    assert share[0] < 0.1 and share[1] > 0.9
