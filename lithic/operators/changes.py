@@ -25,7 +25,7 @@ def capped(parts: Column, most: int = DEFAULTS.diff_max_chars) -> Column:
 def entity_delta(old: Column, new: Column) -> tuple[Column, Column]:
     """(added, removed) entities by type and key."""
     ids = lambda es: F.transform(es, lambda e: F.concat_ws(":", e["type"], e["key"]))
-    missing = lambda a, b: F.filter(a, lambda e: ~F.array_contains(ids(b), F.concat_ws(":", e["type"], e["key"])))
+    missing = lambda a, b: T.let(ids(b), lambda held: F.filter(a, lambda e: ~F.array_contains(held, F.concat_ws(":", e["type"], e["key"]))))
     return missing(new, old), missing(old, new)
 
 

@@ -89,8 +89,7 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
 def read_hashes(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """(hashes, number of other lines) of a list of hashes, which may be empty but has to be there."""
     lines = line_list(spark.read.text(path))  # Spark fails on a path that is not there
-    good = hash_list(lines)
-    return good, lines.count() - good.count()
+    return hash_list(lines), lines.where(~F.lower("value").rlike("^[0-9a-f]{32}$")).count()
 
 
 def valid_patterns(spark: SparkSession, lines: list[str]) -> list[str]:
