@@ -86,3 +86,22 @@ def test_sessions_share_an_index_and_notice_changes(spark, tmp_path):
     later = fulltext.of_path(spark.read.parquet(path), "id", "t", path)
     assert later.at.version == 2 and [s["docs"] for s in later.segments] == [2, 1]
     assert sorted(r[0] for r in search.found_in(later, "red").collect()) == [1, 3]
+
+
+def test_a_phrase_behind_many_places_is_found(spark, tmp_path):
+    far = "of x " * 300 + "the y " * 300 + "of the"
+    docs = spark.createDataFrame([(1, far), (2, "the x of " * 300)], "id long, t string")
+    index = fulltext.build(docs, "id", "t", str(tmp_path / "far"))
+    rows = search.found_in(index, '"of the"').collect()
+    assert sorted(r["id"] for r in rows) == [1, 2]
+    assert [r[0] for r in search.found_in(index, '"y of the"').collect()] == [1]
+    most = sum(1 / (j * j) for j in range(1, fulltext.MOST_PLACES + 1)) * search.WEIGHT / search.ALL_PLACES
+    assert all(abs(search.best(index, w, 1)[0].collect()[0]["rank"] - most) < 1e-9 for w in ("of", "the"))
+
+
+def test_a_segment_has_a_file_of_blocks_for_each_bucket(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(fulltext, "FILE_CHARS", 20)
+    rows = [(k, " ".join(f"w{k * 7 % 50 + j}" for j in range(30))) for k in range(200)]
+    index = fulltext.build(spark.createDataFrame(rows, "id long, t string"), "id", "t", str(tmp_path / "b"))
+    files = list((tmp_path / "b" / "data" / "blocks").rglob("*.parquet"))
+    assert len(files) == len({f.parent for f in files}) <= index.segments[0]["buckets"]
