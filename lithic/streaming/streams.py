@@ -77,37 +77,14 @@ def minute_usage(events: DataFrame, at: str, keys: list[str], delay: str = "90 s
     return events.withWatermark(at, delay).groupBy(F.window(at, "1 minute"), *keys).agg(F.count("*").alias("requests"))
 
 
-class Newest(StatefulProcessor):
-    """A key's state is its highest version so far; a row comes out when that rises."""
-
-    def __init__(self, key: str, version: str) -> None:
-        self.key, self.version = key, version
-
-    def init(self, handle) -> None:
-        self.state = handle.getValueState("newest", f"{self.version} timestamp")
-
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        import pandas as pd
-
-        top = max((r[self.version].max() for r in rows), default=None)
-        before = pd.Timestamp(self.state.get()[0]) if self.state.exists() else None
-        if before is not None and top.tz is not None and before.tz is None:
-            before = before.tz_localize(top.tz)
-        if before is None or top > before:
-            self.state.update((top.to_pydatetime(),))
-            yield pd.DataFrame({self.key: [key[0]], self.version: [top]})
-        else:
-            yield pd.DataFrame(columns=[self.key, self.version])
-
-    def close(self) -> None:
-        pass
-
-
 def newest_versions(versions: DataFrame, key: str, version: str) -> DataFrame:
-    """A row of (key, version) whenever a key's highest version (a time) rises; an older or equal one gives none."""
+    """A row of (key, version) whenever a key's highest version (a time) rises; an older or equal one gives none. The
+    state is an aggregate: the highest version and, of the batches that brought it, the first by their time."""
     _keep_state_on_disk(versions.sparkSession)
-    schema = versions.select(key, version).schema
-    return versions.select(key, version).where(F.col(version).isNotNull()).groupBy(key).transformWithStateInPandas(Newest(key, version), schema, "Update", "None")
+    batch = F.unix_millis(F.current_timestamp())  # one time for a whole batch, also where it is repeated
+    rows = versions.where(F.col(version).isNotNull()).select(key, F.col(version).alias("v"), (-batch).alias("since"))
+    top = rows.groupBy(key).agg(F.max(F.struct("v", "since")).alias("top_"))
+    return top.where(F.col("top_.since") == -batch).select(key, F.col("top_.v").alias(version))
 
 
 def write_once(batch: DataFrame, batch_id: int, folder: str) -> None:

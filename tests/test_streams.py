@@ -62,3 +62,15 @@ def test_liveness(spark, tmp_path):
     query = streams.read_events(spark, str(tmp_path / "in")).writeStream.format("noop").option("checkpointLocation", str(tmp_path / "live")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert streams.liveness(query) == {"active": False, "batch": 0, "rows": 10}
+
+
+def test_newest_is_an_aggregate_and_an_equal_version_gives_none(spark, tmp_path):
+    source, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    read = lambda: streams.newest_versions(streams.read_events(spark, str(source)), "url", "fetched_at")
+    source.mkdir()
+    assert "TransformWithState" not in read()._jdf.queryExecution().logical().toString()
+    for name, rows in (("a.txt", [("a", 3), ("b", 1)]), ("b.txt", [("a", 3), ("b", 1.5)]), ("c.txt", [("a", 3), ("b", 1.5)])):
+        put(source, name, rows)
+        streams.drain(read(), out, state, mode="update")
+    assert [sorted(r["url"] for r in spark.read.parquet(out).where(f"batch = {k}").collect()) for k in (0, 1)] == [["a", "b"], ["b"]]
+    assert spark.read.parquet(out).where("batch > 1").count() == 0
