@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lithic.functions import entities as E
 from lithic.functions import urls
-from lithic.operators import heaps
+from lithic.operators import heaps, shares
 
 ENTITY_TYPES = ("crypto_wallet", "onion_service", "email", "pgp_fingerprint", *E.NAMED)
 
@@ -61,21 +61,27 @@ PAGE_BLOCK = 512
 
 
 def related(mentions: DataFrame, page: str, entity: str, most: int = 10, block: int = PAGE_BLOCK) -> DataFrame:
-    """(entity, other, shared, place): the entities on most pages with each, ties by id. A page of many entities is cut into
-    blocks, and each two blocks meet in a task of their own; pairs are counted before they are shuffled."""
-    pairs = mentions.select(F.col(page).alias("p_"), F.col(entity).alias("e_")).where("p_ is not null and e_ is not null").distinct()
-    parts = pairs.groupBy("p_").agg(F.ceil(F.count("*") / block).cast("int").alias("parts_"))
-    dealt = pairs.join(parts, "p_").withColumn("own_", F.pmod(F.xxhash64("e_"), F.col("parts_")).cast("int")).withColumn("other_", F.explode(F.sequence(F.lit(0), F.col("parts_") - 1)))
-    left = dealt.select("p_", F.col("own_").alias("a_"), F.col("other_").alias("b_"), "e_")
-    right = dealt.select("p_", F.col("other_").alias("a_"), F.col("own_").alias("b_"), F.col("e_").alias("other"))
-    counted = left.join(right, ["p_", "a_", "b_"]).where("e_ <> other").groupBy("e_", "other").agg(F.count("*").alias("shared"))
-    top = heaps.first_of_each(counted, ["e_"], [("shared", False), ("other", True)], most)
+    """(entity, other, shared, place): the entities on most pages with each, ties by id. A page's entities are one array, cut into
+    blocks where they are many, and each two blocks meet in a row of their own. Mentions, and the pairs of all pages, are
+    counted first and dealt over tasks by their number, so a task's share does not grow."""
+    rows = mentions.select(F.col(page).alias("p_"), F.col(entity).alias("e_")).where("p_ is not null and e_ is not null")
+    pages = rows.repartition(shares.tasks_of(rows), "p_").groupBy("p_").agg(F.collect_set("e_").alias("es_"))
+    formed = pages.agg(F.sum(F.size("es_").cast("long") * F.size("es_"))).first()[0] or 0
+    many = shares.tasks(mentions.sparkSession, formed)
+    last = F.ceil(F.size("es_") / block).cast("int") - 1
+    met = pages.select("p_", "es_", F.explode(F.sequence(F.lit(0), last)).alias("a_")).select("*", F.explode(F.sequence(F.lit(0), last)).alias("b_"))
+    cut = lambda at: F.slice("es_", F.col(at) * block + 1, block)
+    dealt = met.select("p_", "a_", "b_", cut("a_").alias("x_"), F.when(F.col("a_") != F.col("b_"), cut("b_")).alias("y_")).repartition(many, "p_", "a_", "b_")
+    both = dealt.select(F.explode("x_").alias("e_"), F.coalesce("y_", "x_").alias("y_")).select("e_", F.explode("y_").alias("other")).where("e_ <> other")
+    counted = both.repartition(many, "e_", "other").groupBy("e_", "other").agg(F.count("*").alias("shared"))
+    top = heaps.first_of_each(counted, ["e_"], [("shared", False), ("other", True)], most, many)
     return top.select(F.col("e_").alias(entity), F.posexplode("first").alias("place", "f")).select(entity, "f.other", "f.shared", (F.col("place") + 1).alias("place"))
 
 
-def newest_pages(mentions: DataFrame, page: str, entity: str, at: str, most: int = 20) -> DataFrame:
-    """(entity, pages): each entity's newest pages, in order."""
-    top = heaps.first_of_each(mentions.select(entity, page, at).distinct(), [entity], [(at, False), (page, True)], most)
+def newest_pages(mentions: DataFrame, page: str, entity: str, at: str, most: int = 20, tasks: int | None = None) -> DataFrame:
+    """(entity, pages): each entity's newest pages, in order. Heaps meet in ``tasks`` tasks, as many as the mentions need if
+    none are named; a mention that comes again is left out where it is met."""
+    top = heaps.first_of_each(mentions.select(entity, page, at), [entity], [(at, False), (page, True)], most, tasks or shares.tasks_of(mentions), once=True)
     return top.select(entity, F.transform("first", lambda s: s[page]).alias("pages"))
 
 

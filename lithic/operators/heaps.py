@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 GATHERED, HELD = 100_000, 400_000
 
 
-def first_of_each(rows: DataFrame, keys: list[str], order: list[tuple[str, bool]], most: int) -> DataFrame:
+def first_of_each(rows: DataFrame, keys: list[str], order: list[tuple[str, bool]], most: int, tasks: int | None = None, once: bool = False) -> DataFrame:
     """(keys, first): up to ``most`` structs of the order's columns, in that order; of each (column, ascending). Nulls come last.
 
     A key on all rows costs each task ``most`` rows, whatever it read: nothing is sorted or windowed over a whole key.
-    The columns that order have to tell rows apart, or which of equal ones stays is open.
+    The columns that order have to tell rows apart, or which of equal ones stays is open; with ``once`` equal rows count as one.
+    Heaps meet in ``tasks`` tasks, if so many are named.
     """
     names = [name for name, _ in order]
     rows = rows.select(*keys, *names)
@@ -25,7 +26,8 @@ def first_of_each(rows: DataFrame, keys: list[str], order: list[tuple[str, bool]
         kept: list[pd.DataFrame] = []
 
         def cut() -> pd.DataFrame:
-            whole = pd.concat(kept, ignore_index=True).sort_values(names, ascending=[up for _, up in order], kind="stable", na_position="last")
+            whole = pd.concat(kept, ignore_index=True)
+            whole = (whole.drop_duplicates() if once else whole).sort_values(names, ascending=[up for _, up in order], kind="stable", na_position="last")
             return whole.groupby(keys, sort=False, dropna=False).head(most)
 
         for batch in batches:
@@ -48,4 +50,6 @@ def first_of_each(rows: DataFrame, keys: list[str], order: list[tuple[str, bool]
         return rule
 
     found = rows.mapInArrow(heaps, rows.schema)
-    return found.groupBy(*keys).agg(F.slice(F.array_sort(F.collect_list(F.struct(*names)), before), 1, most).alias("first"))
+    found = found if tasks is None else found.repartition(tasks, *keys)
+    all_of = (F.collect_set if once else F.collect_list)(F.struct(*names))
+    return found.groupBy(*keys).agg(F.slice(F.array_sort(all_of, before), 1, most).alias("first"))
