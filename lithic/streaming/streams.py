@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.types import StructType
 
 from lithic.functions import urls
 from lithic.settings import DEFAULTS
@@ -17,8 +18,13 @@ def read_events(spark: SparkSession, folder: str, files_per_batch: int = 100) ->
     return parse_events(raw)[0]
 
 
+#: The time of an event in microseconds, in the rows of the filter.
+AT = "at_"
+
+
 class Kept(StatefulProcessor):
-    """A key's state is the time of its last kept event; a timer a TTL later clears it."""
+    """A key's state is the time of its last kept event; a timer a TTL later clears it. Rows are structs as events have
+    them and a column AT, the event's time in microseconds; of those of one key only the first of each time is held."""
 
     def __init__(self, ttl: int, columns: list[str]) -> None:
         self.ttl, self.columns = ttl, columns
@@ -27,45 +33,45 @@ class Kept(StatefulProcessor):
         self.handle, self.kept = handle, handle.getValueState("kept", "at long")
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
-        import pandas as pd
-
-        kept = self.kept.get()[0] if self.kept.exists() else None
-        # of the events of one time the first by url may be kept, so only those are held
-        firsts = pd.concat([r.sort_values(["fetched_at", "url"], kind="stable").drop_duplicates("fetched_at") for r in rows])
-        firsts = firsts.sort_values(["fetched_at", "url"], kind="stable").drop_duplicates("fetched_at")
-        fresh = []
-        for at in _milliseconds(firsts["fetched_at"]):
-            new = kept is None or at - kept >= self.ttl
-            kept = at if new else kept
-            fresh.append(new)
-        self.kept.update((int(kept),))
-        self.handle.registerTimer(max(int(kept) + self.ttl, timerValues.getCurrentWatermarkInMs() + 1))
-        yield firsts.loc[fresh, self.columns]
+        firsts: dict = {}
+        for row in rows:
+            at, held = row[AT], firsts.get(row[AT])
+            if held is None or row["url"] < held["url"]:
+                firsts[at] = row
+        state = self.kept.get()
+        kept = None if state is None else state[0]
+        untimed, fresh = firsts.pop(None, None), []
+        for at in sorted(firsts):
+            if kept is None or at // 1000 - kept >= self.ttl:
+                kept = at // 1000
+                fresh.append(firsts[at])
+        if untimed is not None and kept is None:
+            return iter([Row(**{c: untimed[c] for c in self.columns})])
+        if fresh:
+            self.kept.update((kept,))
+            self.handle.registerTimer(max(kept + self.ttl, timerValues.getCurrentWatermarkInMs() + 1))
+        return (Row(**{c: row[c] for c in self.columns}) for row in fresh)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        import pandas as pd
-
         # a later kept event has set a later timer
-        if self.kept.exists() and self.kept.get()[0] + self.ttl <= max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()):
+        state = self.kept.get()
+        if state is not None and state[0] + self.ttl <= max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()):
             self.kept.clear()
-        yield pd.DataFrame(columns=self.columns)
+        return iter(())
 
     def close(self) -> None:
         pass
 
 
-def _milliseconds(at) -> list[int]:
-    kind = "datetime64[ms, UTC]" if at.dt.tz is not None else "datetime64[ms]"
-    return at.astype(kind).astype("int64").tolist()
-
-
 def distinct_pages(events: DataFrame, hours: int = DEFAULTS.dedup_ttl_hours) -> DataFrame:
     """Events that the time-to-live filter keeps, as :func:`lithic.operators.versions.seen_within` does for a batch: one
     whose normalized URL was kept less than the TTL before goes. A key's state is the time of its last kept
     event, and a timer clears it when the watermark is a TTL later. Of a micro-batch, events are taken by time."""
     _keep_state_on_disk(events.sparkSession)
-    keyed = events.withWatermark("fetched_at", f"{hours} hours").withColumn("dedup_key", urls.normalize(F.col("url")))
-    return keyed.groupBy("dedup_key").transformWithStateInPandas(Kept(hours * 3_600_000, events.schema.names), events.schema, "Append", "EventTime")
+    keyed = events.withWatermark("fetched_at", f"{hours} hours").select("*", urls.normalize(F.col("url")).alias("dedup_key"), F.unix_micros("fetched_at").alias(AT))
+    kept = StructType([f for f in events.schema if f.name != "fetched_at"]).add(AT, "long")
+    rows = keyed.groupBy("dedup_key").transformWithState(Kept(hours * 3_600_000, kept.names), kept, "Append", "EventTime")
+    return rows.withColumn("fetched_at", F.timestamp_micros(AT)).select(events.columns)
 
 
 def _keep_state_on_disk(spark: SparkSession) -> None:

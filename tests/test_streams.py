@@ -74,3 +74,13 @@ def test_newest_is_an_aggregate_and_an_equal_version_gives_none(spark, tmp_path)
         streams.drain(read(), out, state, mode="update")
     assert [sorted(r["url"] for r in spark.read.parquet(out).where(f"batch = {k}").collect()) for k in (0, 1)] == [["a", "b"], ["b"]]
     assert spark.read.parquet(out).where("batch > 1").count() == 0
+
+
+def test_filter_makes_no_frame_for_a_key_and_keeps_an_untimed_event(spark, tmp_path):
+    source, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    read = lambda: streams.distinct_pages(streams.read_events(spark, str(source)), 6)
+    put(source, "a.txt", [("http://h/a", 3), ("http://h/a", 1), ("http://h/b", 2)])
+    (source / "b.txt").write_text('{"url": "http://h/c", "html": "p"}\n{"url": "http://h/c", "html": "p"}\n')
+    assert "InPandas" not in read()._jdf.queryExecution().analyzed().toString()
+    streams.drain(read(), out, state)
+    assert sorted((r["url"], r["fetched_at"] is None) for r in streams.written(spark, out).collect()) == [("http://h/a", False), ("http://h/b", False), ("http://h/c", True)]
