@@ -2,8 +2,8 @@
 
 A fold whose verdicts depend on those before is a path: each row points to the one at which the state changes
 next, by a rule that needs no state before it. The pointers come from a search for the first row at or after a
-value, over ranges of values that tasks share evenly however the keys lie; the path from a key's first row comes
-from pointers of doubling length.
+value, over ranges of values that tasks share evenly however the keys lie; the path from a key's first row comes from
+tasks that follow pointers inside ranges of nodes, and pointers of doubling length between these.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lithic.operators import shares
 from lithic.sources import workspace
 
 #: Rows of a key from which on it is hot, and the share of all rows from which on it is, so hot keys are fewer than SHARES.
@@ -74,9 +75,84 @@ def following(nodes: DataFrame, probes: DataFrame, key: str, at: str, keep: dict
     return found.select("probe_.*", *[F.coalesce("seen_", "carried_")[n].alias(n) for n in keep])
 
 
+def _grouped(batches, key: str):
+    """(key, table) of each key of a partition that is sorted by it."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held = list(batches)
+    rows = pa.Table.from_batches(held) if held else None
+    for name in pc.unique(rows.column(key)) if rows is not None else ():
+        yield name.as_py(), rows.filter(pc.equal(rows.column(key), name))
+
+
+def _steps(rows):
+    """(nodes, next ones, the next one's row or -1 if it is none of the range's) of a range's edges, by node."""
+    import numpy as np
+
+    nodes, after = (rows.column(c).to_numpy() for c in ("node", "next"))
+    by = np.argsort(nodes, kind="stable")
+    nodes, after = nodes[by], after[by]
+    at = np.minimum(np.searchsorted(nodes, after), len(nodes) - 1)
+    return nodes, after, np.where(nodes[at] == after, at, -1), by
+
+
+def _left(key: str):
+    """Of each node of a range the first behind it, along the edges, that the range has no edge from."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for name, rows in _grouped(batches, key):
+            nodes, after, row, _ = _steps(rows)
+            last = np.where(row < 0, np.arange(len(nodes)), row)
+            while (last[last] != last).any():
+                last = last[last]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(nodes), rows.schema.field(key).type), pa.array(nodes), pa.array(after[last])], [key, "node", "next"])
+
+    return run
+
+
+def _walked(key: str):
+    """The nodes of a range on the paths from those that are marked."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for name, rows in _grouped(batches, key):
+            nodes, _, row, by = _steps(rows)
+            seen = np.zeros(len(nodes), dtype=bool)
+            for at in np.flatnonzero(np.asarray(rows.column("in_").is_valid())[by]):
+                while at >= 0 and not seen[at]:
+                    seen[at] = True
+                    at = row[at]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * int(seen.sum()), rows.schema.field(key).type), pa.array(nodes[seen])], [key, "node"])
+
+    return run
+
+
 def path(edges: DataFrame, roots: DataFrame, key: str = KEY) -> DataFrame:
-    """(key, node) of all nodes on the paths from roots (key, node) along edges (key, node, next), which lead to larger nodes: after
-    each round twice as many steps are known, so rounds are the logarithm of the longest path."""
+    """(key, node) of all nodes on the paths from roots (key, node) along edges (key, node, next), which lead to larger nodes and of
+    which a node has one. A range of nodes is one task's: it says where each node's path leaves the range. Only nodes at
+    which paths enter a range are then gone through by doubling, and each range is walked from those that are reached."""
+    kind = roots.select(key).schema[key].dataType.simpleString()
+    known = edges.where("next is not null").select(key, F.col("node").cast("long"), F.col("next").cast("long"))
+    tasks = shares.tasks_of(known)
+    ranged = workspace.cut(known.repartitionByRange(tasks, key, "node").sortWithinPartitions(key, "node"))
+    left = workspace.cut(ranged.mapInArrow(_left(key), f"{key} {kind}, node long, next long"))
+    starts = roots.select(key, F.col("node").cast("long"))
+    enters = left.select(key, F.col("next").alias("node")).unionByName(starts).distinct()
+    reached = _doubled(left.join(enters, [key, "node"], "left_semi"), starts, key)
+    # a node for each range and path into it
+    marked = ranged.join(F.broadcast(reached.withColumn("in_", F.lit(True))), [key, "node"], "left")
+    return workspace.cut(marked.mapInArrow(_walked(key), f"{key} {kind}, node long").unionByName(reached).distinct())
+
+
+def _doubled(edges: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """The nodes on the paths from roots: after each round twice as many steps are known, so rounds are the logarithm of the
+    longest path."""
     reached = workspace.cut(roots.select(key, "node"))
     jumps = workspace.cut(edges.where("next is not null").select(key, "node", "next"))
     while True:

@@ -52,3 +52,15 @@ def test_a_hot_key_is_spread(spark):
     rows = spark.range(20_000).select(F.lit("k").alias("key_"), F.col("id").alias("x"))
     sizes = [r[0] for r in scans._ranged(rows, [F.desc("key_"), F.desc("x")]).groupBy("range_").count().select("count").collect()]
     assert len(sizes) == 4 and max(sizes) <= 2 * sorted(sizes)[len(sizes) // 2]
+
+
+def test_a_path_is_walked_inside_ranges(spark, monkeypatch):
+    """Doubling goes over the nodes at which paths enter a range alone, not over all edges."""
+    edges = [("a", x, x + 3) for x in range(0, 3_000)] + [("b", x, x + 1) for x in range(500)] + [("c", 9, None)]
+    rows, doubled = spark.createDataFrame(edges, "key_ string, node long, next long"), []
+    plain = scans._doubled
+    monkeypatch.setattr(scans, "_doubled", lambda e, r, k: doubled.append(e.count()) or plain(e, r, k))
+    roots = spark.createDataFrame([("a", 1), ("b", 4), ("c", 9), ("d", 2)], "key_ string, node long")
+    got = sorted(map(tuple, scans.path(rows, roots).collect()))
+    assert got == [*(("a", x) for x in range(1, 3_003, 3)), *(("b", x) for x in range(4, 501)), ("c", 9), ("d", 2)]
+    assert doubled[0] < 40
