@@ -45,3 +45,23 @@ def test_equals_a_rebuild_after_every_batch(spark, tmp_path):
         pairs = graphstore.cooccurring(now).select(F.concat_ws(" ", "type", "key"), F.concat_ws(" ", "other_type", "other_key"), "shared")
         assert state(pairs) == state(shared)
     assert store.snapshot().version == 4
+
+
+def test_a_batch_counts_on_from_what_is_known(spark, tmp_path, monkeypatch):
+    """Mentions of untouched pages are read for an entity that lost the mention it shows, and for no other."""
+    store, read = Store(spark, str(tmp_path / "g")), []
+    page = lambda url, version, *keys: (url, version, "processed", [("person", k, f"{k}{version}", c) for k, c in keys])
+    many = [page("http://h/1", 1, ("a", 0.9), ("b", 0.9)), page("http://h/2", 2, ("a", 0.5), ("a", 0.7), (None, 0.9)), page("http://i/3", 3, ("b", 0.9)), page(None, 9, ("a", 0.9))]
+    shown = graphstore._shown
+    monkeypatch.setattr(graphstore, "_shown", lambda pages, *of: read.append(pages.count()) or shown(pages, *of))
+
+    def take(*rows):
+        read.clear()
+        store.run(lambda c: graphstore.update(c, spark.createDataFrame(rows, SCHEMA)))
+        return {(r.key, r.display, r.pages) for r in graphstore.entities(store.snapshot()).collect()}, max(read)
+
+    assert take(*many) == ({("a", "a2", 2), ("b", "b3", 2), (None, "None2", 1)}, 3)
+    assert take(page("http://h/1", 4, ("a", 0.9))) == ({("a", "a4", 2), ("b", "b3", 1), (None, "None2", 1)}, 1)
+    assert take(page("http://h/1", 5), page("http://i/4", 1, ("b", 0.9))) == ({("a", "a2", 1), ("b", "b3", 2), (None, "None2", 1)}, 4)
+    assert take(page("http://i/3", 6), page("http://h/2", 7)) == ({("b", "b1", 1)}, 4)
+    assert state(graphstore.hosts(store.snapshot())) == [("i", 1)]
