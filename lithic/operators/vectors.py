@@ -16,13 +16,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
-from lithic.operators import search
+from lithic.operators import search, shares
 from lithic.sources.snapshots import Snapshot, Store, Transaction
 
 #: Rows that the cells and codebooks are fitted on; cells at most; codes of a slice; dimensions of a slice.
 SAMPLE, MOST_CELLS, CODES, SLICE = 100_000, 16_384, 256, 4
-#: Rows of a cell in one task, and of queries.
-CELL_ROWS, QUERY_ROWS = 200_000, 4_096
+#: Rows of a cell in one task, and of queries; bytes of a block's points in single precision, and of the scores made at a time.
+CELL_ROWS, QUERY_ROWS, BLOCK_BYTES = 200_000, 1_024, 1 << 25
 POOL = 20
 #: Told apart in the folder's name: an index of another layout is another index.
 LAYOUT = "2"
@@ -238,46 +238,89 @@ def search_one(index: Index, query: list[float], k: int, probes: float | None =
     return search.nearest(held, index.key, index.column, q.tolist(), k)
 
 
+def dealt(sizes: dict[int, int], most: int) -> tuple[dict[int, list[int]], int]:
+    """(the blocks that each cell's points are dealt over, number of blocks): small cells share a block, large ones have several; no block has more than about ``most`` points."""
+    blocks: dict[int, list[int]] = {}
+    at, held = 0, 0
+    for cell, n in sorted(sizes.items()):
+        parts = -(-n // most)
+        for _ in range(parts):
+            if held and held + n / parts > most:
+                at, held = at + 1, 0
+            blocks.setdefault(cell, []).append(at)
+            held += n / parts
+    return blocks, at + 1
+
+
 def search_all(index: Index, queries: DataFrame, query_id: str, vector: str, k: int, probes: float | None = None, pool: int = POOL) -> DataFrame:
-    """(query_id, key, score, rank) of about the k nearest points of each query. Queries go to the cells nearest to
-    them; a cell's points and its queries meet in parts of CELL_ROWS by QUERY_ROWS."""
+    """(query_id, key, score, rank) of about the k nearest points of each query. Points are dealt over blocks of cells, queries
+    go to the blocks that hold some of the cells nearest to them, and each block keeps a query's best of all its cells. Blocks
+    and what they keep are dealt over tasks by their number."""
     width, books, cells, key, many, probed = index.width, index.books, index.cells, index.key, pool * k, index.probes(probes)
     qkind, kkind = queries.schema[query_id].dataType.simpleString(), index.points([]).schema[key].dataType.simpleString()
+    spark, points = queries.sparkSession, index.points(["cell", "code"]).select(F.col(key).alias("k"), "cell", "code")
+    # a row for each cell, MOST_CELLS at most
+    blocks, n_blocks = dealt({r["cell"]: r["count"] for r in points.groupBy("cell").count().collect()}, max(1, BLOCK_BYTES // (4 * width)))
+    asked_rows = queries.count()
+    loads, tasks = max(1, -(-asked_rows // QUERY_ROWS)), shares.tasks(spark, asked_rows * n_blocks * many)
+    holds = np.zeros((len(cells), n_blocks), dtype=bool)
+    for cell, own in blocks.items():
+        holds[cell, own] = True
 
     def sent(batches):
         for batch in batches:
             x = unit(matrix(batch.column("x"), width))
             good = np.flatnonzero(np.isfinite(x).all(axis=1))
             near = np.argsort(-(x[good] @ cells.T), axis=1, kind="stable")[:, :probed]
-            at = np.repeat(good, near.shape[1])
-            yield pa.RecordBatch.from_arrays([batch.column("q").take(pa.array(at)), pa.array(near.ravel(), pa.int32()), pa.array(list(x[at]), pa.list_(pa.float64()))], ["q", "cell", "x"])
-
-    asked = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("x")).mapInArrow(sent, f"q {qkind}, cell int, x array<double>")
-    points = index.points(["cell", "part", "code"]).select(F.col(key).alias("k"), "cell", "part", "code")
-    # a row for each cell, MOST_CELLS at most
-    loads = F.broadcast(asked.groupBy("cell").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("loads")))
-    parts = F.broadcast(points.groupBy("cell").agg((F.max("part") + 1).alias("parts")))
-    asked = asked.join(loads, "cell").join(parts, "cell").withColumn("load", F.pmod(F.xxhash64("q"), F.col("loads")).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    points = points.join(loads, "cell").withColumn("load", F.explode(F.sequence(F.lit(0), F.col("loads") - 1)))
+            chosen = np.zeros((len(good), len(cells)), dtype=bool)
+            np.put_along_axis(chosen, near, True, axis=1)
+            row, block = np.nonzero(chosen.astype(np.float32) @ holds.astype(np.float32))
+            bits = [b.tobytes() for b in np.packbits(chosen, axis=1)]
+            yield pa.RecordBatch.from_arrays([batch.column("q").take(pa.array(good[row])), pa.array(block, pa.int32()), pa.array(list(x[good[row]]), pa.list_(pa.float64())), pa.array([bits[r] for r in row], pa.binary())], ["q", "block", "x", "cells"])
 
     def guess(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, types = ["q", "k", "cell", "guess"], [left.schema.field("q").type, right.schema.field("k").type, pa.int32(), pa.float64()]
         if not left.num_rows or not right.num_rows:
-            return pa.table([pa.array([], left.schema.field("q").type), pa.array([], right.schema.field("k").type), pa.array([], pa.int32()), pa.array([], pa.float64())], ["q", "k", "cell", "guess"])
-        x, cell = matrix(left.column("x"), width), left.column("cell")[0].as_py()
+            return pa.table([pa.array([], t) for t in types], names)
+        right = right.sort_by([("cell", "ascending"), ("k", "ascending")])
+        own = right.column("cell").to_numpy()
         codes = np.frombuffer(b"".join(right.column("code").to_pylist()), dtype=np.uint8).reshape(-1, len(books))
-        tables = [x[:, s * SLICE : (s + 1) * SLICE] @ book.T for s, book in enumerate(books)]
+        # what the codes say of the points, in single precision: a guess is all that is made of it
+        about = cells.astype(np.float32)[own]
+        for s, book in enumerate(books):
+            about[:, s * SLICE : (s + 1) * SLICE] += book.astype(np.float32)[codes[:, s]]
+        here, first = np.unique(own, return_index=True)
+        ends = [*first[1:].tolist(), len(own)]
+        places = [np.arange(i, j) for i, j in zip(first.tolist(), ends, strict=True)]
+        x = matrix(left.column("x"), width).astype(np.float32)
+        chosen = np.unpackbits(np.frombuffer(b"".join(left.column("cells").to_pylist()), dtype=np.uint8).reshape(len(x), -1), axis=1)[:, here].astype(bool)
         at, held, scores = [], [], []
-        for row in range(len(x)):
-            score = x[row] @ cells[cell] + sum(t[row][codes[:, s]] for s, t in enumerate(tables))
-            best = np.argpartition(-score, many)[:many] if len(score) > many else np.arange(len(score))
-            at.append(np.full(len(best), row))
-            held.append(best)
-            scores.append(score[best])
-        q, k = left.column("q").take(pa.array(np.concatenate(at))), right.column("k").take(pa.array(np.concatenate(held)))
-        return pa.table([q, k, pa.array([cell] * len(q), pa.int32()), pa.array(np.concatenate(scores))], ["q", "k", "cell", "guess"])
-
-    group = ["cell", "part", "load"]
-    found = asked.select("q", "x", *group).groupBy(*group).cogroup(points.select("k", "code", *group).groupBy(*group)).applyInArrow(guess, f"q {qkind}, k {kkind}, cell int, guess double")
+        step = max(1, BLOCK_BYTES // (4 * len(own)))
+        for start in range(0, len(x), step):
+            part, ask = x[start : start + step], chosen[start : start + step]
+            score, where = [[] for _ in part], [[] for _ in part]
+            for c, place in enumerate(places):
+                rows = np.flatnonzero(ask[:, c])
+                for row, found in zip(rows.tolist(), part[rows] @ about[place[0] : place[-1] + 1].T, strict=True):
+                    score[row].append(found)
+                    where[row].append(place)
+            for row in range(len(part)):
+                if score[row]:
+                    s, w = np.concatenate(score[row]), np.concatenate(where[row])
+                    best = np.argpartition(-s, many)[:many] if len(s) > many else np.arange(len(s))
+                    at.append(np.full(len(best), start + row))
+                    held.append(w[best])
+                    scores.append(s[best])
+        at, held, scores = (np.concatenate(part) if part else np.zeros(0, np.int64) for part in (at, held, scores))
+        return pa.table([left.column("q").take(pa.array(at)), right.column("k").take(pa.array(held)), pa.array(own[held], pa.int32()), pa.array(scores.astype(np.float64))], names)
+
+    group = ["block", "load"]
+    asked = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("x")).mapInArrow(sent, f"q {qkind}, block int, x array<double>, cells binary")
+    asked = asked.withColumn("load", F.pmod(F.xxhash64("q"), F.lit(loads)).cast("int")).repartition(tasks, *group)
+    known = F.broadcast(spark.createDataFrame(list(blocks.items()), "cell int, blocks array<int>"))
+    share = F.pmod(F.xxhash64("k"), F.size("blocks")).cast("int")
+    points = points.join(known, "cell").select("k", "cell", "code", F.get("blocks", share).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(loads - 1))).alias("load")).repartition(tasks, *group)
+    found = asked.groupBy(*group).cogroup(points.groupBy(*group)).applyInArrow(guess, f"q {qkind}, k {kkind}, cell int, guess double").repartition(tasks, "q")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("guess"), "k"))
     best = found.withColumn("place", place).where(F.col("place") <= many).select("q", "k", "cell")
     vectors = index.points(["cell", index.column]).select(F.col(key).alias("k"), "cell", F.col(index.column).alias("v"))
@@ -304,10 +347,14 @@ def exact_all(vectors: DataFrame, key: str, column: str, queries: DataFrame, que
     def scored(batches):
         for batch in batches:
             for a_ids, a, b_ids, b in zip(*(batch.column(c).to_pylist() for c in ("a_ids", "a", "b_ids", "b")), strict=True):
-                score = np.frombuffer(a).reshape(-1, width) @ np.frombuffer(b).reshape(-1, width).T
-                for row, q in enumerate(a_ids):
-                    best = np.argpartition(-score[row], k)[:k] if len(b_ids) > k else np.arange(len(b_ids))
-                    yield pa.RecordBatch.from_arrays([pa.array([q] * len(best)), pa.array([b_ids[i] for i in best]), pa.array(score[row][best])], ["q", "k", "score"])
+                x, y, ids = np.frombuffer(a).reshape(-1, width), np.frombuffer(b).reshape(-1, width), pa.array(b_ids)
+                # so many queries at a time that their scores are BLOCK_BYTES
+                step = max(1, BLOCK_BYTES // (8 * max(1, len(y))))
+                for start in range(0, len(x), step):
+                    score = x[start : start + step] @ y.T
+                    best = np.argpartition(-score, k, axis=1)[:, :k] if len(b_ids) > k else np.tile(np.arange(len(b_ids)), (len(score), 1))
+                    q = pa.array(a_ids[start : start + step]).take(pa.array(np.repeat(np.arange(len(score)), best.shape[1])))
+                    yield pa.RecordBatch.from_arrays([q, ids.take(pa.array(best.ravel())), pa.array(np.take_along_axis(score, best, axis=1).ravel())], ["q", "k", "score"])
 
     rows = left.crossJoin(right).mapInArrow(scored, f"q {kinds[0]}, k {kinds[1]}, score double")
     place = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "k"))

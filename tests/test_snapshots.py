@@ -140,3 +140,20 @@ def test_vector_index_follows_deletions_and_additions(spark, tmp_path, clustered
     small = vectors.Index.open(store, "id", "v")
     assert small.points([]).count() == 199 and small.at.table("gone").count() == 0 and small.at.table("points").count() == 199
     assert vectors.search_one(small, clustered[7].tolist(), 1).first()["id"] == 7
+
+
+def test_vector_search_keeps_a_blocks_best_alone(spark, tmp_path, clustered, monkeypatch):
+    """What a query's cells send on is its best of each block, however many cells it probes; blocks do not change what is found."""
+    points = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(clustered)], "id long, v array<double>")
+    index = vectors.of_path(points, "id", "v", 16, spark, str(tmp_path / "ix"))
+    asked = points.where("id % 5 = 0").select(F.col("id").alias("query_id"), "v")
+    sent, tasks = [], vectors.shares.tasks
+    monkeypatch.setattr(vectors.shares, "tasks", lambda spark, rows, most=None: sent.append(rows) or tasks(spark, rows, most))
+    search = lambda: sorted((r["query_id"], r["rank"], r["id"]) for r in vectors.search_all(index, asked, "query_id", "v", 3, 1.0, 4).collect())
+    whole = search()
+    assert sent == [120 * 12] and len(whole) == 360 and len(index.cells) > 12
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 4 * 16 * 50)
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 40)
+    assert search() == whole and 120 * 12 * 12 <= sent[-1] <= 120 * 12 * 24
+    blocks, n = vectors.dealt({0: 5, 1: 5, 2: 25, 3: 1}, 10)
+    assert (blocks, n) == ({0: [0], 1: [0], 2: [1, 2, 3], 3: [3]}, 4)
